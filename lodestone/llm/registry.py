@@ -6,16 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality, token_counts
+from . import chat, packing, quality, simhash, token_counts, topk, viterbi
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sum_of_squares_packing": packing.op1_sum_of_squares_packing,
+        "op2_simhash_near_duplicates": simhash.op2_simhash_near_duplicates,
+        "op5_uniform_threshold_search": topk.op5_uniform_threshold_search,
         "op6_token_counts": token_counts.op6_token_counts,
+        "op8_perspective_rotation": chat.op8_perspective_rotation,
         "op9_compression_bands": quality.op9_compression_bands,
+        "op10_streaming_viterbi": viterbi.op10_streaming_viterbi,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_uniform_threshold_search": topk.OP5_SQL,
+        "op8_perspective_rotation": chat.OP8_SQL,
+    }
