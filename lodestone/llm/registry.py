@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, packing, quality, simhash, token_counts, topk, viterbi
+from . import chat, html_text, language_model, packing, quality, simhash, token_counts, topk, viterbi
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sum_of_squares_packing": packing.op1_sum_of_squares_packing,
         "op2_simhash_near_duplicates": simhash.op2_simhash_near_duplicates,
+        "op3_log_bilinear_scores": language_model.op3_log_bilinear_scores,
+        "op4_crf_main_text": html_text.op4_crf_main_text,
         "op5_uniform_threshold_search": topk.op5_uniform_threshold_search,
         "op6_token_counts": token_counts.op6_token_counts,
         "op8_perspective_rotation": chat.op8_perspective_rotation,
