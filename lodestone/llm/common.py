@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD_SPACE = " \t\n\x0b\x0c\r"
@@ -58,3 +58,9 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iter
             total += n
         if start < batch.num_rows:
             yield batch.slice(start)
+
+
+def text_keys(text: str) -> dict[str, Column]:
+    """Two hashes of a text, 128 bits together, by which rows are known whose ids may be missing or repeated."""
+    plain = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    return {"_k1": F.xxhash64(plain), "_k2": F.xxhash64(F.lit(7), plain)}

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import WORD_SPACE, as_bytes, by_bytes, table, texts
 
@@ -106,5 +107,16 @@ def quality_rules(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
     return texts(docs).mapInArrow(run, SCHEMA)
 
 
+def accepted(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
+    """The rows of docs, with all columns, that the rules keep."""
+
+    @F.arrow_udf("boolean")
+    def kept(text: pa.Array) -> pa.Array:
+        press = zstandard.ZstdCompressor(level=bands.level, write_content_size=False)
+        return pa.array([judge(x, bands, press)[6] for x in as_bytes(text)], pa.bool_())
+
+    return docs.filter(kept(F.col("text").cast("string")))
+
+
 def op9_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))

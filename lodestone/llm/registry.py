@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, html_text, language_model, packing, quality, simhash, token_counts, topk, viterbi
+from . import chat, html_text, language_model, packing, passages, quality, simhash, token_counts, topk, viterbi
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_crf_main_text": html_text.op4_crf_main_text,
         "op5_uniform_threshold_search": topk.op5_uniform_threshold_search,
         "op6_token_counts": token_counts.op6_token_counts,
+        "op7_repeated_phrase_automata": passages.op7_repeated_phrase_automata,
         "op8_perspective_rotation": chat.op8_perspective_rotation,
         "op9_compression_bands": quality.op9_compression_bands,
         "op10_streaming_viterbi": viterbi.op10_streaming_viterbi,
@@ -26,5 +27,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_uniform_threshold_search": topk.OP5_SQL,
+        "op7_repeated_phrase_automata": passages.op7_repeated_phrase_automata,
         "op8_perspective_rotation": chat.OP8_SQL,
     }

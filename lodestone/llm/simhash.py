@@ -21,10 +21,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, by_bytes, cut, table, texts
+from .common import as_bytes, by_bytes, cut, table, text_keys, texts
 from .components import connected_components
 
 RADIUS = 3
@@ -52,14 +52,15 @@ def fingerprint(text: bytes, width: int) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, fp long) for every row of docs (doc_id, text)."""
+    """docs' columns but `text`, and fp long, for every row of docs (text and any other columns)."""
+    others = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", 8 << 20):
             made = [fingerprint(x, width) for x in as_bytes(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(made, pa.int64())], [*others, "fp"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, fp long")
+    return docs.mapInArrow(run, docs.drop("text").schema.add("fp", "long"))
 
 
 def _segments(fps: DataFrame) -> DataFrame:
@@ -112,18 +113,38 @@ def links(fps: DataFrame, dense: int = 256) -> DataFrame:
     return light.unionByName(heavy)
 
 
+def classes(made: DataFrame, dense: int = 256) -> DataFrame:
+    """(fp, root): the smallest fingerprint that links reach from each of made's distinct ones."""
+    distinct = made.select("fp").distinct()
+    found = connected_components(links(distinct, dense), "fp", "other").withColumnRenamed("node", "fp")
+    return distinct.join(found, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, dense: int = 256) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of docs (doc_id, text): fingerprint as 16 hex digits,
     component_id the smallest doc_id that links reach."""
-    made = cut(fingerprints(docs, width), "fingerprints")
-    distinct = made.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = connected_components(links(distinct.select("fp"), dense), "fp", "other")
-    rooted = distinct.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left")
-    rooted = rooted.select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    made = cut(fingerprints(texts(docs), width), "fingerprints")
+    least = made.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    rooted = least.join(classes(made, dense), "fp")
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of = rooted.select("fp", "root").join(named, "root").select("fp", "component_id")
     return made.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def without_near_duplicates(docs: DataFrame, width: int = 5, dense: int = 256) -> DataFrame:
+    """The rows of docs, with all columns, that stay when one of each component stays: the one with the
+    smallest doc_id, rows without an id last, then by the text's hashes; of repeated rows one."""
+    named = docs.withColumns({"_id": F.col("doc_id").cast("long"), **text_keys("text")})
+    made = cut(fingerprints(named.select("_id", "_k1", "_k2", F.col("text").cast("string").alias("text")), width), "fingerprints")
+    order = F.struct(F.col("_id").isNull().alias("none"), "_id", "_k1", "_k2")
+    own = made.groupBy("fp").agg(F.min(order).alias("first"))
+    kept = own.join(classes(made, dense), "fp").groupBy("root").agg(F.min("first").alias("first")).select("first.*").drop("none")
+    kept = kept.select(F.col("_id").alias("_i"), F.col("_k1").alias("_a"), F.col("_k2").alias("_b"))
+    same = (F.col("_k1") == F.col("_a")) & (F.col("_k2") == F.col("_b")) & F.col("_id").eqNullSafe(F.col("_i"))
+    one = Window.partitionBy("_k1", "_k2", "_id").orderBy(F.lit(1))
+    rows = named.join(kept, same, "left_semi").withColumn("_n", F.row_number().over(one)).filter("_n = 1")
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op2_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
