@@ -13,8 +13,10 @@ they occur. Other columns are ignored. An empty table gives an empty result. A t
 
 from __future__ import annotations
 
+import functools
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -36,9 +38,10 @@ NOT_SPACE = "\x1c\x1d\x1e\x1f"
 
 class WordEncoder:
     """Ids of texts by a tokenizers file whose pre-tokenizer never joins what white space parts: each word is
-    encoded once while it stays in a cache of at most 2 * `words` short words."""
+    encoded once while it stays in a cache of at most 2 * `words` short words. Where the vocabulary has no
+    upper case, texts in Latin-1 are lower-cased first, so that words differ less."""
 
-    def __init__(self, path: str, words: int = 200_000, longest: int = 48):
+    def __init__(self, path: str, words: int = 600_000, longest: int = 48):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -48,33 +51,63 @@ class WordEncoder:
         self.words, self.longest = words, longest
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        probe = "".join(map(chr, range(33, 127))) + "".join(map(chr, range(161, 256)))
+        self.folds = self._ids([probe]) == self._ids([probe.lower()])
+        self.marks = [x.content for x in self.model.get_added_tokens_decoder().values()]
+
+    def _folded(self, text: str) -> str:
+        """The text in lower case if that can't change its ids: special strings are matched as they stand."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+        low = text.lower()
+        return text if any(x in low for x in self.marks) else low
 
     def _ids(self, strings: list[str]) -> list[bytes]:
         made = self.model.encode_batch_fast(strings, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in made]
+        return [array("I", x.ids).tobytes() for x in made]
 
-    def encode(self, batch: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        odd = {i for i, x in enumerate(batch) if any(c in x for c in NOT_SPACE)}
-        split = [() if i in odd else x.split() for i, x in enumerate(batch)]
+    def _learn(self, missing: set[str]) -> dict[str, bytes]:
+        """Ids of words that the young cache hasn't got, which gets those of short ones."""
         if len(self.young) > self.words:
             self.old, self.young = self.young, {}
-        known, once = self.young, {}
-        missing = set(chain.from_iterable(split)).difference(known)
-        fresh = []
-        for word in missing:
-            if (ids := self.old.get(word)) is not None:
-                known[word] = ids
-            else:
-                fresh.append(word)
-        for word, ids in zip(fresh, self._ids(fresh), strict=True):
-            (known if len(word) <= self.longest else once)[word] = ids
-        if once:
-            known = {**known, **once}
-        out = [b"".join(map(known.__getitem__, x)) for x in split]
-        for i in odd:
-            out[i] = self._ids([batch[i]])[0]
-        return out
+        made = {x: self.old[x] for x in missing & self.old.keys()}
+        fresh = list(missing.difference(made))
+        made.update(zip(fresh, self._ids(fresh), strict=True))
+        self.young.update(x for x in made.items() if len(x[0]) <= self.longest)
+        return made
+
+    def encode(self, batch: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        out: list = []
+        missing: set[str] = set()
+        gaps = []
+        known = self.young.get
+        for n, text in enumerate(batch):
+            if any(c in text for c in NOT_SPACE):
+                out.append(self._ids([text]))
+                continue
+            words = (self._folded(text) if self.folds else text).split()
+            ids = list(map(known, words))
+            if None in ids:
+                at = [i for i, x in enumerate(ids) if x is None]
+                here = [words[i] for i in at]
+                missing.update(here)
+                gaps.append((n, at, here))
+            out.append(ids)
+        made = self._learn(missing)
+        for n, at, here in gaps:
+            ids = out[n]
+            for i, word in zip(at, here, strict=True):
+                ids[i] = made[word]
+        return [b"".join(x) for x in out]
+
+
+@functools.lru_cache(maxsize=2)
+def word_encoder(path: str) -> WordEncoder:
+    """One for all tasks of a worker process, which so share its cache."""
+    return WordEncoder(path)
 
 
 class Packer:
@@ -192,7 +225,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, size: int = 4096, gr
     The first pass runs on the scan's partitions, without a shuffle; only rest windows are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = WordEncoder(vocabulary), np.array([end_id], dtype="<u4").tobytes()
+        encoder, end = word_encoder(vocabulary), np.array([end_id], dtype="<u4").tobytes()
         packer = Packer(size, TaskContext.get().partitionId() << 32)
         for batch in by_bytes(batches, "text", 1 << 20):
             ids = encoder.encode([x or "" for x in batch.column("text").to_pylist()])

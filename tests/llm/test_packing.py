@@ -91,3 +91,11 @@ def test_levelling_keeps_every_id():
         assert sorted((r["doc_id"], r["start"] + i) for r in rows for i in range(r["length"])) == [(i, k) for i, s in enumerate(sizes) for k in range(s)]
         open_ids = sum(r["length"] for r in rows if r["rest_ids"] is not None)
         assert sum(r["length"] for r in rows) - open_ids == 16 * len({r["sequence_id"] for r in rows if r["rest_ids"] is None})
+
+
+def test_case_of_words_and_special_strings(model):
+    encoder = WordEncoder(PATH)
+    batch = ["ÀÉÎ STRASSE Ünlü's X<|ENDOFTEXT|> <|endoftext|>Y", "µ ß ÿ I'LL DON'T", "ΣΑΣ İI ﬁ", "It's <|StartOfText|>", "A\xa0B\x85C\xadD", "".join(map(chr, range(1, 256)))]
+    assert encoder.folds
+    got = [np.frombuffer(x, dtype="<u4").tolist() for x in encoder.encode(batch)]
+    assert got == [x.ids for x in model.encode_batch(batch, add_special_tokens=False)]
