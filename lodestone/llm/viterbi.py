@@ -19,8 +19,10 @@ that holds no space mark (U+2581).
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -102,19 +104,45 @@ class Stream:
         self.held = 0
 
     def _fits(self, a: str, b: str) -> bool:
-        if not a:
-            return True
-        if (known := self.pairs.get((a, b))) is None:
-            if len(self.pairs) >= 400_000:
-                self.pairs.clear()
-            known = self.pairs[a, b] = merged(a + b, self.v.score) == [a, b]
+        """Whether merging the text of both pieces gives just them."""
+        if len(self.pairs) >= 600_000:
+            self.pairs.clear()
+        known = self.pairs[a, b] = merged(a + b, self.v.score) == [a, b]
         return known
 
     def feed(self, more: str) -> Iterator[str]:
         """Takes in more text; yields the pieces that are settled."""
-        self.text += more
-        score, text, longest = self.v.score, self.text, self.v.longest
-        unigram, piece, total = self.v.kind == "unigram", self.piece, self.sum
+        longest, step = self.v.longest, 3 * self.v.longest
+        for at in range(0, len(more), step):
+            self.text += more[at : at + step]
+            self._extend()
+            self.held = max(self.held, len(self.piece))
+            if len(self.piece) > 4 * longest and (done := self._meeting()):
+                yield from self._commit(done)
+
+    def _extend(self) -> None:
+        """The best path to each boundary that has none yet."""
+        text, piece, longest, score = self.text, self.piece, self.v.longest, self.v.score
+        if self.v.kind == "bpe":
+            pairs = self.pairs
+            for end in range(len(piece), len(text) + 1):
+                best = ""
+                for start in range(max(0, end - longest), end):
+                    part = text[start:end]
+                    if part in score or end - start == 1:
+                        old = piece[start]
+                        if not old:
+                            best = part
+                            break
+                        fits = pairs.get((old, part))
+                        if fits is None:
+                            fits = self._fits(old, part)
+                        if fits:
+                            best = part
+                            break
+                piece.append(best)
+            return
+        total, least = self.sum, self.v.least
         for end in range(len(piece), len(text) + 1):
             best, path = "", 0.0
             for start in range(max(0, end - longest), end):
@@ -123,23 +151,11 @@ class Stream:
                 if s is None:
                     if end - start > 1:
                         continue
-                    s = self.v.least
-                if not unigram:
-                    if self._fits(piece[start], part):
-                        best = part
-                        break
-                elif not best or total[start] + s > path:
+                    s = least
+                if not best or total[start] + s > path:
                     best, path = part, total[start] + s
             piece.append(best)
             total.append(path)
-            self.held = max(self.held, len(piece))
-            if len(piece) > 4 * longest:
-                done = self._meeting()
-                if done:
-                    yield from self._commit(done)
-                    text, piece, total = self.text, self.piece, self.sum
-                    yield from self.feed("")
-                    return
 
     def _meeting(self) -> int:
         """The last boundary that all paths still open go through."""
@@ -156,7 +172,7 @@ class Stream:
         while at:
             out.append(self.piece[at])
             at -= len(self.piece[at])
-        base = self.sum[end]
+        base = self.sum[end] if self.v.kind == "unigram" else 0.0
         self.text = self.text[end:]
         self.piece = self.piece[end:]  # the first is the last piece committed
         self.sum = [x - base for x in self.sum[end:]]
@@ -171,7 +187,7 @@ class Codec:
 
     STRETCH = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
-    def __init__(self, vocabulary: Vocabulary, cache: int = 200_000, longest: int = 48):
+    def __init__(self, vocabulary: Vocabulary, cache: int = 500_000, longest: int = 48):
         self.v, self.cache, self.long = vocabulary, cache, longest
         self.pairs: dict[tuple[str, str], bool] = {}
         self.young: dict[str, bytes] = {}
@@ -179,13 +195,16 @@ class Codec:
 
     def _stretch(self, text: str) -> bytes:
         stream = Stream(self.v, self.pairs)
-        ids: list[int] = []
-        for start in range(0, len(text), 4096):
-            for piece in stream.feed(text[start : start + 4096]):
-                ids += self.v.ids(piece)
-        for piece in stream.close():
-            ids += self.v.ids(piece)
-        return np.array(ids, dtype="<u4").tobytes()
+        pieces = list(stream.feed(text))
+        pieces += stream.close()
+        ids = array("I")
+        for piece in pieces:
+            one = self.v.id.get(piece)
+            if one is None:
+                ids.extend(self.v.ids(piece))
+            else:
+                ids.append(one)
+        return ids.tobytes()
 
     def _known(self, text: str) -> bytes:
         if (ids := self.old.get(text)) is None:
@@ -208,16 +227,22 @@ class Codec:
 
     def decode(self, ids: bytes) -> bytes:
         """UTF-8 of a text's ids."""
-        made = b"".join(map(self.v.shown.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
+        made = b"".join(map(self.v.shown.__getitem__, array("I", ids)))
         return made[1:] if self.v.prefix and made[:1] == b" " else made
 
 
+@functools.lru_cache(maxsize=2)
+def codec_of(path: str) -> Codec:
+    """One for all tasks of a worker process, which so share its caches."""
+    return Codec(Vocabulary(path))
+
+
 def encoded(docs: DataFrame, vocabulary: str) -> DataFrame:
     """(doc_id, ids array<int>) for every row of docs (doc_id, text). vocabulary: a sentencepiece model file
     that every executor has at this path."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(Vocabulary(vocabulary))
+        codec = codec_of(vocabulary)
         for batch in by_bytes(batches, "text", 1 << 20):
             ids = [np.frombuffer(codec.encode(x or ""), dtype="<i4") for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
@@ -229,7 +254,7 @@ def decoded(rows: DataFrame, vocabulary: str) -> DataFrame:
     """(doc_id, text) for every row of rows (doc_id, ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(Vocabulary(vocabulary))
+        codec = codec_of(vocabulary)
         for batch in batches:
             made = [codec.decode(np.array(x or [], dtype="<u4").tobytes()).decode("utf-8", "replace") for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.string())], ["doc_id", "text"])
@@ -241,7 +266,7 @@ def coding(docs: DataFrame, vocabulary: str) -> DataFrame:
     """One row of SCHEMA per row of docs: the number of ids, their CRC-32, and whether they decode to the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(Vocabulary(vocabulary))
+        codec = codec_of(vocabulary)
         for batch in by_bytes(batches, "text", 1 << 20):
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
