@@ -69,6 +69,8 @@ class Vocabulary:
                 self.id[piece], self.score[piece] = i, self.model.get_score(i)
                 self.shown.append(piece.replace(SPACE, " ").encode())
         self.longest = max(map(len, self.id), default=1)
+        self.piece = {i: x for x, i in self.id.items()}
+        self.scores = {i: self.score[x] for x, i in self.id.items()}
         self.least = min(self.score.values(), default=0.0) - UNKNOWN_PENALTY
         self.spaced = any(SPACE in x.lstrip(SPACE) for x in self.id)
 
@@ -94,92 +96,93 @@ def merged(text: str, score: dict[str, float]) -> list[str]:
 
 
 class Stream:
-    """Pieces of a stretch of normalised text, fed in parts of any size."""
+    """Ids of a stretch of normalised text, fed in parts of any size; an unknown character stands for itself."""
 
-    def __init__(self, vocabulary: Vocabulary, pairs: dict[tuple[str, str], bool]):
+    def __init__(self, vocabulary: Vocabulary, pairs: dict[int, bool]):
         self.v, self.pairs = vocabulary, pairs
         self.text = ""  # from the last committed boundary on
-        self.piece: list[str] = [""]  # the last piece of the best path to each boundary; to the first one, what was committed last
+        self.last: list[int] = [-1]  # the last piece of the best path to each boundary; -1: none, or unknown
+        self.size: list[int] = [0]  # and its length
         self.sum: list[float] = [0.0]
         self.held = 0
 
-    def _fits(self, a: str, b: str) -> bool:
+    def _fits(self, a: int, b: int) -> bool:
         """Whether merging the text of both pieces gives just them."""
-        if len(self.pairs) >= 600_000:
+        if len(self.pairs) >= 1_200_000:
             self.pairs.clear()
-        known = self.pairs[a, b] = merged(a + b, self.v.score) == [a, b]
+        x, y = self.v.piece[a], self.v.piece[b]
+        known = self.pairs[a << 20 | b] = merged(x + y, self.v.score) == [x, y]
         return known
 
-    def feed(self, more: str) -> Iterator[str]:
-        """Takes in more text; yields the pieces that are settled."""
+    def feed(self, more: str) -> Iterator[int | str]:
+        """Takes in more text; yields what is settled."""
         longest, step = self.v.longest, 3 * self.v.longest
         for at in range(0, len(more), step):
             self.text += more[at : at + step]
             self._extend()
-            self.held = max(self.held, len(self.piece))
-            if len(self.piece) > 4 * longest and (done := self._meeting()):
+            self.held = max(self.held, len(self.last))
+            if len(self.last) > 4 * longest and (done := self._meeting()):
                 yield from self._commit(done)
 
     def _extend(self) -> None:
         """The best path to each boundary that has none yet."""
-        text, piece, longest, score = self.text, self.piece, self.v.longest, self.v.score
+        text, last, size, longest, known = self.text, self.last, self.size, self.v.longest, self.v.id.get
         if self.v.kind == "bpe":
-            pairs = self.pairs
-            for end in range(len(piece), len(text) + 1):
-                best = ""
-                for start in range(max(0, end - longest), end):
-                    part = text[start:end]
-                    if part in score or end - start == 1:
-                        old = piece[start]
-                        if not old:
-                            best = part
-                            break
-                        fits = pairs.get((old, part))
-                        if fits is None:
-                            fits = self._fits(old, part)
-                        if fits:
-                            best = part
-                            break
-                piece.append(best)
+            pairs = self.pairs.get
+            for end in range(len(last), len(text) + 1):
+                for start in range(end - longest if end > longest else 0, end):
+                    piece = known(text[start:end])
+                    if piece is None:
+                        continue
+                    old = last[start]
+                    if old >= 0:
+                        fits = pairs(old << 20 | piece)
+                        if not (self._fits(old, piece) if fits is None else fits):
+                            continue
+                    last.append(piece)
+                    size.append(end - start)
+                    break
+                else:  # no piece holds an unknown character, so none is merged with it
+                    last.append(-1)
+                    size.append(1)
             return
-        total, least = self.sum, self.v.least
-        for end in range(len(piece), len(text) + 1):
-            best, path = "", 0.0
+        total, least, score = self.sum, self.v.least, self.v.scores
+        for end in range(len(last), len(text) + 1):
+            best, from_, path = -1, end - 1, total[end - 1] + least
+            first = known(text[end - 1 : end]) is not None
             for start in range(max(0, end - longest), end):
-                part = text[start:end]
-                s = score.get(part)
-                if s is None:
-                    if end - start > 1:
-                        continue
-                    s = least
-                if not best or total[start] + s > path:
-                    best, path = part, total[start] + s
-            piece.append(best)
+                piece = known(text[start:end])
+                if piece is not None and (first or total[start] + score[piece] > path):
+                    if best < 0 or total[start] + score[piece] > path:
+                        best, from_, path = piece, start, total[start] + score[piece]
+            last.append(best)
+            size.append(end - from_)
             total.append(path)
 
     def _meeting(self) -> int:
         """The last boundary that all paths still open go through."""
-        n = len(self.piece) - 1
+        n = len(self.last) - 1
         at = set(range(max(0, n - self.v.longest + 1), n + 1))
         while len(at) > 1:
             far = max(at)
             at.remove(far)
-            at.add(far - len(self.piece[far]))
+            at.add(far - self.size[far])
         return at.pop()
 
-    def _commit(self, end: int) -> list[str]:
+    def _commit(self, end: int) -> list[int | str]:
         out, at = [], end
         while at:
-            out.append(self.piece[at])
-            at -= len(self.piece[at])
-        base = self.sum[end] if self.v.kind == "unigram" else 0.0
+            out.append(self.last[at] if self.last[at] >= 0 else self.text[at - 1])
+            at -= self.size[at]
         self.text = self.text[end:]
-        self.piece = self.piece[end:]  # the first is the last piece committed
-        self.sum = [x - base for x in self.sum[end:]]
+        self.last, self.size = self.last[end:], self.size[end:]  # the first is the last piece committed
+        if self.v.kind == "unigram":
+            base = self.sum[end]
+            self.sum = [x - base for x in self.sum[end:]]
         return out[::-1]
 
-    def close(self) -> list[str]:
-        return self._commit(len(self.piece) - 1)
+    def close(self) -> list[int | str]:
+        return self._commit(len(self.last) - 1)
 
 
 class Codec:
@@ -187,24 +190,20 @@ class Codec:
 
     STRETCH = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
-    def __init__(self, vocabulary: Vocabulary, cache: int = 500_000, longest: int = 48):
+    def __init__(self, vocabulary: Vocabulary, cache: int = 800_000, longest: int = 48):
         self.v, self.cache, self.long = vocabulary, cache, longest
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def _stretch(self, text: str) -> bytes:
         stream = Stream(self.v, self.pairs)
-        pieces = list(stream.feed(text))
-        pieces += stream.close()
-        ids = array("I")
-        for piece in pieces:
-            one = self.v.id.get(piece)
-            if one is None:
-                ids.extend(self.v.ids(piece))
-            else:
-                ids.append(one)
-        return ids.tobytes()
+        found = list(stream.feed(text))
+        found += stream.close()
+        try:
+            return array("I", found).tobytes()
+        except TypeError:  # some are unknown characters
+            return array("I", [i for x in found for i in (self.v.ids(x) if isinstance(x, str) else (x,))]).tobytes()
 
     def _known(self, text: str) -> bytes:
         if (ids := self.old.get(text)) is None:
