@@ -37,6 +37,12 @@ def test_scalars(spark):
 def test_hash_embedding():
     assert p.fnv1a("") == 2166136261 and p.fnv1a("a") == 0xE40C292C
     assert p.embed("", 4).tolist() == [1, 0, 0, 0]
+    words = ["hej", "på", "dig", "𝒜bc"]
+    want = [0.0] * 32
+    for token in [*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))]:
+        want[p.fnv1a(token) % 32] += -1 if p.fnv1a(token) >> 31 else 1
+    size = sum(x * x for x in want) ** 0.5
+    assert p.embed("Hej på, dig 𝒜bc", 32).tolist() == pytest.approx([x / size for x in want])
     assert p.embed("Hej verden, hej", 64) @ p.embed("hej VERDEN hej", 64) == pytest.approx(1)
 
 
