@@ -27,6 +27,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_uniform_threshold_search": topk.OP5_SQL,
-        "op7_repeated_phrase_automata": passages.op7_repeated_phrase_automata,
         "op8_perspective_rotation": chat.OP8_SQL,
     }
