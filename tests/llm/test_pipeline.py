@@ -5,14 +5,14 @@ import zstandard
 from lodestone.llm.quality import Bands, judge
 from test_packing import check as check_packing
 from test_passages import plain as plain_passages
-from test_simhash import plain_components, plain_fingerprint
+from test_similar import plain_groups
 from tokenizers import Tokenizer
 
 
 def kept_rows(rows):
-    """One row of each component of 5-word fingerprints: (doc_id, text) of the smallest id."""
-    of = {d: c for d, _, c in plain_components([(r.doc_id, plain_fingerprint(r.text, 5)) for r in rows])}
-    return [r for r in rows if of[str(r.doc_id)] == str(r.doc_id)]
+    """One row of each group of similar texts: (doc_id, text) of the smallest id."""
+    of = plain_groups([(r.doc_id, r.text) for r in rows])
+    return [r for r in rows if of[r.doc_id] == r.doc_id]
 
 
 def test_stages_equal_plain_python(spark, documents, sf_dir):
