@@ -39,6 +39,24 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(root[far])], ["u", "v"])
 
 
+def thinned(edges: DataFrame, together: int = 16, rows: int = 1 << 20) -> DataFrame:
+    """Edges (u, v) with the same components: stars of what `together` tasks wrote, up to `rows` at a time, so
+    that a dense group spread over many tasks comes with few edges for each of its nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held, n = [*held, batch], n + batch.num_rows
+            if n >= rows:
+                yield from _forest(iter(pa.Table.from_batches(held).combine_chunks().to_batches()))
+                held, n = [], 0
+        if n:
+            yield from _forest(iter(pa.Table.from_batches(held).combine_chunks().to_batches()))
+
+    pair = cut(edges.toDF("u", "v").mapInArrow(run, "u long, v long"), "edges")
+    return cut(pair.coalesce(max(1, pair.rdd.getNumPartitions() // together)).mapInArrow(run, "u long, v long"), "thin-edges")
+
+
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
