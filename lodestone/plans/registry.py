@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import documents, governing, operating, retrieval
+from . import deciding, documents, governing, operating, retrieval
 
-ALL = {**retrieval.QUERIES, **governing.QUERIES, **operating.QUERIES, **documents.QUERIES}
+ALL = {**retrieval.QUERIES, **governing.QUERIES, **operating.QUERIES, **documents.QUERIES, **deciding.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
