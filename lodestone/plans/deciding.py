@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from lodestone.functions.columns import six
 from lodestone.sources.tables import table
 
+#: The Danish names of the months.
+MONTHS = ("januar", "februar", "marts", "april", "maj", "juni", "juli", "august", "september", "oktober", "november", "december")
+
 
 def release_gate(spark, sf):
     """The first rule that keeps a part from release, by order of the rules (FLT-9)."""
@@ -116,6 +119,72 @@ def product_counts(spark, sf):
     return made.select("n_name", F.coalesce("n", F.lit(0)).alias("suppliers"), six("mean").alias("mean"))
 
 
+def predecessor_as_of(spark, sf):
+    """Each purchase with the user's latest view before it (JOIN-7): one pass over a user's events, no range join."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    view = F.last(F.when(F.col("event_type") == "view", F.col("event_id")), ignorenulls=True).over(w)
+    return table(spark, sf, "events").withColumn("view_id", view).filter("event_type = 'purchase'").select("event_id", "user_id", "view_id")
+
+
+def permission_scopes(spark, sf):
+    """The sorted segments each region's customers are in, and whether one is among them (FLT-4, AGG-3, AGG-4)."""
+    c = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    made = c.filter("c_acctbal > 9500").groupBy("n_regionkey").agg(F.array_sort(F.collect_set("c_mktsegment")).alias("s"))
+    return made.select("n_regionkey", F.concat_ws(",", "s").alias("scopes"), F.array_contains("s", "BUILDING").alias("building"))
+
+
+def verdicts(spark, sf):
+    """An order's findings against the allowed ones, and the age of its last shipment (FLT-10, SET-4, DAT-9)."""
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_returnflag").alias("found"), F.to_date(F.max("l_shipdate")).alias("last"))
+    extra = F.size(F.array_except("found", F.array(F.lit("A"), F.lit("N"))))
+    verdict = F.when(F.col("last") < F.lit("1996-01-01").cast("date"), "stale").when(extra > 0, "rejected").when(F.size("found") > 1, "uncertain").otherwise("clean")
+    return lines.select("l_orderkey", verdict.alias("verdict"))
+
+
+def search_visibility(spark, sf):
+    """Static rows but for the own group and, unless admin, hidden ones; then cases (FLT-8, SET-1)."""
+    static = table(spark, sf, "part").filter("p_brand <> 'Brand#11' and p_size <= 40").select(F.lit("part").alias("kind"), F.col("p_partkey").alias("id"))
+    cases = table(spark, sf, "orders").filter("o_orderstatus = 'P'").select(F.lit("case").alias("kind"), F.col("o_orderkey").alias("id"))
+    return static.unionByName(cases)
+
+
+def approved_scope(spark, sf):
+    """Customers outside the approved scopes: by segment and nation in the pilot, by segment else (FLT-15)."""
+    c = table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_nationkey", (F.col("c_nationkey") < 10).alias("pilot"))
+    s = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("c_nationkey"), F.when(F.col("s_suppkey") % 2 == 0, "BUILDING").otherwise("MACHINERY").alias("c_mktsegment"))
+    pairs, types = s.distinct(), s.filter("c_nationkey < 5").select("c_mktsegment").distinct()
+    pilot = c.filter("pilot").join(pairs, ["c_mktsegment", "c_nationkey"], "left_anti")
+    return pilot.unionByName(c.filter("not pilot").join(types, "c_mktsegment", "left_anti").select(pilot.columns)).select("c_custkey", "pilot")
+
+
+def type_minimums(spark, sf):
+    """How many events each rule's types have, and whether that is enough; rules without one count as none (AGG-15)."""
+    rules = spark.createDataFrame([("reading", ["view", "click"], 100), ("buying", ["purchase"], 10_000_000), ("refunds", ["refund"], 1)], "rule string, types array<string>, least int")
+    n = table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+    made = rules.select("rule", "least", F.explode("types").alias("event_type")).join(n, "event_type", "left")
+    return made.groupBy("rule", "least").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select("rule", "n", (F.col("n") >= F.col("least")).alias("met"))
+
+
+def latest_error(spark, sf):
+    """Each user's latest error (AGG-18)."""
+    made = table(spark, sf, "events").filter("event_type = 'error'").groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "value")).alias("x"))
+    return made.select("user_id", "x.event_id", "x.value")
+
+
+def newest_list(spark, sf):
+    """The 50 newest orders (SRT-9); the limit is the list's."""
+    o = table(spark, sf, "orders").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(50)
+    return o.select("o_orderkey", "o_orderdate")
+
+
+def shown_dates(spark, sf):
+    """Dates as Danish readers write them; an interval's end is shown as the day before (DAT-8)."""
+    months = F.array(*[F.lit(m) for m in MONTHS])
+    end = F.date_sub(F.date_add(F.to_date("o_orderdate"), 60), 1)
+    said = F.concat(F.dayofmonth("o_orderdate").cast("string"), F.lit(". "), F.element_at(months, F.month("o_orderdate")), F.lit(" "), F.year("o_orderdate").cast("string"))
+    return table(spark, sf, "orders").select("o_orderkey", said.alias("from_long"), F.date_format(end, "dd.MM.yyyy").alias("to_short"))
+
+
 QUERIES = {
     "release_gate": (
         release_gate,
@@ -182,4 +251,45 @@ QUERIES = {
         product_counts,
         "SELECT n_name, count(s_suppkey) AS suppliers, floor(avg(s_acctbal) * 1e6 + 0.5) / 1e6 AS mean FROM nation LEFT JOIN supplier ON n_nationkey = s_nationkey GROUP BY n_nationkey, n_name",
     ),
+    "predecessor_as_of": (
+        predecessor_as_of,
+        """SELECT event_id, user_id, view_id FROM (SELECT *, last_value(CASE WHEN event_type = 'view' THEN event_id END IGNORE NULLS) OVER
+             (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS view_id FROM events) WHERE event_type = 'purchase'""",
+    ),
+    "permission_scopes": (
+        permission_scopes,
+        """SELECT n_regionkey, string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment) AS scopes, bool_or(c_mktsegment = 'BUILDING') AS building
+           FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 9500 GROUP BY 1""",
+    ),
+    "verdicts": (
+        verdicts,
+        """SELECT l_orderkey, CASE WHEN max(l_shipdate) < TIMESTAMP '1996-01-01' THEN 'stale' WHEN bool_or(l_returnflag NOT IN ('A', 'N')) THEN 'rejected'
+                  WHEN count(DISTINCT l_returnflag) > 1 THEN 'uncertain' ELSE 'clean' END AS verdict FROM lineitem GROUP BY 1""",
+    ),
+    "search_visibility": (
+        search_visibility,
+        "SELECT 'part' AS kind, p_partkey AS id FROM part WHERE p_brand <> 'Brand#11' AND p_size <= 40 UNION ALL SELECT 'case', o_orderkey FROM orders WHERE o_orderstatus = 'P'",
+    ),
+    "approved_scope": (
+        approved_scope,
+        """WITH s AS (SELECT s_nationkey AS n, CASE WHEN s_suppkey % 2 = 0 THEN 'BUILDING' ELSE 'MACHINERY' END AS t FROM supplier)
+           SELECT c_custkey, c_nationkey < 10 AS pilot FROM customer
+           WHERE CASE WHEN c_nationkey < 10 THEN (c_nationkey, c_mktsegment) NOT IN (SELECT (n, t) FROM s) ELSE c_mktsegment NOT IN (SELECT t FROM s WHERE n < 5) END""",
+    ),
+    "type_minimums": (
+        type_minimums,
+        """SELECT rule, count(event_id) AS n, count(event_id) >= least AS met
+           FROM (VALUES ('reading', 'view', 100), ('reading', 'click', 100), ('buying', 'purchase', 10000000), ('refunds', 'refund', 1)) r(rule, t, least)
+           LEFT JOIN events ON event_type = t GROUP BY rule, least""",
+    ),
+    "latest_error": (
+        latest_error,
+        "SELECT user_id, event_id, value FROM events WHERE event_type = 'error' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
+    ),
+    "newest_list": (newest_list, "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50"),
+    "shown_dates": (
+        shown_dates,
+        f"""SELECT o_orderkey, day(o_orderdate) || '. ' || ({list(MONTHS)})[month(o_orderdate)] || ' ' || year(o_orderdate) AS from_long,
+                   strftime(CAST(o_orderdate AS DATE) + 59, '%d.%m.%Y') AS to_short FROM orders""",
+    ),
 }
