@@ -1,24 +1,25 @@
-"""Near-duplicates by shingle similarity: SimHash fingerprints of 1024 bits under multi-index hashing.
+"""Near-duplicates by shingle similarity: SimHash fingerprints of 1024 bits under multi-index hashing find the
+candidates, the exact Jaccard similarity of the shingle sets decides.
 
 Two sets of shingles with Jaccard similarity j differ in about acos(2j / (1 + j)) / pi of the fingerprint's
-bits: 155 of 1024 at 0.8, give or take 12. `RADIUS` lies one deviation above, so most pairs at 0.8 pass, and
-pairs below 0.7 hardly ever do.
+bits: 155 of 1024 at 0.8, give or take 12; sets of a handful of shingles come to 192. `REACH` lies three
+deviations above that and only spares comparisons: whatever is within it is decided by the sets.
 
-The first 12 segments of 24 bits are the tables' keys. Each fingerprint enumerates the Hamming ball of radius 1
-around every segment, fetches the entries there and verifies the complete distance. Links are symmetric, so
-keys with one set bit cleared suffice. A pair at similarity 0.8 shares a segment's ball with probability 0.73,
-at 0.85 with 0.89, at 0.9 with 0.98 and at 0.95 with 0.999. 64 further bits travel with the entries, and a pair
-that differs in more than 24 of them (five deviations from what 0.8 gives) is let go before anything is joined.
+All 42 segments of 24 bits are the tables' keys. Each fingerprint enumerates the Hamming ball of radius 1
+around every segment and fetches the entries there. Links are symmetric, so keys with one set bit cleared
+suffice. By calculation a pair at similarity 0.8 shares a segment's ball with probability 0.989, at 0.85 with
+0.9995; at 192 bits with 0.85. 64 further bits travel with the entries, and a pair that differs in more than 24
+of them (five deviations from what 0.8 gives) is let go before anything is joined.
 
-The smallest fingerprint that holds a key is its pivot, and all who ask for the key meet the pivot first: a group
+The smallest node that holds a key is its pivot, and all who ask for the key meet the pivot first: a group
 of n copies takes a number of pairs in proportion to n, not to its square. Only those whom the pivots did not
-bring into one component meet each other after that. Where more than `dense` fingerprints hold a key, they
-needn't meet if both are near the pivot, and by the triangle inequality those near it meet only those within
-twice the RADIUS. Nothing is capped.
+bring into one component meet each other after that. Where more than `dense` nodes hold a key, they needn't
+meet if both are linked to the pivot, and by the triangle inequality those linked to it meet only those within
+twice the REACH. Nothing is capped.
 
-Defined cases: a null or empty text, or one without words, has the fingerprint zero; such rows are copies of
-each other. Shingles count once. A text of fewer words than a shingle has one shingle. Fingerprints are known
-by a 64-bit hash. An empty table gives an empty result.
+Defined cases: a null or empty text, or one without words, has no shingles and the fingerprint zero; such rows
+are copies of each other. Shingles count once. A text of fewer words than a shingle has one shingle. Shingles
+and their sets are known by 64-bit hashes. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,8 +38,9 @@ from .components import connected_components, thinned
 from .simhash import _ball
 
 WORDS = 16  # of 64 bits
-RADIUS = 166
-SEGMENTS, BITS = 12, 24
+RADIUS = 166  # where fingerprints alone decide
+REACH = 230  # where the shingles do
+SEGMENTS, BITS = 42, 24
 LOOK = 24  # of the 64 bits that travel along
 #: Odd multipliers, one for each 64 bits of the fingerprint: steps of the golden ratio.
 _STEPS = (np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -54,11 +56,11 @@ def _spread(hashes: np.ndarray) -> np.ndarray:
     return x.astype("<u8", copy=False).view(np.uint8)
 
 
-def wide_fingerprint(text: bytes, width: int) -> np.ndarray:
-    """SimHash of the distinct `width`-word shingles, A-Z lower-cased, as 16 unsigned 64-bit numbers."""
+def shingles(text: bytes, width: int) -> np.ndarray:
+    """Hashes of the distinct `width`-word shingles, A-Z lower-cased."""
     words = text.lower().split()  # of bytes: both ASCII only
     if not words:
-        return np.zeros(WORDS, dtype="<u8")
+        return np.zeros(0, dtype=np.uint64)
     digest, joined = xxhash.xxh64_intdigest, b" ".join(words)
     if len(words) <= width:
         made = {digest(joined)}
@@ -66,13 +68,21 @@ def wide_fingerprint(text: bytes, width: int) -> np.ndarray:
         ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
         begin = np.concatenate(([0], ends[: len(words) - width])).tolist()
         made = {digest(joined[a:b]) for a, b in zip(begin, (ends[width - 1 :] - 1).tolist(), strict=True)}
-    hashes = np.fromiter(made, dtype=np.uint64, count=len(made))
+    return np.sort(np.fromiter(made, dtype=np.uint64, count=len(made)))
+
+
+def _majority(hashes: np.ndarray) -> np.ndarray:
+    """SimHash of shingles, as 16 unsigned 64-bit numbers."""
     bits = np.zeros(64 * WORDS, dtype=np.int64)
     for start in range(0, len(hashes), 255):  # as many as a byte can count
         bits += np.unpackbits(_spread(hashes[start : start + 255]), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
     return np.packbits(2 * bits > len(hashes), bitorder="little").view("<u8")
 
 
+def wide_fingerprint(text: bytes, width: int) -> np.ndarray:
+    return _majority(shingles(text, width))
+
+
 def segments(fp: np.ndarray) -> np.ndarray:
     """The keys: the first SEGMENTS groups of three bytes."""
     parts = fp.view(np.uint8)[: 3 * SEGMENTS].reshape(-1, 3).astype(np.int64)
@@ -80,20 +90,22 @@ def segments(fp: np.ndarray) -> np.ndarray:
 
 
 def wide_fingerprints(docs: DataFrame, width: int) -> DataFrame:
-    """docs' columns but `text`, with w0..w15 and `keys`, for every row of docs (text and any other columns)."""
+    """docs' columns but `text`, with w0..w15, `keys` and `shingles`, for every row of docs (text and any other columns)."""
     others, names = [c for c in docs.columns if c != "text"], [f"w{i}" for i in range(WORDS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", 8 << 20):
-            made = np.array([wide_fingerprint(x, width) for x in as_bytes(batch.column("text"))], dtype="<u8").reshape(-1, WORDS)
+            sets = [shingles(x, width) for x in as_bytes(batch.column("text"))]
+            made = np.array([_majority(x) for x in sets], dtype="<u8").reshape(-1, WORDS)
             keys = pa.array([segments(x) for x in made], pa.list_(pa.int64()))
             words = [pa.array(np.ascontiguousarray(made[:, i]).view("<i8")) for i in range(WORDS)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), *words, keys], [*others, *names, "keys"])
+            hashes = pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), *words, keys, hashes], [*others, *names, "keys", "shingles"])
 
     schema = docs.drop("text").schema
     for name in names:
         schema = schema.add(name, "long")
-    return docs.mapInArrow(run, schema.add("keys", ArrayType(LongType())))
+    return docs.mapInArrow(run, schema.add("keys", ArrayType(LongType())).add("shingles", ArrayType(LongType())))
 
 
 def _distance(left: str, right: str) -> Column:
@@ -113,46 +125,63 @@ def _alike(x: str, y: str) -> Column:
     return F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= LOOK
 
 
-def _met(asked: DataFrame, held: DataFrame, fps: DataFrame) -> DataFrame:
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have a Jaccard similarity of 0.8 or more. sets: node, shingles; perhaps repeated."""
+    pairs = cut(pairs.select("a", "b").distinct(), "candidates")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    own = cut(sets.join(ends, "node", "left_semi").dropDuplicates(["node"]), "sets")
+    left, right = (own.select(F.col("node").alias(n), F.col("shingles").alias(s)) for n, s in (("a", "x"), ("b", "y")))
+    both = F.size(F.array_intersect("x", "y"))
+    alike = 9 * both >= 4 * (F.size("x") + F.size("y"))  # both / (x + y - both) >= 0.8
+    return pairs.join(left, "a").join(right, "b").filter(alike).select("a", "b")
+
+
+def _met(asked: DataFrame, held: DataFrame, fps: DataFrame, radius: int) -> DataFrame:
     """(a, b): who asked for a key that b of another component holds, each pair from one side where both hold
-    it, looks alike and is within RADIUS. The fingerprints come to the keys, so that no candidate is shuffled."""
+    it, looks alike and is within radius. The fingerprints come to the keys, so that no candidate is shuffled."""
     asked = asked.join(_renamed(fps, "node", "l"), "node")
-    held = held.select("seg", "key", F.col("node").alias("b"), F.col("look").alias("there"), F.col("root").alias("other"))
+    held = held.select("key", F.col("node").alias("b"), F.col("look").alias("there"), F.col("root").alias("other"))
     held = held.join(_renamed(fps, "b", "r"), "b")
     once: Column = (F.col("flip") >= 0) | (F.col("node") < F.col("b"))
     apart = F.col("root") != F.col("other")
-    near = _distance("l", "r") <= RADIUS
-    return asked.join(held, ["seg", "key"]).filter(once & apart & _alike("look", "there") & near).select(F.col("node").alias("a"), "b")
+    near = _distance("l", "r") <= radius
+    return asked.join(held, "key").filter(once & apart & _alike("look", "there") & near).select(F.col("node").alias("a"), "b")
 
 
-def links(fps: DataFrame, dense: int = 256) -> DataFrame:
-    """(a, b): edges with the components of all pairs within RADIUS that share a segment's ball.
+def links(fps: DataFrame, dense: int = 256, sets: DataFrame | None = None) -> DataFrame:
+    """(a, b): edges with the components of all pairs that share a segment's ball and whose `sets` are similar;
+    without sets, of those within RADIUS.
 
-    fps: distinct `node`, w0..w15, keys."""
-    held = fps.select("node", F.col(f"w{WORDS - 1}").alias("look"), F.posexplode("keys").alias("seg", "key"))
+    fps: distinct `node`, w0..w15, keys. sets: node, shingles."""
+    radius = RADIUS if sets is None else REACH
+    decided = (lambda pairs: pairs.select("a", "b")) if sets is None else (lambda pairs: cut(_similar(pairs, sets), "similar"))
+    key = F.shiftleft(F.col("seg").cast("long"), BITS) + F.col("key")
+    held = fps.select("node", F.col(f"w{WORDS - 1}").alias("look"), F.posexplode("keys").alias("seg", "key")).select("node", "look", key.alias("key"))
     asked = _ball(held, "key", BITS, both_ways=False)
-    pivots = held.groupBy("seg", "key").agg(F.min(F.struct("node", "look")).alias("p"), (F.count("*") > dense).alias("full"), (F.count("*") > 1).alias("shared"))
-    asked = asked.join(pivots.select("seg", "key", F.col("p.node").alias("pivot"), F.col("p.look").alias("sight"), "full", "shared"), ["seg", "key"])
+    pivots = held.groupBy("key").agg(F.min(F.struct("node", "look")).alias("p"), (F.count("*") > dense).alias("full"), (F.count("*") > 1).alias("shared"))
+    asked = asked.join(pivots.select("key", F.col("p.node").alias("pivot"), F.col("p.look").alias("sight"), "full", "shared"), "key")
     asked = cut(asked.filter("shared or node <> pivot"), "asked")
 
     to = asked.filter((F.col("node") != F.col("pivot")) & (F.col("full") | _alike("look", "sight")))
     to = to.groupBy(F.col("node").alias("a"), F.col("pivot").alias("b")).agg(F.max("full").alias("full"))
-    to = cut(_measured(to, fps).filter(F.col("full") | (F.col("d") <= RADIUS)), "to-pivots")
-    stars = cut(connected_components(thinned(to.filter(F.col("d") <= RADIUS).select("a", "b")), "u", "v"), "stars")
+    to = cut(_measured(to, fps).filter(F.col("full") | (F.col("d") <= radius)), "to-pivots")
+    linked = decided(to.filter(F.col("d") <= radius))
+    stars = cut(connected_components(thinned(linked), "u", "v"), "stars")
 
-    keys = asked.select("seg", "key", "pivot", "full").distinct()
-    held, asked = (x.join(stars, "node", "left").withColumn("root", F.coalesce("root", "node")) for x in (held.join(keys, ["seg", "key"]), asked))
+    keys = asked.select("key", "pivot", "full").distinct()
+    held, asked = (x.join(stars, "node", "left").withColumn("root", F.coalesce("root", "node")) for x in (held.join(keys, "key"), asked))
     held = cut(held, "held")
-    ends = held.groupBy("seg", "key").agg(F.min("root").alias("least"), F.max("root").alias("most"))
-    asked = cut(asked.join(ends, ["seg", "key"]).filter("root <> least or root <> most"), "apart")
-    held = held.join(asked.select("seg", "key").distinct(), ["seg", "key"], "left_semi")
-    far = to.filter("full").select(F.col("a").alias("node"), F.col("b").alias("pivot"), "d")
-    own = F.coalesce("d", F.lit(0))
-    light = _met(asked.filter("not full"), held.filter("not full"), fps)
-    asked, held = (x.filter("full").join(far, ["node", "pivot"], "left").withColumn("d", own) for x in (asked, held))
-    near, off = F.col("d") <= RADIUS, F.col("d") > RADIUS
-    rest = _met(asked.filter(off), held, fps).unionByName(_met(asked.filter(near), held.filter(off & (F.col("d") <= 2 * RADIUS)), fps))
-    return light.unionByName(rest).distinct().unionByName(stars.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    ends = held.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"))
+    asked = cut(asked.join(ends, "key").filter("root <> least or root <> most"), "apart")
+    held = held.join(asked.select("key").distinct(), "key", "left_semi")
+    far = to.filter("full").join(linked.withColumn("linked", F.lit(True)), ["a", "b"], "left")
+    far = far.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "d", F.coalesce("linked", F.lit(False)).alias("linked"))
+    light = _met(asked.filter("not full"), held.filter("not full"), fps, radius)
+    own = {"d": F.coalesce("d", F.lit(0)), "linked": F.coalesce("linked", F.lit(True))}  # the pivot itself
+    asked, held = (x.filter("full").join(far, ["node", "pivot"], "left").withColumns(own) for x in (asked, held))
+    rest = _met(asked.filter("not linked"), held, fps, radius)
+    rest = rest.unionByName(_met(asked.filter("linked"), held.filter(~F.col("linked") & (F.col("d") <= 2 * radius)), fps, radius))
+    return decided(light.unionByName(rest)).distinct().unionByName(stars.select(F.col("node").alias("a"), F.col("root").alias("b")))
 
 
 def without_similar(docs: DataFrame, width: int = 5, dense: int = 256) -> DataFrame:
@@ -161,11 +190,11 @@ def without_similar(docs: DataFrame, width: int = 5, dense: int = 256) -> DataFr
     named = docs.withColumns({"_id": F.col("doc_id").cast("long"), **text_keys("text")})
     made = wide_fingerprints(named.select("_id", "_k1", "_k2", F.col("text").cast("string").alias("text")), width)
     words = [f"w{i}" for i in range(WORDS)]
-    made = cut(made.withColumn("node", F.xxhash64(*words)), "wide-fingerprints")
+    made = cut(made.withColumn("node", F.xxhash64("shingles")), "wide-fingerprints")
     order = F.struct(F.col("_id").isNull().alias("none"), "_id", "_k1", "_k2")
     own = made.groupBy("node").agg(F.min(order).alias("first"))
     fps = cut(made.select("node", *words, "keys").dropDuplicates(["node"]), "fingerprints")
-    found = connected_components(thinned(links(fps, dense)), "u", "v")
+    found = connected_components(thinned(links(fps, dense, made.select("node", "shingles"))), "u", "v")
     rooted = own.join(found, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
     kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.*")
     kept = kept.select(F.col("_id").alias("_i"), F.col("_k1").alias("_a"), F.col("_k2").alias("_b"))

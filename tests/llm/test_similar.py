@@ -81,3 +81,39 @@ def test_components_equal_brute_force(spark, dense):
     want = plain_groups(rows)
     assert {d: got.get(d, d) for d, _ in rows} == want
     assert len(set(want.values())) > 3  # some stay alone
+
+
+def test_exact_jaccard_decides(spark):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(3000)]
+    pairs = [p for edits in (8, 9, 10) for p in copies(rng, words, 150, edits)]  # similarity about 0.816, 0.796 and 0.776
+    sets = [[set(similar.shingles(t.encode(), 5).tolist()) for t in p] for p in pairs]
+    want = {i for i, (a, b) in enumerate(sets) if len(a & b) >= 0.8 * len(a | b)}
+    docs = spark.createDataFrame(list(enumerate(t for p in pairs for t in p)), "doc_id long, text string")
+    kept = {r.doc_id for r in similar.without_similar(docs).collect()}
+    got = {i for i in range(len(pairs)) if 2 * i + 1 not in kept}
+    assert 150 <= len(want) < 300
+    assert got <= want and len(got) > 0.96 * len(want)
+
+
+@pytest.mark.parametrize("dense", [1, 8, 10_000])
+def test_groups_equal_brute_force_jaccard(spark, dense):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(3000)]
+    texts = []
+    for _ in range(3):
+        base = [rng.choice(words) for _ in range(300)]
+        for _ in range(40):
+            own = list(base)
+            for i in rng.sample(range(300), rng.randrange(14)):
+                own[i] = rng.choice(words)
+            texts.append(" ".join(own))
+    sets = [set(similar.shingles(t.encode(), 5).tolist()) for t in texts]
+    up = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = up[i], up[j]
+                up = [min(a, b) if x in (a, b) else x for x in up]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in similar.without_similar(docs, dense=dense).collect()} == {i for i in range(len(up)) if up[i] == i}
