@@ -70,12 +70,16 @@ def chunks(docs: DataFrame, target: int = 1600, most: int = 3200) -> DataFrame:
     return made.withColumn("content_hash", F.sha2("text", 256))
 
 
-def repeated_lines(pages: DataFrame, group: str, page: str) -> DataFrame:
-    """(group, line, pages): lines, with digits masked, on at least half of a group's pages and three (AGG-21)."""
-    from lodestone.functions.columns import line_key
-
-    lines = pages.select(group, page, F.explode(F.split("text", "\n")).alias("raw"))
-    keys = lines.select(group, page, line_key("raw").alias("line")).filter("line <> ''").distinct()
+def repeated_lines(pages: DataFrame, group: str, page: str, edge: int | None = None) -> DataFrame:
+    """(group, line, pages): lines, with digits masked, on at least half of a group's pages and three (AGG-21).
+    With `edge`, only the first and last so many non-empty lines of a page are held against it. Pages without
+    text don't count."""
+    from lodestone.functions.columns import line_key, squeezed
+
+    lines = F.filter(F.transform(F.split("text", "\n"), squeezed), lambda x: x != "")
+    full = pages.select(group, page, lines.alias("lines")).filter(F.size("lines") > 0)
+    some = F.col("lines") if edge is None else F.when(F.size("lines") <= 2 * edge, F.col("lines")).otherwise(F.concat(F.slice("lines", 1, edge), F.slice("lines", -edge, edge)))
+    keys = full.select(group, page, F.explode(some).alias("raw")).select(group, page, line_key("raw").alias("line")).distinct()
     count = keys.groupBy(group, "line").agg(F.count("*").alias("pages"))
-    total = pages.groupBy(group).agg(F.countDistinct(page).alias("n"))
+    total = full.groupBy(group).agg(F.countDistinct(page).alias("n"))
     return count.join(total, group).filter("pages >= greatest(3, ceil(n / 2))").select(group, "line", "pages")

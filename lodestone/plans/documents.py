@@ -17,9 +17,7 @@ def token_stats(spark, sf):
 
 def header_footer(spark, sf):
     d = table(spark, sf, "documents").select("source", "doc_id", "text")
-    lines = d.select("source", "doc_id", F.explode(F.split("text", "\n")).alias("text"))
-    short = lines.filter(F.length("text").between(1, 80)).groupBy("source", "doc_id").agg(F.concat_ws("\n", F.collect_set("text")).alias("text"))
-    return repeated_lines(short.withColumn("source", F.substring("source", 1, 3)), "source", "doc_id")
+    return repeated_lines(d, "source", "doc_id", edge=2)
 
 
 def repeated_line_counts(spark, sf):
