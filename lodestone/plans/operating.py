@@ -23,17 +23,40 @@ def wilson_by_source(spark, sf):
 
 
 def found_passages(spark, sf) -> DataFrame:
-    """(item_id, doc_id, rank): documents that hold a benchmark passage, white space aside (STR-10). Passages
-    and documents meet on their first words, so no passage is held against every document."""
+    """(item_id, doc_id, rank): documents that hold a benchmark passage, white space aside (STR-10 without its
+    rule that an anchor occurs once; every document with it is a hit). A passage may begin and end inside a
+    document's word, all words between are whole ones: passages and documents meet on the first of these, `width`
+    at most, so no passage is held against every document. Passages of two words meet them on the end of a word
+    that the first one is, those of one word on the piece of a word that they are."""
     width = 6
     docs = table(spark, sf, "documents").select("doc_id", squeezed("text").alias("body"))
     items = table(spark, sf, "benchmark").select("item_id", squeezed("text").alias("passage")).filter("passage <> ''")
     words = F.split("passage", " ")
-    items = items.withColumn("head", F.concat_ws(" ", F.slice(words, 1, width))).filter(F.size(words) > width)
-    starts = docs.select("doc_id", F.split("body", " ").alias("w"))
-    starts = starts.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - width + 1, F.lit(1))), lambda i: F.concat_ws(" ", F.slice("w", i, width)))).alias("head"))
-    near = starts.join(items.select("head", "item_id", "passage"), "head").select("doc_id", "item_id", "passage").distinct()
-    hits = near.join(docs, "doc_id").filter(F.expr("contains(body, passage)"))
+    inner = F.slice(words, 2, F.least(F.lit(width), F.greatest(F.size(words) - 2, F.lit(1))))
+    head = F.when(F.size(words) > 2, F.concat_ws(" ", inner)).otherwise(words[0])
+    items = items.select("item_id", "passage", F.least(F.size(words), F.lit(width + 2)).alias("n"), head.alias("head"))
+    split = docs.select("doc_id", F.split("body", " ").alias("w"))
+
+    def near(heads: DataFrame, n: int) -> DataFrame:
+        return heads.join(items.filter(F.col("n") == n), "head").select("doc_id", "item_id", "passage")
+
+    found = [items.filter("false").select(F.lit(None).cast("long").alias("doc_id"), "item_id", "passage")]
+    for n in sorted(r.n for r in items.select("n").distinct().collect()):
+        if n > 2:
+            k = n - 2
+            starts = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - k + 1, F.lit(1))), lambda i: F.concat_ws(" ", F.slice("w", i, k)))
+            found.append(near(split.select("doc_id", F.explode(starts).alias("head")), n))
+            continue
+        sizes = F.broadcast(items.filter(F.col("n") == n).select(F.length("head").alias("size")).distinct())  # few
+        word = split.select(F.explode("w").alias("word")).distinct().join(sizes, F.length("word") >= F.col("size"))
+        last = F.length("word") - F.col("size") + 1
+        at = word.select("word", "size", F.explode(F.sequence(F.lit(1) if n == 1 else last, last)).alias("at"))
+        pieces = near(at.select(F.col("word").alias("doc_id"), F.expr("substring(word, at, size)").alias("head")), n).withColumnRenamed("doc_id", "word").distinct()
+        found.append(split.select("doc_id", F.explode("w").alias("word")).distinct().join(pieces, "word").select("doc_id", "item_id", "passage"))
+    made = found[0]
+    for x in found[1:]:
+        made = made.unionByName(x)
+    hits = made.distinct().join(docs, "doc_id").filter(F.expr("contains(body, passage)"))
     return hits.select("item_id", "doc_id", F.row_number().over(Window.partitionBy("item_id").orderBy("doc_id")).alias("rank"))
 
 

@@ -21,3 +21,18 @@ def test_headers_of_each_source_and_of_any_length(spark, tmp_path):
     made = rows(spark, tmp_path, "header_footer", documents=(data, "doc_id long, source string, text string"))
     got = {(r.source, r.line, r.pages) for r in made}
     assert got == {("src1", (long + "#").lower(), 4), ("src2", "footer #", 4), ("src2", "body line #", 4)}
+
+
+def test_short_passages_and_those_that_begin_inside_a_word(spark, tmp_path):
+    docs = [
+        (1, "en", 'He said "alpha beta gamma delta epsilon zeta eta theta iota" and left.'),
+        (2, "en", "one two\nthree  four five six seven"),
+        (3, "en", "unrelated (alpha beta) words, onetwo"),
+        (4, "en", None),
+    ]
+    passages = ["alpha beta gamma delta epsilon zeta eta theta iota", "alpha beta", "two", "two three four", "one two three four five six", "lpha beta gamma del", "nowhere", "", "beta alpha", "three four five six seven", "said \"alpha beta gamma delta epsilon zeta"]
+    items = [(i, p) for i, p in enumerate(passages)]
+    made = rows(spark, tmp_path, "passage_hits", documents=(docs, "doc_id long, lang string, text string"), benchmark=(items, "item_id long, text string"))
+    plain = {(i, d) for i, p in items for d, _, t in docs if p and p in " ".join((t or "").split())}
+    assert {(r.item_id, r.doc_id) for r in made} == plain
+    assert {i for i, _ in plain} == {0, 1, 2, 3, 4, 5, 9, 10}
