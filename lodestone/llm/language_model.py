@@ -7,8 +7,9 @@ probabilities are normalised over all words, one unseen word of each class inclu
 
 The model adds up the vectors of the last `order` units and the mean vector of all units before, each scaled
 by a vector of its place, and compares the sum with each unit's vector (Mnih and Hinton, 2007). It is trained
-in rounds: each task fits a copy by noise-contrastive estimation on its part of a fixed fraction of the
-learning texts, then the copies are averaged, weighted by tokens. Scoring takes batched matrix products over
+in rounds, each over all learning texts: these are dealt into `fraction` parts, and for one part after the other
+each task fits a copy by noise-contrastive estimation on its share, then the copies are averaged, weighted by
+tokens. Scoring takes batched matrix products over
 all units, so probabilities are normalised exactly.
 
 Counts cover all learning texts and grow with the corpus. The `head` most frequent words travel to the tasks
@@ -41,14 +42,14 @@ SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long,
 
 @dataclass(frozen=True)
 class Shape:
-    """words: those that are units of their own, the end included. fraction: one of how many learning texts a
-    round trains on. head: words whose counts travel to the tasks."""
+    """words: those that are units of their own, the end included. rounds: how often all learning texts are
+    trained on. fraction: the parts of a round, with an average after each. head: words whose counts travel to the tasks."""
 
     words: int = 336
     size: int = 24
     order: int = 4
     noise: int = 64
-    rounds: int = 2
+    rounds: int = 1
     fraction: int = 16
     rate: float = 0.12
     head: int = 1 << 18
@@ -318,7 +319,7 @@ def fit(learn: DataFrame, known, share: np.ndarray, total: int, distinct: int, c
     tables = [rng.normal(0, 0.1, s).astype(np.float32) for s in shape.shapes]
     tables[3][:] = 1.0
     tables[4][:] = np.log(share)
-    for turn in range(shape.rounds):
+    for turn in range(shape.rounds * shape.fraction):
         start = tables
 
         def train(batches: Iterator[pa.RecordBatch], start=start, turn=turn) -> Iterator[pa.RecordBatch]:
