@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD_SPACE = " \t\n\x0b\x0c\r"
@@ -19,11 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share. Where the session names none, a temporary one serves if all
+    run on one machine, and nothing on a cluster."""
     named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-        spark.sparkContext.setCheckpointDir(named)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lodestone-"))
         named = spark.sparkContext.getCheckpointDir()
     return named
 
@@ -58,9 +60,3 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iter
             total += n
         if start < batch.num_rows:
             yield batch.slice(start)
-
-
-def text_keys(text: str) -> dict[str, Column]:
-    """Two hashes of a text, 128 bits together, by which rows are known whose ids may be missing or repeated."""
-    plain = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return {"_k1": F.xxhash64(plain), "_k2": F.xxhash64(F.lit(7), plain)}

@@ -6,18 +6,20 @@ removed. Three steps find them without moving all windows:
 1. Phrases. Each window picks, of the `gram`-word phrases in it, the one with the least hash; equal windows
    pick equal phrases, so only phrases picked twice or more matter. Neighbouring windows mostly pick the same
    one, and a phrase with the stretch of words that its windows span is one row instead of many.
-2. Passages. Stretches that occur twice or more recur as a whole. Where a phrase recurs and its stretch does
-   not, the stretch is taken apart into windows, and these are counted. Counts are summed before the shuffle,
-   so a passage that very many documents share is one row for each task. A window is known by its phrase's
-   and its own hash, 128 bits together.
-3. Automata. Each batch of documents is a shard: its recurring passages are compiled into an Aho-Corasick
-   automaton over words, and its documents are streamed through it to locate every occurrence.
-
-Documents are known by two hashes of their text, so repeated rows, and rows without an id, are windows like
-any other, and copies get what their text gets.
-
-Defined cases: a null text has no words. Texts under `width` words are kept. Other columns are kept or
-ignored. An empty table gives an empty result. Texts are taken whole.
+2. Passages. Of equal stretches one is read again, with its words, and taken apart into windows, each counted
+   as often as the stretch occurs; a window is known by its phrase's and its own hash, 128 bits together. The
+   runs of recurring windows of a stretch are its confirmed passages, now word sequences without a place.
+3. Automata. Documents are dealt into shards of about `shard_bytes`. A shard gets, from all over the corpus,
+   the passages of the stretches that its documents hold, compiles them into an Aho-Corasick automaton over
+   words, and streams every one of its documents through it. Only the automaton says where a passage occurs,
+   and it compares words, not hashes.
+
+A document's shard depends on its text and its other plain columns, so copies of a text with different ids
+lie in many shards, and a passage that very many documents share comes to each shard once for each stretch.
+
+Defined cases: a null text has no words. Texts under `width` words are kept. Other columns, whatever their
+names, are kept or ignored. Repeated rows, and rows without an id, are windows like any other. An empty table
+gives an empty result. Texts are taken whole.
 """
 
 from __future__ import annotations
@@ -29,15 +31,19 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructField, StructType, VariantType
 
-from .common import as_bytes, by_bytes, cut, table, text_keys, texts
+from .common import as_bytes, by_bytes, cut, table, texts
 
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-OCCURRENCE = "anchor long, k1 long, k2 long, start int, windows int, stretch long"
+OCCURRENCE = "anchor long, stretch long, shard long, row_key long, start int, windows int"
+STRETCH = "anchor long, stretch long, n long, words binary, windows array<bigint>"
+PASSAGE = "anchor long, stretch long, passage binary"
 CUT = "text string, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:int,words:int>>"
 TOKEN = re.compile(rb"([^\x20\x09-\x0d]+)([\x20\x09-\x0d]*)")
 
@@ -93,17 +99,23 @@ def _words(column: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     return [w for p in parts for w in p], np.repeat(np.arange(len(parts)), sizes), np.repeat(ends, sizes)
 
 
-def recurring_windows(docs: DataFrame, width: int = 35, gram: int = 11) -> DataFrame:
-    """(k1, k2, runs array<struct<start,windows>>): for each text with recurring windows their first words, as
-    runs of neighbouring windows, perhaps overlapping. docs: any rows with `text`."""
-    own = docs.select(F.col("text").cast("string").alias("text")).withColumns(text_keys("text")).select(F.col("_k1").alias("k1"), F.col("_k2").alias("k2"), "text")
+def recurring_stretches(own: DataFrame, width: int, gram: int, shard_bytes: int) -> tuple[DataFrame, DataFrame, int]:
+    """Occurrences (OCCURRENCE) of recurring phrases; (anchor, stretch, n, one): each distinct stretch, how
+    often it occurs, and one place of it; and the number of shards. own: row_key, text."""
 
     def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", 4 << 20):
             words, _, ends = _words(batch.column("text"))
             anchor, _, _ = picked(Spans(word_hashes(words)), ends, width, gram)
             value, n = np.unique(anchor, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n.astype(np.int64))], ["anchor", "n"])
+            size = sum(x or 0 for x in pc.binary_length(batch.column("text")).to_pylist())
+            columns = [pa.concat_arrays([pa.array(value.view(np.int64)), pa.nulls(1, pa.int64())]), pa.array([*n.tolist(), size], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["anchor", "n"])
+
+    # The row without a phrase holds the bytes of all texts.
+    again = cut(own.select("text").mapInArrow(phrases, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).filter("anchor is null or n > 1"), "phrases")
+    size, picks = again.agg(F.max(F.when(F.col("anchor").isNull(), F.col("n"))), F.sum(F.when(F.col("anchor").isNotNull(), F.col("n")))).first()
+    shards = (size or 0) // shard_bytes + 1
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", 4 << 20):
@@ -113,104 +125,117 @@ def recurring_windows(docs: DataFrame, width: int = 35, gram: int = 11) -> DataF
             stretch = spans.of(first, first + n + (width - 1))
             sizes = np.bincount(text, minlength=batch.num_rows)
             begin, of = np.cumsum(sizes) - sizes, text[first] if len(first) else first
-            k1, k2 = (batch.column(k).to_numpy()[of] for k in ("k1", "k2"))
-            columns = [anchor.view(np.int64), k1, k2, (first - begin[of]).astype(np.int32), n.astype(np.int32), stretch.view(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["anchor", "k1", "k2", "start", "windows", "stretch"])
-
-    again = own.select("text").mapInArrow(phrases, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor")
-    found = cut(own.mapInArrow(occurrences, OCCURRENCE).join(again, "anchor", "left_semi"), "occurrences")
-
-    stretches = found.groupBy("anchor", "stretch").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "start", "windows")).alias("one"))
-    stretches = cut(stretches, "stretches")
-    whole = found.join(stretches.filter("n > 1").select("anchor", "stretch"), ["anchor", "stretch"], "left_semi").select("k1", "k2", "start", "windows")
-
-    # Phrases with a stretch that occurs once: windows of one occurrence of each of their stretches, counted as often as it occurs.
-    mixed = stretches.groupBy("anchor").agg(F.min("n").alias("least")).filter("least = 1").select("anchor")
-    asked = stretches.join(mixed, "anchor", "left_semi").select("one.k1", "one.k2", F.struct("anchor", "one.start", "one.windows", "n").alias("part"))
-    asked = asked.groupBy("k1", "k2").agg(F.collect_list("part").alias("parts"))
-    lone = cut(own.dropDuplicates(["k1", "k2"]).join(asked, ["k1", "k2"]).mapInArrow(lambda x: _windows(x, width), "anchor long, window long, n long, k1 long, k2 long, start int"), "windows")
-    known = lone.groupBy("anchor", "window").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor", "window")
-    single = lone.filter("n = 1").join(known, ["anchor", "window"], "left_semi").select("k1", "k2", "start", F.lit(1).alias("windows"))
-    return whole.unionByName(single).groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "windows")).alias("runs"))
-
-
-def _windows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Each window of the stretches asked for."""
-    names = ["anchor", "window", "n", "k1", "k2", "start"]
+            key = batch.column("row_key").to_numpy()[of]
+            columns = [anchor.view(np.int64), stretch.view(np.int64), key % shards, key, (first - begin[of]).astype(np.int32), n.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["anchor", "stretch", "shard", "row_key", "start", "windows"])
+
+    # Fewer than `most` phrases hold more than a `most`-th of all picks each, so they may be broadcast.
+    most = 2000
+    heavy = F.broadcast(again.filter((F.col("n") * most > F.lit(picks or 0)) & F.col("anchor").isNotNull()).select("anchor"))
+    every = own.mapInArrow(occurrences, OCCURRENCE).join(heavy.withColumn("heavy", F.lit(True)), "anchor", "left")
+    # Light ones meet the recurring phrases at their key; heavy ones are known to recur and go anywhere.
+    at = F.when(F.col("heavy"), F.xxhash64("row_key", "start")).otherwise(F.col("anchor"))
+    light = again.filter(F.col("anchor").isNotNull()).select(F.col("anchor").alias("phrase"), F.col("anchor").alias("at"))
+    found = every.withColumn("at", at).join(light, "at", "left").filter("heavy or phrase = anchor").drop("at", "heavy", "phrase")
+    found = cut(found, "occurrences")
+    one = F.min(F.struct("row_key", "start", "windows")).alias("one")
+    return found, cut(found.groupBy("anchor", "stretch").agg(F.count("*").alias("n"), one), "stretches"), shards
+
+
+def _stretches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Rows of STRETCH: the words and the window hashes of the stretches asked for in `parts`."""
     for batch in by_bytes(batches, "text", 2 << 20):
-        out: list[list[np.ndarray]] = [[] for _ in names]
-        for text, k1, k2, parts in zip(as_bytes(batch.column("text")), *(batch.column(c).to_pylist() for c in ("k1", "k2", "parts")), strict=True):
-            spans = Spans(word_hashes(text.split()))
-            anchor, start, windows, n = (np.array([p[c] for p in parts], dtype=np.int64) for c in ("anchor", "start", "windows", "n"))
-            at = np.repeat(start, windows) + np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-            made = (np.repeat(anchor, windows), spans.of(at, at + width).view(np.int64), np.repeat(n, windows), np.full(len(at), k1), np.full(len(at), k2), at.astype(np.int32))
-            for x, y in zip(out, made, strict=True):
-                x.append(y)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names)
-
-
-def joined(runs: list[dict], width: int) -> list[tuple[int, int]]:
-    """Passages, as first and last word, of runs of neighbouring recurring windows."""
+        out: list[list] = [[] for _ in range(5)]
+        for text, parts in zip(as_bytes(batch.column("text")), batch.column("parts").to_pylist(), strict=True):
+            words = text.split()
+            spans = Spans(word_hashes(words))
+            for p in parts:
+                first, windows = p["start"], p["windows"]
+                at = np.arange(first, first + windows)
+                row = (p["anchor"], p["stretch"], p["n"], b" ".join(words[first : first + windows + width - 1]), spans.of(at, at + width).view(np.int64))
+                for x, y in zip(out, row, strict=True):
+                    x.append(y)
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["anchor", "stretch", "n", "words", "windows"])
+
+
+def joined(starts: list[int], width: int) -> list[tuple[int, int]]:
+    """First and last word of each passage made of windows that begin at `starts`, of neighbouring ones together."""
     out: list[list[int]] = []
-    for start, n in sorted((r["start"], r["windows"]) for r in runs):
+    for start in sorted(starts):
         if out and start <= out[-1][1] + 1:
-            out[-1][1] = max(out[-1][1], start + n - 1)
+            out[-1][1] = start
         else:
-            out.append([start, start + n - 1])
+            out.append([start, start])
     return [(a, b + width) for a, b in out]
 
 
-def automaton(passages: set[tuple[int, ...]]) -> ahocorasick.Automaton:
-    made = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-    for p in passages:
-        made.add_word(p)
-    made.make_automaton()
-    return made
-
-
-def located(texts_words: list[list[bytes]], runs: list[list[dict]], width: int) -> list[np.ndarray]:
-    """For each text of a shard which of its words lie in a passage of the shard, by its automaton."""
-    ids: dict[bytes, int] = {}
-    coded = [tuple(ids.setdefault(w, len(ids)) for w in words) for words in texts_words]
-    passages = {code[a:b] for code, r in zip(coded, runs, strict=True) for a, b in joined(r, width)}
-    machine = automaton(passages)
-    out = []
-    for code in coded:
-        edge = np.zeros(len(code) + 1, dtype=np.int64)
-        for last, length in machine.iter(code) if passages else ():
+def _passages(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Rows of PASSAGE: the runs of recurring windows (`starts`) of each stretch."""
+    for batch in batches:
+        rows = []
+        for anchor, stretch, text, starts in zip(*(batch.column(c).to_pylist() for c in ("anchor", "stretch", "words", "starts")), strict=True):
+            words = text.split(b" ")
+            rows += [(anchor, stretch, b" ".join(words[a:b])) for a, b in joined(starts, width)]
+        columns = list(zip(*rows, strict=True)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["anchor", "stretch", "passage"])
+
+
+def confirmed_passages(own: DataFrame, stretches: DataFrame, width: int) -> DataFrame:
+    """PASSAGE: of each distinct stretch the word sequences that occur twice or more."""
+    asked = stretches.groupBy(F.col("one.row_key").alias("row_key")).agg(F.collect_list(F.struct("anchor", "stretch", "n", "one.start", "one.windows")).alias("parts"))
+    read = own.join(asked, "row_key").select("text", "parts").mapInArrow(lambda x: _stretches(x, width), STRETCH)
+    read = cut(read.dropDuplicates(["anchor", "stretch"]), "stretch-words")  # rows that repeat in full answer twice
+    windows = cut(read.select("anchor", "stretch", "n", F.posexplode("windows").alias("start", "window")), "windows")
+    known = windows.groupBy("anchor", "window").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor", "window")
+    single = windows.filter("n = 1").join(known, ["anchor", "window"], "left_semi").groupBy("anchor", "stretch").agg(F.collect_list("start").alias("starts"))
+    whole = F.sequence(F.lit(0), F.size("windows") - 1)
+    made = read.join(single, ["anchor", "stretch"], "left").select("anchor", "stretch", "words", F.when(F.col("n") > 1, whole).otherwise(F.col("starts")).alias("starts"))
+    return made.filter("starts is not null").mapInArrow(lambda x: _passages(x, width), PASSAGE)
+
+
+class Shard:
+    """The automaton of a shard's passages, over the words that they hold."""
+
+    def __init__(self, passages: list[bytes]):
+        self.ids: dict[bytes, int] = {}
+        self.machine = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE) if passages else None
+        for p in passages:
+            self.machine.add_word(tuple([self.ids.setdefault(w, len(self.ids) + 1) for w in p.split(b" ")]))
+        if passages:
+            self.machine.make_automaton()
+
+    def located(self, words: list[bytes]) -> np.ndarray:
+        """Which of a document's words lie in an occurrence of a passage."""
+        if self.machine is None:
+            return np.zeros(len(words), dtype=bool)
+        known = self.ids.get
+        edge = np.zeros(len(words) + 1, dtype=np.int64)
+        for last, length in self.machine.iter(tuple([known(w, 0) for w in words])):
             edge[last - length + 1] += 1
             edge[last + 1] -= 1
-        out.append(np.cumsum(edge)[:-1] > 0)
-    return out
-
-
-def _cut(text: pa.Array, runs: pa.Array, width: int, with_text: bool) -> pa.Array:
-    """Rows of CUT for a batch: a shard is what is in it of up to about 2 MB of texts that have passages."""
-    plain, given = as_bytes(text), runs.to_pylist()
-    rows: list = [None] * len(plain)
-    shard: list[int] = []
-    size = 0
-
-    def done() -> None:
-        words = [plain[i].split() for i in shard]
-        for i, own, gone in zip(shard, words, located(words, [given[i] for i in shard], width), strict=True):
-            rows[i] = _row(plain[i], own, gone, with_text)
-        shard.clear()
-
-    for i, (x, r) in enumerate(zip(plain, given, strict=True)):
-        if not r:
-            words = x.split()
-            rows[i] = _row(x, words, np.zeros(len(words), dtype=bool), with_text)
-            continue
-        shard.append(i)
-        size += len(x)
-        if size > 2 << 20:
-            done()
-            size = 0
-    if shard:
-        done()
+        return np.cumsum(edge)[:-1] > 0
+
+
+def _streamed(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
+    """Rows in order of shards, and in each its passages before its documents: the documents, cut."""
     kind = pa.struct([("text", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("words", pa.int32())])))])
-    return pa.array(rows, kind)
+    at, passages, shard = None, set(), None
+    for batch in by_bytes(batches, "text", 4 << 20):
+        documents = []
+        for i, (number, passage, text) in enumerate(zip(batch.column("shard").to_pylist(), batch.column("passage").to_pylist(), as_bytes(batch.column("text")), strict=True)):
+            if number != at:
+                at, passages, shard = number, set(), None
+            if passage is not None:
+                passages.add(passage)
+                continue
+            if shard is None:
+                shard, passages = Shard(list(passages)), set()
+            words = text.split()
+            documents.append((i, _row(text, words, shard.located(words), with_text)))
+        if documents:
+            some = batch.take(pa.array([i for i, _ in documents]))
+            yield pa.RecordBatch.from_arrays([some.column("row"), some.column("text"), pa.array([x for _, x in documents], kind)], ["row", "text", "made"])
 
 
 def _row(text: bytes, words: list[bytes], gone: np.ndarray, with_text: bool) -> dict:
@@ -226,19 +251,44 @@ def _row(text: bytes, words: list[bytes], gone: np.ndarray, with_text: bool) ->
     return {"text": shown, "n_words": len(words), "n_removed": len(words) - len(kept), "kept_sha256": hashlib.sha256(b" ".join(kept)).hexdigest(), "spans": spans}
 
 
-def remove_passages(docs: DataFrame, width: int = 35, gram: int = 11, with_text: bool = True) -> DataFrame:
-    """Every row and column of docs, and `_cut`, a struct of CUT: the text without its recurring passages (a
-    text that has none is as it was), counts of words, the digest of the kept words and the spans removed."""
-    runs = recurring_windows(docs, width, gram).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("runs").alias("_runs"))
-
-    @F.arrow_udf(CUT)
-    def cut_out(text: pa.Array, runs: pa.Array) -> pa.Array:
-        return _cut(text, runs, width, with_text)
-
-    found = docs.withColumns(text_keys("text")).join(runs, ["_k1", "_k2"], "left")
-    return found.select(*[F.col(f"`{c}`") for c in docs.columns], cut_out(F.col("text").cast("string"), "_runs").alias("_cut"))
+def cut_passages(docs: DataFrame, width: int = 35, gram: int = 11, with_text: bool = True, shard_bytes: int = 2 << 20) -> DataFrame:
+    """(row, text, made) for every row of docs: its other columns as a struct, its text, and a struct of CUT:
+    the text without its recurring passages (a text that has none is as it was), counts of words, the digest
+    of the kept words and the spans removed."""
+    others = [c for c in docs.columns if c != "text"]
+    plain = [F.col(f"`{f.name}`") for f in docs.schema if f.name != "text" and not isinstance(f.dataType, ArrayType | MapType | StructType | VariantType)]
+    row = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.struct(F.lit(0).alias("none"))
+    text = F.col("text").cast("string")
+    key = F.xxhash64(F.coalesce(text, F.lit("")), *plain).bitwiseAND((1 << 63) - 1)
+    rows = docs.select(row.alias("row"), text.alias("text"), key.alias("row_key"))
+    own = rows.select("row_key", "text")
+    found, stretches, shards = recurring_stretches(own, width, gram, shard_bytes)
+    passages = confirmed_passages(own, stretches, width)
+    sent = found.select("anchor", "stretch", "shard").distinct().join(passages, ["anchor", "stretch"]).select("shard", "passage")
+    none = {"row": F.lit(None).cast(rows.schema["row"].dataType), "text": F.lit(None).cast("string")}
+    dealt = rows.select((F.col("row_key") % shards).alias("shard"), F.lit(None).cast("binary").alias("passage"), "row", "text")
+    dealt = dealt.unionByName(sent.select("shard", "passage", *[c.alias(k) for k, c in none.items()]))
+    ordered = dealt.repartition("shard").sortWithinPartitions("shard", F.col("passage").isNull())
+    schema = StructType([rows.schema["row"], rows.schema["text"], StructField("made", StructType.fromDDL(CUT))])
+    return ordered.mapInArrow(lambda x: _streamed(x, with_text), schema)
+
+
+def remove_passages(docs: DataFrame, width: int = 35, gram: int = 11) -> DataFrame:
+    """Every row and column of docs, with `text` less its recurring passages, and `n_chars`, if it is there, as
+    the length of a text that has changed."""
+    made = cut_passages(docs, width, gram)
+    text = F.when(F.col("made.n_removed") > 0, F.col("made.text")).otherwise(F.col("text"))
+    length = {f.name: F.length(text).cast(f.dataType) for f in docs.schema if f.name == "n_chars"}
+
+    def column(c: str):
+        if c == "text":
+            return text.cast(docs.schema["text"].dataType).alias(c)
+        own = F.col(f"row.`{c}`")
+        return (F.when(F.col("made.n_removed") > 0, length[c]).otherwise(own) if c in length else own).alias(c)
+
+    return made.select(*[column(c) for c in docs.columns])
 
 
 def op7_repeated_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = remove_passages(texts(table(spark, sf_dir, "documents")), with_text=False)
-    return made.select("doc_id", "_cut.n_words", "_cut.n_removed", "_cut.kept_sha256")
+    made = cut_passages(texts(table(spark, sf_dir, "documents")), with_text=False)
+    return made.select("row.doc_id", "made.n_words", "made.n_removed", "made.kept_sha256")

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from .common import as_bytes, by_bytes, cut, text_keys
+from .common import as_bytes, by_bytes, cut
 from .components import connected_components, thinned
 from .simhash import _ball
 
@@ -187,18 +187,18 @@ def links(fps: DataFrame, dense: int = 256, sets: DataFrame | None = None) -> Da
 def without_similar(docs: DataFrame, width: int = 5, dense: int = 256) -> DataFrame:
     """The rows of docs, with all columns, that stay when one of each component stays: the one with the
     smallest doc_id, rows without an id last, then by the text's hashes; of repeated rows one."""
-    named = docs.withColumns({"_id": F.col("doc_id").cast("long"), **text_keys("text")})
-    made = wide_fingerprints(named.select("_id", "_k1", "_k2", F.col("text").cast("string").alias("text")), width)
+    plain = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(plain).alias("k1"), F.xxhash64(F.lit(7), plain).alias("k2"))
+    named = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"), order.alias("at"))
+    made = wide_fingerprints(named.select("at", "text"), width)
     words = [f"w{i}" for i in range(WORDS)]
     made = cut(made.withColumn("node", F.xxhash64("shingles")), "wide-fingerprints")
-    order = F.struct(F.col("_id").isNull().alias("none"), "_id", "_k1", "_k2")
-    own = made.groupBy("node").agg(F.min(order).alias("first"))
+    own = made.groupBy("node").agg(F.min("at").alias("first"))
     fps = cut(made.select("node", *words, "keys").dropDuplicates(["node"]), "fingerprints")
     found = connected_components(thinned(links(fps, dense, made.select("node", "shingles"))), "u", "v")
     rooted = own.join(found, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
-    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.*")
-    kept = kept.select(F.col("_id").alias("_i"), F.col("_k1").alias("_a"), F.col("_k2").alias("_b"))
-    same = (F.col("_k1") == F.col("_a")) & (F.col("_k2") == F.col("_b")) & F.col("_id").eqNullSafe(F.col("_i"))
-    one = Window.partitionBy("_k1", "_k2", "_id").orderBy(F.lit(1))
-    rows = named.join(kept, same, "left_semi").withColumn("_n", F.row_number().over(one)).filter("_n = 1")
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first")
+    same = [F.col(f"at.{c}").eqNullSafe(F.col(f"first.{c}")) for c in ("none", "id", "k1", "k2")]
+    one = Window.partitionBy("at").orderBy(F.lit(1))
+    rows = named.join(kept, same[0] & same[1] & same[2] & same[3], "left_semi").withColumn("n", F.row_number().over(one)).filter("n = 1")
+    return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
