@@ -4,6 +4,11 @@ Each stage takes and, but for the last, returns the columns of documents. A docu
 reject goes; of each group of near-duplicates the one with the smallest id stays; passages of 35 words or
 more that recur are cut out of what is left, and a document that has nothing left stays as an empty text;
 the last stage packs all texts into sequences.
+
+Defined cases: a null or empty text fails the quality rules; where it comes to a later stage all the same, it
+is a copy of every other text without words, has no passages, and is packed as the end id alone. Of rows that
+repeat in full one stays. A row without an id stays only if its group has no other. Columns beside those of
+documents are kept up to packing, whatever their names. An empty table gives an empty result at every stage.
 """
 
 from __future__ import annotations
@@ -15,7 +20,6 @@ from lodestone.llm.passages import remove_passages
 from lodestone.llm.quality import accepted
 from lodestone.llm.similar import without_similar
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,10 +31,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    made = remove_passages(docs)
-    text = F.col("_cut.text")
-    changed = {"text": text, "n_chars": F.when(F.col("_cut.n_removed") > 0, F.length(text)).otherwise(F.col("n_chars"))}
-    return made.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])
+    return remove_passages(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
