@@ -68,11 +68,14 @@ def event_lines(events: DataFrame) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared folder of spark.checkpoint.dir and read back, to end its lineage; a temporary
-    folder serves only where the session names none."""
+    """df written to the shared folder of spark.checkpoint.dir and read back, to end its lineage. Where the
+    session names none, a temporary folder serves if all run on one machine, and nothing on a cluster."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lodestone-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="lodestone-"))
     path = f"{context.getCheckpointDir().rstrip('/')}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
