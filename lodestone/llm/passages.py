@@ -6,13 +6,15 @@ removed. Three steps find them without moving all windows:
 1. Phrases. Each window picks, of the `gram`-word phrases in it, the one with the least hash; equal windows
    pick equal phrases, so only phrases picked twice or more matter. Neighbouring windows mostly pick the same
    one, and a phrase with the stretch of words that its windows span is one row instead of many.
-2. Passages. Of equal stretches one is read again, with its words, and taken apart into windows, each counted
-   as often as the stretch occurs; a window is known by its phrase's and its own hash, 128 bits together. The
-   runs of recurring windows of a stretch are its confirmed passages, now word sequences without a place.
+2. Passages. Stretches that occur twice or more recur as a whole. Where a phrase recurs and one of its
+   stretches does not, one place of each is read again and taken apart into windows, each counted as often as
+   the stretch occurs; a window is known by its phrase's and its own hash, 128 bits together. The words of
+   recurring stretches and windows are then read from one place each: these are the confirmed passages, from
+   here on word sequences without a place.
 3. Automata. Documents are dealt into shards of about `shard_bytes`. A shard gets, from all over the corpus,
-   the passages of the stretches that its documents hold, compiles them into an Aho-Corasick automaton over
-   words, and streams every one of its documents through it. Only the automaton says where a passage occurs,
-   and it compares words, not hashes.
+   the passages whose stretches its documents hold, compiles them into an Aho-Corasick automaton over words,
+   and streams every one of its documents through it. Only the automaton says where a passage occurs, and it
+   compares words, not hashes.
 
 A document's shard depends on its text and its other plain columns, so copies of a text with different ids
 lie in many shards, and a passage that very many documents share comes to each shard once for each stretch.
@@ -42,8 +44,8 @@ from .common import as_bytes, by_bytes, cut, table, texts
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 OCCURRENCE = "anchor long, stretch long, shard long, row_key long, start int, windows int"
-STRETCH = "anchor long, stretch long, n long, words binary, windows array<bigint>"
-PASSAGE = "anchor long, stretch long, passage binary"
+WINDOW = "anchor long, window long, n long, row_key long, start int"
+PASSAGE = "passage long, words binary, spans array<struct<start:int,stop:int>>, keys array<struct<anchor:bigint,stretch:bigint>>"
 CUT = "text string, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:int,words:int>>"
 TOKEN = re.compile(rb"([^\x20\x09-\x0d]+)([\x20\x09-\x0d]*)")
 
@@ -142,21 +144,19 @@ def recurring_stretches(own: DataFrame, width: int, gram: int, shard_bytes: int)
     return found, cut(found.groupBy("anchor", "stretch").agg(F.count("*").alias("n"), one), "stretches"), shards
 
 
-def _stretches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Rows of STRETCH: the words and the window hashes of the stretches asked for in `parts`."""
+def _windows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Rows of WINDOW: each window of the stretches asked for in `parts`."""
+    names = [x.split()[0] for x in WINDOW.split(", ")]
     for batch in by_bytes(batches, "text", 2 << 20):
-        out: list[list] = [[] for _ in range(5)]
-        for text, parts in zip(as_bytes(batch.column("text")), batch.column("parts").to_pylist(), strict=True):
-            words = text.split()
-            spans = Spans(word_hashes(words))
-            for p in parts:
-                first, windows = p["start"], p["windows"]
-                at = np.arange(first, first + windows)
-                row = (p["anchor"], p["stretch"], p["n"], b" ".join(words[first : first + windows + width - 1]), spans.of(at, at + width).view(np.int64))
-                for x, y in zip(out, row, strict=True):
-                    x.append(y)
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["anchor", "stretch", "n", "words", "windows"])
+        out: list[list[np.ndarray]] = [[] for _ in names]
+        for text, key, parts in zip(as_bytes(batch.column("text")), batch.column("row_key").to_pylist(), batch.column("parts").to_pylist(), strict=True):
+            spans = Spans(word_hashes(text.split()))
+            anchor, start, windows, n = (np.array([p[c] for p in parts], dtype=np.int64) for c in ("anchor", "start", "windows", "n"))
+            at = np.repeat(start, windows) + np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+            made = (np.repeat(anchor, windows), spans.of(at, at + width).view(np.int64), np.repeat(n, windows), np.full(len(at), key), at.astype(np.int32))
+            for x, y in zip(out, made, strict=True):
+                x.append(y)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names)
 
 
 def joined(starts: list[int], width: int) -> list[tuple[int, int]]:
@@ -171,37 +171,55 @@ def joined(starts: list[int], width: int) -> list[tuple[int, int]]:
 
 
 def _passages(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Rows of PASSAGE: the runs of recurring windows (`starts`) of each stretch."""
-    for batch in batches:
+    """Rows of PASSAGE: runs of words that recurring windows cover, as one sequence, with the spans that recur as
+    they stand and the keys of the stretches that hold them. parts: stretches with the windows that recur."""
+    for batch in by_bytes(batches, "text", 2 << 20):
         rows = []
-        for anchor, stretch, text, starts in zip(*(batch.column(c).to_pylist() for c in ("anchor", "stretch", "words", "starts")), strict=True):
-            words = text.split(b" ")
-            rows += [(anchor, stretch, b" ".join(words[a:b])) for a, b in joined(starts, width)]
-        columns = list(zip(*rows, strict=True)) or [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["anchor", "stretch", "passage"])
+        for text, row_key, parts in zip(as_bytes(batch.column("text")), batch.column("row_key").to_pylist(), batch.column("parts").to_pylist(), strict=True):
+            words = text.split()
+            spans = sorted((a, b, p["anchor"], p["stretch"]) for p in parts for a, b in joined(p["starts"], width))
+            edges = [i for i, x in enumerate(spans) if not i or x[0] >= spans[i - 1][1]]
+            for i, j in zip(edges, [*edges[1:], len(spans)], strict=True):
+                low, high = spans[i][0], max(x[1] for x in spans[i:j])
+                own = sorted({(a - low, b - low) for a, b, _, _ in spans[i:j]})
+                keys = {x[2:] for x in spans[i:j]}
+                number = xxhash.xxh64_intdigest(b"%d %d" % (row_key, low)) >> 1
+                rows.append((number, b" ".join(words[low:high]), [{"start": a, "stop": b} for a, b in own], [{"anchor": a, "stretch": b} for a, b in keys]))
+        span, key = (pa.list_(pa.struct([(c, k) for c in names])) for names, k in ((("start", "stop"), pa.int32()), (("anchor", "stretch"), pa.int64())))
+        kinds = (pa.int64(), pa.binary(), span, key)
+        columns = list(zip(*rows, strict=True)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["passage", "words", "spans", "keys"])
 
 
 def confirmed_passages(own: DataFrame, stretches: DataFrame, width: int) -> DataFrame:
-    """PASSAGE: of each distinct stretch the word sequences that occur twice or more."""
-    asked = stretches.groupBy(F.col("one.row_key").alias("row_key")).agg(F.collect_list(F.struct("anchor", "stretch", "n", "one.start", "one.windows")).alias("parts"))
-    read = own.join(asked, "row_key").select("text", "parts").mapInArrow(lambda x: _stretches(x, width), STRETCH)
-    read = cut(read.dropDuplicates(["anchor", "stretch"]), "stretch-words")  # rows that repeat in full answer twice
-    windows = cut(read.select("anchor", "stretch", "n", F.posexplode("windows").alias("start", "window")), "windows")
+    """PASSAGE, of what occurs twice or more."""
+    once = own.dropDuplicates(["row_key"])  # rows that repeat in full would answer twice
+    mixed = cut(stretches.groupBy("anchor").agg(F.min("n").alias("least")).filter("least = 1").select("anchor"), "mixed-phrases")
+    asked = stretches.join(mixed, "anchor", "left_semi")
+    asked = asked.groupBy(F.col("one.row_key").alias("row_key")).agg(F.collect_list(F.struct("anchor", "n", "one.start", "one.windows")).alias("parts"))
+    windows = cut(once.join(asked, "row_key").mapInArrow(lambda x: _windows(x, width), WINDOW), "windows")
     known = windows.groupBy("anchor", "window").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor", "window")
-    single = windows.filter("n = 1").join(known, ["anchor", "window"], "left_semi").groupBy("anchor", "stretch").agg(F.collect_list("start").alias("starts"))
-    whole = F.sequence(F.lit(0), F.size("windows") - 1)
-    made = read.join(single, ["anchor", "stretch"], "left").select("anchor", "stretch", "words", F.when(F.col("n") > 1, whole).otherwise(F.col("starts")).alias("starts"))
-    return made.filter("starts is not null").mapInArrow(lambda x: _passages(x, width), PASSAGE)
+    single = windows.filter("n = 1").join(known, ["anchor", "window"], "left_semi").select("anchor", "row_key", "start")
+
+    # A lone stretch has one place, so its windows are those of its phrase there; it may be picked once more in the same text.
+    lone = stretches.filter("n = 1").select("anchor", "stretch", "one.row_key", F.col("one.start").alias("first"), "one.windows")
+    lone = lone.join(single, ["anchor", "row_key"]).filter("start >= first and start < first + windows")
+    lone = lone.groupBy("row_key", "anchor", "stretch").agg(F.collect_set("start").alias("starts"))
+    whole = stretches.filter("n > 1").select("one.row_key", "anchor", "stretch", F.expr("sequence(one.start, one.start + one.windows - 1)").alias("starts"))
+    parts = lone.unionByName(whole).groupBy("row_key").agg(F.collect_list(F.struct("anchor", "stretch", "starts")).alias("parts"))
+    return cut(once.join(parts, "row_key").mapInArrow(lambda x: _passages(x, width), PASSAGE), "passages")
 
 
 class Shard:
     """The automaton of a shard's passages, over the words that they hold."""
 
-    def __init__(self, passages: list[bytes]):
+    def __init__(self, passages: list[tuple[bytes, list[dict]]]):
         self.ids: dict[bytes, int] = {}
         self.machine = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE) if passages else None
-        for p in passages:
-            self.machine.add_word(tuple([self.ids.setdefault(w, len(self.ids) + 1) for w in p.split(b" ")]))
+        for words, spans in passages:
+            code = tuple([self.ids.setdefault(w, len(self.ids) + 1) for w in words.split(b" ")])
+            for x in spans:
+                self.machine.add_word(code[x["start"] : x["stop"]])
         if passages:
             self.machine.make_automaton()
 
@@ -220,17 +238,18 @@ class Shard:
 def _streamed(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
     """Rows in order of shards, and in each its passages before its documents: the documents, cut."""
     kind = pa.struct([("text", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("words", pa.int32())])))])
-    at, passages, shard = None, set(), None
+    at, passages, shard = None, [], None
     for batch in by_bytes(batches, "text", 4 << 20):
         documents = []
-        for i, (number, passage, text) in enumerate(zip(batch.column("shard").to_pylist(), batch.column("passage").to_pylist(), as_bytes(batch.column("text")), strict=True)):
+        columns = (*(batch.column(c).to_pylist() for c in ("shard", "words", "spans")), as_bytes(batch.column("text")))
+        for i, (number, passage, spans, text) in enumerate(zip(*columns, strict=True)):
             if number != at:
-                at, passages, shard = number, set(), None
+                at, passages, shard = number, [], None
             if passage is not None:
-                passages.add(passage)
+                passages.append((passage, spans))
                 continue
             if shard is None:
-                shard, passages = Shard(list(passages)), set()
+                shard, passages = Shard(passages), []
             words = text.split()
             documents.append((i, _row(text, words, shard.located(words), with_text)))
         if documents:
@@ -264,11 +283,13 @@ def cut_passages(docs: DataFrame, width: int = 35, gram: int = 11, with_text: bo
     own = rows.select("row_key", "text")
     found, stretches, shards = recurring_stretches(own, width, gram, shard_bytes)
     passages = confirmed_passages(own, stretches, width)
-    sent = found.select("anchor", "stretch", "shard").distinct().join(passages, ["anchor", "stretch"]).select("shard", "passage")
-    none = {"row": F.lit(None).cast(rows.schema["row"].dataType), "text": F.lit(None).cast("string")}
-    dealt = rows.select((F.col("row_key") % shards).alias("shard"), F.lit(None).cast("binary").alias("passage"), "row", "text")
-    dealt = dealt.unionByName(sent.select("shard", "passage", *[c.alias(k) for k, c in none.items()]))
-    ordered = dealt.repartition("shard").sortWithinPartitions("shard", F.col("passage").isNull())
+    keys = passages.select("passage", F.explode("keys").alias("k")).select("passage", "k.anchor", "k.stretch")
+    sent = found.select("anchor", "stretch", "shard").distinct().join(keys, ["anchor", "stretch"]).select("passage", "shard").distinct()
+    sent = sent.join(passages.select("passage", "words", "spans"), "passage")
+    none = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in (*sent.schema, *rows.schema)}
+    dealt = rows.select((F.col("row_key") % shards).alias("shard"), none["words"], none["spans"], "row", "text")
+    dealt = dealt.unionByName(sent.select("shard", "words", "spans", none["row"], none["text"]))
+    ordered = dealt.repartition("shard").sortWithinPartitions("shard", F.col("words").isNull())
     schema = StructType([rows.schema["row"], rows.schema["text"], StructField("made", StructType.fromDDL(CUT))])
     return ordered.mapInArrow(lambda x: _streamed(x, with_text), schema)
 

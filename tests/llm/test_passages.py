@@ -46,7 +46,7 @@ def test_odd_rows(odd_docs, no_docs):
 
 def test_shard_finds_what_it_was_not_told():
     """Places come from the automaton: the shard knows passages, not where they are, nor that this text has any."""
-    passages = [b"a b c d e", b"c d e f g", b"x y x y x"]
+    passages = [(b"a b c d e f g", [{"start": 0, "stop": 5}, {"start": 2, "stop": 7}]), (b"x y x y x", [{"start": 0, "stop": 5}])]
     gone = Shard(passages).located(b"q a b c d e f g q x y x y x y x q a b c d".split())
     assert gone.tolist() == [c == "1" for c in "01111111011111110" + "0000"]
     assert not Shard([]).located([b"a"]).any()
