@@ -5,7 +5,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
-from lodestone.llm.viterbi import Codec, Stream, Vocabulary, coding, decoded, encoded, merged
+from lodestone.llm.viterbi import Codec, Vocabulary, coding, decoded, encoded, merged
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 ODD = ["", " ", "a", "  two  spaces ", "tab\tand\nlines\r\n;\r", "你好 世界😀", "naïve é", "aaaaaaaaaaaaaaaaaaa", "        deep    run                    x", "<s> </s> <unk> <0x0A>", "x" * 5000, "http://www.example.com/a?b=c&d=e"]
@@ -60,10 +60,47 @@ def test_streaming_commits_with_a_bounded_window(bpe):
     rng = random.Random(6)
     text = "".join(rng.choice("abcdefghijklmnop") for _ in range(3000))
     for step in (1, 7, 3000):
-        stream = Stream(bpe, {})
-        got = [bpe.piece[p] for i in range(0, len(text), step) for p in stream.feed(text[i : i + step])]
-        assert len("".join(got)) > 2800 and stream.held <= 8 * bpe.longest
-        assert got + [bpe.piece[p] for p in stream.close()] == merged(text, bpe.score)
+        stream = Codec(bpe).stream()
+        got = b"".join(x for i in range(0, len(text), step) for x in stream.feed(text[i : i + step]))
+        assert len(shown(bpe, got)) > 2800 and stream.commits > 5 and stream.held <= 8 * bpe.longest
+        got += b"".join(stream.close())
+        assert [bpe.piece[p] for p in np.frombuffer(got, dtype="<u4").tolist()] == merged(text, bpe.score)
+
+
+def shown(v, got):
+    return "".join(v.piece[p] for p in np.frombuffer(got, dtype="<u4").tolist())
+
+
+def test_parts_of_any_size_give_the_same_ids(bpe, unigram):
+    """Spaces, runs of them and long stretches cut anywhere, with a cache too small for most."""
+    rng = random.Random(7)
+    for v in (bpe, unigram):
+        for _ in range(80):
+            text = "".join(rng.choice(["a", "be", "the", "ing", " ", "  ", "é", "😀", "x" * 60, "deep"]) for _ in range(rng.randrange(80)))
+            codec, plain = Codec(v, cache=5), v.model.normalize(text)
+            stream, at, got = codec.stream(), 0, []
+            while at < len(plain):
+                n = rng.choice((1, 2, 5, 40))
+                got += stream.feed(plain[at : at + n])
+                at += n
+            got += stream.close()
+            assert np.frombuffer(b"".join(got), dtype="<u4").tolist() == v.model.encode(text)
+            assert ids(Codec(v, step=20), text) == v.model.encode(text)
+
+
+def test_documents_are_streamed_with_commits(bpe, documents):
+    """Long texts in parts: ids are settled all along, the lattice and what waits stay small."""
+    text = " ".join(r.text for r in documents.limit(150).collect())
+    codec = Codec(bpe, step=1000)
+    assert len(list(codec.normalised(text))) > len(text) // 1200
+    stream, got, most = codec.stream(), [], 0
+    for part in codec.normalised(text):
+        got += stream.feed(part)
+        most = max(most, len(stream.waits) + len(stream.text))
+    got += stream.close()
+    assert stream.commits > len(text) // 20 and stream.held < 8 * bpe.longest and most < 2000
+    assert np.frombuffer(b"".join(got), dtype="<u4").tolist() == bpe.model.encode(text)
+    assert codec.checked(text)[1:] == (len(b"".join(got)) // 4, zlib.crc32(b"".join(got)), codec.decode(b"".join(got)).decode() == text)
 
 
 def test_frames(spark, odd_docs, no_docs):
