@@ -6,14 +6,18 @@ probability is its unit's times its share of the unit's count in the corpus, wit
 probabilities are normalised over all words, one unseen word of each class included, as in the base.
 
 The model adds up the vectors of the last `order` units and the mean vector of all units before, each scaled
-by a vector of its place, and compares the sum with each unit's vector (Mnih and Hinton, 2007). It is trained
-in rounds, each over all learning texts: these are dealt into `fraction` parts, and for one part after the other
-each task fits a copy by noise-contrastive estimation on its share, then the copies are averaged, weighted by
-tokens. Scoring takes batched matrix products over
-all units, so probabilities are normalised exactly.
+by a vector of its place, and compares the sum with vectors of what may follow (Mnih and Hinton, 2007). Units,
+in order of their counts, form groups of `members`; a unit's probability is its group's times its own within
+the group, each normalised exactly by batched matrix products (Mnih and Hinton, 2009), so thousands of units
+cost what a hundred would. Groups and members are learnt by noise-contrastive estimation, the noise drawn from
+the counts of groups and of members.
 
-Counts cover all learning texts and grow with the corpus. The `head` most frequent words travel to the tasks
-with their counts, a fixed number; all other words meet their counts in a join.
+Training goes in rounds, each over all learning texts: these are dealt into `fraction` parts, and for one part
+after the other each task fits a copy on its share, then the copies are averaged, weighted by tokens.
+
+Counts cover all learning texts and grow with the corpus. At most the `head` most frequent words travel to the
+tasks with their counts; all other words meet their counts in a join. Texts are read twice: for counts, and as
+unit ids, from which the model learns and scores.
 
 Defined cases: a null or empty text is the end alone. Rows without an id are scored but not learnt from, and
 not held out. Repeated rows are learnt and scored as often as they occur. Other columns are ignored. An empty
@@ -22,6 +26,7 @@ table gives an empty result; without learning texts every word is unseen.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -37,32 +42,47 @@ from .common import as_bytes, by_bytes, cut, table, texts
 
 END = b"\n"  # no word holds it
 CLASSES = 48
-SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double, rare array<struct<word:binary,n:long>>"
+ENCODED = (
+    "row long, doc_id long, held_out boolean, learn boolean, part int, n_tokens long, n_known long, base double, "
+    "inner double, rare array<struct<word:binary,n:long>>, units binary"
+)
+SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double"
 
 
 @dataclass(frozen=True)
 class Shape:
-    """words: those that are units of their own, the end included. rounds: how often all learning texts are
-    trained on. fraction: the parts of a round, with an average after each. head: words whose counts travel to the tasks."""
-
-    words: int = 336
-    size: int = 24
+    """words: those that are units of their own, the end included; up to 65,000. members: units in a group. noise: groups
+    drawn for each batch of tokens; inner: members drawn in each group. rounds: how often all learning texts
+    are trained on. fraction: the parts of a round, with an average after each. batch: tokens of a step.
+    head: words at most whose counts travel to the tasks."""
+
+    words: int = 2000
+    members: int = 64
+    size: int = 16
     order: int = 4
-    noise: int = 64
+    noise: int = 32
+    inner: int = 16
     rounds: int = 1
     fraction: int = 16
-    rate: float = 0.12
+    rate: float = 0.25
+    damping: float = 1e-2
+    batch: int = 1024
     head: int = 1 << 18
 
+    @property
+    def groups(self) -> int:
+        return -(-(self.words + CLASSES) // self.members)
+
     @property
     def units(self) -> int:
-        return self.words + CLASSES
+        """With those that fill the last group up, which never occur."""
+        return self.groups * self.members
 
     @property
     def shapes(self) -> list[tuple[int, ...]]:
-        """Of context vectors, mean vectors, unit vectors, places and unit biases."""
+        """Of context vectors, mean vectors, unit vectors, places, unit biases, group vectors and group biases."""
         table = (self.units, self.size)
-        return [table, table, table, (self.order + 1, self.size), (self.units,)]
+        return [table, table, table, (self.order + 1, self.size), (self.units,), (self.groups, self.size), (self.groups,)]
 
     def split(self, flat: np.ndarray) -> list[np.ndarray]:
         ends = np.cumsum([int(np.prod(s)) for s in self.shapes])
@@ -105,122 +125,214 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def context(tables: list[np.ndarray], ids: np.ndarray, begin: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For a run of texts' units: the predicted vectors, the units before each by place (-1: none), and how
-    many there are before each. begin: where each unit's text begins."""
-    near, mean, _, place, _ = tables
-    at = np.arange(len(ids))
-    before = np.full((order, len(ids)), -1)
-    for k in range(order):
-        there = at - k - 1 >= begin
-        before[k, there] = ids[at[there] - k - 1]
-    seen = np.maximum(at - begin, 1).astype(np.float32)
-    run = np.cumsum(mean[ids], axis=0, dtype=np.float64)
-    run = np.concatenate([np.zeros((1, run.shape[1])), run])
-    total = (run[at] - run[begin]).astype(np.float32)
-    made = place[order] * (total / seen[:, None])
-    padded = np.vstack([near, np.zeros((1, near.shape[1]), near.dtype)])
-    for k in range(order):
-        made += place[k] * padded[before[k]]
-    return made, before, seen
+BLOCK = 32  # units of a text that share one mean
+
+
+class Blocks:
+    """A run of texts' units in blocks that begin anew with each text. before: how many units of its text are
+    before each; of: each unit's block; starts: where the blocks begin; text: the first block of each one's text."""
+
+    def __init__(self, begin: np.ndarray):
+        n = len(begin)
+        self.before = np.arange(n) - begin
+        new = self.before % BLOCK == 0
+        self.starts, self.of = np.flatnonzero(new), np.cumsum(new) - 1
+        self.text = self.of[begin[self.starts]]
+        self.seen = np.maximum(self.before[self.starts], 1).astype(np.float32)[:, None]
+
+    def means(self, rows: np.ndarray) -> np.ndarray:
+        """For each block the mean of its text's rows before it; zero for a text's first."""
+        run = np.zeros((len(self.starts) + 1, rows.shape[1]))
+        np.cumsum(np.add.reduceat(rows, self.starts, axis=0), axis=0, dtype=np.float64, out=run[1:])
+        return (run[:-1] - run[self.text]).astype(np.float32) / self.seen
+
+    def given_back(self, rows: np.ndarray) -> np.ndarray:
+        """For each block what its units' rows in means() get, if each unit's mean gets a row of `rows`: the sums
+        of all later blocks of its text."""
+        run = np.zeros((len(self.starts) + 1, rows.shape[1]))
+        np.cumsum(np.add.reduceat(rows, self.starts, axis=0) / self.seen, axis=0, dtype=np.float64, out=run[1:])
+        last = np.append(np.flatnonzero(np.diff(self.text)), len(self.starts) - 1)
+        end = last[np.searchsorted(last, np.arange(len(self.starts)))] + 1
+        return (run[end] - run[1:]).astype(np.float32)
+
+
+def context(tables: list[np.ndarray], ids: np.ndarray, begin: np.ndarray, order: int) -> tuple[np.ndarray, Blocks, np.ndarray, np.ndarray]:
+    """For a run of texts' units: the predicted vectors, their blocks, the blocks' means, and the units' own
+    context vectors. begin: where each unit's text begins."""
+    near, mean, place = tables[0], tables[1], tables[3]
+    n, blocks = len(ids), Blocks(begin)
+    means = blocks.means(mean[ids])
+    made, held = (means * place[order])[blocks.of], near[ids]
+    for k in range(min(order, n - 1)):
+        moved = held[: n - k - 1] * place[k]
+        moved[blocks.before[k + 1 :] <= k] = 0
+        made[k + 1 :] += moved
+    return made, blocks, means, held
+
+
+def _log_sums(score: np.ndarray) -> np.ndarray:
+    """Logarithms of each row's sum of exponentials; overwrites score."""
+    top = score.max(axis=1)
+    score -= top[:, None]
+    np.exp(score, out=score)
+    return np.log(score.sum(axis=1)) + top
 
 
 def log_probabilities(tables: list[np.ndarray], ids: np.ndarray, begin: np.ndarray, order: int) -> np.ndarray:
     """Natural logarithms of each unit's normalised probability given those before it in its text."""
-    made, _, _ = context(tables, ids, begin, order)
-    unit, bias = tables[2], tables[4]
-    made = np.hstack([made, np.ones((len(made), 1), np.float32)])
-    unit = np.ascontiguousarray(np.hstack([unit, bias[:, None]]).T)
-    # No score is larger than this, so sums of exponentials seldom need a shift.
-    most = np.sqrt((made * made).sum(axis=1).max(initial=0) * (unit * unit).sum(axis=0).max())
-    one = np.ones(unit.shape[1], np.float32)
+    unit, bias, group, group_bias = tables[2], tables[4], tables[5], tables[6]
+    members = len(unit) // len(group)
     out = np.empty(len(ids))
-    for i in range(0, len(ids), 2048):
-        score = made[i : i + 2048] @ unit
-        own = score[np.arange(len(score)), ids[i : i + 2048]].astype(np.float64)
-        top = np.zeros((len(score), 1), np.float32)
-        if most > 60:
-            top = score.max(axis=1, keepdims=True)
-            score -= top
-        np.exp(score, out=score)
-        out[i : i + 2048] = own - top[:, 0] - np.log((score @ one).astype(np.float64))
+    if not len(ids):
+        return out
+    made = context(tables, ids, begin, order)[0]
+    of = ids // members
+    for i in range(0, len(ids), 4096):
+        score = made[i : i + 4096] @ group.T
+        score += group_bias
+        own = score[np.arange(len(score)), of[i : i + 4096]].astype(np.float64)
+        out[i : i + 4096] = own - _log_sums(score)
+    rank = np.argsort(of, kind="stable")
+    edges = np.flatnonzero(np.diff(of[rank], prepend=-1))
+    for a, b in zip(edges.tolist(), np.append(edges[1:], len(ids)).tolist(), strict=True):
+        for i in range(a, b, 4096):
+            some = rank[i : min(b, i + 4096)]
+            low = of[some[0]] * members
+            score = made[some] @ unit[low : low + members].T
+            score += bias[low : low + members]
+            own = score[np.arange(len(some)), ids[some] - low].astype(np.float64)
+            out[some] += own - _log_sums(score)
     return out
 
 
-def _scatter(ids: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """Sums of rows by id."""
-    order = np.argsort(ids, kind="stable")
-    ids, rows = ids[order], rows[order]
-    first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1]))) if len(ids) else np.array([], dtype=np.int64)
-    out = np.zeros((n, rows.shape[1]), dtype=np.float32)
-    if len(first):
-        out[ids[first]] = np.add.reduceat(rows, first, axis=0)
-    return out
+def _slopes(good: np.ndarray, bad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Derivatives of log sigma(good) and of log sigma(-bad)."""
+    return 1 / (1 + np.exp(np.clip(good, -30, 30))), -1 / (1 + np.exp(np.clip(-bad, -30, 30)))
 
 
 class Trainer:
-    """Noise-contrastive estimation with AdaGrad; noise units are drawn once for each batch of tokens."""
+    """Noise-contrastive estimation with AdaGrad, of groups and of members within their group. The noise is
+    drawn once for each batch of tokens, for the members once in each group."""
 
     def __init__(self, shape: Shape, tables: list[np.ndarray], share: np.ndarray, seed: int):
-        self.shape, self.tables, self.share = shape, [x.astype(np.float32).copy() for x in tables], share
+        self.shape, self.tables = shape, [x.astype(np.float32).copy() for x in tables]
         self.rng = np.random.default_rng(seed)
-        self.square = [np.full(x.shape, 1e-2, dtype=np.float32) for x in self.tables]
+        self.square = [np.full(x.shape, shape.damping, dtype=np.float32) for x in self.tables]
         self.seen = 0
-
-    def step(self, ids: np.ndarray, begin: np.ndarray) -> None:
-        s, (near, mean, unit, place, bias) = self.shape, self.tables
-        made, before, seen = context(self.tables, ids, begin, s.order)
-        noise = self.rng.choice(s.units, size=s.noise, p=self.share)
-        shift = np.log(s.noise * self.share).astype(np.float32)
-        good = np.einsum("ij,ij->i", made, unit[ids]) + bias[ids] - shift[ids]
-        bad = made @ unit[noise].T + (bias - shift)[noise]
-        d_good = 1 / (1 + np.exp(np.clip(good, -30, 30)))  # of log sigma(good)
-        d_bad = -1 / (1 + np.exp(np.clip(-bad, -30, 30)))
-        d_made = d_good[:, None] * unit[ids] + d_bad @ unit[noise]
-        g_unit = _scatter(ids, d_good[:, None] * made, s.units)
-        np.add.at(g_unit, noise, d_bad.T @ made)
-        g_bias = np.bincount(ids, d_good, s.units) + np.bincount(noise, d_bad.sum(axis=0), s.units)
-        g_place, g_near = np.zeros_like(place), np.zeros_like(near)
-        for k in range(s.order):
-            there = before[k] >= 0
-            where, d = before[k][there], d_made[there]
-            g_place[k] = (d * near[where]).sum(axis=0)
-            g_near += _scatter(where, d * place[k], s.units)
-        # What a unit gives to the means of all later ones of its text, by sums from the end.
-        run = np.concatenate([np.zeros((1, mean.shape[1])), np.cumsum(mean[ids], axis=0, dtype=np.float64)])
-        at = np.arange(len(ids))
-        g_place[s.order] = (d_made * ((run[at] - run[begin]) / seen[:, None])).sum(axis=0)
-        back = np.cumsum((d_made / seen[:, None])[::-1], axis=0, dtype=np.float64)[::-1]
-        back = np.concatenate([back, np.zeros((1, back.shape[1]))])
-        stop = np.append(begin, len(ids))
-        end = np.searchsorted(stop, begin, side="right")  # where each unit's text ends
-        g_mean = _scatter(ids, ((back[at + 1] - back[end]) * place[s.order]).astype(np.float32), s.units)
-        for x, g, q in zip(self.tables, (g_near, g_mean, g_unit, g_place, g_bias.astype(np.float32)), self.square, strict=True):
-            g = g / len(ids)
+        by_group = share.reshape(shape.groups, shape.members)
+        self.group_share = by_group.sum(axis=1)
+        inside = by_group / self.group_share[:, None]
+        self.group_shift = np.log(shape.noise * self.group_share).astype(np.float32)
+        self.shift = np.log(shape.inner * inside).astype(np.float32).ravel()
+        self.reach = np.cumsum(inside, axis=1) + np.arange(shape.groups)[:, None]  # group g's lie in g to g + 1
+
+    def members_drawn(self) -> np.ndarray:
+        """(groups, inner): units drawn from each group's members by their shares."""
+        s, low = self.shape, np.arange(self.shape.groups)[:, None]
+        at = np.searchsorted(self.reach.ravel(), low + self.rng.random((s.groups, s.inner)))
+        return np.clip(at, low * s.members, (low + 1) * s.members - 1)
+
+    def step(self, ids: np.ndarray, begin: np.ndarray, drawn: tuple[np.ndarray, np.ndarray] | None = None) -> None:
+        s, (near, mean, unit, place, bias, group, group_bias) = self.shape, self.tables
+        made, blocks, means, held = context(self.tables, ids, begin, s.order)
+        noise, others = drawn or (self.rng.choice(s.groups, size=s.noise, p=self.group_share), self.members_drawn())
+        n, rank = len(ids), np.argsort(ids, kind="stable")  # by group too
+        first = np.flatnonzero(np.diff(ids[rank], prepend=-1))
+        made, ids = made[rank], ids[rank]
+        of = ids // s.members
+        edges = np.flatnonzero(np.diff(of, prepend=-1))
+
+        level = group_bias - self.group_shift
+        own = group[of]
+        d_good, d_bad = _slopes(np.einsum("ij,ij->i", made, own) + level[of], made @ group[noise].T + level[noise])
+        slope = d_good[:, None] * own + d_bad @ group[noise]
+        g_group = np.zeros_like(group)
+        g_group[of[edges]] = np.add.reduceat(d_good[:, None] * made, edges, axis=0)
+        np.add.at(g_group, noise, d_bad.T @ made)
+        g_group_bias = np.bincount(of, d_good, s.groups) + np.bincount(noise, d_bad.sum(axis=0), s.groups)
+
+        level = bias - self.shift
+        own = unit[ids]
+        score, bad = np.einsum("ij,ij->i", made, own) + level[ids], np.empty((n, s.inner), dtype=np.float32)
+        stops = np.append(edges[1:], n).tolist()
+        far = unit[others]
+        for g, a, b in zip(of[edges].tolist(), edges.tolist(), stops, strict=True):
+            np.matmul(made[a:b], far[g].T, out=bad[a:b])
+        bad += level[others][of]
+        d_good, d_bad = _slopes(score, bad)
+        slope += d_good[:, None] * own
+        g_unit, g_bias = np.zeros_like(unit), np.bincount(ids, d_good, s.units)
+        g_far = np.zeros((s.groups, s.inner, s.size), dtype=np.float32)
+        for g, a, b in zip(of[edges].tolist(), edges.tolist(), stops, strict=True):
+            slope[a:b] += d_bad[a:b] @ far[g]
+            np.matmul(d_bad[a:b].T, made[a:b], out=g_far[g])
+        there = of[edges]
+        np.add.at(g_unit, others.ravel(), g_far.reshape(-1, s.size))
+        np.add.at(g_bias, others[there].ravel(), np.add.reduceat(d_bad, edges, axis=0).ravel())
+
+        # The slopes go on to what made the predictions: the units before, and the means of all of them.
+        d_made = np.empty_like(slope)
+        d_made[rank] = slope
+        g_place, d_near = np.zeros_like(place), np.zeros_like(held)
+        for k in range(min(s.order, n - 1)):
+            moved = d_made[k + 1 :].copy()
+            moved[blocks.before[k + 1 :] <= k] = 0
+            g_place[k] = np.einsum("ij,ij->j", moved, held[: n - k - 1])
+            moved *= place[k]
+            d_near[: n - k - 1] += moved
+        g_place[s.order] = np.einsum("ij,ij->j", np.add.reduceat(d_made, blocks.starts, axis=0), means)
+        d_mean = blocks.given_back(d_made) * place[s.order]
+        rows = np.concatenate([d_near[rank], d_mean[blocks.of[rank]], d_good[:, None] * made], axis=1)
+        rows = np.add.reduceat(rows, first, axis=0)
+        g_near, g_mean = np.zeros_like(near), np.zeros_like(mean)
+        g_near[ids[first]], g_mean[ids[first]] = rows[:, : s.size], rows[:, s.size : 2 * s.size]
+        g_unit[ids[first]] += rows[:, 2 * s.size :]
+
+        slopes = (g_near, g_mean, g_unit, g_place, g_bias.astype(np.float32), g_group, g_group_bias.astype(np.float32))
+        for x, g, q in zip(self.tables, slopes, self.square, strict=True):
+            g /= n
             q += g * g
-            x += s.rate * g / np.sqrt(q)
-        self.seen += len(ids)
+            g *= s.rate
+            g /= np.sqrt(q)
+            x += g
+        self.seen += n
 
 
 class Words:
-    """What a task knows of words: the head's places, and each place's unit and logarithms."""
+    """What a task knows of words: the head's places, and each place's unit and logarithms. classes: each class's
+    unit. unit: that of each of the first `single` words."""
 
-    def __init__(self, words: list[bytes], counts: np.ndarray, total: int, distinct: int, shape: Shape, class_sums: np.ndarray):
+    def __init__(self, words: list[bytes], counts: np.ndarray, unit: np.ndarray, classes: np.ndarray, total: int, distinct: int, class_sums: np.ndarray):
         self.place = {w: i for i, w in enumerate(words)}
-        n = len(words)
-        self.unit = np.array([i if i < shape.words else shape.words + word_class(w) for i, w in enumerate(words)], dtype=np.int64)
+        single = len(unit)
+        kind = np.array([word_class(w) for w in words[single:]], dtype=np.int64)
+        self.classes = classes
+        self.unit = np.concatenate([unit, classes[kind]])
         self.base_floor = np.log10(total + distinct + 1.0)
         self.class_floor = np.log10(class_sums[:, 0] + class_sums[:, 1] + 1.0)
         self.base = np.log10(counts + 1.0) - self.base_floor
-        self.inner = np.where(np.arange(n) < shape.words, 0.0, np.log10(counts + 1.0) - self.class_floor[np.maximum(self.unit - shape.words, 0)])
+        self.inner = np.concatenate([np.zeros(single), np.log10(counts[single:] + 1.0) - self.class_floor[kind]])
 
-    def units(self, words: list[bytes], first_class: int) -> tuple[np.ndarray, np.ndarray]:
-        """Units and places of words; the place is -1 beyond the head."""
+    def coded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of words: units, places (-1 beyond the head), base logarithms, and logarithms within the unit; of
+        words beyond the head the latter two lack that of the count with one added."""
         place = np.fromiter(map(self.place.get, words, repeat(-1)), dtype=np.int64, count=len(words))
-        unit = self.unit[place] if len(self.unit) else np.zeros(len(words), dtype=np.int64)
-        for i in np.flatnonzero(place < 0):
-            unit[i] = first_class + word_class(words[i])
-        return unit, place
+        unit, base, inner = self.unit[place], self.base[place], self.inner[place]
+        far = np.flatnonzero(place < 0)
+        kind = np.fromiter((word_class(words[i]) for i in far), dtype=np.int64, count=len(far))
+        unit[far], base[far], inner[far] = self.classes[kind], -self.base_floor, -self.class_floor[kind]
+        return unit, place, base, inner
+
+
+_held: dict[str, Words] = {}
+
+
+def words_of(name: str, *given) -> Words:
+    """One for all tasks of a worker process."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = Words(*given)
+    return _held[name]
 
 
 def _tokens(text: bytes) -> list[bytes]:
@@ -229,25 +341,40 @@ def _tokens(text: bytes) -> list[bytes]:
     return words
 
 
+def head_words(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """The most frequent words with their counts, by count, then word: all from a count on that at most `most`
+    reach. Counts are first counted in steps of a 64th of a doubling, so one small table meets the driver."""
+    step = F.floor(F.log2(F.col("n").cast("double")) * 64).cast("int")
+    left, least = most, None
+    for at, n in counts.groupBy(step.alias("at")).agg(F.count("*")).orderBy(F.desc("at")).collect():
+        if n > left:
+            break
+        left, least = left - n, at
+    if least is None:
+        return []
+    rows = counts.filter(step >= least).toArrow()
+    return sorted(zip(rows.column("word").to_pylist(), rows.column("n").to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
+
+
 def score_texts(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs."""
     spark = docs.sparkSession
     rows = texts(docs)
-    learn = rows.filter(learning(F.col("doc_id")))
-    counts = cut(word_counts(learn), "counts")
+    counts = cut(word_counts(rows.filter(learning(F.col("doc_id")))), "counts")
     total, distinct = (x or 0 for x in counts.agg(F.sum("n"), F.count("*")).first())
 
-    # The end is a unit in any case, so it comes first; then by count.
-    first = counts.orderBy(F.when(F.col("word") == F.lit(bytearray(END)), 0).otherwise(1), F.desc("n"), "word").limit(shape.head).toArrow()
-    words = first.column("word").to_pylist() or [END]
-    numbers = np.array(first.column("n").to_pylist() or [0], dtype=np.float64)
-    single = set(words[: shape.words])
+    # The end is a unit in any case.
+    found = dict(head_words(counts, shape.head))
+    end = found.pop(END, None) or (counts.filter(F.col("word") == F.lit(bytearray(END))).agg(F.max("n")).first()[0] or 0)
+    words, numbers = [END, *found], np.array([end, *found.values()], dtype=np.float64)
+    single = min(len(words), shape.words)
+    own = set(words[:single])
 
     def class_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((CLASSES, 2), dtype=np.int64)
         for batch in batches:
             for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if w not in single:
+                if w not in own:
                     sums[word_class(w)] += (n, 1)
         yield pa.RecordBatch.from_arrays([pa.array(range(CLASSES), pa.int32()), pa.array(sums[:, 0]), pa.array(sums[:, 1])], ["class", "n", "words"])
 
@@ -255,54 +382,68 @@ def score_texts(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
     for c, n, v in counts.mapInArrow(class_rows, "class int, n long, words long").groupBy("class").agg(F.sum("n"), F.sum("words")).collect():
         class_sums[c] = n, v
 
-    share = np.ones(shape.units)
-    share[: min(len(words), shape.words)] += numbers[: shape.words]
-    share[shape.words :] += class_sums[:, 0]
+    # Units in order of their counts; those that stand for nothing come last.
+    share = np.zeros(shape.units)
+    share[:single] = numbers[:single] + 1
+    share[single : single + CLASSES] = class_sums[:, 0] + 1
+    order = np.argsort(-share, kind="stable")
+    unit = np.empty(shape.units, dtype=np.int64)
+    unit[order] = np.arange(shape.units)
+    share = np.maximum(share[order], 0.01)
     share /= share.sum()
-    known = spark.sparkContext.broadcast((words, numbers))  # `head` words at most
-    tables = fit(learn, known, share, total, distinct, class_sums, shape)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Words(*known.value, total, distinct, shape, class_sums)
+    name = uuid.uuid4().hex
+    known = spark.sparkContext.broadcast((words, numbers, unit[:single], unit[single : single + CLASSES], total, distinct, class_sums))  # `head` words at most
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False)).alias("held_out")
+    part = F.coalesce(F.crc32(F.concat(F.lit("round "), F.col("doc_id").cast("string")).cast("binary")) % shape.fraction, F.lit(0)).cast("int")
+    own_rows = rows.select("doc_id", "text", held_out, learning(F.col("doc_id")).alias("learn"), part.alias("part"))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = words_of(name, *known.value)
         row = TaskContext.get().partitionId() << 40
         for batch in by_bytes(batches, "text", 1 << 18):
             parts = [_tokens(x) for x in as_bytes(batch.column("text"))]
             sizes = np.array([len(p) for p in parts])
             flat = [w for p in parts for w in p]
-            unit, place = lexicon.units(flat, shape.words)
+            unit, place, base, inner = lexicon.coded(flat)
             edge = np.cumsum(sizes) - sizes
-            model = log_probabilities(tables, unit, np.repeat(edge, sizes), shape.order) / np.log(10)
             inside = place >= 0
-            base = np.where(inside, lexicon.base[place], -lexicon.base_floor)
-            model += np.where(inside, lexicon.inner[place], -lexicon.class_floor[np.maximum(unit - shape.words, 0)])
-            seen = inside & (total > 0)
-            rare = []
-            far = np.flatnonzero(~inside)
-            for lo, n in zip(edge.tolist(), sizes.tolist(), strict=True):
-                some = far[np.searchsorted(far, lo) : np.searchsorted(far, lo + n)]
-                rare.append([{"word": w, "n": k} for w, k in Counter(flat[i] for i in some).items()])
-            count = batch.num_rows
+            far, rare = np.flatnonzero(~inside), []
+            for lo, hi in zip(np.searchsorted(far, edge).tolist(), np.searchsorted(far, edge + sizes).tolist(), strict=True):
+                rare.append([{"word": w, "n": k} for w, k in Counter(flat[i] for i in far[lo:hi].tolist()).items()])
+            seen = (inside & (known.value[1] > 0)[place]).astype(np.int64)
+            ids = unit.astype("<u2").tobytes()
             columns = [
-                pa.array(range(row, row + count), pa.int64()),
-                batch.column("doc_id"),
-                batch.column("held_out"),
+                pa.array(range(row, row + batch.num_rows), pa.int64()),
+                *(batch.column(c) for c in ("doc_id", "held_out", "learn", "part")),
                 pa.array(sizes, pa.int64()),
-                pa.array(np.add.reduceat(seen.astype(np.int64), edge)),
-                pa.array(np.add.reduceat(base, edge)),
-                pa.array(np.add.reduceat(model, edge)),
+                *(pa.array(np.add.reduceat(x, edge)) for x in (seen, base, inner)),
                 pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))),
+                pa.array([ids[2 * lo : 2 * (lo + n)] for lo, n in zip(edge.tolist(), sizes.tolist(), strict=True)], pa.binary()),
             ]
-            row += count
-            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "model", "rare"])
+            row += batch.num_rows
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in ENCODED.split(", ")])
 
-    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False)).alias("held_out")
-    scored = cut(rows.select("doc_id", "text", held_out).mapInArrow(run, SCORED), "scored")
+    encoded = cut(own_rows.mapInArrow(encode, ENCODED), "encoded")
+    tables = fit(encoded.filter("learn").select("part", "units"), share, shape)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "units", 1 << 17):
+            sizes = batch.column("n_tokens").to_numpy()
+            edge = np.cumsum(sizes) - sizes
+            ids = np.frombuffer(b"".join(batch.column("units").to_pylist()), dtype="<u2").astype(np.int64)
+            made = log_probabilities(tables, ids, np.repeat(edge, sizes), shape.order) / np.log(10)
+            model = np.add.reduceat(made, edge) + batch.column("inner").to_numpy()
+            names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(model)], [*names, "model"])
+
+    scored = encoded.select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "inner", "units").mapInArrow(score, SCORED)
 
     # A rare word's share is (count + 1) over the floor already taken; of unseen words the count is 0.
-    rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", F.col("r.n").alias("tf"))
+    rare = encoded.select("row", F.explode("rare").alias("r")).select("row", "r.word", F.col("r.n").alias("tf"))
     more = rare.join(counts, "word").groupBy("row").agg(F.sum("tf").alias("known"), F.sum(F.col("tf") * F.log10(F.col("n") + F.lit(1.0))).alias("gain"))
     known_more, gain = F.coalesce("known", F.lit(0)), F.coalesce("gain", F.lit(0.0))
-    return scored.drop("rare").join(more, "row", "left").select(
+    return scored.join(more, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
@@ -313,45 +454,64 @@ def score_texts(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
     )
 
 
-def fit(learn: DataFrame, known, share: np.ndarray, total: int, distinct: int, class_sums: np.ndarray, shape: Shape) -> list[np.ndarray]:
-    """The model's tables after all rounds. What reaches the driver is one model, whatever the corpus."""
+def fitted(trainer: Trainer, texts_units: Iterator[np.ndarray]) -> None:
+    """Takes the trainer through texts, in batches; a very long text's parts begin anew."""
+    shape = trainer.shape
+    held, size = [], 0
+
+    def step() -> None:
+        sizes = np.array([len(x) for x in held])
+        trainer.step(np.concatenate(held), np.repeat(np.cumsum(sizes) - sizes, sizes))
+        held.clear()
+
+    for unit in texts_units:
+        for i in range(0, len(unit), shape.batch):
+            held.append(unit[i : i + shape.batch])
+            size += len(held[-1])
+            if size >= shape.batch:
+                step()
+                size = 0
+    if held:
+        step()
+
+
+def fit(learn: DataFrame, share: np.ndarray, shape: Shape, together: int = 64, slices: int = 8) -> list[np.ndarray]:
+    """The model's tables after all rounds. learn: part, units. Copies are added up by slices of their numbers,
+    first `together` tasks', then all; what reaches the driver is one model, whatever the corpus."""
     rng = np.random.default_rng(11)
     tables = [rng.normal(0, 0.1, s).astype(np.float32) for s in shape.shapes]
     tables[3][:] = 1.0
     tables[4][:] = np.log(share)
+    tables[6][:] = np.log(share.reshape(shape.groups, shape.members).sum(axis=1))
+
+    def added(table: pa.Table) -> tuple[int, bytes]:
+        made = sum(np.frombuffer(x, dtype="<f8") for x in table.column("made").to_pylist())
+        return sum(table.column("n").to_pylist()), made.tobytes()
+
+    def some(key: tuple, table: pa.Table) -> pa.Table:
+        n, made = added(table)
+        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([n], pa.int64()), "made": pa.array([made], pa.binary())})
+
     for turn in range(shape.rounds * shape.fraction):
         start = tables
 
         def train(batches: Iterator[pa.RecordBatch], start=start, turn=turn) -> Iterator[pa.RecordBatch]:
-            lexicon = Words(*known.value, total, distinct, shape, class_sums)
-            trainer = Trainer(shape, start, share, (turn << 32) + TaskContext.get().partitionId())
-            held: list[np.ndarray] = []
-
-            def step() -> None:
-                sizes = np.array([len(x) for x in held])
-                edge = np.cumsum(sizes) - sizes
-                trainer.step(np.concatenate(held), np.repeat(edge, sizes))
-                held.clear()
-
-            for batch in by_bytes(batches, "text", 1 << 18):
-                for text in as_bytes(batch.column("text")):
-                    unit, _ = lexicon.units(_tokens(text), shape.words)
-                    for i in range(0, len(unit), 1024):  # a long text's parts begin anew
-                        held.append(unit[i : i + 1024])
-                        if sum(map(len, held)) >= 1024:
-                            step()
-            if held:
-                step()
-            flat = np.concatenate([x.ravel() for x in trainer.tables]).astype(np.float64)
+            task = TaskContext.get().partitionId()
+            trainer = Trainer(shape, start, share, (turn << 32) + task)
+            fitted(trainer, (np.frombuffer(x, dtype="<u2").astype(np.int64) for batch in batches for x in batch.column("units").to_pylist()))
             if trainer.seen:
-                yield pa.RecordBatch.from_arrays([pa.array([trainer.seen], pa.int64()), pa.array([flat], pa.list_(pa.float64()))], ["n", "made"])
-
-        part = F.crc32(F.concat(F.lit("round "), F.col("doc_id").cast("string")).cast("binary")) % shape.fraction
-        chosen = learn.filter(part == turn % shape.fraction)
-        made = chosen.mapInArrow(train, "n long, made array<double>").select("n", F.posexplode("made").alias("at", "x"))
-        mean = made.groupBy("at").agg((F.sum(F.col("n") * F.col("x")) / F.sum("n")).alias("x")).toArrow().sort_by("at")
-        if mean.num_rows:
-            tables = [x.astype(np.float32) for x in shape.split(mean.column("x").to_numpy())]
+                flat = np.concatenate([x.ravel() for x in trainer.tables]).astype("<f8") * trainer.seen
+                parts = [x.tobytes() for x in np.array_split(flat, slices)]
+                columns = [pa.array(range(slices), pa.int32()), pa.array([task // together] * slices, pa.int64()), pa.array([trainer.seen] * slices, pa.int64()), pa.array(parts, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["slice", "block", "n", "made"])
+
+        chosen = learn.filter(F.col("part") == turn % shape.fraction).select("units")
+        made = chosen.mapInArrow(train, "slice int, block long, n long, made binary")
+        made = made.groupBy("slice", "block").applyInArrow(some, "slice int, n long, made binary")
+        made = made.groupBy("slice").applyInArrow(some, "slice int, n long, made binary").toArrow().sort_by("slice")
+        if made.num_rows:
+            flat = np.concatenate([np.frombuffer(x, dtype="<f8") for x in made.column("made").to_pylist()])
+            tables = [x.astype(np.float32) for x in shape.split(flat / made.column("n")[0].as_py())]
     return tables
 
 

@@ -46,24 +46,29 @@ def test_probabilities_are_normalised():
 
 
 def test_gradients_are_those_of_the_objective():
-    shape, rng = lm.Shape(words=4, size=3, noise=5, rate=1.0), np.random.default_rng(1)
+    shape, rng = lm.Shape(words=4, size=3, noise=5, inner=3, members=8, rate=1.0), np.random.default_rng(1)
     share = rng.dirichlet(np.ones(shape.units))
     tables = [rng.normal(0, 0.5, s) for s in shape.shapes]
     ids, begin = rng.integers(0, shape.units, 12), np.repeat([0, 7], [7, 5])
+    noise, others = rng.integers(0, shape.groups, 5), np.arange(shape.groups)[:, None] * 8 + np.array([rng.permutation(8)[:3] for _ in range(shape.groups)])
+    by_group = share.reshape(shape.groups, 8)
+    group_shift = np.log(shape.noise * by_group.sum(1))
+    shift = np.log(shape.inner * by_group / by_group.sum(1)[:, None]).ravel()
 
     def objective(tables):
-        noise = np.random.default_rng(3).choice(shape.units, size=shape.noise, p=share)
-        made, _, _ = lm.context(tables, ids, begin, shape.order)
-        shift = np.log(shape.noise * share)
-        good = (made * tables[2][ids]).sum(1) + (tables[4] - shift)[ids]
-        bad = made @ tables[2][noise].T + (tables[4] - shift)[noise]
-        return (-np.log1p(np.exp(-good)).sum() - np.log1p(np.exp(bad)).sum()) / len(ids)
+        made = lm.context(tables, ids, begin, shape.order)[0]
+        of = ids // 8
+        parts = [
+            ((made * tables[5][of]).sum(1) + (tables[6] - group_shift)[of], made @ tables[5][noise].T + (tables[6] - group_shift)[noise]),
+            ((made * tables[2][ids]).sum(1) + (tables[4] - shift)[ids], np.einsum("ij,ikj->ik", made, tables[2][others[of]]) + (tables[4] - shift)[others[of]]),
+        ]
+        return sum(-np.log1p(np.exp(-good)).sum() - np.log1p(np.exp(bad)).sum() for good, bad in parts) / len(ids)
 
     trainer = lm.Trainer(shape, tables, share, 3)
-    trainer.square = [np.zeros_like(x) for x in trainer.square]
+    trainer.square = [np.full_like(x, 1e-12) for x in trainer.square]
     start = [x.copy() for x in trainer.tables]
-    trainer.step(ids, begin)
-    for t in range(5):
+    trainer.step(ids, begin, (noise, others))
+    for t in range(7):
         for at in list(np.ndindex(tables[t].shape))[:: max(1, tables[t].size // 25)]:
             moved = [x.copy() for x in tables]
             moved[t][at] += 1e-3
@@ -75,6 +80,26 @@ def test_gradients_are_those_of_the_objective():
                 assert (trainer.tables[t][at] > start[t][at]) == (slope > 0)
 
 
+def test_members_are_drawn_by_their_shares():
+    shape = lm.Shape(words=4, members=8, inner=4)
+    share = np.random.default_rng(1).dirichlet(np.ones(shape.units))
+    trainer = lm.Trainer(shape, [np.zeros(s) for s in shape.shapes], share, 3)
+    drawn = np.concatenate([trainer.members_drawn() for _ in range(4000)], axis=1)
+    for g in range(shape.groups):
+        part = share[8 * g : 8 * g + 8]
+        assert np.bincount(drawn[g], minlength=shape.units)[8 * g : 8 * g + 8] / drawn.shape[1] == pytest.approx(part / part.sum(), abs=0.02)
+        assert (drawn[g] // 8 == g).all()
+
+
+def test_head_words_fit_the_bound(spark):
+    rows = [(bytes([97 + i % 26, 97 + i // 26]), 1 + i // 3) for i in range(400)]
+    counts = spark.createDataFrame(rows, "word binary, n long")
+    for most in (0, 2, 30, 500):
+        found = lm.head_words(counts, most)
+        assert len(found) <= most and len(found) >= min(most, 400) - 30
+        assert found == sorted(rows, key=lambda x: (-x[1], x[0]))[: len(found)]
+
+
 def test_held_out_texts_are_predicted_better_than_by_counts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = [r for r in lm.score_texts(docs, lm.Shape(fraction=1, rounds=3)).collect() if r.held_out]
