@@ -2,20 +2,21 @@
 candidates, the exact Jaccard similarity of the shingle sets decides.
 
 Two sets of shingles with Jaccard similarity j differ in about acos(2j / (1 + j)) / pi of the fingerprint's
-bits: 155 of 1024 at 0.8, give or take 12; sets of a handful of shingles come to 192. `REACH` lies three
-deviations above that and only spares comparisons: whatever is within it is decided by the sets.
+bits: 155 of 1024 at 0.8, give or take 12; sets of a handful of shingles come to 192. Pairs within `SURE` bits,
+five deviations below that, link; pairs beyond `REACH`, six above, don't; all between are decided by their sets.
 
-All 42 segments of 24 bits are the tables' keys. Each fingerprint enumerates the Hamming ball of radius 1
-around every segment and fetches the entries there. Links are symmetric, so keys with one set bit cleared
-suffice. By calculation a pair at similarity 0.8 shares a segment's ball with probability 0.989, at 0.85 with
-0.9995; at 192 bits with 0.85. 64 further bits travel with the entries, and a pair that differs in more than 24
-of them (five deviations from what 0.8 gives) is let go before anything is joined.
+The tables' keys are 84 segments of 24 bits: 42 of neighbouring bytes, and 42 more of bytes that lie apart.
+Each fingerprint enumerates a small Hamming ball around every segment: the segment and its neighbour in the bit
+whose sum over the shingles was nearest to zero, which is the likeliest to differ in a similar text. Both of a
+pair ask, so by calculation a pair at similarity 0.8 shares a segment's ball with probability 0.04 and one of
+the 84 with 0.97; at 0.85 with 0.999. 64 further bits travel with the entries, and a pair that differs in more
+than 24 of them (five deviations from what 0.8 gives) is let go before anything is joined.
 
 The smallest node that holds a key is its pivot, and all who ask for the key meet the pivot first: a group
 of n copies takes a number of pairs in proportion to n, not to its square. Only those whom the pivots did not
 bring into one component meet each other after that. Where more than `dense` nodes hold a key, they needn't
 meet if both are linked to the pivot, and by the triangle inequality those linked to it meet only those within
-twice the REACH. Nothing is capped.
+twice the REACH. Nothing is capped. Sets are made anew from the texts of those whom they have to decide on.
 
 Defined cases: a null or empty text, or one without words, has no shingles and the fingerprint zero; such rows
 are copies of each other. Shingles count once. A text of fewer words than a shingle has one shingle. Shingles
@@ -24,24 +25,26 @@ and their sets are known by 64-bit hashes. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
 
 from .common import as_bytes, by_bytes, cut
 from .components import connected_components, thinned
-from .simhash import _ball
 
 WORDS = 16  # of 64 bits
-RADIUS = 166  # where fingerprints alone decide
-REACH = 230  # where the shingles do
-SEGMENTS, BITS = 42, 24
+SURE, REACH = 96, 230  # bits
 LOOK = 24  # of the 64 bits that travel along
+BITS = 24
+#: The bytes of each segment.
+PARTS = np.concatenate([np.arange(126).reshape(42, 3), np.arange(126).reshape(3, 42).T])
+#: The bits of each segment.
+PLACES = (PARTS[:, :, None] * 8 + np.arange(8)).reshape(len(PARTS), BITS)
+PROBE = "key int, node long, look long, flip boolean"
 #: Odd multipliers, one for each 64 bits of the fingerprint: steps of the golden ratio.
 _STEPS = (np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -71,41 +74,71 @@ def shingles(text: bytes, width: int) -> np.ndarray:
     return np.sort(np.fromiter(made, dtype=np.uint64, count=len(made)))
 
 
-def _majority(hashes: np.ndarray) -> np.ndarray:
-    """SimHash of shingles, as 16 unsigned 64-bit numbers."""
+def _sums(hashes: np.ndarray) -> np.ndarray:
+    """For each of the 1024 bits, in how many more hashes it is set than not."""
     bits = np.zeros(64 * WORDS, dtype=np.int64)
     for start in range(0, len(hashes), 255):  # as many as a byte can count
         bits += np.unpackbits(_spread(hashes[start : start + 255]), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
-    return np.packbits(2 * bits > len(hashes), bitorder="little").view("<u8")
+    return 2 * bits - len(hashes)
 
 
-def wide_fingerprint(text: bytes, width: int) -> np.ndarray:
-    return _majority(shingles(text, width))
+def wide_fingerprint(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """SimHash of shingles, as 16 unsigned 64-bit numbers, and the least certain bit of each segment."""
+    sums = _sums(hashes)
+    return np.packbits(sums > 0, bitorder="little").view("<u8"), np.abs(sums)[PLACES].argmin(axis=1).astype(np.uint8)
 
 
-def segments(fp: np.ndarray) -> np.ndarray:
-    """The keys: the first SEGMENTS groups of three bytes."""
-    parts = fp.view(np.uint8)[: 3 * SEGMENTS].reshape(-1, 3).astype(np.int64)
-    return parts[:, 0] | parts[:, 1] << 8 | parts[:, 2] << 16
+def segments(words: np.ndarray) -> np.ndarray:
+    """The keys of fingerprints (n, 16): (n, 84)."""
+    parts = np.ascontiguousarray(words).view(np.uint8).reshape(len(words), 8 * WORDS)[:, PARTS].astype(np.int32)
+    return parts[:, :, 0] | parts[:, :, 1] << 8 | parts[:, :, 2] << 16
 
 
 def wide_fingerprints(docs: DataFrame, width: int) -> DataFrame:
-    """docs' columns but `text`, with w0..w15, `keys` and `shingles`, for every row of docs (text and any other columns)."""
+    """docs' columns but `text`, with w0..w15, `weak` (the least certain bits) and `node`, a hash of the set of
+    shingles, for every row of docs (text and any other columns)."""
     others, names = [c for c in docs.columns if c != "text"], [f"w{i}" for i in range(WORDS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", 8 << 20):
             sets = [shingles(x, width) for x in as_bytes(batch.column("text"))]
-            made = np.array([_majority(x) for x in sets], dtype="<u8").reshape(-1, WORDS)
-            keys = pa.array([segments(x) for x in made], pa.list_(pa.int64()))
+            pairs = [wide_fingerprint(x) for x in sets]
+            made = np.array([x for x, _ in pairs], dtype="<u8").reshape(-1, WORDS)
             words = [pa.array(np.ascontiguousarray(made[:, i]).view("<i8")) for i in range(WORDS)]
-            hashes = pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), *words, keys, hashes], [*others, *names, "keys", "shingles"])
+            weak = pa.array([x.tobytes() for _, x in pairs], pa.binary())
+            node = pa.array(np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], dtype=np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), *words, weak, node], [*others, *names, "weak", "node"])
 
     schema = docs.drop("text").schema
     for name in names:
         schema = schema.add(name, "long")
-    return docs.mapInArrow(run, schema.add("keys", ArrayType(LongType())).add("shingles", ArrayType(LongType())))
+    return docs.mapInArrow(run, schema.add("weak", "binary").add("node", "long"))
+
+
+def _probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of PROBE: each segment as it is held, and with its least certain bit changed, as it is asked for."""
+    first = (np.arange(len(PARTS), dtype=np.int32) << BITS)[None]
+    for whole in batches:
+        for i in range(0, whole.num_rows, 2000):
+            batch = whole.slice(i, 2000)
+            words = np.stack([batch.column(f"w{k}").to_numpy() for k in range(WORDS)], axis=1)
+            weak = np.frombuffer(b"".join(batch.column("weak").to_pylist()), dtype=np.uint8).reshape(-1, len(PARTS)).astype(np.int32)
+            held = segments(words) | first
+            node, look = (np.repeat(x, 2 * len(PARTS)) for x in (batch.column("node").to_numpy(), words[:, WORDS - 1]))
+            key = np.concatenate([held, held ^ (1 << weak)], axis=1).ravel()
+            flip = np.tile(np.arange(2 * len(PARTS)) >= len(PARTS), len(words))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, node, look, flip)], ["key", "node", "look", "flip"])
+
+
+def sets_of(docs: DataFrame, width: int) -> DataFrame:
+    """(node, shingles) of docs (node, text), one row for each node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "text", 8 << 20):
+            made = [shingles(x, width).view(np.int64) for x in as_bytes(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(made, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    return docs.select("node", "text").mapInArrow(run, "node long, shingles array<bigint>").dropDuplicates(["node"])
 
 
 def _distance(left: str, right: str) -> Column:
@@ -125,63 +158,65 @@ def _alike(x: str, y: str) -> Column:
     return F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= LOOK
 
 
-def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have a Jaccard similarity of 0.8 or more. sets: node, shingles; perhaps repeated."""
-    pairs = cut(pairs.select("a", "b").distinct(), "candidates")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    own = cut(sets.join(ends, "node", "left_semi").dropDuplicates(["node"]), "sets")
+def _decided(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Edges (u, v) with the components of the pairs (a, b, d) that are within SURE bits or whose sets have a
+    Jaccard similarity of 0.8 or more. Sets are fetched only for pairs that the sure ones don't bring together.
+    sets: (node, shingles) of the nodes of a table."""
+    sure = connected_components(thinned(pairs.filter(F.col("d") <= SURE).select("a", "b")), "u", "v")
+    left, right = (sure.select(F.col("node").alias(n), F.col("root").alias(r)) for n, r in (("a", "x"), ("b", "y")))
+    open_ones = pairs.filter(F.col("d") > SURE).join(left, "a", "left").join(right, "b", "left")
+    open_ones = open_ones.filter(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b").distinct()
+    open_ones = cut(open_ones, "candidates")
+    own = cut(sets(open_ones.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "sets")
     left, right = (own.select(F.col("node").alias(n), F.col("shingles").alias(s)) for n, s in (("a", "x"), ("b", "y")))
     both = F.size(F.array_intersect("x", "y"))
     alike = 9 * both >= 4 * (F.size("x") + F.size("y"))  # both / (x + y - both) >= 0.8
-    return pairs.join(left, "a").join(right, "b").filter(alike).select("a", "b")
+    found = open_ones.join(left, "a").join(right, "b").filter(alike).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return cut(found.unionByName(sure.select(F.col("node").alias("u"), F.col("root").alias("v"))), "decided")
 
 
-def _met(asked: DataFrame, held: DataFrame, fps: DataFrame, radius: int) -> DataFrame:
-    """(a, b): who asked for a key that b of another component holds, each pair from one side where both hold
-    it, looks alike and is within radius. The fingerprints come to the keys, so that no candidate is shuffled."""
+def _met(asked: DataFrame, held: DataFrame, fps: DataFrame) -> DataFrame:
+    """(a, b, d): who asked for a key that b of another component holds, each pair from one side where both hold
+    it, looks alike and is within REACH. The fingerprints come to the keys, so that no candidate is shuffled."""
     asked = asked.join(_renamed(fps, "node", "l"), "node")
     held = held.select("key", F.col("node").alias("b"), F.col("look").alias("there"), F.col("root").alias("other"))
     held = held.join(_renamed(fps, "b", "r"), "b")
-    once: Column = (F.col("flip") >= 0) | (F.col("node") < F.col("b"))
+    once: Column = F.col("flip") | (F.col("node") < F.col("b"))
     apart = F.col("root") != F.col("other")
-    near = _distance("l", "r") <= radius
-    return asked.join(held, "key").filter(once & apart & _alike("look", "there") & near).select(F.col("node").alias("a"), "b")
+    met = asked.join(held, "key").filter(once & apart & _alike("look", "there"))
+    return met.select(F.col("node").alias("a"), "b", _distance("l", "r").alias("d")).filter(F.col("d") <= REACH)
 
 
-def links(fps: DataFrame, dense: int = 256, sets: DataFrame | None = None) -> DataFrame:
-    """(a, b): edges with the components of all pairs that share a segment's ball and whose `sets` are similar;
-    without sets, of those within RADIUS.
+def links(fps: DataFrame, sets: Callable[[DataFrame], DataFrame], dense: int = 256) -> DataFrame:
+    """(u, v): edges with the components of all pairs that share a segment's ball and are similar.
 
-    fps: distinct `node`, w0..w15, keys. sets: node, shingles."""
-    radius = RADIUS if sets is None else REACH
-    decided = (lambda pairs: pairs.select("a", "b")) if sets is None else (lambda pairs: cut(_similar(pairs, sets), "similar"))
-    key = F.shiftleft(F.col("seg").cast("long"), BITS) + F.col("key")
-    held = fps.select("node", F.col(f"w{WORDS - 1}").alias("look"), F.posexplode("keys").alias("seg", "key")).select("node", "look", key.alias("key"))
-    asked = _ball(held, "key", BITS, both_ways=False)
-    pivots = held.groupBy("key").agg(F.min(F.struct("node", "look")).alias("p"), (F.count("*") > dense).alias("full"), (F.count("*") > 1).alias("shared"))
-    asked = asked.join(pivots.select("key", F.col("p.node").alias("pivot"), F.col("p.look").alias("sight"), "full", "shared"), "key")
-    asked = cut(asked.filter("shared or node <> pivot"), "asked")
+    fps: distinct `node`, w0..w15, weak. sets: (node, shingles) of the nodes of a table."""
+    rows = fps.mapInArrow(_probes, PROBE).repartition("key")
+    pivot = F.min(F.when(~F.col("flip"), F.struct("node", "look")))
+    keys = rows.groupBy("key").agg(pivot.alias("p"), F.count_if(~F.col("flip")).alias("n")).filter("n > 0")
+    keys = keys.select("key", F.col("p.node").alias("pivot"), F.col("p.look").alias("sight"), (F.col("n") > dense).alias("full"), (F.col("n") > 1).alias("shared"))
+    asked = cut(rows.join(keys, "key").filter("shared or flip").filter(F.col("shared") | _alike("look", "sight")), "asked")
 
     to = asked.filter((F.col("node") != F.col("pivot")) & (F.col("full") | _alike("look", "sight")))
     to = to.groupBy(F.col("node").alias("a"), F.col("pivot").alias("b")).agg(F.max("full").alias("full"))
-    to = cut(_measured(to, fps).filter(F.col("full") | (F.col("d") <= radius)), "to-pivots")
-    linked = decided(to.filter(F.col("d") <= radius))
-    stars = cut(connected_components(thinned(linked), "u", "v"), "stars")
-
-    keys = asked.select("key", "pivot", "full").distinct()
-    held, asked = (x.join(stars, "node", "left").withColumn("root", F.coalesce("root", "node")) for x in (held.join(keys, "key"), asked))
-    held = cut(held, "held")
-    ends = held.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"))
-    asked = cut(asked.join(ends, "key").filter("root <> least or root <> most"), "apart")
-    held = held.join(asked.select("key").distinct(), "key", "left_semi")
-    far = to.filter("full").join(linked.withColumn("linked", F.lit(True)), ["a", "b"], "left")
-    far = far.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "d", F.coalesce("linked", F.lit(False)).alias("linked"))
-    light = _met(asked.filter("not full"), held.filter("not full"), fps, radius)
+    to = cut(_measured(to, fps).filter(F.col("full") | (F.col("d") <= REACH)), "to-pivots")
+    stars = cut(connected_components(thinned(_decided(to.filter(F.col("d") <= REACH).select("a", "b", "d"), sets)), "u", "v"), "stars")
+
+    # Those who met at a key's pivot and are in one component need not meet; the others do.
+    asked = asked.filter("shared").join(stars, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    ends = asked.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("key")
+    asked = cut(asked.join(ends, "key", "left_semi"), "apart")
+    held = asked.filter("not flip")
+    far = to.filter("full").join(stars.select(F.col("node").alias("a"), F.col("root").alias("x")), "a", "left").join(stars.select(F.col("node").alias("b"), F.col("root").alias("y")), "b", "left")
+    linked = (F.coalesce("x", "a") == F.coalesce("y", "b")) & (F.col("d") <= REACH)
+    far = far.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "d", linked.alias("linked"))
+    light = _met(asked.filter("not full"), held.filter("not full"), fps)
     own = {"d": F.coalesce("d", F.lit(0)), "linked": F.coalesce("linked", F.lit(True))}  # the pivot itself
     asked, held = (x.filter("full").join(far, ["node", "pivot"], "left").withColumns(own) for x in (asked, held))
-    rest = _met(asked.filter("not linked"), held, fps, radius)
-    rest = rest.unionByName(_met(asked.filter("linked"), held.filter(~F.col("linked") & (F.col("d") <= 2 * radius)), fps, radius))
-    return decided(light.unionByName(rest)).distinct().unionByName(stars.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    rest = _met(asked.filter("not linked"), held, fps)
+    rest = rest.unionByName(_met(asked.filter("linked"), held.filter(~F.col("linked") & (F.col("d") <= 2 * REACH)), fps))
+    more = cut(light.unionByName(rest).distinct(), "met")
+    return _decided(more, sets).unionByName(stars.select(F.col("node").alias("u"), F.col("root").alias("v")))
 
 
 def without_similar(docs: DataFrame, width: int = 5, dense: int = 256) -> DataFrame:
@@ -190,12 +225,17 @@ def without_similar(docs: DataFrame, width: int = 5, dense: int = 256) -> DataFr
     plain = F.coalesce(F.col("text").cast("string"), F.lit(""))
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(plain).alias("k1"), F.xxhash64(F.lit(7), plain).alias("k2"))
     named = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"), order.alias("at"))
-    made = wide_fingerprints(named.select("at", "text"), width)
     words = [f"w{i}" for i in range(WORDS)]
-    made = cut(made.withColumn("node", F.xxhash64("shingles")), "wide-fingerprints")
+    made = cut(wide_fingerprints(named.select("at", "text"), width), "wide-fingerprints")
     own = made.groupBy("node").agg(F.min("at").alias("first"))
-    fps = cut(made.select("node", *words, "keys").dropDuplicates(["node"]), "fingerprints")
-    found = connected_components(thinned(links(fps, dense, made.select("node", "shingles"))), "u", "v")
+    fps = cut(made.select("node", *words, "weak").dropDuplicates(["node"]), "fingerprints")
+
+    def sets(nodes: DataFrame) -> DataFrame:
+        first = own.join(nodes, "node", "left_semi").select("node", "first")
+        same = [F.col(f"at.{c}").eqNullSafe(F.col(f"first.{c}")) for c in ("none", "id", "k1", "k2")]
+        return sets_of(named.join(first, same[0] & same[1] & same[2] & same[3]), width)
+
+    found = connected_components(thinned(links(fps, sets, dense)), "u", "v")
     rooted = own.join(found, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
     kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first")
     same = [F.col(f"at.{c}").eqNullSafe(F.col(f"first.{c}")) for c in ("none", "id", "k1", "k2")]
