@@ -130,3 +130,97 @@ def strict_date(text: Column | str) -> Column:
 def backoff_seconds(attempts: Column | str, base: int = 30) -> Column:
     """DAT-6."""
     return (F.pow(F.lit(2), F.greatest(col(attempts) - 1, F.lit(0))) * base).cast("bigint")
+
+
+# Names, headings and JSON.
+#: What letters look like that were decoded wrongly, and how headings and lists are numbered.
+MOJIBAKE = "Ã[¦¸¥†˜…]|�"
+SECTION = r"^§\s*(\d+(?:\.\d+)*)"
+NUMBERED = r"^(\d+(?:\.\d+)*)\.?\s+\p{L}"
+LIST_MARK = r"^\s*(?:[-•–*]|\d+[.)]|[a-zæøå][.)])\s+"
+
+
+def garbled(text: Column | str) -> Column:
+    """Whether a text holds wrongly decoded letters (STR-3)."""
+    return F.coalesce(col(text).rlike(MOJIBAKE), F.lit(False))
+
+
+def section_number(line: Column | str) -> Column:
+    """A line's section or heading number, or null (STR-7)."""
+    found = F.coalesce(F.nullif(F.regexp_extract(col(line), SECTION, 1), F.lit("")), F.nullif(F.regexp_extract(col(line), NUMBERED, 1), F.lit("")))
+    return found
+
+
+def listed(line: Column | str) -> Column:
+    """Whether a line is an item of a list (STR-7)."""
+    return F.coalesce(col(line).rlike(LIST_MARK), F.lit(False))
+
+
+def heading_chain(headings: Column | str, text: Column | str) -> Column:
+    """Headings joined by a guillemet, empty ones left out, and the text on the next line (STR-8)."""
+    chain = F.array_join(F.filter(col(headings), lambda h: F.coalesce(F.trim(h) != "", F.lit(False))), " › ")
+    return F.concat_ws("\n", F.nullif(chain, F.lit("")), col(text))
+
+
+def unbroken(lines: Column | str) -> Column:
+    """Lines as one text: a line that ends in a letter and a hyphen goes on without both where the next begins
+    with a small letter; all others are joined by a space (STR-6)."""
+    return F.regexp_replace(F.regexp_replace(F.array_join(col(lines), "\n"), r"(\p{L})-\n(?=\p{Ll})", "$1"), "\n", " ")
+
+
+def stable_uuid(name: Column | str) -> Column:
+    """A UUID of version 4's form made of a name's hash (MTH-9)."""
+    h = F.sha2(col(name), 256)
+    variant = F.lower(F.hex(F.conv(F.substring(h, 17, 1), 16, 10).cast("int").bitwiseAND(3).bitwiseOR(8)))
+    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("4"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
+
+
+def restored(text: Column | str, values: Column | str) -> Column:
+    """A text with its placeholders as what the map says they stand for (STR-12); unknown ones stay."""
+    pieces = F.regexp_extract_all(col(text), F.lit(r"(?s)(\[[A-Z]+-[0-9]+\]|\[|[^\[]+)"), F.lit(1))
+    return F.array_join(F.transform(pieces, lambda p: F.coalesce(F.element_at(col(values), p), p)), "")
+
+
+def lexemes(text: Column | str) -> Column:
+    """array<struct<token, positions>> of a text's tokens, by token (UDF-3)."""
+    found = F.transform(tokens(text), lambda t, i: F.struct(t.alias("token"), (i + 1).alias("at")))
+    names = F.array_sort(F.array_distinct(tokens(text)))
+    return F.transform(names, lambda n: F.struct(n.alias("token"), F.transform(F.filter(found, lambda f: f["token"] == n), lambda f: f["at"]).alias("positions")))
+
+
+def merged_json(left: Column | str, right: Column | str, without: tuple[str, ...] = ()) -> Column:
+    """Entries of both objects as a map of texts, the right one's where both have a key, less some keys (JSN-3)."""
+    a, b = (F.coalesce(F.from_json(col(x), "map<string,string>"), F.create_map().cast("map<string,string>")) for x in (left, right))
+    a = F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k) & ~k.isin(list(without)))
+    return F.map_concat(a, F.map_filter(b, lambda k, _: ~k.isin(list(without))))
+
+
+def holds_object(objects: Column | str, **fields: object) -> Column:
+    """Whether an array of structs has one with all these fields (JSN-4)."""
+
+    def fits(x: Column) -> Column:
+        made = F.lit(True)
+        for k, v in fields.items():
+            made = made & x[k].eqNullSafe(F.lit(v))
+        return made
+
+    return F.coalesce(F.exists(col(objects), fits), F.lit(False))
+
+
+def json_kind(text: Column | str, path: str) -> Column:
+    """The kind of what lies at a path: number, string, boolean, object, array or null (JSN-5); null if nothing does."""
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(col(text)), path, "variant"))
+    return (
+        F.when(kind.rlike("^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)"), "number")
+        .when(kind == "STRING", "string")
+        .when(kind == "BOOLEAN", "boolean")
+        .when(kind.startswith("OBJECT"), "object")
+        .when(kind.startswith("ARRAY"), "array")
+        .when(kind == "VOID", "null")
+    )
+
+
+def paired(left: Column | str, right: Column | str) -> Column:
+    """Two arrays joined by position, as long as the shorter (JOIN-15)."""
+    n = F.least(F.size(col(left)), F.size(col(right)))
+    return F.transform(F.slice(col(left), 1, n), lambda x, i: F.struct(x.alias("left"), F.get(col(right), i).alias("right")))
