@@ -10,13 +10,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WORD = re.compile(r"[^\W_]+|§", re.U)
 TOKEN = re.compile(r"(?:[^\W_]|§)+")
-#: Abbreviations after which a full stop ends no sentence (fixed values).
-ABBREVIATIONS = frozenset("bl.a. ca. dvs. e.g. etc. evt. f.eks. i.e. inkl. jf. kr. m.fl. m.m. mht. mr. mrs. dr. nr. no. osv. pga. pkt. stk. vedr. vs.".split())
+#: Abbreviations after which a full stop ends no sentence, an end of a sentence, and how the next one may begin
+#: (fixed values).
+ABBREVIATIONS = frozenset(
+    "bl.a. f.eks. jf. pkt. nr. stk. kr. ca. dvs. mv. m.v. inkl. ekskl. evt. "
+    "osv. mht. iht. vedr. ift. pga. p.t. o.l. m.m. s. t.o.m. fr.o.m.".split()
+)
+SENTENCE_END = re.compile(r"""[.!?]+["')\]]?(\s+)""")
+SENTENCE_START = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZÆØÅ0123456789§\"'(")
 
 
 def by_value(f, kind: str, text: Column | str) -> Column:
@@ -35,20 +41,17 @@ def nfc(text: Column | str) -> Column:
 
 
 def sentence_spans(text: str) -> list[tuple[int, int]]:
-    """Spans of sentences: an end mark, then space, then no lower-case letter; not after an abbreviation, a
-    single letter or a number's stop before a digit."""
+    """Spans of sentences: one ends at its marks if space and a possible beginning follow, and not after an
+    abbreviation (STR-5)."""
     spans, start = [], 0
-    for m in re.finditer(r"[.!?]+[\"'»”)]*(?=\s)", text):
-        rest = text[m.end() :].lstrip()
-        word = text[start : m.end()].rsplit(None, 1)[-1].lower()
-        if rest and (rest[0].islower() or (m[0] == "." and (word in ABBREVIATIONS or re.fullmatch(r"\w\.", word)))):
-            continue
-        spans.append((start, m.end()))
-        start = len(text) - len(rest)
-    if text[start:].strip():
-        spans.append((start, len(text.rstrip())))
-    lead = len(text) - len(text.lstrip())
-    return [(max(a, lead), b) for a, b in spans if b > max(a, lead)]
+    for m in SENTENCE_END.finditer(text):
+        stop = m.start(1)
+        begins = text[m.end() : m.end() + 1] in SENTENCE_START if m.end() < len(text) else False
+        if begins and text[start:stop].split()[-1].lower() not in ABBREVIATIONS:
+            spans.append((start, stop))
+            start = m.end()
+    spans.append((start, len(text.rstrip())))
+    return [(a, b) for a, b in spans if b > a]
 
 
 def sentences(text: Column | str) -> Column:
@@ -73,54 +76,90 @@ def _folded(state: np.ndarray, units: np.ndarray, begin: np.ndarray, sizes: np.n
     return state
 
 
-def embed(text: str, dims: int) -> np.ndarray:
-    """Signed hashes of tokens and neighbouring pairs of them, at length 1 (DOC-4)."""
-    words = [w.encode("utf-16-le") for w in TOKEN.findall(unicodedata.normalize("NFC", text).lower())]
-    out = np.zeros(dims)
+def embeddings(texts: list[str], dims: int) -> np.ndarray:
+    """Signed hashes of each text's tokens and neighbouring pairs of them, at length 1, to six decimals; the first
+    axis for a text without tokens (DOC-4). All tokens of all texts are hashed at once."""
+    parts = [TOKEN.findall(unicodedata.normalize("NFC", x).lower()) for x in texts]
+    words = [w.encode("utf-16-le") for p in parts for w in p]
+    row = np.repeat(np.arange(len(texts)), [len(p) for p in parts])
+    out = np.zeros(len(texts) * dims)
     if words:
         units = np.frombuffer(b"".join(words), dtype="<u2").astype(np.uint64)
         sizes = np.array([len(w) // 2 for w in words])
         begin = np.cumsum(sizes) - sizes
         one = _folded(np.full(len(words), 2166136261, dtype=np.uint64), units, begin, sizes)
-        spaced = (one[:-1] ^ 32) * 16777619 & 0xFFFFFFFF
-        h = np.concatenate([one, _folded(spaced, units, begin[1:], sizes[1:])])
-        np.add.at(out, (h % dims).astype(np.int64), np.where(h >> 31, -1.0, 1.0))
-    size = math.sqrt(float(out @ out))
-    if size == 0:
-        out[0] = size = 1.0
-    return out / size
+        next_one = np.flatnonzero(row[1:] == row[:-1]) + 1
+        spaced = (one[next_one - 1] ^ 32) * 16777619 & 0xFFFFFFFF
+        h = np.concatenate([one, _folded(spaced, units, begin[next_one], sizes[next_one])])
+        at = np.concatenate([row, row[next_one]]) * dims + (h % dims).astype(np.int64)
+        out = np.bincount(at, np.where(h >> 31, -1.0, 1.0), len(out))
+    out = out.reshape(len(texts), dims)
+    size = np.sqrt((out * out).sum(axis=1))
+    out[size == 0, 0] = size[size == 0] = 1.0
+    return np.floor(out / size[:, None] * 1e6 + 0.5) / 1e6
+
+
+def embed(text: str, dims: int) -> np.ndarray:
+    return embeddings([text], dims)[0]
 
 
 def hash_embedding(text: Column | str, dims: int = 256) -> Column:
     """UDF-4."""
-    return by_value(lambda x: embed(x or "", dims), "array<double>", text)
+
+    @F.pandas_udf("array<double>")
+    def run(x: pd.Series) -> pd.Series:
+        made = [embeddings(x[i : i + 500].fillna("").tolist(), dims) for i in range(0, len(x), 500)]
+        return pd.Series([row for part in made for row in part], index=x.index)
+
+    return run(text)
+
+
+#: What is masked, the group that is, and where two matches begin and end alike the first counts (fixed values).
+#: \d and \s are ASCII's.
+PERSONAL = [
+    ("email", r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}.-]+\.[\p{L}]{2,}", 0),
+    ("konto", r"\bDK\d{2}(?: ?\d{4}){3} ?\d{2}\b", 0),
+    ("konto", r"(?<![\d-])\d{4}[ -]\d{6,10}(?![\d-])", 0),
+    ("cpr", r"(?<![\d-])(\d{2})(\d{2})(\d{2})-?(\d{4})(?![\d-])", 0),
+    ("cvr", r"(?i)\bcvr(?:[- ]?(?:nr|nummer))?\.?\s*:?\s*(\d{2} ?\d{2} ?\d{2} ?\d{2})(?!\d)", 1),
+    ("telefon", r"\+45[ -]?\d{2}[ -]?\d{2}[ -]?\d{2}[ -]?\d{2}(?!\d)", 0),
+    ("telefon", r"(?<![\d,.-])\d{2} \d{2} \d{2} \d{2}(?![\d,.])", 0),
+    ("telefon", r"(?i)\b(?:tlf|telefon|mobil|telefonnummer)\.?(?:nr\.?)?\s*:?\s*(\d{8})(?!\d)", 1),
+]
+DAYS_IN_MONTH = (31, 29, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31)
+PATTERNS = [(kind, regex.compile(p, regex.ASCII), group) for kind, p, group in PERSONAL]
 
 
-#: What is masked, in order of precedence where matches start and end alike (patterns are fixed values).
-PERSONAL = {
-    "email": re.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+"),
-    "iban": re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"),
-    "cpr": re.compile(r"\b(?:0[1-9]|[12]\d|3[01])(?:0[1-9]|1[0-2])\d{2}[- ]?\d{4}\b"),
-    "phone": re.compile(r"(?<![\w+])(?:\+\d{1,3}[ -]?\d{2,4}(?:[ -]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ -]\d{4}|\d{2} \d{2} \d{2} \d{2})(?!\w)"),
-}
+def _is_day(day: int, month: int) -> bool:
+    return 1 <= month <= 12 and 1 <= day <= DAYS_IN_MONTH[month - 1]
 
 
 def mask(text: str, names: tuple[str, ...] = ()) -> tuple[str, dict[str, int], dict[str, str]]:
     """The text with personal data as placeholders, the same for the same value; counts by kind; and what the
     placeholders stand for. Of overlapping matches the earliest counts, then the longest (STR-11)."""
-    found = [(m.start(), -m.end(), n, kind) for n, (kind, p) in enumerate(PERSONAL.items()) for m in p.finditer(text)]
+    found = []
+    for n, (kind, pattern, group) in enumerate(PATTERNS):
+        for m in pattern.finditer(text):
+            if kind != "cpr" or _is_day(int(m[1]), int(m[2])):
+                found.append((m.start(group), -m.end(group), n, kind))
     for name in names:
-        found += [(m.start(), -m.end(), 99, "name") for m in re.finditer(rf"(?<!\w){re.escape(name)}(?!\w)", text, re.I)]
-    out, at, held, count = [], 0, {}, {}
+        if len(name := name.strip()) > 1:
+            known = regex.compile(rf"(?<![\p{{L}}\p{{N}}]){regex.escape(name)}(?![\p{{L}}\p{{N}}])", regex.I)
+            found += [(m.start(), -m.end(), len(PATTERNS), "person") for m in known.finditer(text)]
+    out, at, held, count, made = [], 0, {}, {}, {}
     for start, stop, _, kind in sorted(found):
         if start < at:
             continue
         value = text[start:-stop]
-        key = held.setdefault((kind, value.lower()), f"[{kind.upper()}_{1 + sum(k == kind for k, _ in held)}]")
+        key = held.get((kind, value.lower()))
+        if key is None:
+            number = 1 + sum(k == kind for k, _ in held)
+            key = held[kind, value.lower()] = f"[{kind.upper()}-{number}]"
+            made[key] = value
         out += [text[at:start], key]
         count[kind] = count.get(kind, 0) + 1
         at = -stop
-    return "".join(out) + text[at:], count, {v: k[1] for k, v in held.items()}
+    return "".join(out) + text[at:], count, made
 
 
 def redacted(text: Column | str, names: tuple[str, ...] = ()) -> Column:

@@ -16,10 +16,17 @@ def token_stats(spark, sf):
 
 
 def header_footer(spark, sf):
+    """Lines at the top or bottom of half of a source's documents and more (AGG-21)."""
     d = table(spark, sf, "documents").select("source", "doc_id", "text")
     return repeated_lines(d, "source", "doc_id", edge=2)
 
 
+def page_headers(spark, sf):
+    """Lines at the top or bottom of half of a host's pages and more (AGG-21); a page's tags end its lines."""
+    p = table(spark, sf, "pages").select(F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1).alias("host"), "page_id", F.regexp_replace("html", ">", ">\n").alias("text"))
+    return repeated_lines(p, "host", "page_id", edge=2)
+
+
 def repeated_line_counts(spark, sf):
     """Masked lines found in three or more documents (STR-2, AGG-21)."""
     from lodestone.functions.columns import line_key
@@ -76,10 +83,21 @@ QUERIES = {
     ),
     "header_footer": (
         header_footer,
-        r"""WITH l AS (SELECT DISTINCT source[1:3] AS source, doc_id, regexp_replace(lower(trim(raw)), '[0-9]+', '#', 'g') AS line
-                      FROM (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS raw FROM documents) WHERE length(raw) BETWEEN 1 AND 80),
-             n AS (SELECT source, count(DISTINCT doc_id) AS n FROM l GROUP BY 1)
-            SELECT source, line, count(*) AS pages FROM l JOIN n USING (source) WHERE line <> '' GROUP BY source, line, n HAVING count(*) >= greatest(3, ceil(n / 2))""",
+        r"""WITH p AS (SELECT source AS source, doc_id, list_filter(list_transform(string_split(text, chr(10)),
+                        lambda y: trim(regexp_replace(y, '[ \t\n\x0B\f\r]+', ' ', 'g'))), lambda y: y <> '') AS lines FROM documents),
+                 f AS (SELECT source, doc_id, CASE WHEN len(lines) <= 4 THEN lines ELSE list_concat(lines[1:2], lines[-2:]) END AS edge FROM p WHERE len(lines) > 0),
+                 k AS (SELECT DISTINCT source, doc_id, regexp_replace(lower(y), '[0-9]+', '#', 'g') AS line FROM (SELECT source, doc_id, unnest(edge) AS y FROM f)),
+                 n AS (SELECT source, count(DISTINCT doc_id) AS n FROM f GROUP BY source)
+            SELECT source, line, count(*) AS pages FROM k JOIN n USING (source) GROUP BY source, line, n HAVING count(*) >= greatest(3, ceil(n / 2))""",
+    ),
+    "page_headers": (
+        page_headers,
+        r"""WITH p AS (SELECT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, page_id, list_filter(list_transform(string_split(replace(html, '>', '>' || chr(10)), chr(10)),
+                        lambda y: trim(regexp_replace(y, '[ \t\n\x0B\f\r]+', ' ', 'g'))), lambda y: y <> '') AS lines FROM pages),
+                 f AS (SELECT host, page_id, CASE WHEN len(lines) <= 4 THEN lines ELSE list_concat(lines[1:2], lines[-2:]) END AS edge FROM p WHERE len(lines) > 0),
+                 k AS (SELECT DISTINCT host, page_id, regexp_replace(lower(y), '[0-9]+', '#', 'g') AS line FROM (SELECT host, page_id, unnest(edge) AS y FROM f)),
+                 n AS (SELECT host, count(DISTINCT page_id) AS n FROM f GROUP BY host)
+            SELECT host, line, count(*) AS pages FROM k JOIN n USING (host) GROUP BY host, line, n HAVING count(*) >= greatest(3, ceil(n / 2))""",
     ),
     "redact_emails": (
         redact_emails,

@@ -13,13 +13,15 @@ K = 50
 
 
 def _probe(spark: SparkSession, sf: str) -> list[float]:
-    return table(spark, sf, "embeddings").filter("vec_id = 0").select("embedding").first()[0]
+    found = table(spark, sf, "embeddings").filter("vec_id = 0 and embedding is not null").select("embedding").first()
+    return found[0] if found else []
 
 
 def _terms(spark: SparkSession, sf: str) -> list[str]:
     from lodestone.functions.columns import tokens
 
-    return table(spark, sf, "benchmark").filter("item_id = 0").select(F.array_distinct(tokens("text"))).first()[0]
+    found = table(spark, sf, "benchmark").filter("item_id = 0 and text is not null").select(F.array_distinct(tokens("text"))).first()
+    return found[0] if found else []
 
 
 def _vector(spark: SparkSession, sf: str) -> DataFrame:

@@ -42,20 +42,45 @@ def test_hash_embedding():
     for token in [*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))]:
         want[p.fnv1a(token) % 32] += -1 if p.fnv1a(token) >> 31 else 1
     size = sum(x * x for x in want) ** 0.5
-    assert p.embed("Hej på, dig 𝒜bc", 32).tolist() == pytest.approx([x / size for x in want])
-    assert p.embed("Hej verden, hej", 64) @ p.embed("hej VERDEN hej", 64) == pytest.approx(1)
+    assert p.embed("Hej på, dig 𝒜bc", 32).tolist() == pytest.approx([x / size for x in want], abs=6e-7)
+    assert p.embed("Hej verden, hej", 64) @ p.embed("hej VERDEN hej", 64) == pytest.approx(1, abs=1e-5)
+
+
+def test_embeddings_of_a_batch_have_six_decimals():
+    texts = ["", "hej", "hej du der", "§ 1 hej hej", "..."]
+    made = p.embeddings(texts, 16)
+    assert all((made[i] == p.embed(t, 16)).all() for i, t in enumerate(texts))
+    assert (abs(made * 1e6 - (made * 1e6).round()) < 1e-6).all() and made[0].tolist() == made[4].tolist() == [1] + [0] * 15
 
 
 def test_sentences():
     text = "Det koster ca. 5 kr. og mere. Se f.eks. her! Er det nok? ja. Slut"
     assert [text[a:b] for a, b in p.sentence_spans(text)] == ["Det koster ca. 5 kr. og mere.", "Se f.eks. her!", "Er det nok? ja.", "Slut"]
     assert p.sentence_spans("") == p.sentence_spans("  \n ") == []
+    for word in p.ABBREVIATIONS:
+        assert p.sentence_spans(f"Den gælder {word} Aftalen.") == [(0, len(f"Den gælder {word} Aftalen."))]
+    text = 'Se § 4.  (Ja!) "Nej." ærligt. Ærligt?) 7 stk. Én.'
+    assert [text[a:b] for a, b in p.sentence_spans(text)] == ["Se § 4.", "(Ja!)", '"Nej." ærligt.', "Ærligt?)", "7 stk. Én."]
 
 
 def test_masking():
     text, count, held = p.mask("Mail ann@x.dk or ANN@x.dk, call 12 34 56 78; cpr 010203-1234, Bo", ("Bo",))
-    assert text == "Mail [EMAIL_1] or [EMAIL_1], call [PHONE_1]; cpr [CPR_1], [NAME_1]"
-    assert count == {"email": 2, "phone": 1, "cpr": 1, "name": 1} and held["[CPR_1]"] == "010203-1234"
+    assert text == "Mail [EMAIL-1] or [EMAIL-1], call [TELEFON-1]; cpr [CPR-1], [PERSON-1]"
+    assert count == {"email": 2, "telefon": 1, "cpr": 1, "person": 1} and held["[CPR-1]"] == "010203-1234"
+    cases = {
+        "CVR 12345678": "CVR [CVR-1]",
+        "cvr-nr.: 12 34 56 78": "cvr-nr.: [CVR-1]",
+        "reg 1234 1234567": "reg [KONTO-1]",
+        "DK50 0040 0440 1162 43 og DK5000400440116243": "[KONTO-1] og [KONTO-2]",
+        "tlf 12345678, Telefon: 87654321": "tlf [TELEFON-1], Telefon: [TELEFON-2]",
+        "+45 12345678": "[TELEFON-1]",
+        "310299-1234 og 290299-1234": "310299-1234 og [CPR-1]",
+        "beløb 12345678": "beløb 12345678",
+        "bob og Bobby": "[PERSON-1] og Bobby",
+    }
+    for text, want in cases.items():
+        assert p.mask(text, ("Bob",))[0] == want
+    assert p.mask("a@b.dk")[2] == {"[EMAIL-1]": "a@b.dk"}
 
 
 @pytest.mark.parametrize(("x", "want"), [(0.1, "0.1"), (100.0, "100"), (1e21, "1e+21"), (1.5e-7, "1.5e-7"), (123456789.125, "123456789.125"), (-0.0, "0"), (1e-6, "0.000001"), (5, "5"), (1.2e22, "1.2e+22"), (-2.5, "-2.5")])
