@@ -6,7 +6,8 @@ The field has two labels, main text and the rest; it is trained on labelled page
 likelihood and decoded by Viterbi.
 
 Defined cases: a null or empty html gives an empty text. Unclosed and stray tags are taken as browsers take
-them, roughly: a paragraph ends where the next block begins. Scripts, styles, comments and the like are no
+them, roughly: a paragraph ends where the next block begins, the head at the first thing that belongs into a
+body. Reading takes time and memory in proportion to the page, however deep elements nest. Scripts, styles, comments and the like are no
 text. Repeated rows give repeated results. Other columns are ignored. An empty table gives an empty result.
 Pages are read whole, and nothing of the main text is capped.
 """
@@ -17,6 +18,7 @@ import functools
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +35,7 @@ TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?][^>]*+>",
     re.S,
 )
+COMMENT = re.compile(r"<!--.*", re.S)
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 #: Elements of HTML, as its standard groups them.
 HIDDEN = frozenset("script style noscript template iframe object svg math canvas audio video select textarea head".split())
@@ -43,19 +46,29 @@ ENDS_ITSELF = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr
 ITEM_LIMITS = frozenset("ul ol dl table tbody thead div section article body".split())
 
 
+#: What a head may hold.
+METADATA = frozenset("head base link meta title style script noscript template".split())
+
+#: Features of the elements around a block, the nearest tag that isn't inline, and whether any has names. Elements
+#: that add nothing share their parent's, so deep nesting takes no more memory.
+Path = tuple[frozenset[str], str, bool]
+TOP: Path = (frozenset(), "none", False)
+
+
 class Block:
     __slots__ = ("text", "path", "linked")
 
-    def __init__(self, text: str, path: tuple[str, ...], linked: int):
+    def __init__(self, text: str, path: Path, linked: int):
         self.text, self.path, self.linked = text, path, linked
 
 
-def leaf_blocks(page: str) -> list[Block]:
-    """The page's leaf blocks in order. A path is made of "tag" and "tag.name" for each element around."""
+def leaf_blocks(page: str, known: frozenset[str] | None = None) -> list[Block]:
+    """The page's leaf blocks in order. known: the features worth keeping; all if None."""
     blocks: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []  # tag, path up to it
+    stack: list[tuple[str, Path]] = []  # tag, path up to it
+    count: Counter = Counter()  # of open tags
     held: list[tuple[str, bool]] = []
-    hidden = links = 0
+    path = TOP
 
     def flush() -> None:
         nonlocal held
@@ -67,32 +80,44 @@ def leaf_blocks(page: str) -> list[Block]:
             held = []
 
     def pop_to(n: int) -> None:
-        nonlocal hidden, links, path
+        nonlocal hidden, path
         while len(stack) > n:
             tag = stack.pop()[0]
+            count[tag] -= 1
             hidden -= tag in HIDDEN
-            links -= tag == "a"
-        path = stack[-1][1] if stack else ()
+        path = stack[-1][1] if stack else TOP
 
-    at, end, path = 0, len(page), ()
+    def leave_head() -> None:
+        """Ends the head, and what is open in it."""
+        if count["head"]:
+            pop_to(next(i for i, (t, _) in enumerate(stack) if t == "head"))
+
+    at, end, hidden = 0, len(page), 0
+    last = page.rfind(">")  # no tag ends after it
     while at < end:
-        m = TAG.search(page, at)
+        m = TAG.search(page, at) if at <= last else COMMENT.search(page, at)
         stop = m.start() if m else end
-        if stop > at and not hidden:
-            held.append((page[at:stop], links > 0))
+        if stop > at:
+            if stack and stack[-1][0] == "head" and not page[at:stop].isspace():
+                leave_head()
+            if not hidden:
+                held.append((page[at:stop], count["a"] > 0))
         if not m:
             break
         at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+        tag = (m[2] or m[5] or "").lower() if m.re is TAG else ""
         if not tag:
             continue
         if m[1] or m[4]:
-            found = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
             if tag not in INLINE:
                 flush()
-            if found is not None and not (tag in INLINE and any(t not in INLINE for t, _ in stack[found + 1 :])):
-                pop_to(found)
+            if count[tag]:
+                found = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag)
+                if not (tag in INLINE and any(t not in INLINE for t, _ in stack[found + 1 :])):
+                    pop_to(found)
             continue
+        if stack and stack[-1][0] == "head" and tag not in METADATA:
+            leave_head()
         if tag in VOID:
             if tag in ("br", "hr") and not hidden:
                 held.append((" ", False)) if tag == "br" else flush()
@@ -117,32 +142,30 @@ def leaf_blocks(page: str) -> list[Block]:
             continue
         names = "".join(" " + (a or b or c) for a, b, c in NAMED.findall(m[3] or m[6] or ""))
         words = sorted({w for w in re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", names).lower())})
-        if tag in INLINE and not words:
-            stack.append((tag, path))
-        else:
-            path = (*path, tag, *[f"{tag}.{w}" for w in words])
-            stack.append((tag, path))
+        if tag not in INLINE or words:
+            around, near, named = path
+            new = {f for f in (f"in:{tag}", *(f"name:{w}" for w in words)) if f not in around and (known is None or f in known)}
+            path = (around | new if new else around, near if tag in INLINE else tag, named or bool(words))
+        stack.append((tag, path))
+        count[tag] += 1
         hidden += tag in HIDDEN
-        links += tag == "a"
         if tag in RAW:
-            close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            if not close:
+            close = re.compile(rf"</{tag}\b", re.I).search(page, at)
+            after = page.find(">", close.end()) if close else -1
+            if after < 0:
                 break
             if tag == "title" and not hidden:
                 held.append((page[at : close.start()], False))
-            at = close.end()
+            at = after + 1
             pop_to(len(stack) - 1)
     flush()
     return blocks
 
 
-@functools.lru_cache(maxsize=4096)
-def path_features(path: tuple[str, ...]) -> tuple[str, ...]:
+def path_features(path: Path) -> tuple[str, ...]:
     """Of the elements around: every tag and name, and the nearest tag that isn't inline."""
-    tags = [x for x in path if "." not in x]
-    near = next((t for t in reversed(tags) if t not in INLINE), "none")
-    names = {x.partition(".")[2] for x in path if "." in x}
-    return (*sorted({f"in:{t}" for t in tags}), *sorted(f"name:{n}" for n in names), f"near:{near}", f"bare:{not names}:{near}")
+    around, near, named = path
+    return (*sorted(around), f"near:{near}", f"bare:{not named}:{near}")
 
 
 def _step(x: float, ends: tuple[float, ...]) -> int:
@@ -163,7 +186,7 @@ def text_features(block: Block, at: int, count: int) -> list[str]:
         f"end:{text[-1] in '.!?…:»”'}:{min(long, 4)}",
         f"commas:{min(2, text.count(','))}",
         f"stops:{min(2, stops)}",
-        f"digits:{_step(sum(map(str.isdigit, text[:200])) / min(size, 200), (0.05, 0.3))}",
+        f"digits:{_step(sum(map(text.count, '0123456789')) / size, (0.05, 0.3))}",
         f"place:{_step(at / count, (0.1, 0.3, 0.7, 0.9))}",
         "always",
     ]
@@ -182,9 +205,10 @@ class Field:
     def __init__(self, index: dict[str, int], weight: np.ndarray, pair: np.ndarray):
         self.weight = {f: float(weight[i]) for f, i in index.items()}
         self.pair = pair.tolist()
-        self.paths: dict[tuple[str, ...], float] = {}
+        self.known = frozenset(self.weight)
+        self.paths: dict[Path, float] = {}
 
-    def _path(self, path: tuple[str, ...]) -> float:
+    def _path(self, path: Path) -> float:
         if (w := self.paths.get(path)) is None:
             if len(self.paths) > 50_000:
                 self.paths.clear()
@@ -287,7 +311,7 @@ def trained(pages: int = 400) -> Field:
 
 
 def main_text(page: str, field: Field) -> str:
-    blocks = leaf_blocks(page)
+    blocks = leaf_blocks(page, field.known)
     return " ".join(b.text for b, y in zip(blocks, field.decode(blocks), strict=True) if y)
 
 

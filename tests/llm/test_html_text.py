@@ -3,6 +3,8 @@ import itertools
 import math
 import random
 import re
+import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -22,11 +24,33 @@ def test_leaf_blocks():
     assert texts("1 < 2 and <3 <p>x</p") == ["1 < 2 and <3", "x</p"]
     assert texts("</div></p><table><tr><td>a<td>b<tr><td>c</table>") == ["a", "b", "c"]
     assert texts("") == texts("<script>never closed") == []
-    assert leaf_blocks('<div class="siteHeader x-1"><p><b>t')[0].path == ("div", "div.header", "div.site", "div.x", "p")
+    assert leaf_blocks('<div class="siteHeader x-1"><p><b>t')[0].path == (frozenset(["in:div", "name:header", "name:site", "name:x", "in:p"]), "p", True)
     assert texts("<p>" * 3000 + "deep" + "<div>" * 3000 + "er") == ["deep", "er"]
     assert texts('<p a="unclosed>x</p><p>y</p>')[-1] == "y"
 
 
+def test_an_open_head_ends_at_the_first_content():
+    assert texts("<html><head><title>t</title><h1>Head</h1><p>Hello world</p>") == ["Head", "Hello world"]
+    assert texts("<head><meta charset=x><link rel=y>plain text<p>more") == ["plain text", "more"]
+    assert texts("<head><style>p{}</style><title>t</title>\n</head>\n<body><p>a") == ["a"]
+    assert texts("<head><script>x</script><noscript><p>n</p></noscript><img src=x><p>b") == ["b"]
+
+
+def test_long_and_deep_pages_take_linear_time_and_memory():
+    began = time.process_time()
+    assert texts("<p>x</p>" + "<a " * 350_000) == ["x", ("<a " * 350_000).strip()]
+    assert texts("<p>x</p><script>" + "</script " * 100_000) == ["x"]
+    assert texts("</x>" * 200_000 + "y") == ["y"]
+    nested = lambda n: "".join(f"<div class=n{'abcdefghij'[i % 10]}>" for i in range(n)) + "deep" + "</div>" * n + "out"
+    assert [b.text for b in leaf_blocks(nested(100_000))] == ["deep", "out"]
+    assert time.process_time() - began < 20
+    tracemalloc.start()
+    leaf_blocks(nested(10_000))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 10 << 20
+
+
 def paths_of(n):
     return itertools.product((0, 1), repeat=n)
 
@@ -34,7 +58,7 @@ def paths_of(n):
 def test_viterbi_and_marginals_equal_enumeration():
     rng = random.Random(2)
     for n in (1, 2, 5):
-        blocks = [Block("w " * rng.randrange(1, 30) + ".", (rng.choice(("p", "div")),), 0) for _ in range(n)]
+        blocks = [Block("w " * rng.randrange(1, 30) + ".", (frozenset(["in:p"]), rng.choice(("p", "div")), False), 0) for _ in range(n)]
         pair = np.array([[rng.uniform(-1, 1) for _ in "ab"] for _ in "ab"])
         e = [rng.uniform(-2, 2) for _ in range(n)]
         score = {y: sum(a * b for a, b in zip(e, y)) + sum(pair[a, b] for a, b in zip(y, y[1:])) for y in paths_of(n)}
