@@ -4,6 +4,9 @@ zstandard ratios (compressed bytes over bytes) of the whole document and of its
 that is repetitive (below its band) or incompressible (above it). The limits depend on the length, since
 short texts compress less. They lie well outside what prose of any of the corpus languages reaches.
 
+A text's last chunk, which may be shorter, is held against the limits of its own length. A text goes if more than
+`odd_share` of its chunks lie outside their limits.
+
 Defined cases: a null or empty text has no words, so it fails the base rule and is not kept. Repeated rows
 give repeated results. Other columns are ignored. An empty table gives an empty result. Texts of any length
 are read whole.
@@ -85,9 +88,10 @@ def judge(text: bytes, bands: Bands, press: zstandard.ZstdCompressor) -> tuple:
     step = bands.chunk_bytes
     odd = count = 0
     if len(text) > step:
-        for start in range(0, len(text) - step + 1, step):
+        for start in range(0, len(text), step):
+            size = min(step, len(text) - start)
             count += 1
-            odd += bands.outside(step, len(press.compress(text[start : start + step])) / step)
+            odd += bands.outside(size, len(press.compress(text[start : start + size])) / size)
     kept = not failed and not bands.outside(len(text), ratio) and not odd > bands.odd_share * count
     return n, chars, symbols, dup_lines, again, failed, kept, ratio, count, odd
 
