@@ -5,9 +5,12 @@ own dimensions. Phase 1 gathers the best of each local list and adds up their co
 so far is a safe cutoff, for the final k-th best can't be lower. Phase 2 sends the cutoff to every block:
 a vector that reaches it in total reaches cutoff / slices in one list at least, so the entries from there on
 are collected. Phase 3 resolves the scores of the collected ones exactly and keeps what reaches the cutoff.
+Queries and candidates whose lengths alone keep every list below that are left out of the products.
 
-Queries and candidates meet as blocks of vectors, every query block with every candidate block; candidates
-are read from their own partitions, and the small query blocks are dealt to each group of candidate blocks.
+Queries and candidates meet as blocks of vectors, every query block with every candidate block, on a grid:
+candidate blocks are dealt to its rows and go to every column, query blocks to its columns and every row. Rows
+and columns are in proportion to both tables' sizes, so what is shuffled grows with the root of the number of
+groups, not with the number.
 
 Defined cases: vectors that are null, empty, or hold null or non-finite components take no part, nor do null
 ids. A query is compared with vectors of its own length. Of rows that repeat a query's id one is asked (the
@@ -73,13 +76,22 @@ def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a @ b.T
 
 
-def _lists(row: dict, slices: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
-    """Ids of the queries and candidates of a pair of blocks, the local score lists of each node, and where a
-    candidate is the query itself."""
+def _arrays(row: dict, slices: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Ids and vectors of the queries and of the candidates of a pair of blocks, and each node's dimensions."""
     q_ids, c_ids = (np.frombuffer(row[x], dtype="<i8") for x in ("q_ids", "ids"))
-    q, c = np.frombuffer(row["q_data"], dtype="<i8").reshape(-1, row["dim"]), np.frombuffer(row["data"], dtype="<i8").reshape(-1, row["dim"])
-    nodes = np.array_split(np.arange(row["dim"]), min(slices, row["dim"]))
-    return q_ids, c_ids, [_product(q[:, n], c[:, n]) for n in nodes], q_ids[:, None] == c_ids[None, :]
+    q, c = (np.frombuffer(row[x], dtype="<i8").reshape(-1, row["dim"]) for x in ("q_data", "data"))
+    return q_ids, c_ids, q, c, np.array_split(np.arange(row["dim"]), min(slices, row["dim"]))
+
+
+def _reach(q: np.ndarray, c: np.ndarray, nodes: list[np.ndarray], safe: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which queries and which candidates may have an entry of safe / nodes or more in some list: a product of
+    vectors is no larger than that of their lengths."""
+    size = [(np.sqrt((q[:, n].astype(np.float64) ** 2).sum(axis=1)), np.sqrt((c[:, n].astype(np.float64) ** 2).sum(axis=1))) for n in nodes]
+    least, slack = safe.astype(np.float64), len(nodes) * (1 + 1e-9)
+    asks = np.logical_or.reduce([slack * x * y.max(initial=0) + 1e-6 >= least for x, y in size])
+    low = least[asks].min(initial=np.inf)
+    holds = np.logical_or.reduce([slack * x[asks].max(initial=0) * y + 1e-6 >= low for x, y in size])
+    return asks, holds
 
 
 def _best(scores: np.ndarray, k: int) -> np.ndarray:
@@ -103,8 +115,16 @@ def exact_top_k(
 
     asked = numbers(queries).groupBy("vec_id").agg(F.min("q").alias("q"))
     asked = cut(asked.mapInArrow(lambda x: _blocks(x, query_rows), BLOCK), "queries").withColumnsRenamed({"block": "q_block", "ids": "q_ids", "data": "q_data"})
-    held = numbers(vectors).mapInArrow(lambda x: _blocks(x, rows), BLOCK).withColumn("part", F.pmod(F.xxhash64("block"), F.lit(groups)))
-    dealt = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<bigint>")).alias("part")
+    share = queries.count() / max(1, vectors.count())
+    across = max(1, min(groups, round((groups * share) ** 0.5)))
+    down = -(-groups // across)
+
+    def every(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))
+
+    held = numbers(vectors).mapInArrow(lambda x: _blocks(x, rows), BLOCK).withColumn("down", F.pmod(F.xxhash64("block"), F.lit(down))).withColumn("across", every(across))
+    dealt = (F.pmod(F.xxhash64("q_block"), F.lit(across)).alias("across"), every(down).alias("down"))
+    cell = ["dim", "down", "across"]
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top: dict[tuple, np.ndarray] = {}
@@ -116,7 +136,8 @@ def exact_top_k(
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                _, _, lists, own = _lists(row, slices)
+                q_ids, c_ids, q, c, nodes = _arrays(row, slices)
+                lists, own = [_product(q[:, n], c[:, n]) for n in nodes], q_ids[:, None] == c_ids[None, :]
                 total = np.where(own, LEAST, sum(lists))
                 found = []
                 for scores in lists:
@@ -142,8 +163,11 @@ def exact_top_k(
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                q_ids, c_ids, lists, own = _lists(row, slices)
-                safe = np.frombuffer(row["safe"], dtype="<i8")[:, None]
+                q_ids, c_ids, q, c, nodes = _arrays(row, slices)
+                safe = np.frombuffer(row["safe"], dtype="<i8")
+                asks, holds = _reach(q, c, nodes, safe)
+                q_ids, q, safe, c_ids, c = q_ids[asks], q[asks], safe[asks][:, None], c_ids[holds], c[holds]
+                lists, own = [_product(q[:, n], c[:, n]) for n in nodes], q_ids[:, None] == c_ids[None, :]
                 q, c = np.nonzero(np.logical_or.reduce([len(lists) * x >= safe for x in lists]) & ~own)
                 score = sum(x[q, c] for x in lists)
                 keep = score >= safe[q, 0]
@@ -154,10 +178,10 @@ def exact_top_k(
                 keep = np.arange(len(q)) - first < k  # no block holds more than k of a query's best
                 yield pa.RecordBatch.from_arrays([pa.array(q_ids[q[keep]]), pa.array(c_ids[c[keep]]), pa.array(score[keep])], ["query_id", "vec_id", "score"])
 
-    pairs = held.join(asked.select("*", dealt), ["dim", "part"])
+    pairs = held.join(asked.select("*", *dealt), cell)
     safe = pairs.mapInArrow(gather, "q_block long, best binary").groupBy("q_block").applyInArrow(cutoff, "q_block long, safe binary")
-    told = asked.join(safe, "q_block").select("*", dealt)
-    found = held.join(told, ["dim", "part"]).mapInArrow(collect, "query_id long, vec_id long, score long")
+    told = asked.join(safe, "q_block").select("*", *dealt)
+    found = held.join(told, cell).mapInArrow(collect, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
