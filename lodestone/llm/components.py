@@ -2,9 +2,8 @@
 
 Every round hangs each node's larger neighbours, then its smaller ones, on the smallest of them
 (Kiveris et al., "Connected Components in MapReduce and Beyond", 2014), until nothing changes. Minima are
-aggregated before the shuffle and joined back. A node with more than a 1000th of all edges takes its minimum
-from a broadcast, of which there are 2,000 rows at most, so its edges stay where they are. Only two counts a
-round reach the driver.
+aggregated before the shuffle and joined back at the node and one of `SALT` parts of its neighbours, so that a
+node with very many edges is no task's alone. Only two counts a round reach the driver.
 """
 
 from __future__ import annotations
@@ -58,26 +57,24 @@ def thinned(edges: DataFrame, together: int = 16, rows: int = 1 << 20) -> DataFr
     return cut(pair.coalesce(max(1, pair.rdd.getNumPartitions() // together)).mapInArrow(run, "u long, v long"), "thin-edges")
 
 
-def _with_least(edges: DataFrame, least: DataFrame, count: int) -> DataFrame:
-    """edges (u, v) with m, of least (u, m, n): heavy nodes by a broadcast, all others by a join at u."""
-    heavy = F.broadcast(least.filter(F.col("n") * 1000 > F.lit(count)).select("u", "m"))
-    light = edges.join(heavy, "u", "left_anti").join(least.select("u", "m"), "u")
-    return edges.join(heavy, "u").unionByName(light)
+SALT = 8
 
 
-def _least(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+def _with_least(edges: DataFrame, own: bool) -> tuple[DataFrame, DataFrame]:
+    """(u, m) of the least neighbour of each u, or u itself if `own` and that is less; and edges (u, v) with m."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", (F.least("u", "m") if own else F.col("m")).alias("m"))
+    parts = least.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)).cast("array<bigint>")))
+    return least, edges.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(SALT))).join(parts, ["u", "part"])
 
 
-def _large(edges: DataFrame, count: int) -> DataFrame:
+def _large(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = _least(both).select("u", F.least("u", "m").alias("m"), "n")
-    return _with_least(both, least, count).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _with_least(both, own=True)[1].filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small(edges: DataFrame, count: int) -> DataFrame:
-    least = _least(edges)
-    moved = _with_least(edges, least, count).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+def _small(edges: DataFrame) -> DataFrame:
+    least, moved = _with_least(edges, own=False)
+    moved = moved.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -88,10 +85,10 @@ def connected_components(edges: DataFrame, u: str, v: str) -> DataFrame:
     pair = edges.select(F.col(u).cast("long").alias("u"), F.col(v).cast("long").alias("v")).filter("u <> v")
     pair = pair.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     pair = cut(pair.mapInArrow(_forest, "u long, v long"), "edges")
-    before, count = None, pair.count()
+    before = None
     while True:
-        pair = cut(_small(_large(pair, count), count), "edges")
+        pair = cut(_small(_large(pair)), "edges")
         now = pair.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if before == now:
             return pair.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before, count = now, now[0]
+        before = now

@@ -158,21 +158,17 @@ def _alike(x: str, y: str) -> Column:
     return F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= LOOK
 
 
-def _decided(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Edges (u, v) with the components of the pairs (a, b, d) that are within SURE bits or whose sets have a
-    Jaccard similarity of 0.8 or more. Sets are fetched only for pairs that the sure ones don't bring together.
-    sets: (node, shingles) of the nodes of a table."""
-    sure = connected_components(thinned(pairs.filter(F.col("d") <= SURE).select("a", "b")), "u", "v")
-    left, right = (sure.select(F.col("node").alias(n), F.col("root").alias(r)) for n, r in (("a", "x"), ("b", "y")))
-    open_ones = pairs.filter(F.col("d") > SURE).join(left, "a", "left").join(right, "b", "left")
-    open_ones = open_ones.filter(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b").distinct()
-    open_ones = cut(open_ones, "candidates")
-    own = cut(sets(open_ones.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "sets")
+def _verified(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Edges (u, v): the pairs (a, b, d) within SURE bits, and those whose sets have a Jaccard similarity of 0.8 or
+    more. sets: (node, shingles) of the nodes of a table."""
+    asked = cut(pairs.select("a", "b", "d").distinct(), "candidates")
+    far = asked.filter(F.col("d") > SURE).select("a", "b")
+    own = cut(sets(far.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "sets")
     left, right = (own.select(F.col("node").alias(n), F.col("shingles").alias(s)) for n, s in (("a", "x"), ("b", "y")))
     both = F.size(F.array_intersect("x", "y"))
     alike = 9 * both >= 4 * (F.size("x") + F.size("y"))  # both / (x + y - both) >= 0.8
-    found = open_ones.join(left, "a").join(right, "b").filter(alike).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    return cut(found.unionByName(sure.select(F.col("node").alias("u"), F.col("root").alias("v"))), "decided")
+    found = far.join(left, "a").join(right, "b").filter(alike).select("a", "b")
+    return cut(found.unionByName(asked.filter(F.col("d") <= SURE).select("a", "b")).toDF("u", "v"), "similar")
 
 
 def _met(asked: DataFrame, held: DataFrame, fps: DataFrame) -> DataFrame:
@@ -200,7 +196,12 @@ def links(fps: DataFrame, sets: Callable[[DataFrame], DataFrame], dense: int = 2
     to = asked.filter((F.col("node") != F.col("pivot")) & (F.col("full") | _alike("look", "sight")))
     to = to.groupBy(F.col("node").alias("a"), F.col("pivot").alias("b")).agg(F.max("full").alias("full"))
     to = cut(_measured(to, fps).filter(F.col("full") | (F.col("d") <= REACH)), "to-pivots")
-    stars = cut(connected_components(thinned(_decided(to.filter(F.col("d") <= REACH).select("a", "b", "d"), sets)), "u", "v"), "stars")
+    near = to.filter(F.col("d") <= REACH).select("a", "b", "d")
+    sure = connected_components(thinned(near.filter(F.col("d") <= SURE).select("a", "b")), "u", "v")
+    left, right = (sure.select(F.col("node").alias(n), F.col("root").alias(r)) for n, r in (("a", "x"), ("b", "y")))
+    apart = near.filter(F.col("d") > SURE).join(left, "a", "left").join(right, "b", "left").filter(F.coalesce("x", "a") != F.coalesce("y", "b"))
+    edges = _verified(apart, sets).unionByName(sure.select(F.col("node").alias("u"), F.col("root").alias("v")))
+    stars = connected_components(thinned(edges), "u", "v")
 
     # Those who met at a key's pivot and are in one component need not meet; the others do.
     asked = asked.filter("shared").join(stars, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -215,8 +216,7 @@ def links(fps: DataFrame, sets: Callable[[DataFrame], DataFrame], dense: int = 2
     asked, held = (x.filter("full").join(far, ["node", "pivot"], "left").withColumns(own) for x in (asked, held))
     rest = _met(asked.filter("not linked"), held, fps)
     rest = rest.unionByName(_met(asked.filter("linked"), held.filter(~F.col("linked") & (F.col("d") <= 2 * REACH)), fps))
-    more = cut(light.unionByName(rest).distinct(), "met")
-    return _decided(more, sets).unionByName(stars.select(F.col("node").alias("u"), F.col("root").alias("v")))
+    return _verified(light.unionByName(rest), sets).unionByName(stars.select(F.col("node").alias("u"), F.col("root").alias("v")))
 
 
 def without_similar(docs: DataFrame, width: int = 5, dense: int = 256) -> DataFrame:
@@ -235,7 +235,7 @@ def without_similar(docs: DataFrame, width: int = 5, dense: int = 256) -> DataFr
         same = [F.col(f"at.{c}").eqNullSafe(F.col(f"first.{c}")) for c in ("none", "id", "k1", "k2")]
         return sets_of(named.join(first, same[0] & same[1] & same[2] & same[3]), width)
 
-    found = connected_components(thinned(links(fps, sets, dense)), "u", "v")
+    found = connected_components(links(fps, sets, dense), "u", "v")
     rooted = own.join(found, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
     kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first")
     same = [F.col(f"at.{c}").eqNullSafe(F.col(f"first.{c}")) for c in ("none", "id", "k1", "k2")]
