@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -48,10 +49,11 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return pc.fill_null(column.cast(pa.large_string()), "").cast(pa.large_binary()).to_pylist()
 
 
-def by_bytes(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that the texts of one come to about `limit` bytes; a longer text is a batch by itself."""
+def by_bytes(batches: Iterator[pa.RecordBatch], columns: str | tuple[str, ...], limit: int) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that what the columns of one hold comes to about `limit` bytes; a longer text is a batch by itself."""
+    names = (columns,) if isinstance(columns, str) else columns
     for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+        sizes = np.sum([pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False) for c in names], axis=0).tolist()
         start, total = 0, 0
         for i, n in enumerate(sizes):
             if total and total + n > limit:

@@ -45,7 +45,7 @@ FACTOR = np.uint64(0x9E3779B97F4A7C15)
 BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 OCCURRENCE = "anchor long, stretch long, shard long, row_key long, start int, windows int"
 WINDOW = "anchor long, window long, n long, row_key long, start int"
-PASSAGE = "passage long, words binary, spans array<struct<start:int,stop:int>>, keys array<struct<anchor:bigint,stretch:bigint>>"
+PASSAGE = "passage long, words binary, spans binary, keys array<struct<anchor:bigint,stretch:bigint>>"
 CUT = "text string, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:int,words:int>>"
 TOKEN = re.compile(rb"([^\x20\x09-\x0d]+)([\x20\x09-\x0d]*)")
 
@@ -184,9 +184,8 @@ def _passages(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
                 own = sorted({(a - low, b - low) for a, b, _, _ in spans[i:j]})
                 keys = {x[2:] for x in spans[i:j]}
                 number = xxhash.xxh64_intdigest(b"%d %d" % (row_key, low)) >> 1
-                rows.append((number, b" ".join(words[low:high]), [{"start": a, "stop": b} for a, b in own], [{"anchor": a, "stretch": b} for a, b in keys]))
-        span, key = (pa.list_(pa.struct([(c, k) for c in names])) for names, k in ((("start", "stop"), pa.int32()), (("anchor", "stretch"), pa.int64())))
-        kinds = (pa.int64(), pa.binary(), span, key)
+                rows.append((number, b" ".join(words[low:high]), np.array(own, dtype="<i4").tobytes(), [{"anchor": a, "stretch": b} for a, b in keys]))
+        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.struct([("anchor", pa.int64()), ("stretch", pa.int64())])))
         columns = list(zip(*rows, strict=True)) or [()] * 4
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["passage", "words", "spans", "keys"])
 
@@ -213,20 +212,24 @@ def confirmed_passages(own: DataFrame, stretches: DataFrame, width: int) -> Data
 class Shard:
     """The automaton of a shard's passages, over the words that they hold."""
 
-    def __init__(self, passages: list[tuple[bytes, list[dict]]]):
+    def __init__(self):
         self.ids: dict[bytes, int] = {}
-        self.machine = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE) if passages else None
-        for words, spans in passages:
-            code = tuple([self.ids.setdefault(w, len(self.ids) + 1) for w in words.split(b" ")])
-            for x in spans:
-                self.machine.add_word(code[x["start"] : x["stop"]])
-        if passages:
-            self.machine.make_automaton()
+        self.machine = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
+        self.made = False
+
+    def add(self, words: bytes, spans: bytes) -> None:
+        """A passage, and first and last word of what recurs in it as it stands (32-bit numbers)."""
+        code = tuple([self.ids.setdefault(w, len(self.ids) + 1) for w in words.split(b" ")])
+        for a, b in np.frombuffer(spans, dtype="<i4").reshape(-1, 2).tolist():
+            self.machine.add_word(code[a:b])
 
     def located(self, words: list[bytes]) -> np.ndarray:
         """Which of a document's words lie in an occurrence of a passage."""
-        if self.machine is None:
+        if not self.ids:
             return np.zeros(len(words), dtype=bool)
+        if not self.made:
+            self.machine.make_automaton()
+            self.made = True
         known = self.ids.get
         edge = np.zeros(len(words) + 1, dtype=np.int64)
         for last, length in self.machine.iter(tuple([known(w, 0) for w in words])):
@@ -238,18 +241,16 @@ class Shard:
 def _streamed(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
     """Rows in order of shards, and in each its passages before its documents: the documents, cut."""
     kind = pa.struct([("text", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("words", pa.int32())])))])
-    at, passages, shard = None, [], None
-    for batch in by_bytes(batches, "text", 4 << 20):
+    at, shard = None, Shard()
+    for batch in by_bytes(batches, ("text", "words"), 1 << 20):
         documents = []
         columns = (*(batch.column(c).to_pylist() for c in ("shard", "words", "spans")), as_bytes(batch.column("text")))
         for i, (number, passage, spans, text) in enumerate(zip(*columns, strict=True)):
             if number != at:
-                at, passages, shard = number, [], None
+                at, shard = number, Shard()
             if passage is not None:
-                passages.append((passage, spans))
+                shard.add(passage, spans)
                 continue
-            if shard is None:
-                shard, passages = Shard(passages), []
             words = text.split()
             documents.append((i, _row(text, words, shard.located(words), with_text)))
         if documents:
@@ -270,7 +271,7 @@ def _row(text: bytes, words: list[bytes], gone: np.ndarray, with_text: bool) ->
     return {"text": shown, "n_words": len(words), "n_removed": len(words) - len(kept), "kept_sha256": hashlib.sha256(b" ".join(kept)).hexdigest(), "spans": spans}
 
 
-def cut_passages(docs: DataFrame, width: int = 35, gram: int = 11, with_text: bool = True, shard_bytes: int = 2 << 20) -> DataFrame:
+def cut_passages(docs: DataFrame, width: int = 35, gram: int = 11, with_text: bool = True, shard_bytes: int = 1 << 20) -> DataFrame:
     """(row, text, made) for every row of docs: its other columns as a struct, its text, and a struct of CUT:
     the text without its recurring passages (a text that has none is as it was), counts of words, the digest
     of the kept words and the spans removed."""

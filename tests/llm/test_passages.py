@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from lodestone.llm.passages import Shard, cut_passages, joined, op7_repeated_phrase_automata, remove_passages
 
@@ -46,10 +47,12 @@ def test_odd_rows(odd_docs, no_docs):
 
 def test_shard_finds_what_it_was_not_told():
     """Places come from the automaton: the shard knows passages, not where they are, nor that this text has any."""
-    passages = [(b"a b c d e f g", [{"start": 0, "stop": 5}, {"start": 2, "stop": 7}]), (b"x y x y x", [{"start": 0, "stop": 5}])]
-    gone = Shard(passages).located(b"q a b c d e f g q x y x y x y x q a b c d".split())
+    shard = Shard()
+    for words, spans in ((b"a b c d e f g", [(0, 5), (2, 7)]), (b"x y x y x", [(0, 5)])):
+        shard.add(words, np.array(spans, dtype="<i4").tobytes())
+    gone = shard.located(b"q a b c d e f g q x y x y x y x q a b c d".split())
     assert gone.tolist() == [c == "1" for c in "01111111011111110" + "0000"]
-    assert not Shard([]).located([b"a"]).any()
+    assert not Shard().located([b"a"]).any()
 
 
 def test_copies_and_a_common_passage(spark):
