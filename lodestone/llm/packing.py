@@ -1,10 +1,12 @@
 """Packing: sum-of-squares online packing.
 
 Each document goes to the fill level that leaves the smallest sum of squared counts of partially filled
-windows; the counts are kept in a level array. Documents of a window or more are first cut into whole
-windows and a tail. Each task packs its documents online. When many windows are open, and at the end of a
-task, they are levelled: the gaps of the fullest are filled with cuts from the emptiest, which leaves one
-open window. The rest windows of many tasks are levelled once more, so padding comes to less than a window
+windows; the counts are kept in a level array. Levels are steps of `grain` ids, so that a few hundred documents
+are enough for the counts to even out and windows to close; the last gap of a window, less than a step, is
+filled with the beginning of the next document. Documents of a window or more are first cut into whole windows
+and a tail. Each task packs its documents online. At the end of a task the windows still open are levelled: the
+gaps of the fullest are filled with cuts from the emptiest, which leaves one open window; so they are when very
+many are open. The rest windows of many tasks are levelled once more, so padding comes to less than a window
 for every `group` tasks.
 
 Defined cases: a null text is empty; an empty text is the end id alone. Repeated rows are packed as often as
@@ -113,14 +115,17 @@ def word_encoder(path: str) -> WordEncoder:
 class Packer:
     """Sum-of-squares packing of (doc_id, start, ids, doc_tokens) pieces into windows of `size` ids.
 
-    level[h]: open windows with h ids. A piece of s ids put at level h changes the sum of squares by
-    2 * (level[h + s] - level[h]) + 2, where full windows and new ones don't count."""
-
-    def __init__(self, size: int, first: int, max_open: int = 512):
-        self.size, self.next, self.max_open = size, first, max_open
-        self.level = np.zeros(size + 1, dtype=np.int64)
-        self.at: dict[int, list[list]] = {}  # fill level -> windows, each a list of pieces
-        self.open = 0
+    level[k]: open windows with k * grain ids and less than a grain more. A piece put into a window of level k that
+    then is of level n changes the sum of squares by 2 * (level[n] - level[k]) + 2, where windows that lack less
+    than a grain, and new ones, don't count. settled: windows that were closed by levelling."""
+
+    def __init__(self, size: int, first: int, grain: int = 1, max_open: int = 4096):
+        self.size, self.next, self.grain, self.max_open = size, first, grain, max_open
+        self.level = np.zeros(size // grain + 1, dtype=np.int64)
+        self.top = np.full(size // grain + 1, -1, dtype=np.int64)  # ids in each level's last window
+        self.at: dict[int, list[tuple[int, list]]] = {}  # level -> (ids, pieces) of its windows
+        self.gap: tuple[int, list] | None = None  # a window that lacks less than a grain
+        self.open = self.settled = 0
         self.done: list[tuple] = []
 
     def add(self, doc_id, ids: bytes) -> None:
@@ -130,37 +135,62 @@ class Packer:
             piece = (doc_id, start, part, total)
             if len(part) == 4 * self.size:
                 self._close([piece])
-            else:
+                continue
+            if self.gap:
+                piece = self._topped(*piece)
+            if piece:
                 self._place(piece)
         if self.open > self.max_open:
             self.settle()
 
+    def _topped(self, doc_id, start: int, ids: bytes, total: int) -> tuple | None:
+        """What is left of a piece whose beginning went into the gap."""
+        fill, window = self.gap
+        n = min(len(ids) // 4, self.size - fill)
+        window.append((doc_id, start, ids[: 4 * n], total))
+        self.gap = (fill + n, window)
+        if fill + n == self.size:
+            self._close(window)
+            self.gap = None
+        return (doc_id, start + n, ids[4 * n :], total) if len(ids) > 4 * n else None
+
     def _place(self, piece: tuple) -> None:
-        size, level = len(piece[2]) // 4, self.level
-        there = level[1 : self.size - size + 1]
-        change = 2 * (level[size + 1 :] - there) + 2
-        change[-1:] -= 1  # exactly full: no partial window is added
-        change[there == 0] = np.iinfo(np.int64).max
-        best = 0
-        if len(change):
-            k = len(change) - 1 - int(np.argmin(change[::-1]))  # of equals, the fullest
-            if change[k] <= 2 * level[size] + 1:
-                best = k + 1
-        self._put(self._take(best) if best else [], best + size, piece)
-
-    def _take(self, fill: int) -> list:
-        self.level[fill] -= 1
+        size, level, grain = len(piece[2]) // 4, self.level, self.grain
+        fill = self.top + size
+        after = np.minimum(fill // grain, len(level) - 1)
+        change = 2 * (level[after] - level) + 2
+        near = self.size - fill < grain
+        change[near] = 1 - 2 * level[near]  # no partial window is added
+        change[after == np.arange(len(level))] = 0  # stays in its level
+        change[(self.top < 0) | (fill > self.size)] = np.iinfo(np.int64).max
+        best = len(change) - 1 - int(np.argmin(change[::-1]))  # of equals, the fullest
+        fresh = 0 if self.size - size < grain else 2 * level[size // grain] + 1
+        window = self._take(best) if change[best] <= fresh else (0, [])
+        self._put(window[1], window[0] + size, piece)
+
+    def _take(self, k: int) -> tuple[int, list]:
+        windows = self.at[k]
+        taken = windows.pop()
+        self.level[k] -= 1
         self.open -= 1
-        return self.at[fill].pop()
+        self.top[k] = windows[-1][0] if windows else -1
+        return taken
 
     def _put(self, window: list, fill: int, piece: tuple) -> None:
         window.append(piece)
         if fill == self.size:
             self._close(window)
+        elif self.size - fill < self.grain and self.gap is None:
+            self.gap = (fill, window)
         else:
-            self.level[fill] += 1
-            self.open += 1
-            self.at.setdefault(fill, []).append(window)
+            self._keep(fill, window)
+
+    def _keep(self, fill: int, window: list) -> None:
+        k = fill // self.grain
+        self.level[k] += 1
+        self.open += 1
+        self.at.setdefault(k, []).append((fill, window))
+        self.top[k] = fill
 
     def _close(self, window: list) -> None:
         offset = 0
@@ -172,8 +202,11 @@ class Packer:
 
     def settle(self) -> None:
         """Fills the gaps of the fullest windows with cuts from the emptiest; at most one stays open."""
-        order = [(h, w) for h in sorted(self.at) for w in self.at[h]]
-        self.level[:] = 0
+        order = sorted((x for windows in self.at.values() for x in windows), key=lambda x: x[0])
+        if self.gap:
+            order.append(self.gap)
+            self.gap = None
+        self.level[:], self.top[:] = 0, -1
         self.at, self.open = {}, 0
         low = 0
         spare = list(order[0][1]) if order else []
@@ -197,10 +230,9 @@ class Packer:
                 spare = window
                 break
             self._close(window)
+            self.settled += 1
         if spare:
-            fill = sum(len(x[2]) for x in spare) // 4
-            self.level[fill] += 1
-            self.at, self.open = {fill: [spare]}, 1
+            self._keep(sum(len(x[2]) for x in spare) // 4, spare)
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         if self.done:
@@ -212,13 +244,13 @@ class Packer:
         """The open window, with its ids, for the next level."""
         self.settle()
         yield from self.rows()
-        for window in chain.from_iterable(self.at.values()):
+        for _, window in chain.from_iterable(self.at.values()):
             self._close(window)
             self.done = [(*x[:-1], p[2]) for x, p in zip(self.done, window, strict=True)]
         yield from self.rows()
 
 
-def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, size: int = 4096, group: int = 64) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, size: int = 4096, group: int = 64, grain: int = 64) -> DataFrame:
     """Pieces of all docs (doc_id, text) as rows of PIECE. vocabulary: a tokenizers file that every executor
     has at this path and whose pre-tokenizer splits at white space. Sequences hold at most `size` ids.
 
@@ -226,7 +258,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, size: int = 4096, gr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = word_encoder(vocabulary), np.array([end_id], dtype="<u4").tobytes()
-        packer = Packer(size, TaskContext.get().partitionId() << 32)
+        packer = Packer(size, TaskContext.get().partitionId() << 32, min(grain, max(1, size // 16)))
         for batch in by_bytes(batches, "text", 1 << 20):
             ids = encoder.encode([x or "" for x in batch.column("text").to_pylist()])
             for doc_id, x in zip(batch.column("doc_id").to_pylist(), ids, strict=True):

@@ -1,3 +1,4 @@
+import itertools
 import zlib
 from collections import Counter, defaultdict
 
@@ -81,8 +82,8 @@ def test_placement_minimises_squares():
 
 def test_levelling_keeps_every_id():
     rng = np.random.default_rng(2)
-    for n in (0, 1, 2, 3, 50):
-        packer = Packer(16, 0, max_open=7)
+    for n, grain in itertools.product((0, 1, 2, 3, 50), (1, 4)):
+        packer = Packer(16, 0, grain, max_open=7)
         sizes = rng.integers(1, 40, n)
         for i, s in enumerate(sizes):
             packer.add(i, bytes(4 * int(s)))
@@ -93,6 +94,19 @@ def test_levelling_keeps_every_id():
         assert sum(r["length"] for r in rows) - open_ids == 16 * len({r["sequence_id"] for r in rows if r["rest_ids"] is None})
 
 
+def test_most_windows_close_without_levelling():
+    rng = np.random.default_rng(3)
+    packer = Packer(4096, 0, grain=64)
+    sizes = np.minimum(rng.lognormal(6, 1, 4000).astype(int) + 1, 20_000)
+    for i, s in enumerate(sizes):
+        packer.add(i, bytes(4 * int(s)))
+    assert packer.settled == 0 and packer.open < 200
+    rows = [r for made in (packer.rows(), packer.rest()) for b in made for r in b.to_pylist()]
+    assert packer.settled < 0.15 * len({r["sequence_id"] for r in rows})
+    assert sorted((r["doc_id"], r["start"] + i) for r in rows for i in range(r["length"])) == [(i, k) for i, s in enumerate(sizes) for k in range(s)]
+    assert sum(r["start"] % 4096 > 0 for r in rows) < 0.4 * len(sizes)  # cuts
+
+
 def test_case_of_words_and_special_strings(model):
     encoder = WordEncoder(PATH)
     batch = ["ÀÉÎ STRASSE Ünlü's X<|ENDOFTEXT|> <|endoftext|>Y", "µ ß ÿ I'LL DON'T", "ΣΑΣ İI ﬁ", "It's <|StartOfText|>", "A\xa0B\x85C\xadD", "".join(map(chr, range(1, 256)))]
