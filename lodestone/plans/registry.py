@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import deciding, documents, evidence, governing, operating, retrieval
+from . import deciding, documents, evidence, governing, operating, retrieval, reviewing
 
-ALL = {**retrieval.QUERIES, **governing.QUERIES, **operating.QUERIES, **documents.QUERIES, **deciding.QUERIES, **evidence.QUERIES}
+ALL = {**retrieval.QUERIES, **governing.QUERIES, **operating.QUERIES, **documents.QUERIES, **deciding.QUERIES, **evidence.QUERIES, **reviewing.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
