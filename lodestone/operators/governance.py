@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.columns import overlaps
@@ -27,11 +27,22 @@ def gaps(versions: DataFrame, key: str) -> DataFrame:
     return rows.filter(open_end & (F.col("next").isNull() | (F.col("next") > F.col("reach")))).select(key, F.col("reach").alias("gap_from"), F.col("next").alias("gap_to"))
 
 
-def overlap_pairs(versions: DataFrame, key: str, version: str) -> DataFrame:
-    """(key, fingerprint) of each two versions of a key whose intervals overlap (JOIN-6, RET-7)."""
-    a, b = versions.alias("a"), versions.alias("b")
-    both = a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col(f"a.{version}") < F.col(f"b.{version}")))
-    both = both.filter(overlaps(F.col("a.valid_from"), F.col("a.valid_to"), F.col("b.valid_from"), F.col("b.valid_to")))
+def overlap_pairs(versions: DataFrame, key: str, version: str, days: int = 180) -> DataFrame:
+    """(key, fingerprint) of each two versions of a key whose intervals overlap (JOIN-6, RET-7). Versions meet in
+    stretches of `days`, a pair in the one where the later of both begins, so versions far apart never meet."""
+    since = F.lit(datetime.date(1970, 1, 1))
+
+    def stretch(day: Column) -> Column:
+        return F.floor(F.datediff(day, since) / days).cast("long")
+
+    most = F.broadcast(versions.agg(F.max("valid_from").alias("most")))  # one row
+    end = F.least(F.coalesce(F.date_sub("valid_to", 1), F.col("most")), F.col("most"))
+    rows = versions.crossJoin(most).filter(F.col("valid_to").isNull() | (F.col("valid_from") < F.col("valid_to")))
+    rows = rows.select(key, version, "valid_from", "valid_to", F.explode(F.sequence(stretch(F.col("valid_from")), stretch(F.greatest("valid_from", end)))).alias("stretch"))
+    a, b = rows.alias("a"), rows.alias("b")
+    both = a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.stretch") == F.col("b.stretch")) & (F.col(f"a.{version}") < F.col(f"b.{version}")))
+    first = F.col("a.stretch") == stretch(F.greatest("a.valid_from", "b.valid_from"))
+    both = both.filter(first & overlaps(F.col("a.valid_from"), F.col("a.valid_to"), F.col("b.valid_from"), F.col("b.valid_to")))
     return both.select(F.col(f"a.{key}").alias(key), F.concat_ws(":", F.lit("overlapping_scope"), f"a.{version}", f"b.{version}").alias("fingerprint"))
 
 

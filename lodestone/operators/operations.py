@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,16 +42,19 @@ def edges(states: DataFrame, key: str, at: str, active: str) -> DataFrame:
 
 
 def cooled_down(alerts: DataFrame, key: str, at: str, seconds: int) -> DataFrame:
-    """Alerts of which none follows a kept one of its key within `seconds` (STM-5). Keys are codes of alerts;
-    what is kept depends on what was kept before, so a key's alerts go through in order."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values([at], kind="stable")
-        kept, last = [], None
-        for t in frame[at]:
-            keep = last is None or (t - last).total_seconds() >= seconds
-            last = t if keep else last
-            kept.append(keep)
-        return frame[kept]
-
-    return alerts.groupBy(key).applyInPandas(run, alerts.schema)
+    """Alerts of which none follows a kept one of its key within `seconds` (STM-5). What is kept depends on what was
+    kept before, so a key's alerts go through in order; only the last kept time is held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, last = object(), None
+        for batch in batches:
+            kept = []
+            for k, t in zip(batch.column(key).to_pylist(), batch.column(at).to_pylist(), strict=True):
+                if k != known:
+                    known, last = k, None
+                kept.append(last is None or (t - last).total_seconds() >= seconds)
+                last = t if kept[-1] else last
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    ordered = alerts.filter(F.col(at).isNotNull()).repartition(key).sortWithinPartitions(key, at)
+    return ordered.mapInArrow(run, alerts.schema)
