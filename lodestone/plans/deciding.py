@@ -127,7 +127,7 @@ def predecessor_as_of(spark, sf):
 
 
 def permission_scopes(spark, sf):
-    """The sorted segments each region's customers are in, and whether one is among them (FLT-4, AGG-3, AGG-4)."""
+    """The sorted segments each region's customers are in, and whether one is among them (FLT-4, AGG-3, AGG-4, ARR-3, JOIN-1)."""
     c = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     made = c.filter("c_acctbal > 9500").groupBy("n_regionkey").agg(F.array_sort(F.collect_set("c_mktsegment")).alias("s"))
     return made.select("n_regionkey", F.concat_ws(",", "s").alias("scopes"), F.array_contains("s", "BUILDING").alias("building"))

@@ -43,6 +43,7 @@ def redact_emails(spark, sf):
 
 
 def redact_all(spark, sf):
+    """AGG-31."""
     d = table(spark, sf, "documents").select("doc_id", redacted("text").alias("r"))
     return d.select("doc_id", F.explode("r.counts").alias("kind", "n"))
 
@@ -64,7 +65,7 @@ def canonical_props(spark, sf):
 
 
 def name_forms(spark, sf):
-    """Initials, file names and format checks of names (STR-14, STR-15, STR-16)."""
+    """Initials, file names and format checks of names (STR-14, STR-15, STR-16, STR-17)."""
     c = table(spark, sf, "customer")
     return c.select("c_custkey", initials(F.regexp_replace("c_name", "#", " ")).alias("initials"), safe_name("c_name").alias("file_name"), F.col("c_name").rlike("^Customer#[0-9]+$").alias("well_formed"))
 

@@ -50,6 +50,7 @@ def publication_plan(spark, sf):
 
 
 def duplicate_content(spark, sf):
+    """JOIN-8, MTH-6."""
     d = table(spark, sf, "documents").select("doc_id", "source", F.sha2("text", 256).alias("content_hash"))
     made = d.groupBy("content_hash").agg(F.count("*").alias("documents"), F.countDistinct("source").alias("sources"), F.min("doc_id").alias("first_id"))
     return made.filter("documents > 1")
@@ -62,11 +63,12 @@ def _tree(spark, sf) -> DataFrame:
 
 
 def team_closure(spark, sf):
+    """SET-2."""
     return g.closure(_tree(spark, sf))
 
 
 def readable_customers(spark, sf):
-    """Customers that a member of nation 3's team may read, by grants to all, teams and descendants (FLT-3)."""
+    """Customers that a member of nation 3's team may read, by grants to all, teams and descendants (FLT-3, JOIN-3)."""
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("document"), F.col("c_mktsegment").alias("segment"), "c_nationkey")
     nation = F.concat(F.lit("n"), F.col("c_nationkey").cast("string"))
     region = F.concat(F.lit("r"), (F.col("c_nationkey") % 5).cast("string"))
@@ -78,11 +80,13 @@ def readable_customers(spark, sf):
 
 
 def scope_gaps(spark, sf):
+    """JOIN-4."""
     p = table(spark, sf, "part")
     return p.select("p_brand", "p_type").distinct().join(p.filter("p_size > 48").select("p_brand", "p_type").distinct(), ["p_brand", "p_type"], "left_anti")
 
 
 def coverage_matrix(spark, sf):
+    """AGG-5."""
     c, n = table(spark, sf, "customer"), table(spark, sf, "nation")
     segments = c.select("c_mktsegment").distinct()
     made = c.groupBy("c_nationkey", "c_mktsegment").agg(F.countDistinct("c_custkey").alias("documents"))

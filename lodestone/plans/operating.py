@@ -100,6 +100,7 @@ def hard_gate_counts(spark, sf):
 
 
 def nearest_rank(spark, sf):
+    """AGG-12, WIN-4."""
     p = [F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY value)").alias(n) for q, n in ((0.5, "p50"), (0.95, "p95"))]
     return table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), *p)
 
@@ -146,7 +147,7 @@ def queue_snapshot(spark, sf):
 
 
 def health_snapshot(spark, sf):
-    """Failures by code and what the last day had (AGG-2, AGG-25, DAT-7)."""
+    """Failures by code and what the last day had (AGG-2, AGG-25, DAT-7, JOIN-13)."""
     e = table(spark, sf, "events")
     last = e.agg(F.max("ts").alias("now"))
     e = e.join(F.broadcast(last))  # one row
@@ -155,6 +156,7 @@ def health_snapshot(spark, sf):
 
 
 def latest_per_group(spark, sf):
+    """AGG-17."""
     made = table(spark, sf, "orders").groupBy("o_custkey").agg(F.max(F.struct("o_orderdate", "o_orderkey", "o_orderstatus")).alias("x"))
     return made.select("o_custkey", "x.o_orderdate", "x.o_orderkey", "x.o_orderstatus")
 
@@ -173,6 +175,7 @@ def budget_prefix(spark, sf):
 
 
 def ordered_nested(spark, sf):
+    """AGG-30, ARR-4."""
     lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("x"))
     parts = F.concat_ws(",", F.transform("x", lambda s: s.l_partkey.cast("string")))
     orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
@@ -180,6 +183,7 @@ def ordered_nested(spark, sf):
 
 
 def json_paths(spark, sf):
+    """ARR-1, JSN-1."""
     e = table(spark, sf, "events").select("event_type", F.get_json_object("props", "$.k").cast("bigint").alias("k"), F.array_join(F.array_sort(F.json_object_keys("props")), ",").alias("keys"))
     return e.groupBy("event_type", "keys").agg(F.count("*").alias("n"), F.sum("k").alias("k"), F.count_if(F.col("k").isNull()).alias("missing"))
 

@@ -37,10 +37,12 @@ def vector_topk(spark, sf):
 
 
 def lexical_topk(spark, sf):
+    """ARR-2, SRT-2, WIN-2."""
     return _lexical(spark, sf).select("chunk_id", "lexical_score", F.concat_ws(" ", "lexical_terms").alias("lexical_terms"), "lexical_rank")
 
 
 def hybrid_search(spark, sf):
+    """SRT-4."""
     both = fused(_vector(spark, sf), _lexical(spark, sf).drop("lexical_terms"))
     return both.select("chunk_id", "vector_rank", "lexical_rank", six("fused_score").alias("fused_score"), "best_rank", "fused_rank")
 

@@ -35,7 +35,7 @@ def changed(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def replace_partitions(df: DataFrame, path: str, *keys: str) -> None:
-    """Overwrites only the partitions that df has rows of; writing again changes nothing (SRC-8)."""
+    """Overwrites only the partitions that df has rows of; writing again changes nothing (SRC-8, STM-7)."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 
@@ -63,7 +63,7 @@ def validated_files(files: DataFrame, limit: int = 50 * 1024 * 1024) -> DataFram
 
 
 def event_lines(events: DataFrame) -> DataFrame:
-    """Each row as one JSON line, for an append-only text sink (SRC-11)."""
+    """Each row as one JSON line, for an append-only text sink (SRC-11, JSN-2)."""
     return events.select(F.to_json(F.struct("*")).alias("value"))
 
 
