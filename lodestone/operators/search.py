@@ -31,6 +31,20 @@ def lexical_top_k(texts: DataFrame, terms: Sequence[str], k: int, key: str = "ch
     return ranked(scored, k, [F.desc("lexical_score"), F.col(key)], "lexical_rank")
 
 
+def postings(texts: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """(token, key), once each: an inverted index. Written once, partitioned or sorted by token, it answers every
+    question from the rows of its terms; texts are not tokenised again."""
+    return texts.select(F.explode(F.array_distinct(tokens("text"))).alias("token"), key)
+
+
+def lexical_from_postings(index: DataFrame, terms: Sequence[str], k: int, key: str = "chunk_id") -> DataFrame:
+    """What lexical_top_k gives, of an index; the filter on terms reaches its scan."""
+    wanted = sorted(set(terms))
+    hits = index.filter(F.col("token").isin(wanted)).groupBy(key).agg(F.array_sort(F.collect_set("token")).alias("lexical_terms"))
+    scored = hits.select(key, six(F.size("lexical_terms") / F.lit(max(1, len(wanted)))).alias("lexical_score"), "lexical_terms")
+    return ranked(scored, k, [F.desc("lexical_score"), F.col(key)], "lexical_rank")
+
+
 def fused(vector: DataFrame, lexical: DataFrame, key: str = "chunk_id", k: int = 60) -> DataFrame:
     """Both lists as one, by reciprocal ranks, then the better rank, then the key (JOIN-2, MTH-2, WIN-5)."""
     both = vector.join(lexical, key, "full")

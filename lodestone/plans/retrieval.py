@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.columns import six
-from lodestone.operators.search import capped, fused, islands, lexical_top_k, ranked, rerank_none, vector_top_k
+from lodestone.operators.search import capped, fused, islands, lexical_from_postings, lexical_top_k, postings, ranked, rerank_none, vector_top_k
 from lodestone.sources.tables import table
 
 K = 50
@@ -41,6 +41,13 @@ def lexical_topk(spark, sf):
     return _lexical(spark, sf).select("chunk_id", "lexical_score", F.concat_ws(" ", "lexical_terms").alias("lexical_terms"), "lexical_rank")
 
 
+def lexical_index(spark, sf):
+    """RET-1, UDF-3: the lexical search of an inverted index."""
+    index = postings(table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text"))
+    made = lexical_from_postings(index, _terms(spark, sf), K)
+    return made.select("chunk_id", "lexical_score", F.concat_ws(" ", "lexical_terms").alias("lexical_terms"), "lexical_rank")
+
+
 def hybrid_search(spark, sf):
     """SRT-4."""
     both = fused(_vector(spark, sf), _lexical(spark, sf).drop("lexical_terms"))
@@ -145,3 +152,4 @@ QUERIES = {
            FROM documents LEFT JOIN embeddings ON doc_id = vec_id""",
     ),
 }
+QUERIES["lexical_index"] = (lexical_index, QUERIES["lexical_topk"][1])

@@ -157,6 +157,25 @@ def stemmed_terms(spark, sf):
     return made.groupBy("doc_id").agg(F.count("*").alias("stems"), F.sum(F.length("stem")).alias("letters"))
 
 
+def conflict_candidates(spark, sf):
+    """Documents of different sources with one content, each source's first against the first of all, by a canonical
+    fingerprint (RET-7, JOIN-8)."""
+    d = table(spark, sf, "documents").filter("text is not null").groupBy(F.sha2("text", 256).alias("hash"), "source").agg(F.min("doc_id").alias("version"))
+    first = d.groupBy("hash").agg(F.min("version").alias("least"))
+    made = d.join(first, "hash").filter("version <> least")
+    return made.select("source", F.concat_ws(":", F.lit("duplicate_content"), F.least("version", "least"), F.greatest("version", "least")).alias("fingerprint"))
+
+
+def health_json(spark, sf):
+    """One nested object of the service's health (AGG-2, AGG-25, JSN-2)."""
+    e = table(spark, sf, "events")
+    by_type = e.groupBy("event_type").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("event_type", "n")))).alias("by_type"))
+    one = e.agg(F.count("*").alias("events"), F.count_if(F.col("event_type") == "error").alias("errors"), F.countDistinct("user_id").alias("users"))
+    o = table(spark, sf, "orders").agg(F.count_if(F.col("o_orderstatus") == "P").alias("pending"), F.date_format(F.max("o_orderdate"), "yyyy-MM-dd").alias("newest"))
+    made = one.crossJoin(by_type).crossJoin(o)  # one row each
+    return made.select(F.to_json(F.struct("events", "errors", "users", "by_type", F.struct("pending", "newest").alias("queue"))).alias("health"))
+
+
 def composed_search(spark, sf):
     """RET-3: fusion, rerank, caps and merge in one."""
     both = rerank_none(fused(_vector(spark, sf), _lexical(spark, sf).drop("lexical_terms")), 30)
@@ -278,5 +297,17 @@ QUERIES = {
                               WHEN (w LIKE '%er' OR w LIKE '%en') AND length(w) >= 5 THEN left(w, length(w) - 2) ELSE w END AS stem FROM t)
             SELECT doc_id, count(*) AS stems, CAST(sum(length(stem)) AS BIGINT) AS letters FROM s GROUP BY doc_id""",
     ),
+    "conflict_candidates": (
+        conflict_candidates,
+        """WITH d AS (SELECT sha256(text) AS h, source, min(doc_id) AS v FROM documents WHERE text IS NOT NULL GROUP BY ALL), f AS (SELECT *, min(v) OVER (PARTITION BY h) AS m FROM d)
+           SELECT source, 'duplicate_content:' || least(v, m) || ':' || greatest(v, m) AS fingerprint FROM f WHERE v <> m""",
+    ),
+    "health_json": (
+        health_json,
+        """WITH t AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1)
+           SELECT '{"events":' || (SELECT count(*) FROM events) || ',"errors":' || (SELECT count(*) FROM events WHERE event_type = 'error') || ',"users":' || (SELECT count(DISTINCT user_id) FROM events)
+                  || ',"by_type":{' || (SELECT string_agg('"' || event_type || '":' || n, ',' ORDER BY event_type) FROM t) || '},"queue":{"pending":' || (SELECT count(*) FROM orders WHERE o_orderstatus = 'P')
+                  || ',"newest":"' || (SELECT strftime(max(o_orderdate), '%Y-%m-%d') FROM orders) || '"}}' AS health""",
+    ),
     "composed_search": (composed_search, f"{_BOTH} SELECT version, min(i) AS island, count(*) AS chunks, max(score) AS score, CAST(min(rank) AS INTEGER) AS rank FROM h GROUP BY version, run"),
 }
