@@ -41,5 +41,20 @@ def test_dialogues_and_spans(spark):
     assert [rows["ann"].text[s.start : s.end] for s in rows["ann"].spans] == ["Hi 😀<|im_end|>", "<|im_end|>"]
 
 
+def test_turns_without_a_number_and_very_many_participants(spark):
+    rows = [(1, None, name, text) for name, text in (("bob", "x"), ("ann", "y"), ("ann", None), (None, "z"))]
+    rows += [(2, i, f"p{i:03d}", "w" * (i % 5)) for i in range(150)]
+    made = segments(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), reach=40).collect()
+    one = sorted((r.speaker, r.seq, r.shown_role, r.shown_name) for r in made if r.conv_id == 1)
+    assert one[:4] == [("ann", 0, "assistant", None), ("ann", 1, "assistant", None), ("ann", 2, "user", "bob"), ("ann", 3, "user", "unknown")]
+    assert len(one) == 8 and {r.turn for r in made if r.conv_id == 1} == {None}
+    many = [r for r in made if r.conv_id == 2]
+    assert len(many) == 150 * 150 and sum(r.mask_start is not None for r in many) == 150
+    texts = {}
+    for r in sorted(many, key=lambda r: (r.speaker, r.seq)):
+        assert r.seg_start == len(texts.setdefault(r.speaker, ""))
+        texts[r.speaker] += r.segment
+
+
 def test_empty(spark):
     assert segments(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
