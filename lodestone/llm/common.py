@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -31,11 +32,21 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of plans that are done with: it learns of them when the driver
+    collects garbage, which an idle driver may not do for half an hour."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def cut(df: DataFrame, label: str, free: bool = False) -> DataFrame:
     """df written as a table in the shared folder and read back: later stages survive lost executors
-    without redoing what lies before. The folder belongs to the run and goes with it."""
+    without redoing what lies before. The folder belongs to the run and goes with it. free: after a large
+    shuffle, its files go as soon as they are not needed."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if free:
+        free_shuffles(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -115,7 +115,7 @@ def recurring_stretches(own: DataFrame, width: int, gram: int, shard_bytes: int)
             yield pa.RecordBatch.from_arrays(columns, ["anchor", "n"])
 
     # The row without a phrase holds the bytes of all texts.
-    again = cut(own.select("text").mapInArrow(phrases, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).filter("anchor is null or n > 1"), "phrases")
+    again = cut(own.select("text").mapInArrow(phrases, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).filter("anchor is null or n > 1"), "phrases", free=True)
     size, picks = again.agg(F.max(F.when(F.col("anchor").isNull(), F.col("n"))), F.sum(F.when(F.col("anchor").isNotNull(), F.col("n")))).first()
     shards = (size or 0) // shard_bytes + 1
 
@@ -139,7 +139,7 @@ def recurring_stretches(own: DataFrame, width: int, gram: int, shard_bytes: int)
     at = F.when(F.col("heavy"), F.xxhash64("row_key", "start")).otherwise(F.col("anchor"))
     light = again.filter(F.col("anchor").isNotNull()).select(F.col("anchor").alias("phrase"), F.col("anchor").alias("at"))
     found = every.withColumn("at", at).join(light, "at", "left").filter("heavy or phrase = anchor").drop("at", "heavy", "phrase")
-    found = cut(found, "occurrences")
+    found = cut(found, "occurrences", free=True)
     one = F.min(F.struct("row_key", "start", "windows")).alias("one")
     return found, cut(found.groupBy("anchor", "stretch").agg(F.count("*").alias("n"), one), "stretches"), shards
 
@@ -196,7 +196,7 @@ def confirmed_passages(own: DataFrame, stretches: DataFrame, width: int) -> Data
     mixed = cut(stretches.groupBy("anchor").agg(F.min("n").alias("least")).filter("least = 1").select("anchor"), "mixed-phrases")
     asked = stretches.join(mixed, "anchor", "left_semi")
     asked = asked.groupBy(F.col("one.row_key").alias("row_key")).agg(F.collect_list(F.struct("anchor", "n", "one.start", "one.windows")).alias("parts"))
-    windows = cut(once.join(asked, "row_key").mapInArrow(lambda x: _windows(x, width), WINDOW), "windows")
+    windows = cut(once.join(asked, "row_key").mapInArrow(lambda x: _windows(x, width), WINDOW), "windows", free=True)
     known = windows.groupBy("anchor", "window").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor", "window")
     single = windows.filter("n = 1").join(known, ["anchor", "window"], "left_semi").select("anchor", "row_key", "start")
 
@@ -206,7 +206,7 @@ def confirmed_passages(own: DataFrame, stretches: DataFrame, width: int) -> Data
     lone = lone.groupBy("row_key", "anchor", "stretch").agg(F.collect_set("start").alias("starts"))
     whole = stretches.filter("n > 1").select("one.row_key", "anchor", "stretch", F.expr("sequence(one.start, one.start + one.windows - 1)").alias("starts"))
     parts = lone.unionByName(whole).groupBy("row_key").agg(F.collect_list(F.struct("anchor", "stretch", "starts")).alias("parts"))
-    return cut(once.join(parts, "row_key").mapInArrow(lambda x: _passages(x, width), PASSAGE), "passages")
+    return cut(once.join(parts, "row_key").mapInArrow(lambda x: _passages(x, width), PASSAGE), "passages", free=True)
 
 
 class Shard:

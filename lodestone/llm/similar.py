@@ -171,6 +171,12 @@ def _verified(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame]) -> DataF
     return cut(found.unionByName(asked.filter(F.col("d") <= SURE).select("a", "b")).toDF("u", "v"), "similar")
 
 
+def _apart(pairs: DataFrame, stars: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are not in one component. stars: node, root."""
+    left, right = (stars.select(F.col("node").alias(n), F.col("root").alias(r)) for n, r in (("a", "x"), ("b", "y")))
+    return pairs.join(left, "a", "left").join(right, "b", "left").filter(F.coalesce("x", "a") != F.coalesce("y", "b")).drop("x", "y")
+
+
 def _met(asked: DataFrame, held: DataFrame, fps: DataFrame) -> DataFrame:
     """(a, b, d): who asked for a key that b of another component holds, each pair from one side where both hold
     it, looks alike and is within REACH. The fingerprints come to the keys, so that no candidate is shuffled."""
@@ -191,16 +197,18 @@ def links(fps: DataFrame, sets: Callable[[DataFrame], DataFrame], dense: int = 2
     pivot = F.min(F.when(~F.col("flip"), F.struct("node", "look")))
     keys = rows.groupBy("key").agg(pivot.alias("p"), F.count_if(~F.col("flip")).alias("n")).filter("n > 0")
     keys = keys.select("key", F.col("p.node").alias("pivot"), F.col("p.look").alias("sight"), (F.col("n") > dense).alias("full"), (F.col("n") > 1).alias("shared"))
-    asked = cut(rows.join(keys, "key").filter("shared or flip").filter(F.col("shared") | _alike("look", "sight")), "asked")
-
-    to = asked.filter((F.col("node") != F.col("pivot")) & (F.col("full") | _alike("look", "sight")))
-    to = to.groupBy(F.col("node").alias("a"), F.col("pivot").alias("b")).agg(F.max("full").alias("full"))
-    to = cut(_measured(to, fps).filter(F.col("full") | (F.col("d") <= REACH)), "to-pivots")
-    near = to.filter(F.col("d") <= REACH).select("a", "b", "d")
-    sure = connected_components(thinned(near.filter(F.col("d") <= SURE).select("a", "b")), "u", "v")
-    left, right = (sure.select(F.col("node").alias(n), F.col("root").alias(r)) for n, r in (("a", "x"), ("b", "y")))
-    apart = near.filter(F.col("d") > SURE).join(left, "a", "left").join(right, "b", "left").filter(F.coalesce("x", "a") != F.coalesce("y", "b"))
-    edges = _verified(apart, sets).unionByName(sure.select(F.col("node").alias("u"), F.col("root").alias("v")))
+    asked = cut(rows.join(keys, "key").filter("shared or flip").filter(F.col("shared") | _alike("look", "sight")), "asked", free=True)
+
+    # Each node meets the smallest of its pivots first, then those that are not in its component by then.
+    met = asked.filter((F.col("node") != F.col("pivot")) & (F.col("full") | _alike("look", "sight")))
+    met = cut(met.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "to-pivots", free=True)
+    first = _measured(met.groupBy("a").agg(F.min("b").alias("b")), fps).filter(F.col("d") <= REACH)
+    stars = connected_components(thinned(_verified(first, sets)), "u", "v")
+    near = cut(_measured(_apart(met, stars), fps).filter(F.col("d") <= REACH), "near-pivots")
+    known = stars.select(F.col("node").alias("u"), F.col("root").alias("v"))
+    sure = near.filter(F.col("d") <= SURE).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    sure = connected_components(thinned(known.unionByName(sure)), "u", "v")
+    edges = _verified(_apart(near.filter(F.col("d") > SURE), sure), sets).unionByName(sure.select(F.col("node").alias("u"), F.col("root").alias("v")))
     stars = connected_components(thinned(edges), "u", "v")
 
     # Those who met at a key's pivot and are in one component need not meet; the others do.
@@ -208,8 +216,9 @@ def links(fps: DataFrame, sets: Callable[[DataFrame], DataFrame], dense: int = 2
     ends = asked.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("key")
     asked = cut(asked.join(ends, "key", "left_semi"), "apart")
     held = asked.filter("not flip")
-    far = to.filter("full").join(stars.select(F.col("node").alias("a"), F.col("root").alias("x")), "a", "left").join(stars.select(F.col("node").alias("b"), F.col("root").alias("y")), "b", "left")
-    linked = (F.coalesce("x", "a") == F.coalesce("y", "b")) & (F.col("d") <= REACH)
+    far = asked.filter("full").filter(F.col("node") != F.col("pivot")).groupBy(F.col("node").alias("a"), F.col("pivot").alias("b")).agg(F.max("root").alias("x"))
+    far = _measured(far, fps).join(stars.select(F.col("node").alias("b"), F.col("root").alias("y")), "b", "left")
+    linked = (F.col("x") == F.coalesce("y", "b")) & (F.col("d") <= REACH)
     far = far.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "d", linked.alias("linked"))
     light = _met(asked.filter("not full"), held.filter("not full"), fps)
     own = {"d": F.coalesce("d", F.lit(0)), "linked": F.coalesce("linked", F.lit(True))}  # the pivot itself
@@ -228,7 +237,7 @@ def without_similar(docs: DataFrame, width: int = 5, dense: int = 256) -> DataFr
     words = [f"w{i}" for i in range(WORDS)]
     made = cut(wide_fingerprints(named.select("at", "text"), width), "wide-fingerprints")
     own = made.groupBy("node").agg(F.min("at").alias("first"))
-    fps = cut(made.select("node", *words, "weak").dropDuplicates(["node"]), "fingerprints")
+    fps = cut(made.select("node", *words, "weak").dropDuplicates(["node"]), "fingerprints", free=True)
 
     def sets(nodes: DataFrame) -> DataFrame:
         first = own.join(nodes, "node", "left_semi").select("node", "first")
