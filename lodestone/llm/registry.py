@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, html_text, language_model, packing, passages, quality, simhash, token_counts, topk, viterbi
+from . import best_fit, chat, html_text, language_model, packing, passages, quality, simhash, token_counts, topk, viterbi
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_perspective_rotation": chat.op8_perspective_rotation,
         "op9_compression_bands": quality.op9_compression_bands,
         "op10_streaming_viterbi": viterbi.op10_streaming_viterbi,
+        "op11_best_fit_packing": best_fit.op11_best_fit_packing,
     }
 
 
