@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import best_fit, chat, html_text, language_model, packing, passages, quality, simhash, token_counts, topk, viterbi
+from . import best_fit, chat, html_text, language_model, packing, passages, quality, simhash, spelling, token_counts, topk, vector_codes, viterbi
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_compression_bands": quality.op9_compression_bands,
         "op10_streaming_viterbi": viterbi.op10_streaming_viterbi,
         "op11_best_fit_packing": best_fit.op11_best_fit_packing,
+        "op12_delta_lloyd_codes": vector_codes.op12_delta_lloyd_codes,
+        "op13_symmetric_delete_variants": spelling.op13_symmetric_delete_variants,
     }
 
 
@@ -29,4 +31,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op5_uniform_threshold_search": topk.OP5_SQL,
         "op8_perspective_rotation": chat.OP8_SQL,
+        "op12_delta_lloyd_codes": vector_codes.OP12_SQL,
     }
