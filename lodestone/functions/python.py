@@ -21,8 +21,12 @@ ABBREVIATIONS = frozenset(
     "bl.a. f.eks. jf. pkt. nr. stk. kr. ca. dvs. mv. m.v. inkl. ekskl. evt. "
     "osv. mht. iht. vedr. ift. pga. p.t. o.l. m.m. s. t.o.m. fr.o.m.".split()
 )
-SENTENCE_END = re.compile(r"""[.!?]+["')\]]?(\s+)""")
-SENTENCE_START = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZÆØÅ0123456789§\"'(")
+SENTENCE_START = "A-ZÆØÅ0-9§\"'("
+_SHORT = "|".join(x.replace(".", r"\.") for x in sorted(ABBREVIATIONS))
+#: A sentence with the space after it, for Java's and Python's patterns alike (STR-5): it ends at its marks, a closing sign
+#: included, where space and a possible beginning follow, but not after an abbreviation; the last ends with the text.
+SENTENCE = rf"""(?s).+?(?:(?<=[.!?]["')\]]?)(?<!(?:^|\s)(?i:{_SHORT}))\s+(?=[{SENTENCE_START}])|(?!.))"""
+_SENTENCE = regex.compile(SENTENCE)
 
 
 def by_value(f, kind: str, text: Column | str) -> Column:
@@ -41,22 +45,23 @@ def nfc(text: Column | str) -> Column:
 
 
 def sentence_spans(text: str) -> list[tuple[int, int]]:
-    """Spans of sentences: one ends at its marks if space and a possible beginning follow, and not after an
-    abbreviation (STR-5)."""
-    spans, start = [], 0
-    for m in SENTENCE_END.finditer(text):
-        stop = m.start(1)
-        begins = text[m.end() : m.end() + 1] in SENTENCE_START if m.end() < len(text) else False
-        if begins and text[start:stop].split()[-1].lower() not in ABBREVIATIONS:
-            spans.append((start, stop))
-            start = m.end()
-    spans.append((start, len(text.rstrip())))
-    return [(a, b) for a, b in spans if b > a]
+    """Spans of sentences without the space after them."""
+    spans = [(m.start(), m.start() + len(m[0].rstrip())) for m in _SENTENCE.finditer(text)]
+    return [x for x in spans if x[1] > x[0]]
 
 
 def sentences(text: Column | str) -> Column:
-    """Spans of sentences (UDF-6)."""
-    return by_value(lambda x: [{"start": a, "end": b} for a, b in sentence_spans(x or "")], "array<struct<start:int,end:int>>", text)
+    """Spans of sentences, worked out in the JVM by the same pattern (UDF-6)."""
+    text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    parts = F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0))
+    empty = F.array().cast("array<struct<start:int,end:int>>")
+
+    def one(state: Column, part: Column) -> Column:
+        span = F.struct(state["at"].alias("start"), (state["at"] + F.length(F.regexp_replace(part, r"\s+$", ""))).cast("int").alias("end"))
+        return F.struct((state["at"] + F.length(part)).cast("int").alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
+
+    spans = F.aggregate(parts, F.struct(F.lit(0).alias("at"), empty.alias("spans")), one, lambda s: s["spans"])
+    return F.filter(spans, lambda x: x["end"] > x["start"])
 
 
 def fnv1a(token: str) -> int:
