@@ -98,7 +98,9 @@ def evidence_conflicts(chunks: DataFrame, passages: DataFrame, readable: DataFra
     return shown.unionByName(hidden.select("chunk_id", F.lit(True).alias("restricted"), *none))
 
 
-def signals(items: DataFrame) -> DataFrame:
-    """(items, top_score, has_conflicts, has_historical) of a set of evidence; one row, also without items (RET-6)."""
+def signals(items: DataFrame, *by: str) -> DataFrame:
+    """(items, top_score, has_conflicts, has_historical) of a set of evidence, or of each set by some columns; without
+    such columns one row, also without items (RET-6)."""
     flags = [F.coalesce(F.bool_or(c), F.lit(False)).alias(n) for c, n in ((F.col("conflicts") > 0, "has_conflicts"), (F.col("temporal_status") == "historical", "has_historical"))]
-    return items.agg(F.count("*").alias("items"), F.max("score").alias("top_score"), *flags)
+    return items.groupBy(*by).agg(F.count("*").alias("items"), F.max("score").alias("top_score"), *flags)
+

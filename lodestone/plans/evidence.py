@@ -13,7 +13,8 @@ from lodestone.functions.columns import six
 from lodestone.operators import access as a
 from lodestone.operators import evaluation as e
 from lodestone.operators import evidence as v
-from lodestone.plans.retrieval import _probe, _terms
+from lodestone.operators.many import searched
+from lodestone.plans.retrieval import _index, _probes, _questions
 from lodestone.sources.tables import table
 
 TODAY, DAY = datetime.date(1997, 1, 1), datetime.date(1996, 6, 1)
@@ -65,36 +66,37 @@ def _allowed(spark, sf):
 
 
 def _found(spark, sf):
-    chunks = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("version"), "text")
+    chunks = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("version"))
     vectors = table(spark, sf, "embeddings").withColumnRenamed("vec_id", "chunk_id").select("chunk_id", "embedding")
-    return v.search_chunks(chunks, vectors, _allowed(spark, sf), _probe(spark, sf), _terms(spark, sf))
+    return searched(chunks, vectors, _index(spark, sf), _allowed(spark, sf), _probes(spark, sf), _questions(spark, sf))
 
 
 def search_chunks(spark, sf):
     """RET-2, SRT-3."""
-    return _found(spark, sf).select("chunk_id", "document", "temporal_status", "vector_rank", "vector_score", "lexical_rank", "lexical_score", "position")
+    return _found(spark, sf).select("query_id", "chunk_id", "document", "temporal_status", "vector_rank", "vector_score", "lexical_rank", "lexical_score", "position")
 
 
 def evidence_signals(spark, sf):
     """RET-6."""
     items = _found(spark, sf).withColumn("score", F.coalesce("vector_score", "lexical_score")).withColumn("conflicts", F.col("product") % 2)
-    return v.signals(items)
+    return v.signals(items, "query_id")
 
 
 _SEARCH = rf"""
 {_VERSIONS},
-p AS (SELECT list_transform(embedding, lambda y: CAST(y AS DOUBLE)) AS q FROM embeddings WHERE vec_id = 0),
-vs AS (SELECT vec_id AS chunk_id, floor(list_cosine_similarity(list_transform(embedding, lambda y: CAST(y AS DOUBLE)), q) * 1e6 + 0.5) / 1e6 AS vector_score
-       FROM embeddings, p WHERE vec_id IN (SELECT version FROM allowed)),
-vt AS (SELECT *, CAST(row_number() OVER (ORDER BY vector_score DESC, chunk_id) AS INTEGER) AS vector_rank FROM vs
-       QUALIFY row_number() OVER (ORDER BY vector_score DESC, chunk_id) <= 50),
-t AS (SELECT list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}§]+')) AS terms FROM benchmark WHERE item_id = 0),
-ls AS (SELECT version AS chunk_id, len(list_intersect(terms, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}§]+'))) AS n, len(terms) AS m FROM allowed, t),
-lt AS (SELECT chunk_id, floor(n / m * 1e6 + 0.5) / 1e6 AS lexical_score, CAST(row_number() OVER (ORDER BY floor(n / m * 1e6 + 0.5) / 1e6 DESC, chunk_id) AS INTEGER) AS lexical_rank
-       FROM ls WHERE n > 0 QUALIFY row_number() OVER (ORDER BY floor(n / m * 1e6 + 0.5) / 1e6 DESC, chunk_id) <= 50),
-f AS (SELECT chunk_id, document, product, temporal_status, vector_rank, vector_score, lexical_rank, lexical_score,
-             CAST(row_number() OVER (ORDER BY least(coalesce(vector_rank, 1000000), coalesce(lexical_rank, 1000000)), chunk_id) AS INTEGER) AS position
-      FROM vt FULL JOIN lt USING (chunk_id) JOIN allowed ON version = chunk_id)
+vs AS (SELECT p.vec_id AS query_id, e.vec_id AS chunk_id,
+              floor(list_cosine_similarity(list_transform(e.embedding, lambda y: CAST(y AS DOUBLE)), list_transform(p.embedding, lambda y: CAST(y AS DOUBLE))) * 1e6 + 0.5) / 1e6 AS vector_score
+       FROM embeddings e, embeddings p WHERE p.vec_id % 50 = 0 AND e.embedding IS NOT NULL AND e.vec_id IN (SELECT version FROM allowed)),
+vt AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY vector_score DESC, chunk_id) AS INTEGER) AS vector_rank FROM vs
+       QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY vector_score DESC, chunk_id) <= 50),
+t AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}§]+')) AS terms FROM benchmark WHERE item_id % 50 = 0),
+ls AS (SELECT query_id, version AS chunk_id, len(list_intersect(terms, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}§]+'))) AS n, len(terms) AS m FROM allowed, t),
+lt AS (SELECT query_id, chunk_id, floor(n / m * 1e6 + 0.5) / 1e6 AS lexical_score,
+              CAST(row_number() OVER (PARTITION BY query_id ORDER BY floor(n / m * 1e6 + 0.5) / 1e6 DESC, chunk_id) AS INTEGER) AS lexical_rank
+       FROM ls WHERE n > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY floor(n / m * 1e6 + 0.5) / 1e6 DESC, chunk_id) <= 50),
+f AS (SELECT query_id, chunk_id, document, product, temporal_status, vector_rank, vector_score, lexical_rank, lexical_score,
+             CAST(row_number() OVER (PARTITION BY query_id ORDER BY least(coalesce(vector_rank, 1000000), coalesce(lexical_rank, 1000000)), chunk_id) AS INTEGER) AS position
+      FROM vt FULL JOIN lt USING (query_id, chunk_id) JOIN allowed ON version = chunk_id)
 """
 
 
@@ -372,10 +374,10 @@ def paired_lists(spark, sf):
 QUERIES = {
     "secured_scan": (secured_scan, f"WITH {_VERSIONS} SELECT document, temporal_status, count(*) AS versions, min(version) AS first FROM seen GROUP BY ALL"),
     "allowed_set": (allowed_set, f"WITH {_VERSIONS} SELECT version, document, product, temporal_status FROM allowed"),
-    "search_chunks": (search_chunks, f"WITH {_SEARCH} SELECT chunk_id, document, temporal_status, vector_rank, vector_score, lexical_rank, lexical_score, position FROM f"),
+    "search_chunks": (search_chunks, f"WITH {_SEARCH} SELECT query_id, chunk_id, document, temporal_status, vector_rank, vector_score, lexical_rank, lexical_score, position FROM f"),
     "evidence_signals": (
         evidence_signals,
-        f"WITH {_SEARCH} SELECT count(*) AS items, max(coalesce(vector_score, lexical_score)) AS top_score, coalesce(bool_or(product % 2 > 0), false) AS has_conflicts, coalesce(bool_or(temporal_status = 'historical'), false) AS has_historical FROM f",
+        f"WITH {_SEARCH} SELECT query_id, count(*) AS items, max(coalesce(vector_score, lexical_score)) AS top_score, coalesce(bool_or(product % 2 > 0), false) AS has_conflicts, coalesce(bool_or(temporal_status = 'historical'), false) AS has_historical FROM f GROUP BY query_id",
     ),
     "evidence_items": (
         evidence_items,

@@ -5,58 +5,78 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions.columns import six
-from lodestone.operators.search import capped, fused, islands, lexical_from_postings, lexical_top_k, postings, ranked, rerank_none, vector_top_k
+from lodestone.functions.columns import six, tokens
+from lodestone.functions.danish import BEFORE_S, CONSONANTS, ENDINGS, STOP_WORDS, VOWELS
+from lodestone.operators.index import Index, build, by_cover, by_shared_words
+from lodestone.operators.many import fused_many, rerank_none_many, vector_many
+from lodestone.operators.search import capped, islands
 from lodestone.sources.tables import table
 
 K = 50
 
 
-def _probe(spark: SparkSession, sf: str) -> list[float]:
-    found = table(spark, sf, "embeddings").filter("vec_id = 0 and embedding is not null").select("embedding").first()
-    return found[0] if found else []
+def _probes(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions as vectors: those with ids divisible by 50."""
+    return table(spark, sf, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
-def _terms(spark: SparkSession, sf: str) -> list[str]:
-    from lodestone.functions.columns import tokens
+def _questions(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions as texts: those with ids divisible by 50."""
+    return table(spark, sf, "benchmark").filter("item_id % 50 = 0").select(F.col("item_id").cast("long").alias("query_id"), "text")
 
-    found = table(spark, sf, "benchmark").filter("item_id = 0 and text is not null").select(F.array_distinct(tokens("text"))).first()
-    return found[0] if found else []
+
+def _index(spark: SparkSession, sf: str) -> Index:
+    return build(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
 
 
 def _vector(spark: SparkSession, sf: str) -> DataFrame:
-    return vector_top_k(table(spark, sf, "embeddings").withColumnRenamed("vec_id", "chunk_id"), _probe(spark, sf), K)
+    return vector_many(table(spark, sf, "embeddings").withColumnRenamed("vec_id", "chunk_id"), _probes(spark, sf), K)
 
 
 def _lexical(spark: SparkSession, sf: str) -> DataFrame:
-    return lexical_top_k(table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), _terms(spark, sf), K)
+    return by_shared_words(_index(spark, sf), _questions(spark, sf), K).withColumnRenamed("key", "chunk_id")
 
 
 def vector_topk(spark, sf):
+    """SRT-1, WIN-1, MTH-1."""
     return _vector(spark, sf)
 
 
 def lexical_topk(spark, sf):
     """ARR-2, SRT-2, WIN-2."""
-    return _lexical(spark, sf).select("chunk_id", "lexical_score", F.concat_ws(" ", "lexical_terms").alias("lexical_terms"), "lexical_rank")
+    return _lexical(spark, sf).select("query_id", "chunk_id", "lexical_score", F.concat_ws(" ", "lexical_terms").alias("lexical_terms"), "lexical_rank")
 
 
 def lexical_index(spark, sf):
-    """RET-1, UDF-3: the lexical search of an inverted index."""
-    index = postings(table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text"))
-    made = lexical_from_postings(index, _terms(spark, sf), K)
-    return made.select("chunk_id", "lexical_score", F.concat_ws(" ", "lexical_terms").alias("lexical_terms"), "lexical_rank")
+    """RET-1, UDF-2, UDF-3: Danish stems and plain words of a stored index, by cover density."""
+    return by_cover(_index(spark, sf), _questions(spark, sf), K).withColumnRenamed("key", "chunk_id")
+
+
+def cover_density(spark, sf):
+    """RET-1: texts with all of a question's first three words, by the stretches that hold them; and a second set of questions,
+    the last three words, answered from the same stored index."""
+    index, questions = _index(spark, sf), _questions(spark, sf)
+    words = F.array_distinct(tokens("text"))
+    made = [by_cover(index, questions.select("query_id", F.array_join(part, " ").alias("text")), K, ("simple",), every=True).withColumn("part", F.lit(name))
+            for name, part in (("first", F.slice(words, 1, 3)), ("last", F.slice(words, F.greatest(F.size(words) - 2, F.lit(1)), 3)))]
+    return made[0].unionByName(made[1]).withColumnRenamed("key", "chunk_id")
+
+
+def index_words(spark, sf):
+    """Words and stems of the stored index, with their documents and places (UDF-2, UDF-3)."""
+    made = _index(spark, sf).postings.groupBy("kind", "token")
+    return made.agg(F.count("*").alias("documents"), F.sum(F.size("positions")).alias("places"), F.max(F.array_max("positions")).alias("last"))
 
 
 def hybrid_search(spark, sf):
     """SRT-4."""
-    both = fused(_vector(spark, sf), _lexical(spark, sf).drop("lexical_terms"))
-    return both.select("chunk_id", "vector_rank", "lexical_rank", six("fused_score").alias("fused_score"), "best_rank", "fused_rank")
+    both = fused_many(_vector(spark, sf), _lexical(spark, sf).drop("lexical_terms"))
+    return both.select("query_id", "chunk_id", "vector_rank", "lexical_rank", six("fused_score").alias("fused_score"), "best_rank", "fused_rank")
 
 
 def rerank_candidates(spark, sf):
-    made = rerank_none(fused(_vector(spark, sf), _lexical(spark, sf).drop("lexical_terms")), 30)
-    return made.select("chunk_id", "score", F.col("fused_rank").alias("rank"))
+    made = rerank_none_many(fused_many(_vector(spark, sf), _lexical(spark, sf).drop("lexical_terms")), 30)
+    return made.select("query_id", "chunk_id", "score", F.col("fused_rank").alias("rank"))
 
 
 def select_caps(spark, sf):
@@ -89,39 +109,92 @@ def embedding_integrity(spark, sf):
 
 
 _VECTOR = """
-v AS (SELECT vec_id AS chunk_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
-p AS (SELECT e AS q FROM v WHERE chunk_id = 0),
-vs AS (SELECT chunk_id, floor(list_cosine_similarity(e, q) * 1e6 + 0.5) / 1e6 AS vector_score FROM v, p),
-vt AS (SELECT *, CAST(row_number() OVER (ORDER BY vector_score DESC, chunk_id) AS INTEGER) AS vector_rank FROM vs
-       QUALIFY row_number() OVER (ORDER BY vector_score DESC, chunk_id) <= 50)
+v AS (SELECT vec_id AS chunk_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE embedding IS NOT NULL),
+vs AS (SELECT p.chunk_id AS query_id, v.chunk_id, floor(list_cosine_similarity(v.e, p.e) * 1e6 + 0.5) / 1e6 AS vector_score FROM v, v p WHERE p.chunk_id % 50 = 0),
+vt AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY vector_score DESC, chunk_id) AS INTEGER) AS vector_rank FROM vs
+       QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY vector_score DESC, chunk_id) <= 50)
 """
 _LEXICAL = r"""
-q AS (SELECT list_sort(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}§]+'))) AS terms FROM benchmark WHERE item_id = 0),
-lx AS (SELECT doc_id AS chunk_id, len(terms) AS n,
+q AS (SELECT item_id AS query_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}§]+'))) AS terms FROM benchmark WHERE item_id % 50 = 0),
+lx AS (SELECT query_id, doc_id AS chunk_id, len(terms) AS n,
               list_sort(list_intersect(terms, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}§]+')))) AS hit
        FROM documents, q),
-ls AS (SELECT chunk_id, floor(len(hit) / n * 1e6 + 0.5) / 1e6 AS lexical_score, array_to_string(hit, ' ') AS lexical_terms
+ls AS (SELECT query_id, chunk_id, floor(len(hit) / n * 1e6 + 0.5) / 1e6 AS lexical_score, array_to_string(hit, ' ') AS lexical_terms
        FROM lx WHERE len(hit) > 0),
-lt AS (SELECT *, CAST(row_number() OVER (ORDER BY lexical_score DESC, chunk_id) AS INTEGER) AS lexical_rank FROM ls
-       QUALIFY row_number() OVER (ORDER BY lexical_score DESC, chunk_id) <= 50)
+lt AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY lexical_score DESC, chunk_id) AS INTEGER) AS lexical_rank FROM ls
+       QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY lexical_score DESC, chunk_id) <= 50)
 """
 _FUSED = """
-f AS (SELECT chunk_id, vector_rank, lexical_rank,
+f AS (SELECT query_id, chunk_id, vector_rank, lexical_rank,
              coalesce(1.0::DOUBLE / (60 + vector_rank), 0) + coalesce(1.0::DOUBLE / (60 + lexical_rank), 0) AS fused_score,
              least(vector_rank, lexical_rank) AS best_rank
-      FROM vt FULL JOIN lt USING (chunk_id)),
-g AS (SELECT *, CAST(row_number() OVER (ORDER BY fused_score DESC, best_rank, chunk_id) AS INTEGER) AS fused_rank FROM f)
+      FROM vt FULL JOIN lt USING (query_id, chunk_id)),
+g AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY fused_score DESC, best_rank, chunk_id) AS INTEGER) AS fused_rank FROM f)
+"""
+_PLACES = r"""
+raw AS (SELECT doc_id AS key, regexp_extract_all(lower(text), '[\p{L}\p{N}§]+') AS w FROM documents),
+places AS (SELECT key, unnest(w) AS token, unnest(range(1, 1 + len(w))) AS pos FROM raw)
+"""
+
+
+def _stems(source: str) -> str:
+    """Stems of the distinct words of `source` (token), step by step, by substrings and lists of endings."""
+    names = ", ".join(f"'{x}'" for x in sorted([*ENDINGS, "s"], key=len, reverse=True))
+    pair = "CASE WHEN length({w}) - {w}p >= 2 AND right({w}, 2) IN ('gd', 'dt', 'gt', 'kt') THEN left({w}, length({w}) - 1) ELSE {w} END"
+    return rf"""
+    s0 AS (SELECT DISTINCT token FROM {source}),
+    s1 AS (SELECT token, length(regexp_extract(token, '^[^{VOWELS}]*[{VOWELS}]+[^{VOWELS}]')) AS head FROM s0),
+    s2 AS (SELECT token, CASE WHEN length(token) < 3 OR head = 0 THEN length(token) ELSE greatest(head, 3) END AS p FROM s1),
+    s3 AS (SELECT *, list_filter([{names}], lambda x: length(x) <= length(token) - p AND suffix(token, x))[1] AS e FROM s2),
+    s4 AS (SELECT token, p, CASE WHEN e IS NULL OR (e = 's' AND position(substr(token, length(token) - 1, 1) IN '{BEFORE_S}') = 0) THEN token ELSE left(token, length(token) - length(e)) END AS a FROM s3),
+    s5 AS (SELECT token, p, {pair.format(w="a").replace("ap ", "p ")} AS b FROM s4),
+    s6 AS (SELECT token, p, CASE WHEN suffix(b, 'igst') THEN left(b, length(b) - 2) ELSE b END AS c FROM s5),
+    s7 AS (SELECT *, list_filter(['elig', 'lig', 'els', 'ig'], lambda x: length(x) <= length(c) - p AND suffix(c, x))[1] AS e FROM s6),
+    s8 AS (SELECT token, p, e, CASE WHEN e IS NOT NULL THEN left(c, length(c) - length(e)) WHEN length(c) - p >= 4 AND suffix(c, 'løst') THEN left(c, length(c) - 1) ELSE c END AS d FROM s7),
+    s9 AS (SELECT token, p, CASE WHEN e IS NOT NULL THEN {pair.format(w="d").replace("dp ", "p ")} ELSE d END AS f FROM s8),
+    stems AS (SELECT token, CASE WHEN length(f) > p AND length(f) > 1 AND position(right(f, 1) IN '{CONSONANTS}') > 0 AND right(f, 1) = substr(f, length(f) - 1, 1) THEN left(f, length(f) - 1) ELSE f END AS stem FROM s9)
+    """
+
+
+_STOP = ", ".join(f"'{x}'" for x in STOP_WORDS)
+_BOTH_KINDS = rf"""{_PLACES}, {_stems("every_word")},
+post AS (SELECT 'simple' AS kind, key, token, pos FROM places
+         UNION ALL SELECT 'danish', key, stem, pos FROM places JOIN stems USING (token) WHERE token NOT IN ({_STOP}))
+"""
+_ASKED = r"""
+qw AS (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}§]+')) AS token FROM benchmark WHERE item_id % 50 = 0),
+every_word AS (SELECT token FROM qw UNION SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}§]+')) FROM documents)
 """
+_COVER_SQL = rf"""WITH {_ASKED}, {_BOTH_KINDS},
+wanted AS (SELECT DISTINCT query_id, 'simple' AS kind, token FROM qw UNION SELECT DISTINCT query_id, 'danish', stem FROM qw JOIN stems USING (token) WHERE token NOT IN ({_STOP})),
+hit AS (SELECT query_id, key AS chunk_id, kind, count(DISTINCT pos) AS n FROM post JOIN wanted USING (kind, token) GROUP BY ALL),
+total AS (SELECT query_id, chunk_id, floor(sum(n * 0.1::DOUBLE) * 1e6 + 0.5) / 1e6 AS lexical_score FROM hit GROUP BY ALL)
+SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY lexical_score DESC, chunk_id) AS INTEGER) AS lexical_rank FROM total QUALIFY lexical_rank <= 50"""
+_ALL_SQL = rf"""WITH {_PLACES},
+ql AS (SELECT item_id AS query_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}§]+') AS w FROM benchmark WHERE item_id % 50 = 0),
+qn AS (SELECT query_id, unnest(w) AS token, unnest(range(len(w))) AS i FROM ql),
+qd AS (SELECT query_id, token, row_number() OVER (PARTITION BY query_id ORDER BY min(i)) AS nth, count(*) OVER (PARTITION BY query_id) AS m FROM qn GROUP BY query_id, token),
+ask AS (SELECT query_id, 'first' AS part, token, nth FROM qd WHERE nth <= 3
+        UNION ALL SELECT query_id, 'last', token, nth - greatest(m - 3, 0) FROM qd WHERE nth > m - 3),
+need AS (SELECT query_id, part, count(*) AS need FROM ask GROUP BY ALL),
+hit AS (SELECT query_id, part, key, pos, nth FROM places JOIN ask USING (token)),
+lasts AS (SELECT *, max(CASE WHEN nth = 1 THEN pos END) OVER w AS a, max(CASE WHEN nth = 2 THEN pos END) OVER w AS b, max(CASE WHEN nth = 3 THEN pos END) OVER w AS c
+          FROM hit WINDOW w AS (PARTITION BY query_id, part, key ORDER BY pos)),
+ends AS (SELECT query_id, part, key, pos, CASE WHEN (a IS NOT NULL)::INT + (b IS NOT NULL)::INT + (c IS NOT NULL)::INT = need THEN least(a, b, c) END AS l FROM lasts JOIN need USING (query_id, part)),
+firsts AS (SELECT query_id, part, key, l, min(pos) AS r FROM ends WHERE l IS NOT NULL GROUP BY ALL),
+inside AS (SELECT f.query_id, f.part, f.key, l, r, count(DISTINCT h.pos) AS n FROM firsts f JOIN hit h ON h.query_id = f.query_id AND h.part = f.part AND h.key = f.key AND h.pos BETWEEN l AND r GROUP BY ALL),
+total AS (SELECT query_id, part, key AS chunk_id, floor(sum(0.1::DOUBLE / (1 + (r - l) - (n - 1))) * 1e6 + 0.5) / 1e6 AS lexical_score FROM inside GROUP BY ALL)
+SELECT *, CAST(row_number() OVER (PARTITION BY query_id, part ORDER BY lexical_score DESC, chunk_id) AS INTEGER) AS lexical_rank FROM total QUALIFY lexical_rank <= 50"""
 QUERIES = {
     "vector_topk": (vector_topk, f"WITH {_VECTOR} SELECT * FROM vt"),
     "lexical_topk": (lexical_topk, f"WITH {_LEXICAL} SELECT * FROM lt"),
     "hybrid_search": (
         hybrid_search,
-        f"WITH {_VECTOR}, {_LEXICAL}, {_FUSED} SELECT chunk_id, vector_rank, lexical_rank, floor(fused_score * 1e6 + 0.5) / 1e6 AS fused_score, best_rank, fused_rank FROM g",
+        f"WITH {_VECTOR}, {_LEXICAL}, {_FUSED} SELECT query_id, chunk_id, vector_rank, lexical_rank, floor(fused_score * 1e6 + 0.5) / 1e6 AS fused_score, best_rank, fused_rank FROM g",
     ),
     "rerank_candidates": (
         rerank_candidates,
-        f"WITH {_VECTOR}, {_LEXICAL}, {_FUSED} SELECT chunk_id, floor(fused_score / max(fused_score) OVER () * 1e6 + 0.5) / 1e6 AS score, fused_rank AS rank FROM g QUALIFY fused_rank <= 30",
+        f"WITH {_VECTOR}, {_LEXICAL}, {_FUSED} SELECT query_id, chunk_id, floor(fused_score / max(fused_score) OVER (PARTITION BY query_id) * 1e6 + 0.5) / 1e6 AS score, fused_rank AS rank FROM g QUALIFY fused_rank <= 30",
     ),
     "select_caps": (
         select_caps,
@@ -152,4 +225,9 @@ QUERIES = {
            FROM documents LEFT JOIN embeddings ON doc_id = vec_id""",
     ),
 }
-QUERIES["lexical_index"] = (lexical_index, QUERIES["lexical_topk"][1])
+QUERIES["lexical_index"] = (lexical_index, _COVER_SQL)
+QUERIES["cover_density"] = (cover_density, _ALL_SQL)
+QUERIES["index_words"] = (
+    index_words,
+    rf"""WITH {_ASKED}, {_BOTH_KINDS} SELECT kind, token, count(DISTINCT key) AS documents, count(*) AS places, CAST(max(pos) AS INTEGER) AS last FROM post GROUP BY ALL""",
+)

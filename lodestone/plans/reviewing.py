@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import columns as x
 from lodestone.operators import review as r
-from lodestone.operators.search import capped, fused, islands, rerank_none
-from lodestone.plans.retrieval import _lexical, _vector
+from lodestone.operators.many import composed, fused_many, rerank_none_many
+from lodestone.plans.retrieval import _FUSED, _LEXICAL, _VECTOR, _lexical, _vector
 from lodestone.sources.tables import table
 
 
@@ -177,26 +177,21 @@ def health_json(spark, sf):
 
 
 def composed_search(spark, sf):
-    """RET-3: fusion, rerank, caps and merge in one."""
-    both = rerank_none(fused(_vector(spark, sf), _lexical(spark, sf).drop("lexical_terms")), 30)
-    own = both.select("chunk_id", "score", "fused_rank", F.floor(F.col("chunk_id") / 20).alias("version"), (F.col("chunk_id") % 20).alias("chunk_index"))
-    made = capped(own, "version", 3, 20, [F.desc("score"), F.col("fused_rank")], least=0.1)
-    made = islands(made, ["version"], "chunk_index")
-    return made.groupBy("version", "island").agg(F.count("*").alias("chunks"), F.max("score").alias("score"), F.min("rank").alias("rank"))
+    """RET-3: fusion, rerank, caps and merge in one, for each question."""
+    both = rerank_none_many(fused_many(_vector(spark, sf), _lexical(spark, sf).drop("lexical_terms")), 30)
+    own = both.select("query_id", "chunk_id", "score", "fused_rank", F.floor(F.col("chunk_id") / 20).alias("version"), (F.col("chunk_id") % 20).alias("chunk_index"))
+    made = composed(own, "version", "chunk_index", 3, 20, 0.1)
+    return made.groupBy("query_id", "version", "island").agg(F.count("*").alias("chunks"), F.max("score").alias("score"), F.min("rank").alias("rank"))
 
 
 _KIND = r"""CASE WHEN l = '' THEN 'empty' WHEN regexp_matches(l, '^§\s*\d+') OR regexp_matches(l, '^\d+(?:\.\d+)*\.?\s+\p{L}') THEN 'heading' WHEN regexp_matches(l, '^\s*(?:[-•–*]|\d+[.)]|[a-zæøå][.)])\s+') THEN 'list'
      WHEN len(regexp_extract_all(l, '\S {2,}\S')) > 1 THEN 'table' WHEN length(l) < 60 AND NOT regexp_matches(l, '[.!?:;,]$') THEN 'heading' ELSE 'text' END"""
-_BOTH = """WITH v AS (SELECT vec_id AS chunk_id, list_transform(embedding, lambda y: CAST(y AS DOUBLE)) AS e FROM embeddings), p AS (SELECT e AS q FROM v WHERE chunk_id = 0),
-vs AS (SELECT chunk_id, floor(list_cosine_similarity(e, q) * 1e6 + 0.5) / 1e6 AS s FROM v, p), vt AS (SELECT chunk_id, row_number() OVER (ORDER BY s DESC, chunk_id) AS vr FROM vs QUALIFY vr <= 50),
-t AS (SELECT list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}§]+')) AS terms FROM benchmark WHERE item_id = 0),
-ls AS (SELECT doc_id AS chunk_id, len(list_intersect(terms, regexp_extract_all(lower(text), '[\\p{L}\\p{N}§]+'))) AS n FROM documents, t), lt AS (SELECT chunk_id, row_number() OVER (ORDER BY n DESC, chunk_id) AS lr FROM ls WHERE n > 0 QUALIFY lr <= 50),
-f AS (SELECT chunk_id, coalesce(1.0 / (60 + vr), 0.0) + coalesce(1.0 / (60 + lr), 0.0) AS fs, least(vr, lr) AS best FROM vt FULL JOIN lt USING (chunk_id)),
-g AS (SELECT chunk_id, floor(CAST(fs AS DOUBLE) / max(CAST(fs AS DOUBLE)) OVER () * 1e6 + 0.5) / 1e6 AS score, row_number() OVER (ORDER BY fs DESC, best, chunk_id) AS fr FROM f),
-c AS (SELECT *, chunk_id // 20 AS version, chunk_id % 20 AS i FROM g WHERE fr <= 30 AND score >= 0.1 QUALIFY row_number() OVER (PARTITION BY chunk_id // 20 ORDER BY score DESC, fr) <= 3),
-d AS (SELECT *, row_number() OVER (ORDER BY score DESC, fr) AS rank FROM c QUALIFY rank <= 20),
-h AS (SELECT *, i - row_number() OVER (PARTITION BY version ORDER BY i) AS run FROM d)
-""".replace("\\\\", "\\")
+_BOTH = f"""WITH {_VECTOR}, {_LEXICAL}, {_FUSED},
+s AS (SELECT query_id, chunk_id, floor(fused_score / max(fused_score) OVER (PARTITION BY query_id) * 1e6 + 0.5) / 1e6 AS score, fused_rank AS fr FROM g),
+c AS (SELECT *, chunk_id // 20 AS version, chunk_id % 20 AS i FROM s WHERE fr <= 30 AND score >= 0.1 QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id // 20 ORDER BY score DESC, fr) <= 3),
+d AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fr) AS rank FROM c QUALIFY rank <= 20),
+h AS (SELECT *, i - row_number() OVER (PARTITION BY query_id, version ORDER BY i) AS run FROM d)
+"""
 _HEADERS = r"""WITH p AS (SELECT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, page_id, list_filter(list_transform(string_split(replace(html, '>', '>' || chr(10)), chr(10)), lambda y: trim(regexp_replace(y, '[ \t\n\x0B\f\r]+', ' ', 'g'))), lambda y: y <> '') AS lines FROM pages),
 u AS (SELECT host, page_id, len(lines) AS n, unnest(lines) AS line, unnest(range(0, len(lines))) AS place FROM p),
 e AS (SELECT *, CASE WHEN place < 2 OR place >= n - 2 THEN regexp_replace(lower(line), '[0-9]+', '#', 'g') END AS key FROM u),
@@ -309,5 +304,5 @@ QUERIES = {
                   || ',"by_type":{' || (SELECT string_agg('"' || event_type || '":' || n, ',' ORDER BY event_type) FROM t) || '},"queue":{"pending":' || (SELECT count(*) FROM orders WHERE o_orderstatus = 'P')
                   || ',"newest":"' || (SELECT strftime(max(o_orderdate), '%Y-%m-%d') FROM orders) || '"}}' AS health""",
     ),
-    "composed_search": (composed_search, f"{_BOTH} SELECT version, min(i) AS island, count(*) AS chunks, max(score) AS score, CAST(min(rank) AS INTEGER) AS rank FROM h GROUP BY version, run"),
+    "composed_search": (composed_search, f"{_BOTH} SELECT query_id, version, min(i) AS island, count(*) AS chunks, max(score) AS score, CAST(min(rank) AS INTEGER) AS rank FROM h GROUP BY query_id, version, run"),
 }

@@ -67,15 +67,20 @@ def event_lines(events: DataFrame) -> DataFrame:
     return events.select(F.to_json(F.struct("*")).alias("value"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared folder of spark.checkpoint.dir and read back, to end its lineage. Where the
-    session names none, a temporary folder serves if all run on one machine, and nothing on a cluster."""
-    context = df.sparkSession.sparkContext
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder of spark.checkpoint.dir. Where the session names none, a temporary folder serves if
+    all run on one machine, and nothing on a cluster."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="lodestone-"))
-    path = f"{context.getCheckpointDir().rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{context.getCheckpointDir().rstrip('/')}/{name}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back, to end its lineage."""
+    path = shared_path(df.sparkSession, uuid.uuid4().hex)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
