@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.columns import gain, six, squeezed, wilson
 from lodestone.operators import operations as o
+from lodestone.operators.seeds import occurrences
 from lodestone.sources.tables import table
 
 NOW = datetime.datetime(1999, 1, 1)
@@ -22,44 +23,27 @@ def wilson_by_source(spark, sf):
     return made.select("source", "good", "n", six(F.col("good") / F.col("n")).alias("value"), six(low).alias("low"), six(high).alias("high"))
 
 
+def _occurrences(spark, sf) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", squeezed("text").alias("text"))
+    items = table(spark, sf, "benchmark").select("item_id", squeezed("text").alias("pattern"))
+    return occurrences(docs, items, "doc_id", "item_id")
+
+
 def found_passages(spark, sf) -> DataFrame:
     """(item_id, doc_id, rank): documents that hold a benchmark passage, white space aside (STR-10 without its
-    rule that an anchor occurs once; every document with it is a hit). A passage may begin and end inside a
-    document's word, all words between are whole ones: passages and documents meet on the first of these, `width`
-    at most, so no passage is held against every document. Passages of two words meet them on the end of a word
-    that the first one is, those of one word on the piece of a word that they are."""
-    width = 6
-    docs = table(spark, sf, "documents").select("doc_id", squeezed("text").alias("body"))
-    items = table(spark, sf, "benchmark").select("item_id", squeezed("text").alias("passage")).filter("passage <> ''")
-    words = F.split("passage", " ")
-    inner = F.slice(words, 2, F.least(F.lit(width), F.greatest(F.size(words) - 2, F.lit(1))))
-    head = F.when(F.size(words) > 2, F.concat_ws(" ", inner)).otherwise(words[0])
-    items = items.select("item_id", "passage", F.least(F.size(words), F.lit(width + 2)).alias("n"), head.alias("head"))
-    split = docs.select("doc_id", F.split("body", " ").alias("w"))
-
-    def near(heads: DataFrame, n: int) -> DataFrame:
-        return heads.join(items.filter(F.col("n") == n), "head").select("doc_id", "item_id", "passage")
-
-    found = [items.filter("false").select(F.lit(None).cast("long").alias("doc_id"), "item_id", "passage")]
-    for n in sorted(r.n for r in items.select("n").distinct().collect()):
-        if n > 2:
-            k = n - 2
-            starts = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - k + 1, F.lit(1))), lambda i: F.concat_ws(" ", F.slice("w", i, k)))
-            found.append(near(split.select("doc_id", F.explode(starts).alias("head")), n))
-            continue
-        sizes = F.broadcast(items.filter(F.col("n") == n).select(F.length("head").alias("size")).distinct())  # few
-        word = split.select(F.explode("w").alias("word")).distinct().join(sizes, F.length("word") >= F.col("size"))
-        last = F.length("word") - F.col("size") + 1
-        at = word.select("word", "size", F.explode(F.sequence(F.lit(1) if n == 1 else last, last)).alias("at"))
-        pieces = near(at.select(F.col("word").alias("doc_id"), F.expr("substring(word, at, size)").alias("head")), n).withColumnRenamed("doc_id", "word").distinct()
-        found.append(split.select("doc_id", F.explode("w").alias("word")).distinct().join(pieces, "word").select("doc_id", "item_id", "passage"))
-    made = found[0]
-    for x in found[1:]:
-        made = made.unionByName(x)
-    hits = made.distinct().join(docs, "doc_id").filter(F.expr("contains(body, passage)"))
+    rule that an anchor occurs once; every document with it is a hit)."""
+    hits = _occurrences(spark, sf).select("item_id", "doc_id").distinct()
     return hits.select("item_id", "doc_id", F.row_number().over(Window.partitionBy("item_id").orderBy("doc_id")).alias("rank"))
 
 
+def anchor_counts(spark, sf):
+    """How often each passage occurs in all documents, overlaps counted, and whether it is an anchor: exactly once (STR-10)."""
+    n = _occurrences(spark, sf).groupBy("item_id").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("documents"))
+    items = table(spark, sf, "benchmark").select("item_id")
+    zero = F.lit(0).cast("bigint")
+    return items.join(n, "item_id", "left").select("item_id", F.coalesce("n", zero).alias("n"), F.coalesce("documents", zero).alias("documents"), F.coalesce(F.col("n") == 1, F.lit(False)).alias("anchor"))
+
+
 def passage_hits(spark, sf):
     return found_passages(spark, sf)
 
@@ -214,6 +198,13 @@ QUERIES = {
             FROM (SELECT source, CAST(sum(quality) AS BIGINT) AS good, count(quality) AS n, CAST(sum(quality) AS DOUBLE) AS k, CAST(count(quality) AS DOUBLE) AS m
                   FROM documents JOIN labels USING (doc_id) GROUP BY source)""",
     ),
+    "anchor_counts": (
+        anchor_counts,
+        r"""WITH b AS (SELECT doc_id, trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g')) AS body FROM documents),
+                 i AS (SELECT item_id, trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g')) AS p FROM benchmark),
+                 h AS (SELECT item_id, doc_id, len(list_filter(range(1, length(body) - length(p) + 2), lambda j: substr(body, j, length(p)) = p)) AS n FROM b JOIN i ON contains(body, p) WHERE p <> '')
+            SELECT item_id, CAST(coalesce(sum(n), 0) AS BIGINT) AS n, count(doc_id) AS documents, coalesce(sum(n), 0) = 1 AS anchor FROM i LEFT JOIN h USING (item_id) GROUP BY item_id""",
+    ),
     "passage_hits": (passage_hits, f"WITH {_HITS} SELECT item_id, doc_id, rank FROM h"),
     "retrieval_metrics": (
         retrieval_metrics,
