@@ -1,4 +1,4 @@
-"""Evaluation of retrieval: what each case observes, metrics, minimums, the verdict, and recomputation."""
+"""Evaluation of retrieval: minimums, recomputation and budgets; observation.py has gates and metrics."""
 
 from __future__ import annotations
 
@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.columns import gain
-
 #: How many cases of which types a run needs.
 TYPE_MINIMUMS = [
     ("answerable", ["direct", "multi_chunk"], 20),
@@ -18,70 +16,6 @@ TYPE_MINIMUMS = [
     ("distractor", ["distractor"], 3),
     ("access", ["permission", "filter"], 3),
 ]
-PILOT_BELOW = 100
-#: Hard gates that make a run invalid.
-INVALIDATING = ["H7"]
-
-
-def observed(items: DataFrame, expected: DataFrame, forbidden: DataFrame, cases: DataFrame, k: int = 8) -> DataFrame:
-    """What each case of `cases` (case) shows (EVL-1, SRT-11): items within k, the rank of the first expected
-    source and of the first passage of grade 3, required passages and those covered, gains by rank and the ideal
-    ones, and hits of forbidden documents (H1). A passage earns its grade once, at its first rank.
-    items: case, rank, document, passage; expected: case, document, passage, grade; forbidden: document."""
-    top = items.filter(F.col("rank") <= k)
-    sources = expected.select("case", "document").distinct().withColumn("hit", F.lit(True))
-    passages = expected.groupBy("case", "passage").agg(F.max("grade").alias("grade"))
-    credit = top.join(passages, ["case", "passage"]).groupBy("case", "passage", "grade").agg(F.min("rank").alias("rank"))
-    earned = credit.groupBy("case", "rank").agg(F.max("grade").alias("gain"))
-    seen = top.join(sources, ["case", "document"], "left").join(forbidden.select("document").distinct().withColumn("bad", F.lit(True)), "document", "left")
-    by_rank = seen.groupBy("case", "rank").agg(F.bool_or("hit").alias("hit"), F.count_if("bad").alias("bad"), F.count("*").alias("n")).join(earned, ["case", "rank"], "left")
-    gains = F.transform(F.array_sort(F.collect_list(F.struct("rank", F.coalesce("gain", F.lit(0)).alias("gain")))), lambda x: x["gain"])
-    made = by_rank.groupBy("case").agg(
-        F.sum("n").alias("items"),
-        F.min(F.when(F.col("hit"), F.col("rank"))).alias("source_rank"),
-        F.min(F.when(F.col("gain") == 3, F.col("rank"))).alias("first_grade3_rank"),
-        gains.alias("gains"),
-        F.sum("bad").alias("violations"),
-    )
-    needed = passages.groupBy("case").agg(F.count("*").alias("required"), F.slice(F.sort_array(F.collect_list("grade"), asc=False), 1, k).alias("ideal"))
-    covered = credit.groupBy("case").agg(F.countDistinct("passage").alias("covered"))
-    whole = cases.select("case").distinct().join(made, "case", "left").join(needed, "case", "left").join(covered, "case", "left")
-    zero, none = F.lit(0).cast("bigint"), F.array().cast("array<int>")
-    numbers = [F.coalesce(n, zero).alias(n) for n in ("items", "violations", "required", "covered")]
-    return whole.select("case", "source_rank", "first_grade3_rank", *numbers, *[F.coalesce(F.col(n).cast("array<int>"), none).alias(n) for n in ("gains", "ideal")])
-
-
-def run_metrics(observations: DataFrame) -> DataFrame:
-    """(metric, numerator, denominator, value) of a run, one row each (EVL-2, AGG-6 to AGG-10). observations: type,
-    answerable, items, source_rank, first_grade3_rank, required, covered, distractor_items, gains, ideal. A metric
-    without cases is null; intrusion without returned items is 0."""
-    yes, c = F.col("answerable"), F.col
-    no, bait = ~yes, F.col("type") == "distractor"
-    ideal = gain("ideal")
-    ndcg = F.when(ideal == 0, 0.0).otherwise(gain("gains") / ideal)
-    coverage = F.when(c("required") == 0, 0.0).otherwise(c("covered") / c("required"))
-
-    def share(name: str, of: Column, hit: Column) -> list[Column]:
-        return [F.count_if(of & hit).cast("double").alias(f"{name}_n"), F.count_if(of).cast("double").alias(f"{name}_d")]
-
-    def mean(name: str, value: Column) -> list[Column]:
-        return [F.sum(F.when(yes, value)).alias(f"{name}_n"), F.count_if(yes).cast("double").alias(f"{name}_d")]
-
-    parts = {
-        "source_recall_at_k": share("source_recall_at_k", yes, c("source_rank").isNotNull()),
-        "passage_recall_at_k": share("passage_recall_at_k", yes, (c("required") > 0) & (c("covered") >= c("required"))),
-        "mrr_at_k": mean("mrr_at_k", F.coalesce(1.0 / c("first_grade3_rank"), F.lit(0.0))),
-        "correct_abstention": share("correct_abstention", no, c("items") == 0),
-        "false_abstention": share("false_abstention", yes, c("items") == 0),
-        "distractor_intrusion": [F.sum(F.when(bait, c("distractor_items"))).cast("double").alias("distractor_intrusion_n"), F.sum(F.when(bait, c("items"))).cast("double").alias("distractor_intrusion_d")],
-        "full_coverage_at_k": mean("full_coverage_at_k", coverage),
-        "ndcg_at_k": mean("ndcg_at_k", ndcg),
-    }
-    one = observations.agg(*[x for pair in parts.values() for x in pair])
-    rows = F.array(*[F.struct(F.lit(m).alias("metric"), c(f"{m}_n").alias("numerator"), c(f"{m}_d").alias("denominator")) for m in parts])
-    made = one.select(F.explode(rows).alias("r")).select("r.*")
-    value = F.when(c("denominator") > 0, c("numerator") / c("denominator")).when((c("metric") == "distractor_intrusion") & c("denominator").isNotNull(), 0.0)
-    return made.withColumn("value", value)
 
 
 def minimums(cases: DataFrame, rules: Sequence[tuple[str, Sequence[str], int]] = TYPE_MINIMUMS) -> DataFrame:
@@ -93,27 +27,6 @@ def minimums(cases: DataFrame, rules: Sequence[tuple[str, Sequence[str], int]] =
     return made.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).withColumn("met", F.col("n") >= F.col("least"))
 
 
-def verdict(hard: DataFrame, quality: DataFrame, needed: DataFrame, active_cases: int, hard_gates: Sequence[str], quality_gates: Sequence[str]) -> DataFrame:
-    """(verdict, valid, tier, outcome): hard gates, then validity, then quality, then uncertainty; a gate without a
-    row has not passed (AGG-27). hard: gate, n; quality: gate, result (pass, uncertain, fail, not_measured);
-    needed: met."""
-    passed = hard.filter("n = 0").agg(F.collect_set("gate").alias("hard"))
-    good = quality.filter("result in ('pass', 'uncertain')").agg(F.collect_set("gate").alias("quality"))
-    doubt = quality.agg(F.coalesce(F.bool_or(F.col("result") == "uncertain"), F.lit(False)).alias("doubt"))
-    enough = needed.agg(F.coalesce(F.bool_and("met"), F.lit(True)).alias("enough"))
-    one = passed.crossJoin(good).crossJoin(doubt).crossJoin(enough)  # one row each
-
-    def all_of(names: Sequence[str], column: str) -> Column:
-        return F.size(F.array_except(F.array(*[F.lit(n) for n in names]).cast("array<string>"), F.col(column))) == 0
-
-    valid = all_of(INVALIDATING, "hard") & F.col("enough")
-    ok = all_of(hard_gates, "hard") & valid & all_of(quality_gates, "quality")
-    made = one.select(valid.alias("valid"), F.when(~ok, "fail").when(F.col("doubt"), "uncertain").otherwise("pass").alias("verdict"))
-    tier = F.lit("pilot" if active_cases < PILOT_BELOW else "standard")
-    outcome = F.when(F.col("verdict") == "uncertain", "pass_with_uncertainty").otherwise(F.col("verdict"))
-    return made.select("verdict", "valid", tier.alias("tier"), outcome.alias("outcome"))
-
-
 def mismatches(stored: DataFrame, recomputed: DataFrame, epsilon: float = 1e-9) -> DataFrame:
     """(metric, stored, recomputed) where a report's numbers differ from those computed anew, or one is missing
     (AGG-28). Both: metric, value."""

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import deciding, documents, evidence, governing, operating, retrieval, reviewing, structuring
+from . import deciding, documents, evaluating, evidence, governing, operating, retrieval, reviewing, structuring
 
-ALL = {**retrieval.QUERIES, **governing.QUERIES, **operating.QUERIES, **documents.QUERIES, **deciding.QUERIES, **evidence.QUERIES, **reviewing.QUERIES, **structuring.QUERIES}
+ALL = {**retrieval.QUERIES, **governing.QUERIES, **operating.QUERIES, **documents.QUERIES, **deciding.QUERIES, **evidence.QUERIES, **evaluating.QUERIES, **reviewing.QUERIES, **structuring.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
