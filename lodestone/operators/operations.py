@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators.ordered import carried
+
 HARD_GATES = [f"H{i}" for i in range(1, 8)]
 
 
@@ -36,9 +38,10 @@ def rates(events: DataFrame, failed: Column, width: str, least: int) -> DataFram
 
 
 def edges(states: DataFrame, key: str, at: str, active: str) -> DataFrame:
-    """Where a condition turns on or off; before the first state it is off (STM-3)."""
-    old = F.coalesce(F.lag(active).over(Window.partitionBy(key).orderBy(at)), F.lit(False))
-    return states.withColumn("_old", old).filter(F.col("_old") != F.col(active)).withColumn("change", F.when(F.col(active), "raised").otherwise("cleared")).drop("_old")
+    """Where a condition turns on or off; before the first state it is off (STM-3). A key's states, known ones, may be any number."""
+    known = carried(states.filter(F.col(active).isNotNull()), [key], [at], last=[active])
+    old = F.coalesce(f"prev_{active}", F.lit(False))
+    return known.filter(old != F.col(active)).withColumn("change", F.when(F.col(active), "raised").otherwise("cleared")).drop(f"prev_{active}")
 
 
 def cooled_down(alerts: DataFrame, key: str, at: str, seconds: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.sources.tables import cut
@@ -53,3 +53,26 @@ def ranks(df: DataFrame, group: Sequence[str], value: str, ranked: Sequence[floa
     places = run.join(total, same).withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in ranked])))
     place = F.greatest(F.lit(1), F.ceil(F.col("p") * F.col("n") - 1e-9))
     return places.filter((F.col("before__n") < place) & (place <= F.col("before__n") + F.col("_n"))).select(*group, "p", "n", value)
+
+
+def danish(text: Column | str) -> Column:
+    """A text that sorts and compares by Danish rules: æ, ø, å and aa at the end, capitals before small letters (SRT-7)."""
+    return F.collate(text, "da")
+
+
+def sorted_list(df: DataFrame, keys: Sequence[tuple[str, bool]], tie: str) -> DataFrame:
+    """df with its position from 1 on in a list sorted by keys (column, descending), texts by Danish rules, nulls last
+    either way, then by the column tie, which no two rows share (SRT-7). The list is cut into ranges, so that
+    no task sorts or numbers all of it."""
+    rank = []
+    for i, (name, down) in enumerate(keys):
+        own = danish(name) if df.schema[name].dataType.typeName() == "string" else F.col(name)
+        # A range has one direction: within it the rank of a value among the distinct ones stands for the value.
+        values = df.select(own.alias("_value")).filter(F.col("_value").isNotNull()).distinct()
+        place = carried(values.withColumn("_one", F.lit(1).cast("long")), [], ["_value"], sums=["_one"])
+        place = place.select("_value", (F.col("before__one") * (-1 if down else 1)).alias(f"_k{i}"))
+        df = df.join(place, own.eqNullSafe(F.col("_value")), "left").drop("_value")
+        df = df.withColumn(f"_k{i}", F.coalesce(f"_k{i}", F.lit((1 << 62))))
+        rank.append(f"_k{i}")
+    made = carried(df.withColumn("_one", F.lit(1).cast("long")), [], [*rank, tie], sums=["_one"])
+    return made.withColumn("position", F.col("before__one") + 1).drop("before__one", "_one", *rank)

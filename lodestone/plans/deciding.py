@@ -83,9 +83,11 @@ def wildcard_passages(spark, sf):
 
 
 def heading_levels(spark, sf):
-    """Dense levels of sizes within each brand, largest first (SRT-10)."""
-    w = Window.partitionBy("p_brand").orderBy(F.desc("p_size"))
-    return table(spark, sf, "part").select("p_partkey", "p_brand", F.dense_rank().over(w).alias("level"))
+    """Dense levels of sizes within each brand, largest first (SRT-10): the distinct sizes of a brand are ranked, not its parts."""
+    p = table(spark, sf, "part")
+    sizes = p.select("p_brand", "p_size").distinct()
+    ranked = sizes.select(F.col("p_brand").alias("b"), F.col("p_size").alias("s"), F.dense_rank().over(Window.partitionBy("p_brand").orderBy(F.desc("p_size"))).alias("level"))
+    return p.join(ranked, F.col("p_brand").eqNullSafe(F.col("b")) & F.col("p_size").eqNullSafe(F.col("s"))).select("p_partkey", "p_brand", "level")
 
 
 def body_size(spark, sf):

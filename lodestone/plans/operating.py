@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import datetime
+import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.columns import gain, six, squeezed, wilson
 from lodestone.operators import operations as o
+from lodestone.operators.ordered import ranks, sorted_list
 from lodestone.operators.seeds import occurrences
-from lodestone.sources.tables import table
+from lodestone.sources.tables import add_batch, json_lines, shared_path, table
 
 NOW = datetime.datetime(1999, 1, 1)
 GATES = [("Q1", "recall", ">=", 0.95), ("Q3", "mrr", ">=", 0.70), ("Q6", "intrusion", "<=", 0.10)]
@@ -85,8 +87,11 @@ def hard_gate_counts(spark, sf):
 
 def nearest_rank(spark, sf):
     """AGG-12, WIN-4."""
-    p = [F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY value)").alias(n) for q, n in ((0.5, "p50"), (0.95, "p95"))]
-    return table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), *p)
+    made = ranks(table(spark, sf, "events"), ["event_type"], "value", [0.5, 0.95])
+    p = [F.max(F.when(F.col("p") == q, F.col("value"))).alias(n) for q, n in ((0.5, "p50"), (0.95, "p95"))]
+    n = table(spark, sf, "events").groupBy(F.col("event_type").alias("t")).agg(F.count("*").alias("n"))
+    made = made.groupBy("event_type").agg(*p)
+    return n.join(made, F.col("t").eqNullSafe(F.col("event_type")), "left").select(F.col("t").alias("event_type"), "n", "p50", "p95")
 
 
 def perf_targets(spark, sf):
@@ -102,8 +107,9 @@ def windowed_rate(spark, sf):
 
 
 def windowed_p95(spark, sf):
-    made = table(spark, sf, "events").groupBy(o.windowed(None, "6 hours").alias("w")).agg(F.count("*").alias("n"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95"))
-    return made.filter("n >= 20").select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "n", "p95")
+    events = table(spark, sf, "events").select(o.windowed(None, "6 hours").start.cast("timestamp_ntz").alias("window_start"), "value")
+    made = ranks(events, ["window_start"], "value", [0.95])
+    return made.filter("n >= 20").select("window_start", "n", F.col("value").alias("p95"))
 
 
 def edge_alarms(spark, sf):
@@ -111,6 +117,26 @@ def edge_alarms(spark, sf):
     return o.edges(hours, "event_type", "hour", "active").select("event_type", F.col("hour").cast("timestamp_ntz").alias("hour"), "change")
 
 
+def event_log(spark, sf):
+    """Events as JSON lines in four batches, of which one comes twice, and lines that are none; read back with their numbers
+    (SRC-4, SRC-11, JSN-2): by type the events and values, by null the lines that are no events."""
+    path = shared_path(spark, f"events_{uuid.uuid4().hex}")
+    e = table(spark, sf, "events").select("event_id", "event_type", "value")
+    for n in (0, 1, 2, 3, 1):
+        add_batch(e.filter(F.pmod("event_id", F.lit(4)) == n), n, path)
+    e.filter("event_id % 100 = 0").select(F.concat(F.lit("{broken "), "event_id").alias("value")).withColumn("batch", F.lit(9)).write.mode("append").partitionBy("batch").text(path)
+    made = json_lines(spark, path, e.schema)
+    each = made.groupBy("file").agg(F.max("line").alias("n"), F.countDistinct("line").alias("lines"))
+    good = each.agg(F.coalesce(F.bool_and(F.col("n") == F.col("lines")), F.lit(True)).alias("numbered"))
+    return made.groupBy("event_type").agg(F.count("*").alias("n"), F.count("problem").alias("problems"), six(F.sum("value")).alias("total")).crossJoin(good)  # one row
+
+
+def sorted_customers(spark, sf):
+    """Customers in a list by segment, then balance, the highest first (SRT-7)."""
+    c = table(spark, sf, "customer").select("c_custkey", "c_mktsegment", F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("balance"))
+    return sorted_list(c, [("c_mktsegment", False), ("balance", True)], "c_custkey").select("c_custkey", "position")
+
+
 def alert_cooldown(spark, sf):
     alerts = table(spark, sf, "events").filter("event_type = 'error'").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
     return o.cooled_down(alerts, "user_id", "ts", 6 * 3600).select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
@@ -243,6 +269,15 @@ QUERIES = {
              SELECT *, coalesce(lag(active) OVER (PARTITION BY event_type ORDER BY hour), false) AS old FROM (
                SELECT event_type, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour, max(value) > 150 AS active FROM events GROUP BY 1, 2)) WHERE old <> active""",
     ),
+    "event_log": (
+        event_log,
+        f"""SELECT event_type, count(*) AS n, CAST(0 AS BIGINT) AS problems, {_SIX.format("sum(value)")} AS total, true AS numbered FROM events GROUP BY event_type
+            UNION ALL SELECT NULL, count(*), count(*), NULL, true FROM events WHERE event_id % 100 = 0 HAVING count(*) > 0""",
+    ),
+    "sorted_customers": (
+        sorted_customers,
+        """SELECT c_custkey, row_number() OVER (ORDER BY c_mktsegment, CASE WHEN c_acctbal > 0 THEN c_acctbal END DESC NULLS LAST, c_custkey) AS position FROM customer""",
+    ),
     "alert_cooldown": (
         alert_cooldown,
         """WITH RECURSIVE a AS (SELECT user_id, CAST(ts AS TIMESTAMP) AS ts FROM events WHERE event_type = 'error'),

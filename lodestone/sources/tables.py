@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.types import StringType, StructField, StructType
 
 
@@ -14,12 +17,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value) of text files, lines from 1 on. A file may be split: each split numbers its own lines, and what comes
+    before it is the sum of the splits before, one row for each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, n = None, 0
+        for batch in batches:
+            own = []
+            for split in zip(batch.column("file").to_pylist(), batch.column("start").to_pylist(), strict=True):
+                at, n = split, n + 1 if split == at else 1
+                own.append(n)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int64())], [*batch.schema.names, "nth"])
+
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
+    known = lines.mapInArrow(run, "file string, start long, value string, nth long")
+    sizes = known.groupBy("file", "start").agg(F.max("nth").alias("n"))
+    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select("file", "start", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return known.join(shifts, ["file", "start"]).select("file", (F.col("nth") + F.col("before")).alias("line"), "value")
+
+
 def json_lines(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """Columns of schema, and `problem`: the line as it stands where it is no object of that schema (SRC-4)."""
+    """file, line, columns of schema, and `problem`: the line as it stands where it is no object of that schema. Blank
+    lines count as lines, and have no row (SRC-4)."""
     whole = StructType([*schema.fields, StructField("problem", StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "problem"}
-    lines = spark.read.text(path).filter(F.trim("value") != "")
-    return lines.select(F.from_json("value", whole, options).alias("j")).select("j.*")
+    lines = numbered_lines(spark, path).filter(F.trim("value") != "")
+    return lines.select("file", "line", F.from_json("value", whole, options).alias("j")).select("file", "line", "j.*")
 
 
 def fingerprints(spark: SparkSession, path: str) -> DataFrame:
@@ -63,10 +88,21 @@ def validated_files(files: DataFrame, limit: int = 50 * 1024 * 1024) -> DataFram
 
 
 def event_lines(events: DataFrame) -> DataFrame:
-    """Each row as one JSON line, for an append-only text sink (SRC-11, JSN-2)."""
+    """Each row as one JSON line (SRC-11, JSN-2)."""
     return events.select(F.to_json(F.struct("*")).alias("value"))
 
 
+def add_batch(batch: DataFrame, batch_id: int, path: str) -> None:
+    """Adds a batch of events as JSON lines to an event log at path, under the batch's number: a batch that comes again
+    takes its own place, so it adds nothing (SRC-11)."""
+    event_lines(batch).withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").text(path)
+
+
+def event_sink(events: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+    """A stream of events into an event log; start() begins it."""
+    return events.writeStream.foreachBatch(lambda batch, batch_id: add_batch(batch, batch_id, path)).option("checkpointLocation", checkpoint)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder of spark.checkpoint.dir. Where the session names none, a temporary folder serves if
     all run on one machine, and nothing on a cluster."""

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 LATE = "10 minutes"
@@ -56,3 +57,47 @@ def cooled_down(alerts: DataFrame, key: str, seconds: int) -> DataFrame:
     kind = alerts.schema[key].dataType.simpleString()
     grouped = timed(alerts.select(key, "ts")).groupBy(key)
     return grouped.applyInPandasWithState(run, f"{key} {kind}, ts timestamp", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+class _Edges(StatefulProcessor):
+    """Keeps whether a key's condition is on, and the states that the watermark hasn't passed yet, each with a timer."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.active = handle.getValueState("active", "active boolean")
+        self.waiting = handle.getMapState("waiting", "at long", "active boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        known = timerValues.getCurrentWatermarkInMs()
+        for frame in rows:
+            for at, active in zip(frame["ts"].astype("datetime64[us]").astype("int64"), frame["active"], strict=True):
+                if at > known * 1000 and active is not None:
+                    self.waiting.updateValue((int(at),), (bool(active),))
+                    self.handle.registerTimer(-(-int(at) // 1000))
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        until = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        old = self.active.get()[0] if self.active.exists() else False
+        due = sorted((k[0], v[0]) for k, v in self.waiting.iterator() if k[0] <= until) if self.waiting.exists() else []
+        out = []
+        for at, active in due:
+            if active != old:
+                out.append((key[0], pd.Timestamp(at, unit="us"), "raised" if active else "cleared"))
+            old = active
+            self.waiting.removeKey((at,))
+        self.active.update((old,))
+        if out:
+            yield pd.DataFrame(out, columns=["key", "ts", "change"])
+
+    def close(self) -> None:
+        pass
+
+
+def edges(states: DataFrame, key: str) -> DataFrame:
+    """(key, ts, change) where a condition of states (key, ts, active) turns on or off (STM-3), when the watermark has passed
+    them; of states of one time the last that came counts. Needs the RocksDB state store."""
+    kind = states.schema[key].dataType.simpleString()
+    known = timed(states.select(F.col(key).alias("key"), "ts", "active")).groupBy("key")
+    made = known.transformWithStateInPandas(_Edges(), f"key {kind}, ts timestamp, change string", "append", "eventTime")
+    return made.withColumnRenamed("key", key)
