@@ -172,9 +172,17 @@ def _verified(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame]) -> DataF
 
 
 def _apart(pairs: DataFrame, stars: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are not in one component. stars: node, root."""
-    left, right = (stars.select(F.col("node").alias(n), F.col("root").alias(r)) for n, r in (("a", "x"), ("b", "y")))
-    return pairs.join(left, "a", "left").join(right, "b", "left").filter(F.coalesce("x", "a") != F.coalesce("y", "b")).drop("x", "y")
+    """The pairs (a, b and d, if there) that are not in one component. stars: node, root.
+
+    A node's roots are looked up once for all that it is paired with, at most a key's number of nodes, and those of
+    the others once for each component that they are paired with, so that a large component asks no more often
+    than its pairs have different ends."""
+    held = F.struct(*[c for c in pairs.columns if c != "a"])
+    own = pairs.groupBy("a").agg(F.collect_list(held).alias("others"))
+    own = own.join(stars.withColumnRenamed("node", "a"), "a", "left").select("a", F.coalesce("root", "a").alias("x"), F.explode("others").alias("o"))
+    own = cut(own.select("a", "x", "o.*"), "paired")
+    ends = own.select("x", "b").distinct().join(stars.withColumnsRenamed({"node": "b", "root": "y"}), "b", "left")
+    return own.join(ends.filter(F.col("x") != F.coalesce("y", "b")).select("x", "b"), ["x", "b"], "left_semi").select(*pairs.columns)
 
 
 def _met(asked: DataFrame, held: DataFrame, fps: DataFrame) -> DataFrame:
