@@ -2,7 +2,8 @@
 
 A fixed number of pages is drawn from a seeded generator, so the training sample is bounded by its `pages`
 parameter. Layouts range from semantic elements to nested plain boxes told apart by class names or by their
-text alone.
+text alone, tables whose cells have no names, and pages without any boxes; comments and lines on rights may
+stand within the main box.
 """
 
 from __future__ import annotations
@@ -109,7 +110,11 @@ class Maker:
                 out += self.text(self.words(5, 40), MAIN, rng.choice(("blockquote", "pre", "figcaption", "td")))
             elif self.inserts:
                 out += rng.choice((self.ad, self.share, lambda: self.links("side"), lambda: self.plain("notice", 3, 20)))()
-        return self.box("main", out)
+        if rng.random() < 0.25:
+            out += self.comments()
+        if rng.random() < 0.1:
+            out += self.rights()
+        return out
 
     def ad(self) -> str:
         return self.plain("ad", 2, 30)
@@ -117,6 +122,39 @@ class Maker:
     def share(self) -> str:
         return self.box("share", "".join(self.text(self.rng.choice(SHORT), REST, self.rng.choice(("span", "a", "li", "div"))) for _ in range(1)))
 
+    def rights(self) -> str:
+        """A line on rights at the end, without a name around it."""
+        rng = self.rng
+        mark = rng.choice(("©", "Copyright", "Copyright ©", "(c)"))
+        line = f"{mark} {rng.randint(1995, 2030)} {self.words(0, 4)}".strip() + rng.choice(("", ".", ". All rights reserved.", " All rights reserved"))
+        return self.text(line, REST, rng.choice(("p", "p", "div", "small")))
+
+    def bare(self, tag: str) -> str:
+        """What a column or page without names may hold beside the main text."""
+        rng = self.rng
+        body = "".join(self.text(rng.choice((rng.choice(SHORT), self.words(1, 5))), REST, rng.choice(("li", "div", "p")), '<a href="/x">@</a>') for _ in range(rng.randint(2, 8)))
+        if rng.random() < 0.4:
+            body = f"<ul>{body}</ul>"
+        return f"<{tag}>{body}</{tag}>" if tag else body
+
+    def columns(self) -> str:
+        """A page laid out as a table without names: the main text in one cell, links in the others."""
+        rng = self.rng
+        rows = f"<tr><td>{self.text(self.words(1, 4), REST, rng.choice(('b', 'span', 'div')))}</td></tr>" if rng.random() < 0.4 else ""
+        left = self.bare("td") if rng.random() < 0.8 else ""
+        cells = f"{left}<td>{self.main()}</td>"
+        rows += f"<tr>{cells}{self.bare('td') if rng.random() < 0.5 or not left else ''}</tr>"
+        if rng.random() < 0.5:
+            rows += f"<tr><td>{self.rights()}</td></tr>"
+        return f"<table>{rows}</table>"
+
+    def naked(self) -> str:
+        """A page without boxes: headline, paragraphs, and perhaps links before and a line on rights after them."""
+        rng = self.rng
+        out = self.bare(rng.choice(("", "div", "p"))) if rng.random() < 0.5 else ""
+        out += self.main()
+        return out + (self.rights() if rng.random() < 0.7 else "")
+
     def page(self) -> tuple[str, list[tuple[str, int]]]:
         rng = self.rng
         self.semantic = rng.choice((0.0, 0.3, 0.9, 1.0))
@@ -127,9 +165,13 @@ class Maker:
         before = [lambda: self.links("menu"), lambda: self.plain("header", 1, 8), self.ad, lambda: self.plain("notice", 5, 40, 2), self.form, lambda: self.links("menu"), lambda: self.links("side"), self.share]
         after = [lambda: self.links("side"), self.ad, self.comments, self.comments, self.form, lambda: self.plain("footer", 2, 40, 2), lambda: self.links("footer"), self.share, lambda: self.plain("side", 3, 40, 3), lambda: self.plain("notice", 5, 40)]
         out = head
+        self.layout = rng.choices(("boxes", "columns", "naked"), (0.7, 0.15, 0.15))[0]
+        if self.layout != "boxes":
+            out += self.columns() if self.layout == "columns" else self.naked()
+            return out + rng.choice(("</body></html>", "")), self.blocks
         for make in rng.sample(before, rng.randint(0, 4)):
             out += make() + rng.choice(("", "", "<!-- x -->", "\n"))
-        body = self.main()
+        body = self.box("main", self.main())
         wrap = rng.random()
         if wrap < 0.3:
             body = f"<main>{body}</main>"
@@ -141,6 +183,13 @@ class Maker:
         return out + rng.choice(("</body></html>", "</body></html>", "")), self.blocks
 
 
-def labelled_pages(pages: int, seed: int = 5) -> list[tuple[str, list[tuple[str, int]]]]:
-    """Pairs of a page's html and its blocks, each with its label."""
-    return [Maker(seed * 1_000_003 + i).page() for i in range(pages)]
+def labelled_pages(pages: int, seed: int = 5, layout: str | None = None) -> list[tuple[str, list[tuple[str, int]]]]:
+    """Pairs of a page's html and its blocks, each with its label; of one layout (boxes, columns, naked), if named."""
+    out, i = [], 0
+    while len(out) < pages:
+        maker = Maker(seed * 1_000_003 + i)
+        made = maker.page()
+        if layout in (None, maker.layout):
+            out.append(made)
+        i += 1
+    return out

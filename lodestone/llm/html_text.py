@@ -46,6 +46,7 @@ ENDS_ITSELF = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr
 ITEM_LIMITS = frozenset("ul ol dl table tbody thead div section article body".split())
 
 
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: What a head may hold.
 METADATA = frozenset("head base link meta title style script noscript template".split())
 
@@ -172,13 +173,26 @@ def _step(x: float, ends: tuple[float, ...]) -> int:
     return sum(x > e for e in ends)
 
 
-def text_features(block: Block, at: int, count: int) -> list[str]:
+#: How lines on rights are marked.
+RIGHTS = re.compile(r"©|\bcopyright\b|\(c\)|all rights reserved", re.I)
+
+
+def _links(blocks: list[Block], at: int) -> int:
+    """How much of a block is links, in steps; -1 beyond the page."""
+    if not 0 <= at < len(blocks):
+        return -1
+    return _step(min(1.0, blocks[at].linked / len(blocks[at].text)), (0.05, 0.5, 0.9))
+
+
+def text_features(blocks: list[Block], at: int) -> list[str]:
+    """Of a block's text, and of the blocks beside it: how much of them is links, and what heading it follows."""
+    block, count = blocks[at], len(blocks)
     text = block.text
     size, words = len(text), text.count(" ") + 1
-    linked = min(1.0, block.linked / size)
     stops = text.count(".") + text.count("!") + text.count("?")
     long = _step(words, (1, 3, 6, 12, 25, 50, 120))
-    link = _step(linked, (0.05, 0.5, 0.9))
+    link, before, after = (_links(blocks, i) for i in (at, at - 1, at + 1))
+    near = block.path[1]
     out = [
         f"words:{long}",
         f"link:{link}",
@@ -188,10 +202,14 @@ def text_features(block: Block, at: int, count: int) -> list[str]:
         f"stops:{min(2, stops)}",
         f"digits:{_step(sum(map(text.count, '0123456789')) / size, (0.05, 0.3))}",
         f"place:{_step(at / count, (0.1, 0.3, 0.7, 0.9))}",
+        f"beside:{before}:{link}:{after}",
+        f"{near}:{min(long, 4)}:{link}",
         "always",
     ]
-    if "©" in text:
-        out.append("copyright")
+    if RIGHTS.search(text):
+        out += ["rights", f"rights:{min(long, 5)}:{at == count - 1}"]
+    if at and blocks[at - 1].path[1] in HEADINGS:
+        out.append(f"under:{min(long, 4)}:{link}")
     if at == 0:
         out.append("first")
     if at == count - 1:
@@ -218,10 +236,10 @@ class Field:
     def decode(self, blocks: list[Block]) -> list[int]:
         """The best labels, by Viterbi."""
         (rr, rm), (mr, mm) = self.pair
-        weight, count = self.weight, len(blocks)
+        weight = self.weight
         back, rest, main = [], 0.0, 0.0
         for at, block in enumerate(blocks):
-            e = self._path(block.path) + sum(weight.get(f, 0.0) for f in text_features(block, at, count))
+            e = self._path(block.path) + sum(weight.get(f, 0.0) for f in text_features(blocks, at))
             if at:
                 from_main = (main + mr > rest + rr, main + mm > rest + rm)
                 rest, main = (main + mr if from_main[0] else rest + rr), (main + mm if from_main[1] else rest + rm)
@@ -244,13 +262,13 @@ def aligned(page: str, truth: list[tuple[str, int]]) -> tuple[list[Block], list[
     return blocks, labels
 
 
-def fit(samples: list[tuple[list[Block], list[int]]], rounds: int = 40, rate: float = 0.1, decay: float = 0.002) -> Field:
+def fit(samples: list[tuple[list[Block], list[int]]], rounds: int = 27, rate: float = 0.1, decay: float = 0.002) -> Field:
     """The field of highest likelihood, less a Gaussian penalty, over labelled sequences."""
     index: dict[str, int] = {}
     pages = []
     for blocks, labels in samples:
         if blocks:
-            rows = [[index.setdefault(f, len(index)) for f in (*path_features(b.path), *text_features(b, i, len(blocks)))] for i, b in enumerate(blocks)]
+            rows = [[index.setdefault(f, len(index)) for f in (*path_features(b.path), *text_features(blocks, i))] for i, b in enumerate(blocks)]
             pages.append((rows, np.array(labels)))
     weight, pair = np.zeros(len(index)), np.zeros((2, 2))
     state = [(np.zeros_like(x), np.zeros_like(x)) for x in (weight, pair)]
@@ -305,7 +323,7 @@ def marginals(e: list[float], pair: np.ndarray) -> tuple[list[float], np.ndarray
 
 
 @functools.lru_cache(maxsize=4)
-def trained(pages: int = 400) -> Field:
+def trained(pages: int = 600) -> Field:
     """The field fitted on that many labelled pages; a bounded sample, so it is fitted once, on the driver."""
     return fit([aligned(p, truth) for p, truth in labelled_pages(pages)])
 

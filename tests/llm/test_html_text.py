@@ -71,9 +71,9 @@ def test_viterbi_and_marginals_equal_enumeration():
                 want[a, b] += math.exp(s) / z
         assert edge == pytest.approx(want)
         field = Field({f"mark{i}": i for i in range(n)}, np.array(e), pair)
-        field._path = dict(zip(range(n), e)).get
         for i, b in enumerate(blocks):
-            b.path = i
+            b.path = (frozenset([f"block:{i}"]), "p", False)
+        field._path = dict(zip((b.path for b in blocks), e)).get
         assert tuple(field.decode(blocks)) == max(score, key=score.get)
 
 
@@ -86,6 +86,34 @@ def test_held_out_pages():
     assert wrong < 0.03 * total
 
 
+HEAD = "<h1>The river rises again</h1>"
+BODY = ("After three days of rain the river has risen by two metres, and people in the lower town have been asked to leave.", "Schools stay closed until Monday, and trains don't run between both stations.")
+PARAGRAPHS = "".join(f"<p>{x}</p>" for x in BODY)
+LINKS = '<a href="/">Home</a><br><a href="/n">News</a><br><a href="/c">Contact</a>'
+ODD_LAYOUTS = {
+    "columns": f"<html><body><table><tr><td>{LINKS}</td><td>{HEAD}{PARAGRAPHS}</td></tr></table></body></html>",
+    "three columns": f"<table><tr><td><b>Daily News</b></td></tr><tr><td>{LINKS}</td><td>{HEAD}{PARAGRAPHS}</td><td><ul><li><a href=/x>Sports today</a><li><a href=/y>Weather</a></ul></td></tr></table>",
+    "comments inside": f'<body><article>{HEAD}{PARAGRAPHS}<section class="comments"><h3>Comments</h3><div class="comment"><p>I live there, and it is much worse than what you write here, believe me.</p></div></section></article>',
+    "rights at the end": f"<body>{HEAD}{PARAGRAPHS}<p>Copyright 2020</p></body>",
+    "rights and a name": f"<body><div>{HEAD}{PARAGRAPHS}<p>© 2020 The Daily News. All rights reserved.</p></div></body>",
+}
+
+
+@pytest.mark.parametrize("name", ODD_LAYOUTS)
+def test_pages_without_an_article_or_with_comments_in_it(name):
+    assert main_text(ODD_LAYOUTS[name], trained()) == " ".join(("The river rises again", *BODY))
+
+
+@pytest.mark.parametrize("layout", ["boxes", "columns", "naked"])
+def test_held_out_pages_of_each_layout(layout):
+    field, wrong, total = trained(), 0, 0
+    for page, truth in labelled_pages(60, seed=77, layout=layout):
+        blocks, labels = aligned(page, truth)
+        wrong += sum(a != b for a, b in zip(field.decode(blocks), labels))
+        total += len(labels)
+    assert wrong < 0.03 * total
+
+
 def test_query_gives_the_articles(spark, sf_dir):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
     for r in op4_crf_main_text(spark, sf_dir).collect():
@@ -95,6 +123,8 @@ def test_query_gives_the_articles(spark, sf_dir):
 
 
 def test_odd_rows(spark):
+    same = spark.createDataFrame([(7, "u", "<p>A page of one paragraph, which is its main text.</p>", "x", 1, "in")] * 3, "page_id long, url string, html string, text string, n_chars int, path string")
+    assert {tuple(r) for r in extract(same, trained()).collect()} == {(7, "u", "A page of one paragraph, which is its main text.", 48)}  # ties, and names that clash
     rows = [(1, "u", None, 0), (2, None, "", 0), (None, "u", "<article><p>" + "Long words here, and more. " * 9000, 0)]
     rows += [(3, "u", "<article><p>Some text stands here, and it is an article.</p></article>", 0)] * 2
     got = extract(spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int"), trained()).collect()
