@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.columns import col, six
+from lodestone.functions.columns import col, holds, six
 from lodestone.operators.search import islands, lexical_top_k, ranked, vector_top_k
 
 NO_RANK = 1_000_000
@@ -80,22 +81,27 @@ def evidence_items(chunks: DataFrame) -> DataFrame:
     return made.select("version", F.col("island").alias("chunk_index"), F.size("parts").alias("chunks"), six("score").alias("score"), "page_start", "page_end", "terms", excerpt.alias("excerpt"))
 
 
-def evidence_conflicts(chunks: DataFrame, passages: DataFrame, readable: DataFrame) -> DataFrame:
-    """(chunk_id, restricted, conflict, counterpart): the other sides of the conflicts that chunks take part in,
-    and for all that may not be read one row without ids (RET-4, JOIN-10). passages: conflict, side, version,
-    chunk_id (null: the whole version); chunks: version, chunk_id; readable: version."""
-    mine = passages.select("conflict", "side", "version", F.col("chunk_id").alias("part"))
-    exact = chunks.join(mine.filter("part is not null").withColumnRenamed("part", "chunk_id"), ["version", "chunk_id"])
-    whole = chunks.join(mine.filter("part is null").drop("part"), "version")
+def conflicts_on(chunks: DataFrame, passages: DataFrame, conflicts: DataFrame, versions: DataFrame, readable: DataFrame, day: datetime.date) -> DataFrame:
+    """(chunk_id, restricted, conflict, document, counterpart, counterpart_chunk): the other sides of the open conflicts that
+    chunks take part in, and one row without ids for all that may not be read (RET-4, JOIN-10). Both sides have to be published
+    and hold on the day; chunks that may not be read have no conflicts.
+
+    chunks: version, chunk_id; passages: conflict, side, version, chunk_id (null: the whole version); conflicts: conflict, status;
+    versions: version, document, status, valid_from, valid_to; readable: version."""
+    valid = versions.filter((F.col("status") == "published") & holds("valid_from", "valid_to", day)).select("version", "document")
+    seen = readable.select("version").distinct()
+    asked = chunks.select("version", "chunk_id").join(valid, "version", "left_semi").join(seen, "version", "left_semi")
+    own = passages.join(conflicts.filter("status = 'open'").select("conflict"), "conflict", "left_semi").select("conflict", "side", "version", F.col("chunk_id").alias("part"))
+    exact = asked.join(own.filter("part is not null").withColumnRenamed("part", "chunk_id"), ["version", "chunk_id"])
+    whole = asked.join(own.filter("part is null").drop("part"), "version")
     mine = exact.unionByName(whole).select("chunk_id", "conflict", F.col("side").alias("mine")).distinct()
-    other = passages.select("conflict", "side", F.col("version").alias("counterpart"))
-    met = mine.join(other, "conflict").filter(F.col("side") != F.col("mine")).select("chunk_id", "conflict", "counterpart").distinct()
-    known = readable.select(F.col("version").alias("counterpart"), F.lit(True).alias("seen")).distinct()
-    met = met.join(known, "counterpart", "left")
-    shown = met.filter("seen").select("chunk_id", F.lit(False).alias("restricted"), "conflict", "counterpart")
-    hidden = met.filter("seen is null").select("chunk_id").distinct()
-    none = [F.lit(None).cast(met.schema[c].dataType).alias(c) for c in ("conflict", "counterpart")]
-    return shown.unionByName(hidden.select("chunk_id", F.lit(True).alias("restricted"), *none))
+    other = own.join(valid, "version").join(seen.withColumn("seen", F.lit(True)), "version", "left")
+    met = mine.join(other.select("conflict", "side", "document", F.col("version").alias("counterpart"), F.col("part").alias("counterpart_chunk"), "seen"), "conflict")
+    met = met.filter(F.col("side") != F.col("mine")).drop("side", "mine").distinct()
+    names = ["conflict", "document", "counterpart", "counterpart_chunk"]
+    shown = met.filter("seen").select("chunk_id", F.lit(False).alias("restricted"), *names)
+    none = [F.lit(None).cast(met.schema[c].dataType).alias(c) for c in names]
+    return shown.unionByName(met.filter("seen is null").select("chunk_id").distinct().select("chunk_id", F.lit(True).alias("restricted"), *none))
 
 
 def signals(items: DataFrame, *by: str) -> DataFrame:

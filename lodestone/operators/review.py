@@ -17,21 +17,6 @@ def named_findings(*findings: tuple[str, Column]) -> Column:
     return F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in findings]), lambda x: x.isNotNull())
 
 
-def checked_answers(answers: DataFrame, sent: DataFrame) -> DataFrame:
-    """(answer, code): the first rule of the output contract that an answer breaks, or null (EVL-5). answers: answer,
-    segment, citation (null: none), flagged; sent: answer, citation, historical. Every citation was sent, every
-    answer cites something, and what is historical is flagged."""
-    known = sent.groupBy("answer", "citation").agg(F.bool_or("historical").alias("historical"), F.lit(True).alias("known"))
-    made = answers.join(known, ["answer", "citation"], "left").groupBy("answer").agg(
-        F.count("citation").alias("cited"),
-        F.bool_or(F.col("citation").isNotNull() & F.col("known").isNull()).alias("foreign"),
-        F.coalesce(F.bool_or("historical"), F.lit(False)).alias("old"),
-        F.coalesce(F.bool_or("flagged"), F.lit(False)).alias("flagged"),
-    )
-    code = first_of((F.col("foreign"), "unknown_citation"), (F.col("cited") == 0, "no_citation"), (F.col("old") & ~F.col("flagged"), "historical_not_flagged"))
-    return made.select("answer", code.alias("code"))
-
-
 def recorded_calls(calls: DataFrame, most: int = 1000) -> DataFrame:
     """(call, ordinal, source, question): one row for each source of a call by its place, and one without a source for
     a call that had none, a knowledge gap, whose question is kept unless it is bound to a case (EVL-7). calls: call,

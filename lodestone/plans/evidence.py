@@ -124,13 +124,19 @@ def evidence_items(spark, sf):
 
 
 def evidence_conflicts(spark, sf):
-    """RET-4: lines of a part are a conflict's passages, their status the sides."""
-    lines = table(spark, sf, "lineitem")
+    """RET-4: lines of a part are a conflict's passages, their status the sides, orders the versions; as of a day."""
+    lines, orders = table(spark, sf, "lineitem"), table(spark, sf, "orders")
     whole = F.when(F.col("l_linenumber") < 6, F.col("l_orderkey") * 10 + F.col("l_linenumber"))
     passages = lines.select(F.col("l_partkey").alias("conflict"), F.col("l_linestatus").alias("side"), F.col("l_orderkey").alias("version"), whole.alias("chunk_id"))
     chunks = lines.filter("l_discount >= 0.1").select(F.col("l_orderkey").alias("version"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("chunk_id"))
-    readable = table(spark, sf, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("version"))
-    return v.evidence_conflicts(chunks, passages, readable)
+    conflicts = table(spark, sf, "part").select(F.col("p_partkey").alias("conflict"), F.when(F.col("p_size") % 3 == 0, "resolved").otherwise("open").alias("status"))
+    start = F.to_date("o_orderdate")
+    versions = orders.select(
+        F.col("o_orderkey").alias("version"), F.col("o_custkey").alias("document"), F.when(F.col("o_orderstatus") == "P", "withdrawn").otherwise("published").alias("status"),
+        start.alias("valid_from"), F.when(F.col("o_orderkey") % 4 != 0, F.date_add(start, 700)).alias("valid_to"),
+    )
+    readable = orders.filter("o_orderstatus = 'F' or o_custkey % 3 = 0").select(F.col("o_orderkey").alias("version"))
+    return v.conflicts_on(chunks, passages, conflicts, versions, readable, datetime.date(1998, 6, 1))
 
 
 def source_labels(spark, sf):
@@ -298,13 +304,15 @@ QUERIES = {
     ),
     "evidence_conflicts": (
         evidence_conflicts,
-        """WITH p AS (SELECT l_partkey AS conflict, l_linestatus AS side, l_orderkey AS version, CASE WHEN l_linenumber < 6 THEN l_orderkey * 10 + l_linenumber END AS part FROM lineitem),
+        """WITH ve AS (SELECT o_orderkey AS version, o_custkey AS document, o_orderstatus = 'F' OR o_custkey % 3 = 0 AS seen FROM orders
+                       WHERE o_orderstatus <> 'P' AND CAST(o_orderdate AS DATE) <= DATE '1998-06-01' AND (o_orderkey % 4 = 0 OR CAST(o_orderdate AS DATE) + 700 > DATE '1998-06-01')),
+                p AS (SELECT l_partkey AS conflict, l_linestatus AS side, ve.*, CASE WHEN l_linenumber < 6 THEN l_orderkey * 10 + l_linenumber END AS part
+                      FROM lineitem JOIN part ON p_partkey = l_partkey AND p_size % 3 <> 0 JOIN ve ON version = l_orderkey),
                 c AS (SELECT l_orderkey AS version, l_orderkey * 10 + l_linenumber AS chunk_id FROM lineitem WHERE l_discount >= 0.1),
-                m AS (SELECT DISTINCT chunk_id, o.conflict, o.version AS counterpart FROM c JOIN p ON p.version = c.version AND (p.part IS NULL OR p.part = chunk_id)
-                      JOIN p o ON o.conflict = p.conflict AND o.side <> p.side),
-                r AS (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')
-           SELECT chunk_id, false AS restricted, conflict, counterpart FROM m WHERE counterpart IN (FROM r)
-           UNION ALL SELECT DISTINCT chunk_id, true, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM m WHERE counterpart NOT IN (FROM r)""",
+                m AS (SELECT DISTINCT chunk_id, o.conflict, o.document, o.version AS counterpart, o.part AS counterpart_chunk, o.seen FROM c JOIN p ON p.version = c.version AND p.seen AND (p.part IS NULL OR p.part = chunk_id)
+                      JOIN p o ON o.conflict = p.conflict AND o.side <> p.side)
+           SELECT chunk_id, false AS restricted, conflict, document, counterpart, counterpart_chunk FROM m WHERE seen
+           UNION ALL SELECT DISTINCT chunk_id, true, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM m WHERE NOT seen""",
     ),
     "source_labels": (
         source_labels,

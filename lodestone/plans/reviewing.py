@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import columns as x
 from lodestone.operators import review as r
+from lodestone.operators.contracts import CONTRACTS, KINDS, contract_breach
 from lodestone.operators.many import composed, fused_many, rerank_none_many
 from lodestone.plans.retrieval import _FUSED, _LEXICAL, _VECTOR, _lexical, _vector
 from lodestone.sources.tables import table
@@ -22,11 +23,35 @@ def review_state(spark, sf):
 
 
 def answer_checks(spark, sf):
-    """EVL-5."""
+    """EVL-5: orders are answers under one of six contracts, their lines the paragraphs, each with a citation or none."""
     lines = table(spark, sf, "lineitem")
-    answers = lines.select(F.col("l_orderkey").alias("answer"), F.col("l_linenumber").alias("segment"), F.when(F.col("l_quantity") > 20, F.col("l_partkey")).alias("citation"), (F.col("l_tax") > 0.06).alias("flagged"))
-    sent = lines.filter("l_discount > 0.01").select(F.col("l_orderkey").alias("answer"), F.col("l_partkey").alias("citation"), (F.col("l_returnflag") == "R").alias("historical"))
-    return r.checked_answers(answers, sent)
+    own = F.concat(F.lit("e"), F.col("l_partkey").cast("string"))
+    sent = lines.filter("l_discount > 0.01").groupBy("l_orderkey", own.alias("id")).agg(F.bool_or(F.col("l_returnflag") == "R").alias("old"), F.bool_or((F.col("l_linestatus") == "F") & (F.col("l_tax") > 0.05)).alias("hot"))
+    sent = sent.groupBy("l_orderkey").agg(F.collect_list("id").alias("ids"), F.collect_list(F.when(F.col("old"), F.col("id"))).alias("old"), F.collect_list(F.when(F.col("hot"), F.col("id"))).alias("hot"))
+    cite = F.when(F.col("l_quantity") > 10, own)
+    part = lines.select("l_orderkey", F.struct(F.col("l_linenumber").alias("n"), "l_partkey", "l_quantity", cite.alias("cite")).alias("x")).groupBy("l_orderkey").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    o = table(spark, sf, "orders").join(part, F.col("o_orderkey") == F.col("l_orderkey"), "left").drop("l_orderkey").join(sent, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    x = F.coalesce("x", F.array().cast(o.schema["x"].dataType))
+
+    def segments(p):
+        said = F.struct(F.lit(None).cast("string").alias("cite"), F.lit("so it is").alias("text"))
+        return F.when(p["cite"].isNull(), F.array(said)).otherwise(F.array(said, F.struct(p["cite"].alias("cite"), F.lit(None).cast("string").alias("text"))))
+
+    n, who = F.col("o_orderkey"), F.col("o_custkey")
+    paragraphs = F.transform(x, segments)
+    kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), (who % 3 + 1).cast("int"))
+    example = F.array(F.struct(F.lit("once").alias("text"), (who % 4 != 0).alias("fictional")))
+    advice = F.transform(x, lambda p: F.struct(F.when(p["n"] == 7, "human").otherwise("ai_suggestion").alias("status"), segments(p).alias("segments")))
+    criteria = F.transform(x, lambda p: F.struct(F.lit("c").alias("criterion"), F.when(p["n"] == 6, "maybe").otherwise("met").alias("verdict"), F.filter(F.array(p["cite"]), lambda c: c.isNotNull()).alias("cites")))
+    answers = [
+        F.struct(kind.alias("kind"), (who % 2 == 0).alias("historical"), paragraphs.alias("paragraphs")), F.struct(paragraphs.alias("paragraphs"), example.alias("examples")),
+        F.struct(F.col("o_orderpriority").alias("reply"), F.when(who % 5 == 0, "e1").alias("cite")), F.struct(paragraphs.alias("points")), F.struct(advice.alias("suggestions")), F.struct(criteria.alias("criteria")),
+    ]
+    answer, contract = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for i, (name, a) in enumerate(zip(CONTRACTS, answers, strict=True)):
+        answer, contract = F.when(n % 6 == i, F.to_json(a)).otherwise(answer), F.when(n % 6 == i, name).otherwise(contract)
+    made = o.select(n.alias("answer"), contract.alias("contract"), answer.alias("raw"), "ids", "old", "hot")
+    return made.select("answer", "contract", contract_breach("contract", "raw", "ids", "old", "hot").alias("code"))
 
 
 def call_records(spark, sf):
@@ -207,10 +232,27 @@ QUERIES = {
     ),
     "answer_checks": (
         answer_checks,
-        """WITH s AS (SELECT l_orderkey AS answer, l_partkey AS citation, bool_or(l_returnflag = 'R') AS h FROM lineitem WHERE l_discount > 0.01 GROUP BY 1, 2),
-                a AS (SELECT l_orderkey AS answer, CASE WHEN l_quantity > 20 THEN l_partkey END AS citation, l_tax > 0.06 AS flagged FROM lineitem),
-                g AS (SELECT answer, count(citation) AS c, bool_or(citation IS NOT NULL AND h IS NULL) AS bad, coalesce(bool_or(h), false) AS old, bool_or(flagged) AS flagged FROM a LEFT JOIN s USING (answer, citation) GROUP BY answer)
-           SELECT answer, CASE WHEN bad THEN 'unknown_citation' WHEN c = 0 THEN 'no_citation' WHEN old AND NOT flagged THEN 'historical_not_flagged' END AS code FROM g""",
+        f"""WITH s AS (SELECT l_orderkey AS a, l_partkey AS p, bool_or(l_returnflag = 'R') AS old, bool_or(l_linestatus = 'F' AND l_tax > 0.05) AS hot FROM lineitem WHERE l_discount > 0.01 GROUP BY 1, 2),
+                 l AS (SELECT l_orderkey AS a, l_linenumber AS n, l_partkey AS part, l_quantity AS q, CASE WHEN l_quantity > 10 THEN l_partkey END AS p FROM lineitem),
+                 j AS (SELECT l.*, l.p IS NOT NULL AND s.a IS NULL AS bad, coalesce(old, false) AS old, coalesce(hot, false) AS hot FROM l LEFT JOIN s ON s.a = l.a AND s.p = l.p),
+                 k AS (SELECT *, CASE WHEN n = 7 THEN 'malformed' WHEN bad THEN 'unknown_citation' WHEN p IS NULL THEN 'uncited_paragraph' END AS advise,
+                                 CASE WHEN n = 6 THEN 'malformed' WHEN bad THEN 'unknown_citation' WHEN p IS NULL THEN 'uncited_paragraph' END AS assess FROM j),
+                 g AS (SELECT a, count(*) AS m, bool_or(bad) AS bad, bool_or(p IS NULL) AS open, bool_or(old) AS old, bool_or(hot) AS hot,
+                              arg_min(advise, (n, part, q)) FILTER (WHERE advise IS NOT NULL) AS advise, arg_min(assess, (n, part, q)) FILTER (WHERE assess IS NOT NULL) AS assess FROM k GROUP BY a),
+                 o AS (SELECT o_orderkey AS answer, o_custkey AS w, {KINDS}[o_custkey % 3 + 1] AS kind, g.* FROM orders LEFT JOIN g ON a = o_orderkey)
+            SELECT answer, {CONTRACTS}[answer % 6 + 1] AS contract, CASE
+                WHEN answer % 6 = 2 THEN CASE WHEN w % 5 = 0 THEN 'unexpected_citation' END
+                WHEN m > 20 THEN 'too_long'
+                WHEN answer % 6 = 4 THEN coalesce(advise, CASE WHEN m IS NULL THEN 'malformed' END)
+                WHEN answer % 6 = 5 THEN assess
+                WHEN bad THEN 'unknown_citation'
+                WHEN answer % 6 = 0 AND kind = 'insufficient' THEN NULL
+                WHEN m IS NULL THEN 'malformed'
+                WHEN answer % 6 = 3 THEN NULL
+                WHEN open THEN 'uncited_paragraph'
+                WHEN answer % 6 = 1 THEN CASE WHEN w % 4 = 0 THEN 'example_not_marked' END
+                WHEN old AND w % 2 <> 0 THEN 'missing_historical_marker'
+                WHEN hot AND kind <> 'conflict' THEN 'conflict_not_flagged' END AS code FROM o""",
     ),
     "call_records": (
         call_records,
