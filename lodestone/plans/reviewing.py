@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import columns as x
+from lodestone.operators import facts
 from lodestone.operators import review as r
 from lodestone.operators.contracts import CONTRACTS, KINDS, contract_breach
 from lodestone.operators.many import composed, fused_many, rerank_none_many
@@ -13,13 +14,63 @@ from lodestone.plans.retrieval import _FUSED, _LEXICAL, _VECTOR, _lexical, _vect
 from lodestone.sources.tables import table
 
 
+def _review_tables(spark, sf):
+    """Orders as versions of their customers' documents; a line is a page, and part of its version's report."""
+    o, n = table(spark, sf, "orders"), F.col("o_orderkey")
+    start = F.to_date("o_orderdate")
+    versions = o.select(
+        n.alias("version"), (F.col("o_custkey") % 500).alias("document"), F.when(n % 3 == 0, "en").otherwise("da").alias("language"),
+        F.when(F.col("o_orderstatus") == "F", F.when(n % 5 == 0, "published").otherwise("under_review")).when(F.col("o_orderstatus") == "O", "under_review").otherwise("discarded").alias("status"),
+        F.when(n % 41 != 0, F.col("o_orderpriority")).alias("label"), F.when(n % 43 != 0, "title").otherwise(" ").alias("title"), F.when(n % 47 != 0, "terms").alias("document_type"),
+        F.lit(1).alias("product"), F.when(n % 53 != 0, start).alias("valid_from"), F.when(n % 4 != 0, F.date_add(start, (n % 200 + 1).cast("int"))).alias("valid_to"), (n % 10 == 0).alias("superseded"),
+        F.floor(F.col("o_totalprice") / 100).alias("checksum"),
+    )
+    lines = table(spark, sf, "lineitem")
+    pages = lines.select(F.col("l_orderkey").alias("version"), (F.col("l_tax") < 0.08).alias("has_text"))
+    reports = lines.groupBy(F.col("l_orderkey").alias("version"), F.col("l_returnflag").alias("finished_at")).agg(
+        (F.max("l_discount") < 0.1).alias("all_read"), (F.max("l_quantity") > 20).alias("recognized"), F.count_if(F.col("l_quantity") < 5).alias("without_heading"),
+        F.count_if(F.col("l_quantity") > 45).alias("uncertain_tables"), F.count_if(F.col("l_linenumber") == 7).alias("encoding_warnings"),
+    )
+    vectors = lines.groupBy(F.col("l_orderkey").alias("version")).agg(F.count("*").alias("chunks"), F.count_if(F.col("l_extendedprice") > 2000).alias("embedded"))
+    grants = table(spark, sf, "customer").filter("c_acctbal > 2000").select((F.col("c_custkey") % 500).alias("document"))
+    return versions, pages, reports, vectors, grants
+
+
+def quality_facts(spark, sf):
+    """AGG-23, with the plan of a publication."""
+    versions, *_, grants = _review_tables(spark, sf)
+    return facts.quality_facts(versions, grants).withColumn("missing", F.concat_ws(",", "missing"))
+
+
 def review_state(spark, sf):
-    """Blockers and warnings of orders as versions (RET-11)."""
-    lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.bool_or(F.col("l_returnflag") == "R").alias("returned"))
-    o = table(spark, sf, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    blockers = r.named_findings(("no_content", F.col("n").isNull()), ("not_processed", F.col("o_orderstatus") == "P"), ("no_price", F.col("o_totalprice") < 1000))
-    warnings = r.named_findings(("returned", F.col("returned")), ("few_lines", F.col("n") < 2))
-    return o.select("o_orderkey", F.concat_ws(",", blockers).alias("blockers"), F.concat_ws(",", warnings).alias("warnings"))
+    """RET-11."""
+    versions, pages, reports, vectors, grants = _review_tables(spark, sf)
+    made = facts.review_states(versions, facts.quality_facts(versions, grants), pages, reports, vectors)
+    return made.select("version", F.concat_ws(",", "blockers").alias("blockers"), F.concat_ws(",", "warnings").alias("warnings"))
+
+
+_FACTS = """
+v AS (SELECT o_orderkey AS version, o_custkey % 500 AS document, CASE WHEN o_orderkey % 3 = 0 THEN 'en' ELSE 'da' END AS language,
+             CASE WHEN o_orderstatus = 'F' AND o_orderkey % 5 = 0 THEN 'published' WHEN o_orderstatus IN ('F', 'O') THEN 'under_review' ELSE 'discarded' END AS status,
+             CASE WHEN o_orderkey % 41 <> 0 THEN o_orderpriority END AS label, CASE WHEN o_orderkey % 43 <> 0 THEN 'title' ELSE ' ' END AS title, CASE WHEN o_orderkey % 47 <> 0 THEN 'terms' END AS kind,
+             CASE WHEN o_orderkey % 53 <> 0 THEN CAST(o_orderdate AS DATE) END AS f, CASE WHEN o_orderkey % 4 <> 0 THEN CAST(o_orderdate AS DATE) + CAST(o_orderkey % 200 + 1 AS INTEGER) END AS t,
+             o_orderkey % 10 = 0 AS superseded, floor(o_totalprice / 100) AS checksum FROM orders),
+pu AS (SELECT * FROM v WHERE status = 'published' AND f IS NOT NULL),
+pre AS (SELECT v.version, arg_max(struct_pack(version := p.version, f := p.f, t := p.t, s := p.superseded), (p.f, p.version)) AS p FROM v JOIN pu p USING (document, language)
+        WHERE v.status <> 'published' AND p.f <= v.f GROUP BY v.version),
+fa AS (SELECT v.*, concat_ws(',', CASE WHEN label IS NULL THEN 'version_label' END, CASE WHEN f IS NULL THEN 'valid_from' END, CASE WHEN trim(title) = '' THEN 'title' END) AS missing,
+              (SELECT count(*) FROM v o WHERE o.checksum = v.checksum AND o.version <> v.version AND o.status <> 'discarded') AS duplicates,
+              (SELECT count(*) FROM pu o WHERE o.document = v.document AND o.language = v.language AND o.version <> v.version AND (v.t IS NULL OR o.f < v.t) AND (o.t IS NULL OR v.f < o.t)) AS ov,
+              CASE WHEN NOT EXISTS (SELECT 1 FROM pu o WHERE o.document = v.document AND o.language = v.language AND o.version <> v.version AND o.f <= v.f - 1 AND (o.t IS NULL OR o.t > v.f - 1))
+                   THEN (SELECT max(o.t) FROM pu o WHERE o.document = v.document AND o.language = v.language AND o.version <> v.version AND o.t < v.f) END AS gap_before,
+              CASE WHEN v.t IS NOT NULL AND NOT EXISTS (SELECT 1 FROM pu o WHERE o.document = v.document AND o.language = v.language AND o.version <> v.version AND o.f <= v.t AND (o.t IS NULL OR o.t > v.t))
+                   THEN (SELECT min(o.f) FROM pu o WHERE o.document = v.document AND o.language = v.language AND o.version <> v.version AND o.f > v.t) END AS gap_after,
+              document NOT IN (SELECT c_custkey % 500 FROM customer WHERE c_acctbal > 2000) AS no_grants, CASE WHEN p.t IS NULL OR p.t > v.f THEN p END AS p FROM v LEFT JOIN pre ON pre.version = v.version),
+pl AS (SELECT *, f IS NOT NULL AND NOT coalesce(p.f >= f OR p.s, false) AND ov - (p IS NOT NULL)::INT <= 0 AS good FROM fa),
+fx AS (SELECT version, missing, duplicates, CASE WHEN f IS NULL THEN 0 ELSE ov END AS ov, CASE WHEN f IS NOT NULL THEN gap_before END AS gap_before, CASE WHEN f IS NOT NULL THEN gap_after END AS gap_after, no_grants,
+              CASE WHEN status <> 'published' THEN good END AS ok, CASE WHEN status <> 'published' AND good THEN p.version END AS predecessor,
+              coalesce(status <> 'published' AND good AND p IS NOT NULL AND t IS NOT NULL AND (p.t IS NULL OR p.t > t), false) AS plan_gap, status, label, title, kind, f FROM pl)
+"""
 
 
 def answer_checks(spark, sf):
@@ -224,11 +275,20 @@ c AS (SELECT host, key, count(DISTINCT page_id) AS k FROM e WHERE key IS NOT NUL
 b AS (SELECT host, key FROM c JOIN m USING (host) WHERE k >= greatest(3, ceil(m / 2)))
 """
 QUERIES = {
+    "quality_facts": (quality_facts, f"WITH {_FACTS} SELECT version, missing, duplicates, ov AS \"overlaps\", gap_before, gap_after, no_grants, ok, predecessor, plan_gap FROM fx"),
     "review_state": (
         review_state,
-        """WITH l AS (SELECT l_orderkey, count(*) AS n, bool_or(l_returnflag = 'R') AS returned FROM lineitem GROUP BY 1)
-           SELECT o_orderkey, concat_ws(',', CASE WHEN n IS NULL THEN 'no_content' END, CASE WHEN o_orderstatus = 'P' THEN 'not_processed' END, CASE WHEN o_totalprice < 1000 THEN 'no_price' END) AS blockers,
-                  concat_ws(',', CASE WHEN returned THEN 'returned' END, CASE WHEN n < 2 THEN 'few_lines' END) AS warnings FROM orders LEFT JOIN l ON l_orderkey = o_orderkey""",
+        f"""WITH {_FACTS},
+                 pg AS (SELECT l_orderkey AS version, count(*) FILTER (WHERE l_tax >= 0.08) AS unread, count(*) AS chunks, count(*) FILTER (WHERE l_extendedprice > 2000) AS embedded FROM lineitem GROUP BY 1),
+                 rp AS (SELECT l_orderkey AS version, l_returnflag AS at_, max(l_discount) < 0.1 AS all_read, max(l_quantity) > 20 AS known, count(*) FILTER (WHERE l_quantity < 5) AS bare,
+                               count(*) FILTER (WHERE l_quantity > 45) AS doubt, count(*) FILTER (WHERE l_linenumber = 7) AS enc FROM lineitem GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_returnflag DESC) = 1)
+            SELECT version, concat_ws(',', CASE WHEN status <> 'under_review' THEN 'not_under_review' END, CASE WHEN label IS NULL OR f IS NULL OR trim(title) = '' OR kind IS NULL THEN 'metadata_missing' END,
+                     CASE WHEN coalesce(unread > 0, true) OR NOT coalesce(all_read, false) THEN 'pages_unread' END, CASE WHEN NOT coalesce(chunks > 0 AND embedded >= chunks, false) THEN 'embeddings_missing' END,
+                     CASE WHEN f IS NOT NULL AND NOT coalesce(ok, false) THEN 'validity_conflict' END) AS blockers,
+                   concat_ws(',', CASE WHEN no_grants THEN 'no_grants' END, CASE WHEN duplicates > 0 THEN 'duplicate' END, CASE WHEN predecessor IS NOT NULL THEN 'predecessor_superseded' END,
+                     CASE WHEN plan_gap OR gap_before IS NOT NULL THEN 'validity_gap' END, CASE WHEN NOT coalesce(known, true) THEN 'structure_not_recognized' END, CASE WHEN bare > 0 THEN 'chunks_without_heading' END,
+                     CASE WHEN doubt > 0 THEN 'uncertain_tables' END, CASE WHEN enc > 0 THEN 'encoding' END) AS warnings
+            FROM fx LEFT JOIN pg USING (version) LEFT JOIN rp USING (version)""",
     ),
     "answer_checks": (
         answer_checks,
