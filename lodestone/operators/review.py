@@ -26,14 +26,25 @@ def recorded_calls(calls: DataFrame, most: int = 1000) -> DataFrame:
     return rows.select("call", (F.col("at") + 1).alias("ordinal"), "source", "question")
 
 
-def availability(model: Column | str, configuration: Column | str, published: Column | str, embedded: Column | str) -> Column:
-    """Why search is not to be had, the first reason that holds, or null (EVL-4)."""
-    return first_of(
-        (col(model).isNull(), "no_active_model"),
-        (col(configuration).isNull(), "no_active_configuration"),
-        (col(published) == 0, "nothing_published"),
-        (col(embedded) < col(published), "embeddings_missing"),
-    )
+#: The conditions of production that can be told without a question.
+STATIC_CONDITIONS = ["P1", "P2", "P3", "P4", "P6", "P9"]
+
+
+def availability(demo: Column, database: Column, model: Column, context: Column, problem: Column, status: Column, unmet: Column, outcome: Column, accepted: Column) -> Column:
+    """struct<state, grade, reason> of retrieval (EVL-4): why it is not to be had, or of which grade its evidence is and why it is
+    not of production's. demo, database, model, context, accepted: booleans, the model and the context as they could be read; problem:
+    why providers can't be made, or null; status: the configuration's, null without one; unmet: names of conditions."""
+    missing = first_of((demo, "demo"), (~database, "no_database"), (~model, "model_unreadable"), (~context, "context_unreadable"), (problem.isNotNull(), "provider"))
+    static = F.filter(unmet, lambda x: x.isin(STATIC_CONDITIONS))
+    development = F.when(F.size(static) == 0, None).otherwise(
+        first_of(
+            (status.isNull(), "no_configuration"), (status == "suspended", "suspended"), (F.array_contains(static, "P4"), "other_fingerprint"),
+            ((outcome == "pass_with_uncertainty") & ~F.coalesce(accepted, F.lit(False)), "uncertainty_not_accepted"), (F.lit(True), "unmet"),
+        )
+    )
+    reason = F.when(development == "unmet", F.concat(F.lit("unmet: "), F.array_join(static, ", "))).otherwise(development)
+    grade = F.when(missing.isNull(), F.when(development.isNull(), "production").otherwise("development"))
+    return F.struct(F.when(missing.isNull(), "available").otherwise("unavailable").alias("state"), grade.alias("grade"), F.coalesce(F.when(missing == "provider", problem), missing, reason).alias("reason"))
 
 
 def without_headers(pages: DataFrame, group: str, page: str, edge: int = 2) -> DataFrame:

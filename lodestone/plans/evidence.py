@@ -14,6 +14,7 @@ from lodestone.operators import access as a
 from lodestone.operators import evidence as v
 from lodestone.operators.many import searched
 from lodestone.plans.retrieval import _index, _probes, _questions
+from lodestone.sources.secured import SecuredReader
 from lodestone.sources.tables import table
 
 TODAY, DAY = datetime.date(1997, 1, 1), datetime.date(1996, 6, 1)
@@ -49,10 +50,17 @@ allowed AS (SELECT * FROM seen WHERE language = 'en' AND valid_from <= DATE '199
 """
 
 
+def _reader(spark, sf) -> SecuredReader:
+    chunks = table(spark, sf, "documents").select(F.col("doc_id").alias("version"), "text")
+    tables = {"versions": _versions(spark, sf), "chunks": chunks, "sources": chunks.select("text")}
+    return SecuredReader(tables.__getitem__, *_grants(spark, sf), TODAY)
+
+
 def secured_scan(spark, sf):
-    """Versions that a user may read (SRC-1, FLT-2)."""
-    made = a.readable_versions(_versions(spark, sf), *_grants(spark, sf), TODAY)
-    return made.groupBy("document", "temporal_status").agg(F.count("*").alias("versions"), F.min("version").alias("first"))
+    """Versions that a user may read, and the letters of their texts (SRC-1, FLT-2)."""
+    reader = _reader(spark, sf)
+    made = reader.table("versions").join(reader.table("chunks"), "version")
+    return made.groupBy("document", "temporal_status").agg(F.count("*").alias("versions"), F.min("version").alias("first"), F.sum(F.length("text")).alias("letters"))
 
 
 def allowed_set(spark, sf):
@@ -286,7 +294,7 @@ def paired_lists(spark, sf):
 
 
 QUERIES = {
-    "secured_scan": (secured_scan, f"WITH {_VERSIONS} SELECT document, temporal_status, count(*) AS versions, min(version) AS first FROM seen GROUP BY ALL"),
+    "secured_scan": (secured_scan, f"WITH {_VERSIONS} SELECT document, temporal_status, count(*) AS versions, min(version) AS first, CAST(sum(length(text)) AS BIGINT) AS letters FROM seen GROUP BY ALL"),
     "allowed_set": (allowed_set, f"WITH {_VERSIONS} SELECT version, document, product, temporal_status FROM allowed"),
     "search_chunks": (search_chunks, f"WITH {_SEARCH} SELECT query_id, chunk_id, document, temporal_status, vector_rank, vector_score, lexical_rank, lexical_score, position FROM f"),
     "evidence_signals": (

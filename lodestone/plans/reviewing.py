@@ -114,13 +114,14 @@ def call_records(spark, sf):
 
 
 def search_availability(spark, sf):
-    """EVL-4: by source."""
-    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"))
-    d = table(spark, sf, "documents").select("doc_id", "source", (F.col("doc_id") % 7 != 0).alias("published"))
-    made = d.filter("published").join(e.withColumn("has", F.lit(1)), "doc_id", "left").groupBy("source").agg(F.count("*").alias("published"), F.count("has").alias("embedded"))
-    number = F.regexp_extract("source", "([0-9]+)", 1).cast("int")
-    reason = r.availability(F.when(number % 5 != 0, number), F.when(number % 3 != 0, number), "published", "embedded")
-    return made.select("source", reason.alias("reason"))
+    """EVL-4: parts as services, their numbers as what is known of each."""
+    n = F.col("p_partkey")
+    unmet = F.filter(F.array(*[F.when(n % k == 0, f"P{i}") for i, k in enumerate((5, 7, 3, 4, 2, 9, 2, 2, 11), 1)]), lambda x: x.isNotNull())
+    status = F.when(n % 6 == 0, None).when(n % 13 == 0, "suspended").otherwise("active")
+    problem = F.when(n % 31 == 0, "no_credentials")
+    outcome = F.when(n % 2 == 0, "pass").otherwise("pass_with_uncertainty")
+    made = r.availability(n % 17 == 0, n % 19 != 0, n % 23 != 0, n % 29 != 0, problem, status, unmet, outcome, n % 3 == 0)
+    return table(spark, sf, "part").select(n, made.alias("a")).select("p_partkey", "a.state", "a.grade", "a.reason")
 
 
 def pages_without_headers(spark, sf):
@@ -321,8 +322,13 @@ QUERIES = {
     ),
     "search_availability": (
         search_availability,
-        """WITH d AS (SELECT source, count(*) AS p, count(vec_id) AS e, CAST(regexp_extract(source, '([0-9]+)', 1) AS INTEGER) AS k FROM documents LEFT JOIN (SELECT vec_id FROM embeddings) ON vec_id = doc_id WHERE doc_id % 7 <> 0 GROUP BY source)
-           SELECT source, CASE WHEN k % 5 = 0 THEN 'no_active_model' WHEN k % 3 = 0 THEN 'no_active_configuration' WHEN p = 0 THEN 'nothing_published' WHEN e < p THEN 'embeddings_missing' END AS reason FROM d""",
+        """WITH p AS (SELECT p_partkey AS n, CASE WHEN p_partkey % 17 = 0 THEN 'demo' WHEN p_partkey % 19 = 0 THEN 'no_database' WHEN p_partkey % 23 = 0 THEN 'model_unreadable'
+                             WHEN p_partkey % 29 = 0 THEN 'context_unreadable' WHEN p_partkey % 31 = 0 THEN 'no_credentials' END AS bad,
+                             concat_ws(', ', CASE WHEN p_partkey % 5 = 0 THEN 'P1' END, CASE WHEN p_partkey % 7 = 0 THEN 'P2' END, CASE WHEN p_partkey % 3 = 0 THEN 'P3' END, CASE WHEN p_partkey % 4 = 0 THEN 'P4' END,
+                                       CASE WHEN p_partkey % 9 = 0 THEN 'P6' END, CASE WHEN p_partkey % 11 = 0 THEN 'P9' END) AS unmet FROM part),
+                q AS (SELECT *, CASE WHEN unmet = '' THEN NULL WHEN n % 6 = 0 THEN 'no_configuration' WHEN n % 13 = 0 THEN 'suspended' WHEN n % 4 = 0 THEN 'other_fingerprint'
+                                     WHEN n % 2 <> 0 AND n % 3 <> 0 THEN 'uncertainty_not_accepted' ELSE 'unmet: ' || unmet END AS why FROM p)
+           SELECT n AS p_partkey, CASE WHEN bad IS NULL THEN 'available' ELSE 'unavailable' END AS state, CASE WHEN bad IS NULL THEN CASE WHEN why IS NULL THEN 'production' ELSE 'development' END END AS grade, coalesce(bad, why) AS reason FROM q""",
     ),
     "pages_without_headers": (
         pages_without_headers,

@@ -87,3 +87,20 @@ def test_conflicts_on_a_day(spark):
     assert on(d(2022, 1, 1), 1, 2, 3, 4) == sorted([(11, False, 7, "b", 2, 21), (11, False, 8, "c", 3, 31), (12, False, 8, "c", 3, 31), (31, False, 8, "a", 1, None)], key=str)
     assert on(d(2024, 1, 1), 1, 2, 3) == sorted([(11, False, 8, "c", 3, 31), (12, False, 8, "c", 3, 31), (31, False, 8, "a", 1, None)], key=str)
     assert on(d(2022, 1, 1), 1) == sorted([(11, True, None, None, None, None), (12, True, None, None, None, None)], key=str)
+
+
+def test_no_way_around_the_filter(spark):
+    import pytest
+    from lodestone.sources.secured import SecuredReader
+
+    d = datetime.date
+    versions = spark.createDataFrame([(1, "a", "published", d(2020, 1, 1), None), (2, "b", "published", d(2020, 1, 1), None), (3, "a", "draft", d(2020, 1, 1), None), (4, "a", "published", d(2010, 1, 1), d(2020, 1, 1))],
+                                     "version long, document string, status string, valid_from date, valid_to date")
+    tables = {"versions": versions, "chunks": spark.createDataFrame([(v, f"t{v}") for v in (1, 2, 3, 4, 5)], "version long, text string"), "people": spark.createDataFrame([("x",)], "name string")}
+    a, none = spark.createDataFrame([("a",)], "document string"), spark.createDataFrame([], "document string")
+    reader = SecuredReader(tables.__getitem__, a, none, d(2024, 1, 1))
+    assert [r.version for r in reader.table("versions").collect()] == [1] and [r.text for r in reader.table("chunks").collect()] == ["t1"]
+    assert sorted(r.text for r in SecuredReader(tables.__getitem__, a, a, d(2024, 1, 1)).table("chunks").collect()) == ["t1", "t4"]
+    assert not hasattr(reader, "tables") and SecuredReader(tables.__getitem__, none, none, d(2024, 1, 1)).table("chunks").count() == 0
+    with pytest.raises(PermissionError):
+        reader.table("people")
