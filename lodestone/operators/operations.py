@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators.ordered import carried
+from lodestone.operators.ordered import carried, ranks
 
 HARD_GATES = [f"H{i}" for i in range(1, 8)]
 
@@ -27,6 +27,29 @@ def decided(metrics: DataFrame, epsilon: float = 1e-9) -> DataFrame:
     return metrics.withColumn("result", F.when(value.isNull(), "not_measured").when(met & crossed, "uncertain").when(met, "pass").otherwise("fail"))
 
 
+#: Targets of performance, each at most its limit: the step and percentile in milliseconds, or seconds of ingestion.
+STEP_TARGETS = [
+    ("retrieval_total_p50", "total", 0.5, 800), ("retrieval_total_p95", "total", 0.95, 1500), ("query_embedding_p95", "embedding", 0.95, 300),
+    ("search_p95", "search", 0.95, 300), ("rerank_p95", "rerank", 0.95, 500),
+]
+LARGE_DOCUMENT, LARGE_CORPUS = ("ingestion_50_pages_seconds", 50, 300), ("ingestion_corpus_2000_pages_seconds", 2000, 14400)
+
+
+def performance(steps: DataFrame, documents: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(target, limit, value, status) of all targets (AGG-13); what has no sample is not measured. steps: step, ms; documents: pages,
+    seconds; corpus: one row, pages and seconds (null: not measured as a whole)."""
+    spark = steps.sparkSession
+    wanted = spark.createDataFrame([(t, s, float(p), float(x)) for t, s, p, x in STEP_TARGETS], "target string, step string, p double, limit double")
+    ranked = ranks(steps, ["step"], "ms", sorted({p for _, _, p, _ in STEP_TARGETS})).select("step", "p", F.col("ms").cast("double").alias("value"))
+    made = wanted.join(ranked, ["step", "p"], "left").select("target", "limit", "value")
+    large, least, limit = LARGE_DOCUMENT
+    made = made.unionByName(documents.filter(F.col("pages") >= least).agg(F.max("seconds").cast("double").alias("value")).select(F.lit(large).alias("target"), F.lit(float(limit)).alias("limit"), "value"))
+    whole, least, limit = LARGE_CORPUS
+    seconds = F.when(F.col("pages") >= least, F.col("seconds")).cast("double")
+    made = made.unionByName(corpus.select(F.lit(whole).alias("target"), F.lit(float(limit)).alias("limit"), seconds.alias("value")))
+    return made.withColumn("status", F.when(F.col("value").isNull(), "not_measured").when(F.col("value") <= F.col("limit"), "met").otherwise("not_met"))
+
+
 def windowed(events: DataFrame, width: str, at: str = "ts") -> Column:
     return F.window(F.col(at).cast("timestamp"), width)
 
