@@ -12,6 +12,7 @@ from lodestone.functions import columns as x
 from lodestone.functions.columns import six
 from lodestone.operators import access as a
 from lodestone.operators import evidence as v
+from lodestone.operators.grading import graded
 from lodestone.operators.many import searched
 from lodestone.plans.retrieval import _index, _probes, _questions
 from lodestone.sources.secured import SecuredReader
@@ -218,11 +219,33 @@ def file_verdicts(spark, sf):
 
 
 def production_grades(spark, sf):
-    """P1 to P9 on parts as answers (FLT-16)."""
-    made = table(spark, sf, "part")
-    rules = [(f"P{i}", F.when(F.col("p_partkey") % (i + 40) != 0, F.col("p_partkey") % (3 * i + 1) != 0)) for i in range(1, 10)]
-    made = made.select("p_partkey", a.production_grade(rules).alias("g"))
-    return made.select("p_partkey", "g.grade", F.concat_ws(",", "g.unmet").alias("unmet"))
+    """FLT-16: P1 to P9 on orders as sets of evidence, their lines the items."""
+    o, lines, n = table(spark, sf, "orders"), table(spark, sf, "lineitem"), F.col("o_orderkey")
+
+    def text(x):
+        return F.lit(x)
+
+    model = {"model_id": text("m"), "provider": text("p"), "model": text("x"), "version": F.when(n % 11 == 0, "0").otherwise("1"), "dimensions": F.lit(8)}
+    active = model | {"version": text("1")}
+    print64 = F.repeat(text("f"), 64)
+    configuration = F.struct(
+        F.when(n % 13 == 0, "suspended").otherwise("active").alias("status"), text(True).alias("ready"), F.array().cast("array<string>").alias("not_ready"), (n % 17 != 0).alias("approved"),
+        F.when(n % 2 == 0, "pilot").otherwise("standard").alias("tier"), text("m").alias("model_id"), text("cross").alias("reranker_id"), text("2").alias("reranker_version"), print64.alias("fingerprint"),
+        text("a1").alias("algorithm"), F.array(text("c1")).alias("chunkers"), F.array(*[F.struct(text(p).alias("product"), text(t).alias("type")) for p, t in (("R", "F"), ("N", "F"), ("A", "O"), ("R", "O"))]).alias("scope"),
+    )
+    sets = o.select(
+        n.alias("set"), F.when(n % 3 == 0, "as_of").otherwise("current").alias("mode"), F.to_date("o_orderdate").alias("as_of"), F.when(n % 19 == 0, 1).otherwise(2).alias("schema"), text("a1").alias("algorithm"),
+        F.when(n % 23 == 0, "e").otherwise(print64).alias("fingerprint"), (F.col("o_orderpriority") == "5-LOW").alias("dev_override"), text("authenticated").alias("role"), F.when(n % 29 != 0, F.col("o_custkey")).alias("user"),
+        F.struct(text(True).alias("production"), text("production").alias("grade"), *[v.alias(k) for k, v in model.items()]).alias("embedder"), F.struct(*[v.alias(k) for k, v in active.items()]).alias("active"),
+        F.struct(text(True).alias("production"), text("production").alias("grade"), F.when(n % 7 == 0, "none").otherwise("cross").alias("id"), text("2").alias("version")).alias("reranker"),
+        F.when(n % 31 != 0, configuration).alias("configuration"),
+    )
+    items = lines.select(
+        F.col("l_orderkey").alias("set"), (F.col("l_partkey") % 50).alias("document"), (F.col("l_suppkey") % 2).alias("version"), F.when(F.col("l_quantity") > 49, "withdrawn").otherwise("published").alias("status"),
+        F.lit(False).alias("withdrawn"), F.lit(True).alias("authoritative"), F.date_sub(F.to_date("l_shipdate"), 1000).alias("valid_from"), F.lit(None).cast("date").alias("valid_to"),
+        F.when(F.col("l_tax") > 0.07, "historical").otherwise("current").alias("temporal_status"), F.when(F.col("l_discount") < 0.1, "c1").alias("chunker"), F.col("l_returnflag").alias("product"), F.col("l_linestatus").alias("document_type"),
+    )
+    return graded(sets, items).select(F.col("set").alias("o_orderkey"), "grade", F.concat_ws(",", "unmet").alias("unmet"))
 
 
 def context_minimised(spark, sf):
@@ -359,8 +382,16 @@ QUERIES = {
     ),
     "production_grades": (
         production_grades,
-        """WITH u AS (SELECT p_partkey, list_filter(range(1, 10), lambda i: p_partkey % (i + 40) = 0 OR p_partkey % (3 * i + 1) = 0) AS u FROM part)
-           SELECT p_partkey, CASE WHEN len(u) = 0 THEN 'production' ELSE 'development' END AS grade, array_to_string(list_transform(u, lambda i: 'P' || i), ',') AS unmet FROM u""",
+        """WITH i AS (SELECT l_orderkey AS k, bool_and(CASE WHEN k2 THEN (l_returnflag || l_linestatus) IN ('RF', 'NF', 'AO', 'RO') ELSE l_linestatus IN ('F', 'O') END) AS covered,
+                             bool_and(l_quantity <= 49 AND CAST(l_shipdate AS DATE) - 1000 <= day AND (cur = 'as_of' OR l_tax <= 0.07)) AS valid, bool_and(l_discount < 0.1) AS evaluated
+                      FROM lineitem JOIN (SELECT o_orderkey, o_orderkey % 2 = 0 AS k2, CAST(o_orderdate AS DATE) AS day, CASE WHEN o_orderkey % 3 = 0 THEN 'as_of' ELSE 'current' END AS cur FROM orders) ON o_orderkey = l_orderkey GROUP BY 1),
+                d AS (SELECT k, max(n) AS most FROM (SELECT l_orderkey AS k, l_partkey % 50 AS document, count(DISTINCT l_suppkey % 2) AS n FROM lineitem GROUP BY 1, 2) GROUP BY k),
+                u AS (SELECT o_orderkey, concat_ws(',', CASE WHEN o_orderkey % 11 = 0 OR o_orderkey % 31 = 0 THEN 'P1' END, CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 31 = 0 THEN 'P2' END,
+                               CASE WHEN o_orderkey % 13 = 0 OR o_orderkey % 17 = 0 OR o_orderkey % 31 = 0 OR NOT coalesce(covered, true) THEN 'P3' END, CASE WHEN o_orderkey % 23 = 0 OR o_orderkey % 31 = 0 THEN 'P4' END,
+                               CASE WHEN NOT (coalesce(valid, true) AND coalesce(most, 0) <= 1) THEN 'P5' END, CASE WHEN o_orderkey % 29 = 0 THEN 'P6' END, CASE WHEN o_orderkey % 31 = 0 OR NOT coalesce(evaluated, true) THEN 'P7' END,
+                               CASE WHEN o_orderpriority = '5-LOW' THEN 'P8' END, CASE WHEN o_orderkey % 19 = 0 OR o_orderkey % 31 = 0 THEN 'P9' END) AS unmet
+                      FROM orders LEFT JOIN i ON i.k = o_orderkey LEFT JOIN d ON d.k = o_orderkey)
+           SELECT o_orderkey, CASE WHEN unmet = '' THEN 'production' ELSE 'development' END AS grade, unmet FROM u""",
     ),
     "context_minimised": (
         context_minimised,

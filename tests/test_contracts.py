@@ -104,3 +104,62 @@ def test_no_way_around_the_filter(spark):
     assert not hasattr(reader, "tables") and SecuredReader(tables.__getitem__, none, none, d(2024, 1, 1)).table("chunks").count() == 0
     with pytest.raises(PermissionError):
         reader.table("people")
+
+
+MODEL = {"model_id": "m", "provider": "p", "model": "x", "version": "1", "dimensions": 8}
+GOOD = {
+    "set": "s", "mode": "current", "as_of": datetime.date(2024, 1, 1), "schema": 2, "algorithm": "a1", "fingerprint": "f" * 64, "dev_override": False, "role": "authenticated", "user": "u",
+    "embedder": MODEL | {"production": True, "grade": "production"}, "active": MODEL, "reranker": {"production": True, "grade": "production", "id": "cross", "version": "2"},
+    "configuration": {"status": "active", "ready": True, "not_ready": [], "approved": True, "tier": "pilot", "model_id": "m", "reranker_id": "cross", "reranker_version": "2", "fingerprint": "f" * 64, "algorithm": "a1",
+                      "chunkers": ["c1"], "scope": [{"product": "house", "type": "terms"}]},
+}
+OWN = {"set": "s", "document": "d", "version": "1", "status": "published", "withdrawn": False, "authoritative": True, "valid_from": datetime.date(2020, 1, 1), "valid_to": None, "temporal_status": "current",
+       "chunker": "c1", "product": "house", "document_type": "terms"}
+SETS = (
+    "set string, mode string, as_of date, schema int, algorithm string, fingerprint string, dev_override boolean, role string, user string, "
+    "embedder struct<production:boolean,grade:string,model_id:string,provider:string,model:string,version:string,dimensions:int>, active struct<model_id:string,provider:string,model:string,version:string,dimensions:int>, "
+    "reranker struct<production:boolean,grade:string,id:string,version:string>, configuration struct<status:string,ready:boolean,not_ready:array<string>,approved:boolean,tier:string,model_id:string,reranker_id:string,"
+    "reranker_version:string,fingerprint:string,algorithm:string,chunkers:array<string>,scope:array<struct<product:string,type:string>>>"
+)
+ITEMS = "set string, document string, version string, status string, withdrawn boolean, authoritative boolean, valid_from date, valid_to date, temporal_status string, chunker string, product string, document_type string"
+
+
+def _in(part, **changed):
+    return {part: GOOD[part] | changed}
+
+
+GRADES = {
+    "good": ({}, [OWN, OWN | {"document": "e"}], []),
+    "empty": ({}, [], []),
+    "other_model": (_in("active", version="2"), [OWN], ["P1"]),
+    "no_embedder": ({"embedder": None}, [OWN], ["P1"]),
+    "development_embedder": (_in("embedder", production=False), [OWN], ["P1"]),
+    "no_reranker": (_in("reranker", id="none"), [OWN], ["P2"]),
+    "other_reranker": (_in("configuration", reranker_version="3"), [OWN], ["P2"]),
+    "suspended": (_in("configuration", status="suspended"), [OWN], ["P3"]),
+    "not_ready": (_in("configuration", not_ready=["uncertainty"]), [OWN], ["P3"]),
+    "outside_pilot": ({}, [OWN | {"product": "car"}], ["P3"]),
+    "standard": (_in("configuration", tier="standard"), [OWN | {"product": "car"}], []),
+    "outside_standard": (_in("configuration", tier="standard"), [OWN | {"document_type": "guide"}], ["P3"]),
+    "runtime": ({"fingerprint": "e" * 64}, [OWN], ["P4"]),
+    "withdrawn": ({}, [OWN, OWN | {"document": "e", "withdrawn": True}], ["P5"]),
+    "two_versions": ({}, [OWN, OWN | {"version": "2"}], ["P5"]),
+    "past": ({}, [OWN | {"temporal_status": "historical"}], ["P5"]),
+    "past_as_of": ({"mode": "as_of"}, [OWN | {"temporal_status": "historical"}], []),
+    "not_valid": ({}, [OWN | {"valid_to": datetime.date(2024, 1, 1)}], ["P5"]),
+    "service": ({"role": "service"}, [OWN], ["P6"]),
+    "nobody": ({"user": None}, [OWN], ["P6"]),
+    "chunker": ({}, [OWN | {"chunker": None}], ["P7"]),
+    "override": ({"dev_override": True}, [OWN], ["P8"]),
+    "schema": ({"schema": 1}, [OWN], ["P9"]),
+    "no_configuration": ({"configuration": None}, [OWN], ["P1", "P2", "P3", "P4", "P7", "P9"]),
+}
+
+
+def test_grades(spark):
+    from lodestone.operators.grading import graded
+
+    sets = [GOOD | changed | {"set": name} for name, (changed, _, _) in GRADES.items()]
+    items = [x | {"set": name} for name, (_, some, _) in GRADES.items() for x in some]
+    got = {r.set: (r.grade, r.unmet) for r in graded(spark.createDataFrame(sets, SETS), spark.createDataFrame(items, ITEMS)).collect()}
+    assert got == {name: ("development" if unmet else "production", unmet) for name, (_, _, unmet) in GRADES.items()}
