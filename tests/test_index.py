@@ -73,6 +73,14 @@ def test_a_filter_comes_before_ranks(spark, library):
     assert sorted(map(tuple, within.collect())) == sorted(map(tuple, alone.collect())) != []
 
 
+def test_rarest_words_are_all_outside_of_a_filter(spark):
+    docs = spark.createDataFrame([(i, "rare common") for i in range(5)] + [(10 + i, "common") for i in range(3)], "id long, text string")
+    asks = spark.createDataFrame([(0, "rare common")], "query_id long, text string")
+    own = docs.filter("id >= 10").select(F.col("id").alias("key"))
+    got = by_shared_words(build(docs, "id"), asks, 4, own).orderBy("lexical_rank").collect()
+    assert [(r.key, r.lexical_score, r.lexical_terms) for r in got] == [(10, 0.5, ["common"]), (11, 0.5, ["common"]), (12, 0.5, ["common"])]
+
+
 def test_an_index_is_written_once(spark, library):
     _, _, docs, questions = library
     build(docs, "id", name="once", buckets=3)
