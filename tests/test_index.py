@@ -4,8 +4,8 @@ import random
 from collections import defaultdict
 
 import pytest
-from lodestone.functions.danish import danish_stem
-from lodestone.operators.index import build, by_cover, by_shared_words, covers, stored
+from lodestone.functions.danish import STOP_WORDS, danish_stem, stem_of
+from lodestone.operators.index import build, by_cover, by_shared_words, counted, covers, stored
 from lodestone.operators.many import composed, fused_many, vector_many
 from pyspark.sql import functions as F
 
@@ -23,6 +23,37 @@ def test_stems(spark):
     assert [(r.word, r.got) for r in df.collect()] == pairs
 
 
+def test_both_stemmers_agree(spark):
+    random.seed(4)
+    ends = ["", "erne", "hedens", "s", "igst", "løst", "elig", "gd", "kt", "ll"]
+    words = sorted({"".join(random.choices("aeiyæøåbdgklnst", k=random.randint(1, 6))) + random.choice(ends) + random.choice(ends) for _ in range(3000)})
+    df = spark.createDataFrame([(w,) for w in words], "word string").select("word", danish_stem("word").alias("stem"))
+    assert [(r.word, r.stem) for r in df.collect() if r.stem != stem_of(r.word)] == []
+
+
+def test_counts_of_words_need_no_postings(spark, library):
+    rows, _, docs, _ = library
+    want = {}
+    for _, text in rows:
+        words = (text or "").split()
+        for kind, all_words in (("simple", words), ("danish", [None if w in STOP_WORDS else stem_of(w) for w in words])):
+            for w in set(all_words) - {None}:
+                n, places, last = want.get((kind, w), (0, 0, 0))
+                at = [i + 1 for i, x in enumerate(all_words) if x == w]
+                want[kind, w] = n + 1, places + len(at), max(last, at[-1])
+    assert {(r.kind, r.token): (r.documents, r.places, r.last) for r in counted(docs, "id").collect()} == want
+
+
+def test_an_index_for_some_questions_holds_their_words_alone(spark, library):
+    _, _, docs, questions = library
+    few = questions.filter("query_id in (1, 92)")
+    whole, own = build(docs, "id"), build(docs, "id", asks=few)
+    asked = {w for r in few.collect() for w in r.text.split()}
+    assert {r.token for r in own.postings.select("token").distinct().collect()} == asked
+    for search in (by_shared_words, by_cover):
+        assert sorted(map(repr, search(own, few).collect())) == sorted(map(repr, search(whole, few).collect())) != []
+
+
 def plain_covers(places, terms):
     """Every stretch with all words of which no shorter part has all."""
     at = sorted({p for p, _ in places})
