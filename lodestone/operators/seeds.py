@@ -2,9 +2,10 @@
 
 Of every window of neighbouring grams a text keeps the one with the smallest hash (Schleimer, Wilkerson and Aiken,
 "Winnowing", 2003), about two in a window. A pattern keeps the smallest of its first window. Where the pattern occurs,
-the text has the same window at that place and so has kept the same gram: patterns and texts meet there, once for
-each occurrence, those that overlap too, and the pattern is then compared letter by letter. Windows are as wide as a
-pattern's length allows, in a few classes of length; only classes that patterns have are worked out.
+the text has the same window at that place and so has kept the same gram. Texts meet grams with the lengths of their
+patterns there, however many patterns begin alike; the letters of each such place are then looked up among the patterns
+as they are, once for each occurrence, those that overlap too. Windows are as wide as a pattern's length allows, in a few
+classes of length; only classes that patterns have are worked out.
 
 Defined cases: null and empty patterns occur nowhere, null texts hold nothing. Letters are compared as they are.
 """
@@ -18,8 +19,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.sources.tables import cut
+
 #: Least length of a pattern, and the grams and windows (in grams) of its class: window + gram - 1 letters at most.
 CLASSES = [(64, 8, 57), (24, 8, 17), (12, 8, 5), (5, 5, 1), (4, 4, 1), (3, 3, 1), (2, 2, 1), (1, 1, 1)]
+#: At most so many rows of grams and lengths go to every task.
+BROADCAST = 200_000
 _PLACE = np.uint64((1 << 27) - 1)
 
 
@@ -99,7 +104,10 @@ def occurrences(texts: DataFrame, patterns: DataFrame, key: str, pattern_id: str
 
     seeds = texts.mapInArrow(of_texts, f"{gram}, {key} {texts.schema[key].dataType.simpleString()}")
     wanted = patterns.mapInArrow(of_patterns, f"{gram}, {pattern_id} {patterns.schema[pattern_id].dataType.simpleString()}").withColumnRenamed("at", "ahead")
-    met = seeds.join(wanted, ["cls", "gram"]).select(key, pattern_id, (F.col("at") - F.col("ahead") + 1).alias("at")).filter("at > 0")
-    near = met.join(patterns.select(pattern_id, "pattern"), pattern_id).join(texts, key)
-    same = F.col("text").substr(F.col("at").cast("int"), F.length("pattern")) == F.col("pattern")
-    return near.filter(same).select(key, pattern_id, "at").distinct()
+    sizes = patterns.select(pattern_id, F.length("pattern").alias("size")).distinct()
+    shapes = cut(wanted.join(sizes, pattern_id).select("cls", "gram", "ahead", "size").distinct())
+    if shapes.limit(BROADCAST + 1).count() <= BROADCAST:  # few grams go to the texts, so that not all that texts keep is shuffled
+        shapes = F.broadcast(shapes)
+    met = seeds.join(shapes, ["cls", "gram"]).select(key, (F.col("at") - F.col("ahead") + 1).alias("at"), "size").filter("at > 0").distinct()
+    near = met.join(texts, key).select(key, "at", F.col("text").substr(F.col("at").cast("int"), F.col("size")).alias("pattern"))
+    return near.join(patterns.select(pattern_id, "pattern").distinct(), "pattern").select(key, pattern_id, "at").distinct()

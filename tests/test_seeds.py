@@ -27,6 +27,27 @@ def test_all_lengths_and_overlaps(spark):
     assert found(spark, texts, patterns) == plain(texts, patterns)
 
 
+def most_rows(plan):
+    """The most rows that a join of an executed plan gave."""
+    name = plan.nodeName()
+    if name.startswith("AdaptiveSparkPlan"):
+        return most_rows(plan.executedPlan())
+    if "QueryStage" in name:
+        return most_rows(plan.plan())
+    own = plan.metrics().get("numOutputRows").get().value() if "Join" in name else 0
+    children = plan.children()
+    return max([own, *(most_rows(children.apply(i)) for i in range(children.size()))])
+
+
+def test_patterns_that_begin_alike_meet_each_place_once(spark):
+    texts = [(f"t{i}", f"see document-{i % 500:04d} and document-{(i * 7) % 500:04d}") for i in range(1000)]
+    patterns = [(i, f"document-{i:04d}") for i in range(500)]
+    t, p = spark.createDataFrame(texts, "doc string, text string").repartition(3), spark.createDataFrame(patterns, "item long, pattern string")
+    made = occurrences(t, p, "doc", "item")
+    assert sorted((r.doc, r.item, r.at) for r in made.collect()) == plain(texts, patterns)
+    assert most_rows(made._jdf.queryExecution().executedPlan()) <= 10 * len(texts)  # 2 places each; with every pattern at each 1,000,000
+
+
 def test_no_patterns(spark):
     assert found(spark, [("a", "text")], []) == found(spark, [], [(1, "text")]) == []
 
