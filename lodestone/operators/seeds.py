@@ -25,6 +25,8 @@ from lodestone.sources.tables import cut
 CLASSES = [(64, 8, 57), (24, 8, 17), (12, 8, 5), (5, 5, 1), (4, 4, 1), (3, 3, 1), (2, 2, 1), (1, 1, 1)]
 #: At most so many rows of grams and lengths go to every task.
 BROADCAST = 200_000
+#: Letters of texts that are worked out in one.
+TOGETHER = 1 << 20
 _PLACE = np.uint64((1 << 27) - 1)
 
 
@@ -39,8 +41,9 @@ def _grams(codes: np.ndarray, size: int) -> np.ndarray:
     return made ^ (made >> np.uint64(29))
 
 
-def _kept(hashes: np.ndarray, window: int) -> np.ndarray:
-    """Places of the smallest hash of each window, of equals the first; hashes are compared by their upper 37 bits."""
+def _least(hashes: np.ndarray, window: int) -> np.ndarray:
+    """The place of the smallest hash of each window, of equals the first; hashes are compared by their upper 37 bits. Places
+    never go back from a window to the next."""
     if len(hashes) < window:
         return np.zeros(0, dtype=np.int64)
     least = (hashes & ~_PLACE) | np.arange(len(hashes), dtype=np.uint64)
@@ -50,7 +53,36 @@ def _kept(hashes: np.ndarray, window: int) -> np.ndarray:
         wide *= 2
     if wide < window:
         least = np.minimum(least[: len(least) - (window - wide)], least[window - wide :])
-    return np.unique(least & _PLACE).astype(np.int64)
+    return (least & _PLACE).astype(np.int64)
+
+
+def _kept(hashes: np.ndarray, window: int) -> np.ndarray:
+    return np.unique(_least(hashes, window))
+
+
+def kept_of_all(texts: list[str], size: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, places, hashes) that each of some texts keeps, worked out in one: windows that reach into the next text don't count."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    ends, row = np.cumsum(sizes), np.repeat(np.arange(len(texts)), sizes)
+    hashes = _grams(codes, size)
+    at = _least(hashes, window)
+    at = at[np.arange(len(at)) + window + size - 1 <= ends[row[: len(at)]]]
+    at = at[np.flatnonzero(np.diff(at, prepend=-1))]
+    own = row[at]
+    return own, at - (ends - sizes)[own], hashes[at]
+
+
+def _some(texts: list[str], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about `most` letters; a longer text is alone."""
+    start, total = 0, 0
+    for i, text in enumerate(texts):
+        if total and total + len(text) > most:
+            yield start, i
+            start, total = i, 0
+        total += len(text)
+    if start < len(texts):
+        yield start, len(texts)
 
 
 def kept_grams(text: str, size: int, window: int, part: int = 1 << 26) -> tuple[np.ndarray, np.ndarray]:
@@ -88,12 +120,18 @@ def occurrences(texts: DataFrame, patterns: DataFrame, key: str, pattern_id: str
 
     def of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                text = batch.column(1)[i].as_py()
+            every = batch.column(1).to_pylist()
+            for start, end in _some(every, TOGETHER):
                 for number in present:
-                    at, hashes = kept_grams(text, *CLASSES[number][1:])
+                    _, size, window = CLASSES[number]
+                    if end - start == 1:
+                        at, hashes = kept_grams(every[start], size, window)
+                        row = np.zeros(len(at), dtype=np.int64)
+                    else:
+                        row, at, hashes = kept_of_all(every[start:end], size, window)
                     if len(at):
-                        yield _rows(number, at, hashes, batch.column(0).slice(i, 1), key)
+                        names = batch.column(0).take(pa.array(row + start))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), number, np.int32)), pa.array(hashes.view(np.int64)), pa.array(at), names], ["cls", "gram", "at", key])
 
     def of_patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

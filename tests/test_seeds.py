@@ -5,7 +5,7 @@ import random
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from lodestone.operators.seeds import CLASSES, kept_grams, occurrences
+from lodestone.operators.seeds import CLASSES, kept_grams, kept_of_all, occurrences
 
 
 def plain(texts, patterns):
@@ -27,6 +27,14 @@ def test_all_lengths_and_overlaps(spark):
     assert found(spark, texts, patterns) == plain(texts, patterns)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("abå𝒜", max_size=90), max_size=12), st.sampled_from(CLASSES))
+def test_texts_keep_the_same_alone_and_together(texts, cls):
+    rows, places, hashes = kept_of_all(texts, *cls[1:])
+    alone = [(i, a, h) for i, t in enumerate(texts) for a, h in zip(*(x.tolist() for x in kept_grams(t, *cls[1:])), strict=True)]
+    assert list(zip(rows.tolist(), places.tolist(), hashes.tolist(), strict=True)) == alone
+
+
 def most_rows(plan):
     """The most rows that a join of an executed plan gave."""
     name = plan.nodeName()
