@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from lodestone.llm import similar
 from lodestone.llm.components import connected_components
@@ -84,6 +85,42 @@ def test_groups_equal_brute_force_jaccard(spark, dense):
     assert {r.doc_id for r in similar.without_similar(docs, dense=dense).collect()} == want and len(want) > 3
 
 
+def test_odd_bits_never_differ_in_more_than_the_sets_do():
+    rng = np.random.default_rng(5)
+    for size in (0, 1, 5, 146, 3000):
+        x = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+        for own in (0, 1, 20, 500):
+            y = np.concatenate([x[own // 2 :], rng.integers(0, 1 << 63, own, dtype=np.uint64)])
+            apart = int(np.bitwise_count(similar.odd_bits(x) ^ similar.odd_bits(y)).sum())
+            assert apart <= len(np.setxor1d(x, y)) and (own == 0) == (apart == 0)
+
+
+def test_near_copies_that_are_not_similar_are_no_candidates(spark, monkeypatch):
+    """600 texts edited from one, most pairs of which are under 0.8: hardly a pair's sets are compared in vain."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(3000)]
+    base, texts = [rng.choice(words) for _ in range(150)], []
+    for _ in range(600):
+        own = list(base)
+        for i in rng.sample(range(150), rng.randrange(1, 10)):
+            own[i] = rng.choice(words)
+        texts.append(" ".join(own))
+    met, plain = {"candidates": 0, "similar": 0}, similar.cut
+
+    def counted(df, label, free=False):
+        made = plain(df, label, free)
+        if label in met:
+            met[label] += made.count()
+        return made
+
+    monkeypatch.setattr(similar, "cut", counted)
+    rows = list(enumerate(texts))
+    kept = {r.doc_id for r in similar.without_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = plain_groups(rows)
+    assert kept >= set(want.values()) and len(kept) <= 1.05 * len(set(want.values()))
+    assert met["candidates"] < 1.5 * met["similar"]
+
+
 def test_recall_on_documents(spark):
     """Of all pairs of different documents with a similarity of 0.8 or more, nine in ten and more are in one group."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
