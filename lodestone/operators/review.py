@@ -51,13 +51,22 @@ def without_headers(pages: DataFrame, group: str, page: str, edge: int = 2) -> D
     """(group, page, text, removed): pages without the repeated lines at their tops and bottoms, white space single
     (DOC-1)."""
     lines = F.filter(F.transform(F.split("text", "\n"), squeezed), lambda x: x != "")
-    rows = pages.select(group, page, F.posexplode_outer(lines).alias("at", "line"), F.size(lines).alias("n"))
-    found = repeated_lines(pages, group, page, edge).select(group, F.col("line").alias("key"), F.lit(True).alias("again"))
-    at_edge = (F.col("at") < edge) | (F.col("at") >= F.col("n") - edge)
-    kept = rows.withColumn("key", F.when(at_edge, line_key("line"))).join(found, [group, "key"], "left")
-    text = F.array_sort(F.collect_list(F.when(F.col("again").isNull() & F.col("line").isNotNull(), F.struct("at", "line"))))
-    made = kept.groupBy(group, page).agg(text.alias("lines"), F.count_if("again").alias("removed"))
-    return made.select(group, page, F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("text"), "removed")
+    rows = pages.select(group, page, lines.alias("lines")).groupBy(group, page).agg(F.collect_list("lines").alias("sets"))
+    # At most 4 * edge lines are on half of a group's pages, each of which has 2 * edge to show.
+    found = repeated_lines(pages, group, page, edge).groupBy(group).agg(F.collect_list("line").alias("again"))
+
+    def marked(own):
+        def mark(line, at):
+            gone = F.when((at < edge) | (at >= F.size(own) - edge), F.array_contains("again", line_key(line)))
+            return F.struct(at.alias("at"), line.alias("line"), F.coalesce(gone, F.lit(False)).alias("gone"))
+
+        return F.transform(own, mark)
+
+    made = rows.join(found, group, "left").select(group, page, F.size("sets").alias("n"), F.flatten(F.transform("sets", marked)).alias("lines"))
+    kept = F.filter("lines", lambda x: ~x["gone"])
+    kept = F.when(F.col("n") > 1, F.array_sort(kept)).otherwise(kept)
+    removed = F.size(F.filter("lines", lambda x: x["gone"])).cast("bigint")
+    return made.select(group, page, F.array_join(F.transform(kept, lambda x: x["line"]), "\n").alias("text"), removed.alias("removed"))
 
 
 def line_blocks(docs: DataFrame, key: str) -> DataFrame:

@@ -215,3 +215,18 @@ def test_ranks(spark):
         mine = sorted(v for k, v in rows if k == g and v is not None)
         for p in (0.0, 0.5, 0.95, 1.0):
             assert got[g, p] == mine[max(1, math.ceil(p * len(mine) - 1e-9)) - 1]
+
+
+def test_headers_go_without_a_row_for_each_line(spark):
+    """A page's lines stay in its row: a row of each would work out the whole page again for every line of it."""
+    from lodestone.operators.review import without_headers
+
+    body = [f"own {i} line" for i in "abc"]
+    rows = [("h", i, "\n".join(["Top 1", *[f"{x} {chr(97 + i)}" for x in body], f"page {i}"])) for i in range(4)]
+    rows += [("h", 3, "Top 2\nlater"), (None, 1, "Top 1\nx"), ("h", 9, None), ("other", 1, "Top 1")]
+    made = without_headers(spark.createDataFrame(rows, "host string, page int, text string"), "host", "page")
+    got = {(r.host, r.page): (r.text, r.removed) for r in made.collect()}
+    assert got["h", 0] == ("own a line a\nown b line a\nown c line a", 2)
+    assert got["h", 3] == ("later\nown a line d\nown b line d\nown c line d", 3)
+    assert got[None, 1] == ("Top 1\nx", 0) and got["h", 9] == ("", 0) and got["other", 1] == ("Top 1", 0)
+    assert "posexplode" not in made._jdf.queryExecution().optimizedPlan().toString()
