@@ -163,3 +163,10 @@ def test_grades(spark):
     items = [x | {"set": name} for name, (_, some, _) in GRADES.items() for x in some]
     got = {r.set: (r.grade, r.unmet) for r in graded(spark.createDataFrame(sets, SETS), spark.createDataFrame(items, ITEMS)).collect()}
     assert got == {name: ("development" if unmet else "production", unmet) for name, (_, _, unmet) in GRADES.items()}
+
+
+def test_an_answer_is_parsed_once(spark):
+    """An answer's parts are bound where they are read, so a rule that names one twice doesn't read it again."""
+    df = spark.createDataFrame([("x", "{}", [], [], [])], "contract string, answer string, ids array<string>, historical array<string>, conflict array<string>")
+    made = df.select(contract_breach("contract", "answer", "ids", "historical", "conflict").alias("code"))
+    assert made._jdf.queryExecution().analyzed().toString().count("try_parse_json") == 1
