@@ -1,5 +1,8 @@
 """Steps that must grow with their tables: results against plain Python, and what their joins make."""
 
+import datetime
+
+from lodestone.operators import facts
 from lodestone.operators.access import subjects
 from lodestone.operators.index import postings
 from lodestone.plans.reviewing import leaders
@@ -30,3 +33,33 @@ def test_postings_of_plain_words_leave_stems_out(spark):
     docs = spark.createDataFrame([(1, "b a b"), (2, None), (3, "a")], "id long, text string")
     got = {(r.kind, r.token, r.key, tuple(r.positions)) for r in postings(docs, "id", ("simple",)).collect()}
     assert got == {("simple", "b", 1, (1, 3)), ("simple", "a", 1, (2,)), ("simple", "a", 3, (1,))}
+
+
+def test_quality_facts_run_over_days_not_over_versions(spark, monkeypatch):
+    day = lambda n: datetime.date(2020, 1, 1) + datetime.timedelta(n)
+    rows = []
+    for i in range(240):
+        since = None if i % 29 == 0 else day(i % 12)
+        until = None if i % 5 == 0 else day(i % 12 + i % 4)
+        rows.append((i, i % 2 if i % 31 else None, None if i % 3 == 0 else "da", ("published", "under_review", "discarded")[i % 7 % 3] if i % 11 < 4 else "under_review", "x", "t", since, until, i % 10 == 0, i % 9))
+    schema = "version long, document int, language string, status string, label string, title string, valid_from date, valid_to date, superseded boolean, checksum int"
+    sizes, whole = [], facts.carried
+    monkeypatch.setattr(facts, "carried", lambda df, *given, **more: sizes.append(df.count()) or whole(df, *given, **more))
+    got = {r.version: r for r in facts.quality_facts(spark.createDataFrame(rows, schema), spark.createDataFrame([(1,)], "document int")).collect()}
+    assert sizes and max(sizes) <= 3 * 2 * (12 + 3 + 3)  # groups times days, with those of no begin and no end; not four rows a version
+    assert len(got) == len(rows)
+    for v, doc, lang, status, _, _, since, until, _, checksum in rows:
+        g = got[v]
+        public = [r for r in rows if r[1:3] == (doc, lang) and r[3] == "published" and r[6] and (not r[7] or r[6] < r[7])]
+        others = [r for r in public if r[0] != v]
+        assert g.no_grants == (doc != 1)
+        assert g.duplicates == sum(r[9] == checksum and r[3] != "discarded" and r[0] != v for r in rows)
+        real = since and (not until or since < until)
+        assert g.overlaps == (sum((not until or r[6] < until) and (not r[7] or since < r[7]) for r in others) if real else 0)
+        before = since and since - datetime.timedelta(1)
+        held = lambda d: any(r[6] <= d and (not r[7] or r[7] > d) for r in public)
+        assert g.gap_before == (max((r[7] for r in public if r[7] and r[7] < since), default=None) if since and not held(before) else None)
+        assert g.gap_after == (min((r[6] for r in public if r[6] > until), default=None) if since and until and not held(until) else None)
+        last = max(((r[6], r[0], r[7]) for r in public if since and r[6] <= since), default=None)
+        if g.predecessor is not None:
+            assert status != "published" and last[1] == g.predecessor and (not last[2] or last[2] > since)
