@@ -5,6 +5,7 @@ import datetime
 from lodestone.operators import facts
 from lodestone.operators.access import subjects
 from lodestone.operators.index import postings
+from lodestone.plans.retrieval import merge_islands
 from lodestone.plans.reviewing import leaders
 from test_seeds import most_rows
 
@@ -63,3 +64,17 @@ def test_quality_facts_run_over_days_not_over_versions(spark, monkeypatch):
         last = max(((r[6], r[0], r[7]) for r in public if since and r[6] <= since), default=None)
         if g.predecessor is not None:
             assert status != "published" and last[1] == g.predecessor and (not last[2] or last[2] > since)
+
+
+def test_runs_are_told_in_one_sort(spark):
+    from lodestone.operators.search import runs
+
+    rows = [(1, "a", n) for n in (3, 1, 2, 2, 2, 7, 8, 10, None, None)] + [(1, None, n) for n in (5, 5)] + [(2, "a", n) for n in (4, 3)]
+    made = runs(spark.createDataFrame(rows, "version long, flag string, at int"), ["version", "flag"], "at")
+    want = [(1, "a", None, None, 1), (1, "a", 1, 3, 3), (1, "a", 7, 8, 2), (1, "a", 10, 10, 1), (1, None, 5, 5, 1), (2, "a", 3, 4, 2)]
+    assert sorted(map(repr, map(tuple, made.collect()))) == sorted(map(repr, want))
+
+
+def test_merge_islands_sorts_once_and_keeps_no_groups(spark, sf_dir):
+    plan = merge_islands(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Sort [") == 1 and "Aggregate" not in plan
