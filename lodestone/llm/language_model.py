@@ -130,15 +130,18 @@ BLOCK = 32  # units of a text that share one mean
 
 class Blocks:
     """A run of texts' units in blocks that begin anew with each text. before: how many units of its text are
-    before each; of: each unit's block; starts: where the blocks begin; text: the first block of each one's text."""
+    before each; of: each unit's block; starts: where the blocks begin; text: the first block of each one's text;
+    cross: by text but the first, the units just before it, last to first."""
 
-    def __init__(self, begin: np.ndarray):
+    def __init__(self, begin: np.ndarray, order: int = 0):
         n = len(begin)
         self.before = np.arange(n) - begin
         new = self.before % BLOCK == 0
         self.starts, self.of = np.flatnonzero(new), np.cumsum(new) - 1
         self.text = self.of[begin[self.starts]]
         self.seen = np.maximum(self.before[self.starts], 1).astype(np.float32)[:, None]
+        later = self.starts[self.before[self.starts] == 0][1:]
+        self.cross = np.maximum(later[:, None] - np.arange(1, order + 1), 0)
 
     def means(self, rows: np.ndarray) -> np.ndarray:
         """For each block the mean of its text's rows before it; zero for a text's first."""
@@ -160,18 +163,23 @@ def context(tables: list[np.ndarray], ids: np.ndarray, begin: np.ndarray, order:
     """For a run of texts' units: the predicted vectors, their blocks, the blocks' means, and the units' own
     context vectors. begin: where each unit's text begins."""
     near, mean, place = tables[0], tables[1], tables[3]
-    n, blocks = len(ids), Blocks(begin)
-    means = blocks.means(mean[ids])
-    made, held = (means * place[order])[blocks.of], near[ids]
+    n, blocks = len(ids), Blocks(begin, order)
+    means = blocks.means(mean.take(ids, axis=0))
+    made, held = (means * place[order]).take(blocks.of, axis=0), near.take(ids, axis=0)
+    left = held.copy()
     for k in range(min(order, n - 1)):
-        moved = held[: n - k - 1] * place[k]
-        moved[blocks.before[k + 1 :] <= k] = 0
-        made[k + 1 :] += moved
+        left[blocks.cross[:, k]] = 0  # the k + 1st after them is of another text
+        made[k + 1 :] += left[: n - k - 1] * place[k]
     return made, blocks, means, held
 
 
-def _log_sums(score: np.ndarray) -> np.ndarray:
-    """Logarithms of each row's sum of exponentials; overwrites score."""
+def _log_sums(score: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Logarithms of each row's sum of exponentials of score + bias; overwrites score. Rows are shifted by their
+    largest sum only where one might leave what a float holds."""
+    if max(-score.min(), score.max(), abs(bias.max())) < 40:
+        np.exp(score, out=score)
+        return np.log(score @ np.exp(bias))
+    score += bias
     top = score.max(axis=1)
     score -= top[:, None]
     np.exp(score, out=score)
@@ -188,26 +196,37 @@ def log_probabilities(tables: list[np.ndarray], ids: np.ndarray, begin: np.ndarr
     made = context(tables, ids, begin, order)[0]
     of = ids // members
     for i in range(0, len(ids), 4096):
-        score = made[i : i + 4096] @ group.T
-        score += group_bias
-        own = score[np.arange(len(score)), of[i : i + 4096]].astype(np.float64)
-        out[i : i + 4096] = own - _log_sums(score)
-    rank = np.argsort(of, kind="stable")
+        score, there = made[i : i + 4096] @ group.T, of[i : i + 4096]
+        own = (score[np.arange(len(score)), there] + group_bias[there]).astype(np.float64)
+        out[i : i + 4096] = own - _log_sums(score, group_bias)
+    rank = np.argsort(of.astype(np.uint16), kind="stable")
     edges = np.flatnonzero(np.diff(of[rank], prepend=-1))
     for a, b in zip(edges.tolist(), np.append(edges[1:], len(ids)).tolist(), strict=True):
         for i in range(a, b, 4096):
             some = rank[i : min(b, i + 4096)]
             low = of[some[0]] * members
-            score = made[some] @ unit[low : low + members].T
-            score += bias[low : low + members]
-            own = score[np.arange(len(some)), ids[some] - low].astype(np.float64)
-            out[some] += own - _log_sums(score)
+            score, there = made.take(some, axis=0) @ unit[low : low + members].T, ids[some]
+            own = (score[np.arange(len(some)), there - low] + bias[there]).astype(np.float64)
+            out[some] += own - _log_sums(score, bias[low : low + members])
     return out
 
 
-def _slopes(good: np.ndarray, bad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Derivatives of log sigma(good) and of log sigma(-bad)."""
-    return 1 / (1 + np.exp(np.clip(good, -30, 30))), -1 / (1 + np.exp(np.clip(-bad, -30, 30)))
+def _sigma(score: np.ndarray) -> np.ndarray:
+    """The logistic function; overwrites score."""
+    np.clip(score, -30, 30, out=score)
+    np.negative(score, out=score)
+    np.exp(score, out=score)
+    score += 1
+    return np.reciprocal(score, out=score)
+
+
+def _added(to: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """Adds rows to those of `to` at `at`, repeats included."""
+    flat = at[:, None] * to.shape[1] + np.arange(to.shape[1])
+    np.add.at(to.reshape(-1), flat.ravel(), rows.ravel())
+
+
+PAD = 32  # rows of a product within a group
 
 
 class Trainer:
@@ -221,6 +240,8 @@ class Trainer:
         self.seen = 0
         by_group = share.reshape(shape.groups, shape.members)
         self.group_share = by_group.sum(axis=1)
+        self.group_reach = np.cumsum(self.group_share, dtype=np.float64)
+        self.group_reach /= self.group_reach[-1]
         inside = by_group / self.group_share[:, None]
         self.group_shift = np.log(shape.noise * self.group_share).astype(np.float32)
         self.shift = np.log(shape.inner * inside).astype(np.float32).ravel()
@@ -229,72 +250,93 @@ class Trainer:
     def members_drawn(self) -> np.ndarray:
         """(groups, inner): units drawn from each group's members by their shares."""
         s, low = self.shape, np.arange(self.shape.groups)[:, None]
-        at = np.searchsorted(self.reach.ravel(), low + self.rng.random((s.groups, s.inner)))
+        at = np.searchsorted(self.reach.ravel(), low + np.sort(self.rng.random((s.groups, s.inner)), axis=1))
         return np.clip(at, low * s.members, (low + 1) * s.members - 1)
 
     def step(self, ids: np.ndarray, begin: np.ndarray, drawn: tuple[np.ndarray, np.ndarray] | None = None) -> None:
         s, (near, mean, unit, place, bias, group, group_bias) = self.shape, self.tables
         made, blocks, means, held = context(self.tables, ids, begin, s.order)
-        noise, others = drawn or (self.rng.choice(s.groups, size=s.noise, p=self.group_share), self.members_drawn())
-        n, rank = len(ids), np.argsort(ids, kind="stable")  # by group too
-        first = np.flatnonzero(np.diff(ids[rank], prepend=-1))
-        made, ids = made[rank], ids[rank]
-        of = ids // s.members
-        edges = np.flatnonzero(np.diff(of, prepend=-1))
-
+        noise, others = drawn or (np.searchsorted(self.group_reach, self.rng.random(s.noise), side="right"), self.members_drawn())
+        n, rank = len(ids), np.argsort(ids.astype(np.uint16), kind="stable")  # by group too
+        ranked = ids[rank]
+        of = ranked // s.members
+        back, rows = np.empty(n, dtype=np.int64), np.arange(n)
+        back[rank] = rows
+
+        # The last column is for the biases, the last row for places that no unit takes.
+        wide = np.zeros((n + 1, s.size + 1), dtype=np.float32)
+        wide[:n, : s.size], wide[:n, s.size] = made.take(rank, axis=0), 1
+        made = np.ascontiguousarray(wide[:n, : s.size])
+
+        # A group that is drawn several times is scored once and weighs as often.
         level = group_bias - self.group_shift
-        own = group[of]
-        d_good, d_bad = _slopes(np.einsum("ij,ij->i", made, own) + level[of], made @ group[noise].T + level[noise])
-        slope = d_good[:, None] * own + d_bad @ group[noise]
-        g_group = np.zeros_like(group)
-        g_group[of[edges]] = np.add.reduceat(d_good[:, None] * made, edges, axis=0)
-        np.add.at(g_group, noise, d_bad.T @ made)
-        g_group_bias = np.bincount(of, d_good, s.groups) + np.bincount(noise, d_bad.sum(axis=0), s.groups)
-
+        often = np.bincount(noise, minlength=s.groups)
+        some = np.flatnonzero(often)
+        slopes = np.zeros((n, s.groups), dtype=np.float32)
+        slopes[:, some] = _sigma(made @ group[some].T + level[some]) * -often[some].astype(np.float32)
+        slopes[rows, of] += _sigma(-np.einsum("ij,ij->i", made, group.take(of, axis=0)) - level[of])
+        slope = slopes @ group
+        g_group = slopes.T @ wide[:n]
+        g_group, g_group_bias = g_group[:, : s.size], g_group[:, s.size]
+
+        # Each group's units stand in blocks of PAD rows, so that one batched product scores all groups.
+        size = np.bincount(of, minlength=s.groups)
+        filled = -(-size // PAD)
+        first = np.cumsum(filled) - filled
+        at = rows + (first * PAD - np.cumsum(size) + size)[of]
+        taken = np.full(int(filled.sum()) * PAD, n)
+        taken[at] = rows
+        block_group = np.repeat(np.arange(s.groups), filled)
+        packed = wide.take(taken, axis=0).reshape(-1, PAD, s.size + 1)
         level = bias - self.shift
-        own = unit[ids]
-        score, bad = np.einsum("ij,ij->i", made, own) + level[ids], np.empty((n, s.inner), dtype=np.float32)
-        stops = np.append(edges[1:], n).tolist()
-        far = unit[others]
-        for g, a, b in zip(of[edges].tolist(), edges.tolist(), stops, strict=True):
-            np.matmul(made[a:b], far[g].T, out=bad[a:b])
-        bad += level[others][of]
-        d_good, d_bad = _slopes(score, bad)
-        slope += d_good[:, None] * own
-        g_unit, g_bias = np.zeros_like(unit), np.bincount(ids, d_good, s.units)
-        g_far = np.zeros((s.groups, s.inner, s.size), dtype=np.float32)
-        for g, a, b in zip(of[edges].tolist(), edges.tolist(), stops, strict=True):
-            slope[a:b] += d_bad[a:b] @ far[g]
-            np.matmul(d_bad[a:b].T, made[a:b], out=g_far[g])
-        there = of[edges]
-        np.add.at(g_unit, others.ravel(), g_far.reshape(-1, s.size))
-        np.add.at(g_bias, others[there].ravel(), np.add.reduceat(d_bad, edges, axis=0).ravel())
+        far = np.concatenate([unit[others], level[others][:, :, None]], axis=2).take(block_group, axis=0)
+        own = unit.take(ranked, axis=0)
+        d_good = _sigma(-np.einsum("ij,ij->i", made, own) - level[ranked])
+        d_bad = _sigma(packed @ far.transpose(0, 2, 1))
+        slope -= (d_bad @ far[:, :, : s.size]).reshape(-1, s.size).take(at, axis=0)
+        own *= d_good[:, None]
+        slope += own
+        g_unit, g_bias = np.zeros_like(unit), np.bincount(ranked, d_good, s.units)
+        g_far, drawn_from = d_bad.transpose(0, 2, 1) @ packed, others.take(block_group, axis=0).ravel()
+        _added(g_unit, drawn_from, -g_far[:, :, : s.size])
+        g_bias -= np.bincount(drawn_from, g_far[:, :, s.size].ravel(), s.units)
+        made *= d_good[:, None]
+        _added(g_unit, ranked, made)
 
         # The slopes go on to what made the predictions: the units before, and the means of all of them.
-        d_made = np.empty_like(slope)
-        d_made[rank] = slope
-        g_place, d_near = np.zeros_like(place), np.zeros_like(held)
+        d_made = slope.take(back, axis=0)
+        g_place, d_near, one = np.zeros_like(place), np.zeros_like(held), np.ones(n, dtype=np.float32)
         for k in range(min(s.order, n - 1)):
-            moved = d_made[k + 1 :].copy()
-            moved[blocks.before[k + 1 :] <= k] = 0
-            g_place[k] = np.einsum("ij,ij->j", moved, held[: n - k - 1])
-            moved *= place[k]
-            d_near[: n - k - 1] += moved
+            held[blocks.cross[:, k]] = 0
+            g_place[k] = one[k + 1 :] @ (d_made[k + 1 :] * held[: n - k - 1])
+        for k in reversed(range(min(s.order, n - 1))):
+            d_near[: n - k - 1] += d_made[k + 1 :] * place[k]
+            d_near[blocks.cross[:, : k + 1]] = 0
         g_place[s.order] = np.einsum("ij,ij->j", np.add.reduceat(d_made, blocks.starts, axis=0), means)
         d_mean = blocks.given_back(d_made) * place[s.order]
-        rows = np.concatenate([d_near[rank], d_mean[blocks.of[rank]], d_good[:, None] * made], axis=1)
-        rows = np.add.reduceat(rows, first, axis=0)
-        g_near, g_mean = np.zeros_like(near), np.zeros_like(mean)
-        g_near[ids[first]], g_mean[ids[first]] = rows[:, : s.size], rows[:, s.size : 2 * s.size]
-        g_unit[ids[first]] += rows[:, 2 * s.size :]
-
-        slopes = (g_near, g_mean, g_unit, g_place, g_bias.astype(np.float32), g_group, g_group_bias.astype(np.float32))
-        for x, g, q in zip(self.tables, slopes, self.square, strict=True):
-            g /= n
-            q += g * g
-            g *= s.rate
-            g /= np.sqrt(q)
-            x += g
+        new = np.diff(ranked, prepend=-1) > 0
+        touched, of = ranked[new], (np.cumsum(new) - 1)[back]
+        g_near, g_mean = np.zeros((2, len(touched), s.size), dtype=np.float32)
+        _added(g_near, of, d_near)
+        _added(g_mean, of, d_mean.take(blocks.of, axis=0))
+
+        # Units that don't occur have no slopes in the first two tables.
+        slopes = (g_near, g_mean, g_unit, g_place, g_bias.astype(np.float32), g_group, g_group_bias)
+        for t, g in enumerate(slopes):
+            x, q = self.tables[t], self.square[t]
+            g *= np.float32(1 / n)
+            if t < 2:
+                now = q.take(touched, axis=0) + g * g
+                q[touched] = now
+            else:
+                q += g * g
+                now = q
+            g *= np.float32(s.rate)
+            g /= np.sqrt(now)
+            if t < 2:
+                x[touched] += g
+            else:
+                x += g
         self.seen += n
 
 
@@ -408,9 +450,13 @@ def score_texts(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
             unit, place, base, inner = lexicon.coded(flat)
             edge = np.cumsum(sizes) - sizes
             inside = place >= 0
-            far, rare = np.flatnonzero(~inside), []
+            far, rare, often, ends = np.flatnonzero(~inside), [], [], [0]
             for lo, hi in zip(np.searchsorted(far, edge).tolist(), np.searchsorted(far, edge + sizes).tolist(), strict=True):
-                rare.append([{"word": w, "n": k} for w, k in Counter(flat[i] for i in far[lo:hi].tolist()).items()])
+                found = Counter(flat[i] for i in far[lo:hi].tolist())
+                rare += found
+                often += found.values()
+                ends.append(len(rare))
+            rare = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(often, pa.int64())], ["word", "n"])
             seen = (inside & (known.value[1] > 0)[place]).astype(np.int64)
             ids = unit.astype("<u2").tobytes()
             columns = [
@@ -418,7 +464,7 @@ def score_texts(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
                 *(batch.column(c) for c in ("doc_id", "held_out", "learn", "part")),
                 pa.array(sizes, pa.int64()),
                 *(pa.array(np.add.reduceat(x, edge)) for x in (seen, base, inner)),
-                pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))),
+                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rare),
                 pa.array([ids[2 * lo : 2 * (lo + n)] for lo, n in zip(edge.tolist(), sizes.tolist(), strict=True)], pa.binary()),
             ]
             row += batch.num_rows

@@ -112,3 +112,68 @@ def test_registered_shape_learns_from_all_texts(spark):
     rows = [r for r in lm.score_texts(docs, shape).collect() if r.held_out]
     n = sum(r.n_tokens for r in rows)
     assert sum(r.score for r in rows) / n > sum(r.base_score for r in rows) / n + 0.1  # 0.03 from 2 parts of 16
+
+
+def plain_slopes(shape, tables, share, texts, noise, others):
+    """The slopes of a step, unit by unit."""
+    near, mean, unit, place, bias, group, group_bias = (x.astype(float) for x in tables)
+    got = [np.zeros(x.shape) for x in tables]
+    by_group = share.reshape(shape.groups, shape.members)
+    group_shift = np.log(shape.noise * by_group.sum(1))
+    shift = np.log(shape.inner * by_group / by_group.sum(1)[:, None]).ravel()
+    for t in texts:
+        for i, u in enumerate(t):
+            g, old = u // shape.members, t[: i // lm.BLOCK * lm.BLOCK]
+            last = [(k, t[i - 1 - k]) for k in range(shape.order) if i > k]
+            means = mean[old].mean(0) if len(old) else np.zeros(shape.size)
+            made = sum((place[k] * near[v] for k, v in last), place[shape.order] * means)
+            pairs = [(5, g, 1), *((5, q, -1) for q in noise), (2, u, 1), *((2, v, -1) for v in others[g])]
+            back = np.zeros(shape.size)
+            for table, at, sign in pairs:
+                rows, low = (group, group_bias - group_shift) if table == 5 else (unit, bias - shift)
+                d = sign / (1 + np.exp(sign * (made @ rows[at] + low[at])))
+                back += d * rows[at]
+                got[table][at] += d * made
+                got[6 if table == 5 else 4][at] += d
+            for k, v in last:
+                got[0][v] += back * place[k]
+                got[3][k] += back * near[v]
+            got[3][shape.order] += back * means
+            for v in old:
+                got[1][v] += back * place[shape.order] / len(old)
+    return [x / sum(map(len, texts)) for x in got]
+
+
+@pytest.mark.parametrize("sizes", [(1,), (1, 1, 2, 3, 70, 5, 40), (1,) * 9, (100,)])
+def test_a_step_has_the_slopes_of_a_plain_sum(sizes):
+    shape, rng = lm.Shape(words=4, size=3, noise=9, inner=5, members=8, rate=1.0), np.random.default_rng(len(sizes))
+    share = rng.dirichlet(np.ones(shape.units))
+    tables = [rng.normal(0, 0.5, s) for s in shape.shapes]
+    texts = [rng.integers(0, shape.units // 2, n).tolist() for n in sizes]
+    noise, others = rng.integers(0, 3, 9), np.arange(shape.groups)[:, None] * 8 + rng.integers(0, 8, (shape.groups, 5))
+    trainer = lm.Trainer(shape, tables, share, 3)
+    trainer.square = [np.full_like(x, 1e-20) for x in trainer.square]
+    start = [x.copy() for x in trainer.tables]
+    trainer.step(np.concatenate(texts), np.repeat(np.cumsum(sizes) - sizes, sizes), (noise, others))
+    for x, old, q, want in zip(trainer.tables, start, trainer.square, plain_slopes(shape, tables, share, texts, noise, others), strict=True):
+        assert np.sqrt(q) == pytest.approx(np.abs(want), rel=1e-3, abs=1e-6)
+        far = np.abs(want) > 1e-5
+        assert (np.sign(x - old) == np.sign(want))[far].all()
+
+
+def test_a_group_drawn_again_is_not_scored_again(monkeypatch):
+    shape, rng, done = lm.Shape(), np.random.default_rng(2), []
+    trainer = lm.Trainer(shape, [rng.normal(0, 0.1, s) for s in shape.shapes], np.full(shape.units, 1 / shape.units), 3)
+    exp = np.exp
+    monkeypatch.setattr(np, "exp", lambda x, **given: (done.append(x.size), exp(x, **given))[1])
+    n = 2048
+    trainer.step(rng.integers(0, shape.units, n), np.zeros(n, dtype=np.int64), (np.zeros(shape.noise, dtype=np.int64), trainer.members_drawn()))
+    assert sum(done) < n * (shape.noise + shape.inner)  # one group, the own ones, members in padded blocks
+
+
+@pytest.mark.parametrize("reach", [1, 30, 300])
+def test_sums_of_exponentials_of_any_size(reach):
+    rng = np.random.default_rng(reach)
+    score, bias = rng.normal(0, reach, (50, 7)).astype(np.float32), rng.normal(0, 5, 7).astype(np.float32)
+    want = np.logaddexp.reduce(score.astype(float) + bias, axis=1)
+    assert lm._log_sums(score, bias) == pytest.approx(want, rel=1e-5, abs=1e-5)
