@@ -34,11 +34,12 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, by_bytes, cut, table, texts
+from .common import by_bytes, cut, table, texts
 
 END = b"\n"  # no word holds it
 CLASSES = 48
@@ -104,19 +105,40 @@ def learning(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 != 2, F.lit(False))
 
 
+def word_codes(column: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words of texts, the end among them; one text after the other, its words' places there, with
+    an end; how many these are for each text."""
+    whole = pc.fill_null(column.cast(pa.large_string()), "").take(pa.array(range(len(column)), pa.int64()))  # ascii_lower goes wrong on slices
+    split = pc.ascii_split_whitespace(pc.ascii_lower(whole))
+    found = split.flatten().dictionary_encode()
+    words, codes = found.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist(), found.indices.to_numpy()
+    text = np.repeat(np.arange(len(column)), split.value_lengths().to_numpy())
+    end = found.dictionary.index("").as_py()
+    if end < 0:
+        end = len(words)
+        words.append(END)
+    else:  # space at either side of a text and an empty text give empty words
+        words[end] = END
+        keep = codes != end
+        codes, text = codes[keep], text[keep]
+    made = np.full(len(codes) + len(column), end, dtype=np.int64)
+    made[np.arange(len(codes)) + text] = codes
+    return words, made, np.bincount(text, minlength=len(column)) + 1
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word binary, n) over all texts; each task adds up what it has before anything is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        held: dict[bytes, int] = {}
 
         def told() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
 
-        for batch in by_bytes(batches, "text", 1 << 20):
-            for text in as_bytes(batch.column("text")):
-                held.update(text.lower().split())
-            held[END] += batch.num_rows
+        for batch in by_bytes(batches, "text", 1 << 22):
+            words, codes, _ = word_codes(batch.column("text"))
+            for word, n in zip(words, np.bincount(codes, minlength=len(words)).tolist(), strict=True):
+                held[word] = held.get(word, 0) + n
             if len(held) > 500_000:
                 yield told()
                 held.clear()
@@ -377,12 +399,6 @@ def words_of(name: str, *given) -> Words:
     return _held[name]
 
 
-def _tokens(text: bytes) -> list[bytes]:
-    words = text.lower().split()
-    words.append(END)
-    return words
-
-
 def head_words(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
     """The most frequent words with their counts, by count, then word: all from a count on that at most `most`
     reach. Counts are first counted in steps of a 64th of a doubling, so one small table meets the driver."""
@@ -415,7 +431,7 @@ def score_texts(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
     def class_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((CLASSES, 2), dtype=np.int64)
         for batch in batches:
-            for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for w, n in zip(*(c.to_numpy(zero_copy_only=False).tolist() for c in batch.columns), strict=True):
                 if w not in own:
                     sums[word_class(w)] += (n, 1)
         yield pa.RecordBatch.from_arrays([pa.array(range(CLASSES), pa.int32()), pa.array(sums[:, 0]), pa.array(sums[:, 1])], ["class", "n", "words"])
@@ -443,27 +459,24 @@ def score_texts(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = words_of(name, *known.value)
         row = TaskContext.get().partitionId() << 40
-        for batch in by_bytes(batches, "text", 1 << 18):
-            parts = [_tokens(x) for x in as_bytes(batch.column("text"))]
-            sizes = np.array([len(p) for p in parts])
-            flat = [w for p in parts for w in p]
-            unit, place, base, inner = lexicon.coded(flat)
+        for batch in by_bytes(batches, "text", 1 << 21):
+            distinct_words, codes, sizes = word_codes(batch.column("text"))
+            unit, place, base, inner = lexicon.coded(distinct_words)
+            seen = ((place >= 0) & (known.value[1][place] > 0)).astype(np.int64)
+            ids = unit.astype("<u2")[codes].tobytes()
             edge = np.cumsum(sizes) - sizes
-            inside = place >= 0
-            far, rare, often, ends = np.flatnonzero(~inside), [], [], [0]
+            far, rare, often, ends = np.flatnonzero((place < 0)[codes]), [], [], [0]
             for lo, hi in zip(np.searchsorted(far, edge).tolist(), np.searchsorted(far, edge + sizes).tolist(), strict=True):
-                found = Counter(flat[i] for i in far[lo:hi].tolist())
-                rare += found
+                found = Counter(codes[far[lo:hi]].tolist())
+                rare += (distinct_words[c] for c in found)
                 often += found.values()
                 ends.append(len(rare))
             rare = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(often, pa.int64())], ["word", "n"])
-            seen = (inside & (known.value[1] > 0)[place]).astype(np.int64)
-            ids = unit.astype("<u2").tobytes()
             columns = [
                 pa.array(range(row, row + batch.num_rows), pa.int64()),
                 *(batch.column(c) for c in ("doc_id", "held_out", "learn", "part")),
                 pa.array(sizes, pa.int64()),
-                *(pa.array(np.add.reduceat(x, edge)) for x in (seen, base, inner)),
+                *(pa.array(np.add.reduceat(x[codes], edge)) for x in (seen, base, inner)),
                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rare),
                 pa.array([ids[2 * lo : 2 * (lo + n)] for lo, n in zip(edge.tolist(), sizes.tolist(), strict=True)], pa.binary()),
             ]

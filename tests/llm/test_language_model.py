@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from lodestone.llm import language_model as lm
 
@@ -177,3 +178,11 @@ def test_sums_of_exponentials_of_any_size(reach):
     score, bias = rng.normal(0, reach, (50, 7)).astype(np.float32), rng.normal(0, 5, 7).astype(np.float32)
     want = np.logaddexp.reduce(score.astype(float) + bias, axis=1)
     assert lm._log_sums(score, bias) == pytest.approx(want, rel=1e-5, abs=1e-5)
+
+
+@pytest.mark.parametrize("rows", [[""], [None], ["a"], [" A b\x0b\x0cA  ", "", None, "\n", "a\x1cB\u00a0c \u0130x \u00c9 \r\tb", "b b b"], ["x y", "Y"]])
+def test_words_of_a_batch_are_coded_once(rows):
+    words, codes, sizes = lm.word_codes(pa.array(["-", *rows], pa.string())[1:])
+    assert len(set(words)) == len(words) == len(set(codes.tolist()))
+    assert [words[c].decode() for c in codes] == [t for x in rows for t in tokens(x)]
+    assert sizes.tolist() == [len(tokens(x)) for x in rows]
