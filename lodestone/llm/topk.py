@@ -178,9 +178,10 @@ def exact_top_k(
                 keep = np.arange(len(q)) - first < k  # no block holds more than k of a query's best
                 yield pa.RecordBatch.from_arrays([pa.array(q_ids[q[keep]]), pa.array(c_ids[c[keep]]), pa.array(score[keep])], ["query_id", "vec_id", "score"])
 
-    pairs = held.join(asked.select("*", *dealt), cell)
+    # Spark sizes a table that explode repeats as if it were not repeated, and so might send all of its copies to every task.
+    pairs = held.join(asked.select("*", *dealt).hint("merge"), cell)
     safe = pairs.mapInArrow(gather, "q_block long, best binary").groupBy("q_block").applyInArrow(cutoff, "q_block long, safe binary")
-    told = asked.join(safe, "q_block").select("*", *dealt)
+    told = asked.join(safe, "q_block").select("*", *dealt).hint("merge")
     found = held.join(told, cell).mapInArrow(collect, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

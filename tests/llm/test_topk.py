@@ -38,3 +38,13 @@ def test_query_equals_sql(spark, sf_dir):
 def test_empty(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert exact_top_k(none, none).count() == 0
+
+
+def test_copies_of_query_blocks_are_not_broadcast(spark):
+    rng = random.Random(3)
+    data = [(i, [rng.uniform(-1, 1) for _ in range(64)], "x") for i in range(2000)]
+    vectors = spark.createDataFrame(data, "vec_id long, embedding array<double>, score string").repartition(3)
+    made = exact_top_k(vectors, vectors.filter("vec_id % 20 = 0"), k=5)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [dim" not in plan and plan.count("SortMergeJoin [dim") == 2  # blocks repeated for every row of the grid
+    assert sorted(map(tuple, made.collect())) == sorted(plain([x[:2] for x in data], 5))
