@@ -64,7 +64,8 @@ def _with_least(edges: DataFrame, own: bool) -> tuple[DataFrame, DataFrame]:
     """(u, m) of the least neighbour of each u, or u itself if `own` and that is less; and edges (u, v) with m."""
     least = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", (F.least("u", "m") if own else F.col("m")).alias("m"))
     parts = least.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)).cast("array<bigint>")))
-    return least, edges.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(SALT))).join(parts, ["u", "part"])
+    # Merged: Spark sizes exploded rows as those they come from, and might broadcast SALT times what it takes them for.
+    return least, edges.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(SALT))).join(parts.hint("merge"), ["u", "part"])
 
 
 def _large(edges: DataFrame) -> DataFrame:

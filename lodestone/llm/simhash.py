@@ -97,19 +97,21 @@ def _near(a: str, b: str) -> Column:
 
 
 def links(fps: DataFrame, dense: int = 256) -> DataFrame:
-    """(fp, other): every pair of distinct fingerprints within RADIUS bits, perhaps repeated. fps: distinct `fp`."""
+    """(fp, other): every pair of distinct fingerprints within RADIUS bits, perhaps repeated. fps: distinct `fp`.
+
+    Spark sizes exploded rows as those they come from, and would broadcast a ball that is many times larger; so balls are merged."""
     entries = _segments(fps)
     full = entries.groupBy("seg", "key").count().filter(F.col("count") > dense).select("seg", "key", F.lit(True).alias("full"))
     entries = entries.join(full, ["seg", "key"], "left")
     stored = entries.select("seg", "key", "full", "rest", F.col("fp").alias("other"))
     probes = _ball(_segments(fps), "key", 32, both_ways=False)
     once = (F.col("flip") >= 0) | (F.col("fp") < F.col("other"))
-    light = probes.join(stored.filter("full is null"), ["seg", "key"]).filter(once & _near("fp", "other")).select("fp", "other")
+    light = probes.hint("merge").join(stored.filter("full is null"), ["seg", "key"]).filter(once & _near("fp", "other")).select("fp", "other")
     asked = probes.join(full, ["seg", "key"], "left_semi").withColumnRenamed("flip", "first")
     asked = _ball(_halves(asked), "sub", 16, both_ways=True).drop("rest").withColumnRenamed("first", "flip_seg")
     held = _halves(stored.filter("full")).select("seg", "key", "half", "sub", "other")
     once = (F.col("flip_seg") >= 0) | (F.col("fp") < F.col("other"))
-    heavy = asked.join(held, ["seg", "key", "half", "sub"]).filter(once & _near("fp", "other")).select("fp", "other")
+    heavy = asked.hint("merge").join(held, ["seg", "key", "half", "sub"]).filter(once & _near("fp", "other")).select("fp", "other")
     return light.unionByName(heavy)
 
 

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 from lodestone.llm import simhash
-from lodestone.llm.components import connected_components
+from lodestone.llm.components import _with_least, connected_components
 
 
 def plain_fingerprint(text, width=3):
@@ -67,3 +67,27 @@ def test_components_of_paths_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(50)] + [(7, 7), (205, 201), (203, 205), (201, 203)]
     made = dict(connected_components(spark.createDataFrame(edges, "a long, b long").repartition(4), "a", "b").collect())
     assert made == {i: 0 for i in range(1, 61)} | {i: 100 for i in range(101, 150)} | {203: 201, 205: 201}
+
+
+def broadcast_rows(plan):
+    """The most rows that an executed plan sent to every task."""
+    name = plan.nodeName()
+    if name.startswith("AdaptiveSparkPlan"):
+        return broadcast_rows(plan.executedPlan())
+    if "QueryStage" in name:
+        return broadcast_rows(plan.plan())
+    own = plan.metrics().get("numOutputRows").get().value() if name.startswith("BroadcastExchange") else 0
+    children = plan.children()
+    return max([own, *(broadcast_rows(children.apply(i)) for i in range(children.size()))])
+
+
+def test_balls_and_parts_are_not_broadcast(spark, tmp_path):
+    rng = random.Random(1)
+    spark.createDataFrame([(rng.getrandbits(63),) for _ in range(3000)], "fp long").write.parquet(f"{tmp_path}/fps")
+    made = simhash.links(spark.read.parquet(f"{tmp_path}/fps").distinct())
+    made.collect()
+    assert broadcast_rows(made._jdf.queryExecution().executedPlan()) <= 3000  # a ball has 34 rows for each
+    spark.createDataFrame([(i, i // 2) for i in range(1, 3000)], "u long, v long").write.parquet(f"{tmp_path}/edges")
+    joined = _with_least(spark.read.parquet(f"{tmp_path}/edges"), own=True)[1]
+    joined.collect()
+    assert broadcast_rows(joined._jdf.queryExecution().executedPlan()) <= 3000  # eight rows for each node
