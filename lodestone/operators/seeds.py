@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.sources.tables import cut
+from lodestone.sources.tables import cut, few
 
 #: Least length of a pattern, and the grams and windows (in grams) of its class: window + gram - 1 letters at most.
 CLASSES = [(64, 8, 57), (24, 8, 17), (12, 8, 5), (5, 5, 1), (4, 4, 1), (3, 3, 1), (2, 2, 1), (1, 1, 1)]
@@ -98,6 +98,28 @@ def kept_grams(text: str, size: int, window: int, part: int = 1 << 26) -> tuple[
     return at, np.concatenate(hashes)[first]
 
 
+def _kept_of(texts: list[str], number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, places, hashes) that texts keep for a class; a very long text comes alone."""
+    _, size, window = CLASSES[number]
+    if len(texts) > 1:
+        return kept_of_all(texts, size, window)
+    at, hashes = kept_grams(texts[0], size, window)
+    return np.zeros(len(at), dtype=np.int64), at, hashes
+
+
+def _shaped(row: np.ndarray, at: np.ndarray, hashes: np.ndarray, grams: np.ndarray, ahead: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, begins, lengths) of all places where kept grams meet a pattern's, some at a time; grams are sorted."""
+    own = hashes.view(np.int64)
+    first = np.searchsorted(grams, own, "left")
+    count = np.searchsorted(grams, own, "right") - first
+    met = np.flatnonzero(count)
+    part = np.cumsum(count[met]) // TOGETHER
+    for some in np.split(met, np.flatnonzero(np.diff(part)) + 1) if len(met) else ():
+        n = count[some]
+        which, shape = np.repeat(some, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[some], n)
+        yield row[which], at[which] - ahead[shape], size[shape]
+
+
 def _rows(number: int, at: np.ndarray, hashes: np.ndarray, key: pa.Array, name: str) -> pa.RecordBatch:
     n = len(at)
     return pa.RecordBatch.from_arrays([pa.array(np.full(n, number, np.int32)), pa.array(hashes.view(np.int64)), pa.array(at), key.take(pa.array(np.zeros(n, np.int64)))], ["cls", "gram", "at", name])
@@ -110,9 +132,9 @@ def _class(pattern: Column) -> Column:
     return made
 
 
-def occurrences(texts: DataFrame, patterns: DataFrame, key: str, pattern_id: str) -> DataFrame:
+def occurrences(texts: DataFrame, patterns: DataFrame, key: str, pattern_id: str, places: bool = True) -> DataFrame:
     """(key, pattern_id, at): every place, from 1 on, where a pattern (pattern_id, pattern) begins in a text (key, text). Keys and
-    ids are unique and not null; repeated rows count once."""
+    ids are unique and not null; repeated rows count once. Without places: (key, pattern_id) of those that occur."""
     texts = texts.select(key, "text").filter(F.col("text").isNotNull())
     patterns = patterns.select(pattern_id, "pattern").filter(F.length("pattern") > 0).withColumn("cls", _class(F.col("pattern")))
     present = sorted(r.cls for r in patterns.select("cls").distinct().collect())  # no more than there are classes
@@ -123,12 +145,7 @@ def occurrences(texts: DataFrame, patterns: DataFrame, key: str, pattern_id: str
             every = batch.column(1).to_pylist()
             for start, end in _some(every, TOGETHER):
                 for number in present:
-                    _, size, window = CLASSES[number]
-                    if end - start == 1:
-                        at, hashes = kept_grams(every[start], size, window)
-                        row = np.zeros(len(at), dtype=np.int64)
-                    else:
-                        row, at, hashes = kept_of_all(every[start:end], size, window)
+                    row, at, hashes = _kept_of(every[start:end], number)
                     if len(at):
                         names = batch.column(0).take(pa.array(row + start))
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), number, np.int32)), pa.array(hashes.view(np.int64)), pa.array(at), names], ["cls", "gram", "at", key])
@@ -140,12 +157,36 @@ def occurrences(texts: DataFrame, patterns: DataFrame, key: str, pattern_id: str
                 at, hashes = kept_grams(text[: size + window - 1], size, window)
                 yield _rows(number, at, hashes, batch.column(0).slice(i, 1), pattern_id)
 
-    seeds = texts.mapInArrow(of_texts, f"{gram}, {key} {texts.schema[key].dataType.simpleString()}")
     wanted = patterns.mapInArrow(of_patterns, f"{gram}, {pattern_id} {patterns.schema[pattern_id].dataType.simpleString()}").withColumnRenamed("at", "ahead")
     sizes = patterns.select(pattern_id, F.length("pattern").alias("size")).distinct()
     shapes = cut(wanted.join(sizes, pattern_id).select("cls", "gram", "ahead", "size").distinct())
-    if shapes.limit(BROADCAST + 1).count() <= BROADCAST:  # few grams go to the texts, so that not all that texts keep is shuffled
-        shapes = F.broadcast(shapes)
+    named, told = patterns.select(pattern_id, "pattern").distinct(), [key, pattern_id, *(["at"] if places else [])]
+    kind = texts.schema[key].dataType.simpleString()
+    if shapes.limit(BROADCAST + 1).count() <= BROADCAST:  # few grams go to the texts, so that neither what texts keep nor texts are shuffled
+        shapes = shapes.toArrow().sort_by([("cls", "ascending"), ("gram", "ascending")])
+        number, grams, ahead, size = (shapes.column(c).to_numpy() for c in ("cls", "gram", "ahead", "size"))
+        of_class = {n: (grams[number == n], ahead[number == n], size[number == n].astype(np.int64)) for n in present}
+
+        def near_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                every = batch.column(1).to_pylist()
+                for start, end in _some(every, TOGETHER):
+                    part = every[start:end]
+                    lengths = np.fromiter(map(len, part), dtype=np.int64, count=len(part))
+                    for row, at, long in (x for n in present for x in _shaped(*_kept_of(part, n), *of_class[n])):
+                        there = (at >= 0) & (at + long <= lengths[row])
+                        row, at, long = np.unique(np.stack([row[there], at[there], long[there]]), axis=1)
+                        pieces = [part[r][a : a + m] for r, a, m in zip(row.tolist(), at.tolist(), long.tolist(), strict=True)]
+                        if places:
+                            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + start)), pa.array(at + 1), pa.array(pieces, pa.string())], [key, "at", "pattern"])
+                        else:
+                            held = list(dict.fromkeys(zip(row.tolist(), pieces, strict=True)))
+                            row, pieces = np.array([r for r, _ in held], dtype=np.int64), [x for _, x in held]
+                            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + start)), pa.array(pieces, pa.string())], [key, "pattern"])
+
+        near = texts.mapInArrow(near_grams, f"{key} {kind}, " + ("at long, " if places else "") + "pattern string")
+        return near.join(few(named), "pattern").select(*told).distinct()
+    seeds = texts.mapInArrow(of_texts, f"{gram}, {key} {kind}")
     met = seeds.join(shapes, ["cls", "gram"]).select(key, (F.col("at") - F.col("ahead") + 1).alias("at"), "size").filter("at > 0").distinct()
     near = met.join(texts, key).select(key, "at", F.col("text").substr(F.col("at").cast("int"), F.col("size")).alias("pattern"))
-    return near.join(patterns.select(pattern_id, "pattern").distinct(), "pattern").select(key, pattern_id, "at").distinct()
+    return near.join(named, "pattern").select(*told).distinct()

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.columns import Z95, six
 from lodestone.operators import evaluation as e
 from lodestone.operators import observation as ob
-from lodestone.sources.tables import table
+from lodestone.sources.tables import bucketed, table
 
 TODAY = datetime.date(1999, 6, 1)
 NEUTRAL = "a source you can't see says otherwise"
@@ -23,20 +23,53 @@ def _name(n: Column, prefix: str = "document-") -> Column:
     return F.concat(F.lit(prefix), F.lpad((n % 100).cast("string"), 4, "0"))
 
 
-def _parts(spark, sf) -> DataFrame:
-    p, n = table(spark, sf, "part"), F.col("p_partkey")
+def _described(parts: DataFrame, n: Column) -> DataFrame:
     version = F.concat(F.lit("v"), (F.floor(n / 100) % 2 + 1).cast("string"))
-    return p.select(n.alias("l_partkey"), (n % 100).alias("doc"), _name(n).alias("document"), version.alias("version"), "p_name", F.concat_ws(" of ", "p_name", "p_brand").alias("phrase"), "p_type", "p_brand")
+    return parts.select("*", (n % 100).alias("doc"), _name(n).alias("document"), version.alias("version"), F.concat_ws(" of ", "p_name", "p_brand").alias("phrase"))
+
+
+def _parts(spark, sf) -> DataFrame:
+    return _described(table(spark, sf, "part").select("p_partkey", "p_name", "p_brand"), F.col("p_partkey"))
 
 
 def _orders(spark, sf) -> DataFrame:
     n = F.col("o_orderkey")
     kind = F.element_at(F.array(*[F.lit(t) for t in TYPES]), (n % 7 + 1).cast("int"))
-    return table(spark, sf, "orders").withColumn("case", n).withColumn("type", kind).withColumn("day", F.when(F.col("type") == "historical", F.to_date("o_orderdate")))
+    orders = table(spark, sf, "orders").select(n.alias("case"), "o_custkey", kind.alias("type"), F.to_date("o_orderdate").alias("day"), "o_orderpriority", "o_totalprice")
+    return orders.withColumn("day", F.when(F.col("type") == "historical", F.col("day")))
+
+
+def _stored(spark, sf, whole: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Lines with their parts, and orders, each shuffled by case once and written in buckets of it. A line is an item, which has its
+    places by price and in the order of lines, or an expected passage, or both; unless whole, only items by price are made."""
+    kept, hoped = F.coalesce(F.col("l_discount") <= 0.06, F.lit(False)), F.coalesce(F.col("l_quantity") > 25, F.lit(False)) if whole else F.lit(False)
+    of_line = [F.col("l_orderkey").alias("case"), "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_returnflag", "l_linestatus"]
+    lines = table(spark, sf, "lineitem").select(*of_line, (F.col("l_tax") > 0.07).alias("taxed"), (F.col("l_quantity") > 49).alias("over"), kept.alias("kept"), hoped.alias("hoped")).filter("kept or hoped")
+    parts = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_type", "p_brand")
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), table(spark, sf, "lineitem").count() >> 19)
+
+    def place(first: Column) -> Column:
+        order = Window.partitionBy("case", "kept").orderBy(first, "l_linenumber", "l_extendedprice", "l_partkey", "l_suppkey")
+        return F.when(F.col("kept"), F.row_number().over(order))
+
+    placed = lines.join(parts, "l_partkey").repartition(buckets, "case").withColumn("by_price", place(F.desc("l_extendedprice")))
+    if whole:
+        placed = placed.withColumn("by_line", place(F.col("l_linenumber")))
+    made = _described(placed, F.col("l_partkey")).drop("doc", "phrase", "l_partkey", "l_suppkey", "l_extendedprice")
+    return bucketed(made, "case", buckets), bucketed(_orders(spark, sf), "case", buckets)
+
+
+def _cases(orders: DataFrame) -> DataFrame:
+    return orders.select(
+        "case", F.concat(F.lit("a"), (F.col("o_custkey") % 5).cast("string")).alias("actor"), "type", F.when(F.col("type").isin("unanswerable", "permission"), "insufficient").otherwise("evidence").alias("outcome"),
+        F.when(F.col("type") == "historical", "as_of").otherwise("current").alias("mode"), F.col("day").alias("as_of"),
+        F.when(F.col("case") % 11 == 0, F.array(F.lit("ECONOMY"), F.lit("STANDARD"))).alias("products"), F.when(F.col("case") % 12 == 0, F.array(F.lit("Brand#1"), F.lit("Brand#2"))).alias("types"),
+        F.when(F.col("case") % 13 == 0, F.array(_name(F.col("o_custkey")))).alias("documents"),
+    )
 
 
-def _facit(spark, sf) -> ob.Facit:
-    parts, orders = _parts(spark, sf), _orders(spark, sf)
+def _facit(spark, sf, lines: DataFrame, orders: DataFrame) -> ob.Facit:
+    parts = _parts(spark, sf)
     docs = parts.select("doc", "document").distinct()
     texts = parts.groupBy("doc", "document", "version").agg(F.array_join(F.array_sort(F.collect_set("phrase")), ". ").alias("text"))
     first, change = F.col("version") == "v1", F.date_add(F.lit("1998-01-01").cast("date"), F.col("doc").cast("int"))
@@ -50,37 +83,28 @@ def _facit(spark, sf) -> ob.Facit:
     conflicts = docs.filter("doc % 10 = 0").select(_name(F.col("doc"), "conflict-").alias("conflict"), F.when(F.col("doc") % 20 == 0, "open").otherwise("closed").alias("status"), F.col("document").alias("left"), _name(F.col("doc") + 1).alias("right"))
     ids = docs.select("document", F.lit("id").alias("label"), F.col("document").alias("marker"))
     marks = [conflicts.select(F.col(side).alias("document"), F.lit("conflict").alias("label"), F.col("conflict").alias("marker")) for side in ("left", "right")]
-    cases = orders.select(
-        "case", F.concat(F.lit("a"), (F.col("o_custkey") % 5).cast("string")).alias("actor"), "type", F.when(F.col("type").isin("unanswerable", "permission"), "insufficient").otherwise("evidence").alias("outcome"),
-        F.when(F.col("type") == "historical", "as_of").otherwise("current").alias("mode"), F.col("day").alias("as_of"),
-        F.when(F.col("case") % 11 == 0, F.array(F.lit("ECONOMY"), F.lit("STANDARD"))).alias("products"), F.when(F.col("case") % 12 == 0, F.array(F.lit("Brand#1"), F.lit("Brand#2"))).alias("types"),
-        F.when(F.col("case") % 13 == 0, F.array(_name(F.col("o_custkey")))).alias("documents"),
-    )
-    expected = table(spark, sf, "lineitem").filter("l_quantity > 25").join(parts, "l_partkey")
-    expected = expected.select(F.col("l_orderkey").alias("case"), F.col("l_linenumber").alias("passage"), "document", "version", F.col("p_name").alias("anchor"), (F.col("l_linenumber") % 3 + 1).alias("grade"))
+    expected = lines.filter("hoped").select("case", F.col("l_linenumber").alias("passage"), "document", "version", F.col("p_name").alias("anchor"), (F.col("l_linenumber") % 3 + 1).alias("grade"))
     anyone = F.lit(None).cast("string").alias("version")
     excluded = orders.filter("case % 9 = 0").select("case", _name(F.col("o_custkey")).alias("document"), anyone)
     distractors = orders.filter("type = 'distractor'").select("case", _name(F.col("o_custkey") + 1).alias("document"), anyone)
-    return ob.Facit(cases, grants, versions, conflicts, ids.unionByName(marks[0]).unionByName(marks[1]), expected, excluded, distractors)
+    return ob.Facit(_cases(orders), grants, versions, conflicts, ids.unionByName(marks[0]).unionByName(marks[1]), expected, excluded, distractors)
 
 
-def _items(spark, sf, by: Column | None = None) -> DataFrame:
-    order = Window.partitionBy("l_orderkey").orderBy(F.desc("l_extendedprice") if by is None else by, "l_linenumber", "l_extendedprice", "l_partkey", "l_suppkey")
-    lines = table(spark, sf, "lineitem").filter("l_discount <= 0.06").join(_parts(spark, sf), "l_partkey")
+def _items(lines: DataFrame, rank: str = "by_price") -> DataFrame:
     keys = F.array(F.lit("message"), F.lit("visibility"))
-    neutral = F.struct(F.lit("restricted").alias("visibility"), keys.alias("keys"), F.when(F.col("l_tax") > 0.07, "other").otherwise(NEUTRAL).alias("message"))
+    neutral = F.struct(F.lit("restricted").alias("visibility"), keys.alias("keys"), F.when(F.col("taxed"), "other").otherwise(NEUTRAL).alias("message"))
     visible = F.struct(F.lit("visible").alias("visibility"), F.array(F.lit("conflict")).alias("keys"), F.lit(None).cast("string").alias("message"))
     marks = F.when(F.col("l_returnflag") == "R", F.array(visible)).when(F.col("l_returnflag") == "N", F.array(neutral)).otherwise(F.array().cast("array<struct<visibility:string,keys:array<string>,message:string>>"))
-    return lines.select(
-        F.col("l_orderkey").alias("case"), F.row_number().over(order).alias("rank"), "document", F.when(F.col("l_linenumber") != 7, F.col("version")).alias("version"), F.col("phrase").alias("text"),
+    return lines.filter("kept").select(
+        "case", F.col(rank).alias("rank"), "document", F.when(F.col("l_linenumber") != 7, F.col("version")).alias("version"), F.concat_ws(" of ", "p_name", "p_brand").alias("text"),
         F.lit(None).cast("string").alias("lead_in"), F.col("p_type").alias("product"), F.col("p_brand").alias("document_type"), F.when(F.col("l_linestatus") == "F", "historical").otherwise("current").alias("temporal_status"),
-        marks.alias("marks"), F.array(F.when(F.col("l_quantity") > 49, "old").otherwise("structure/1")).alias("chunkers"),
+        marks.alias("marks"), F.array(F.when(F.col("over"), "old").otherwise("structure/1")).alias("chunkers"),
     )
 
 
-def _runs(spark, sf) -> DataFrame:
-    told = _items(spark, sf).groupBy("case").agg(F.to_json(F.array_sort(F.collect_list(F.struct("rank", "document", "text")))).alias("told"))
-    o = _orders(spark, sf).join(told, "case", "left")
+def _runs(lines: DataFrame, orders: DataFrame) -> DataFrame:
+    told = _items(lines).groupBy("case").agg(F.to_json(F.array_sort(F.collect_list(F.struct("rank", "document", "text")))).alias("told"))
+    o = orders.join(told, "case", "left")
     debug = F.when(F.col("case") % 10 == 0, _name(F.col("o_custkey"))), F.when(F.col("case") % 20 == 0, F.concat(F.lit("conflict-"), F.lpad((F.floor(F.col("o_custkey") / 10) % 10 * 10).cast("string"), 4, "0")))
     none = F.col("o_orderpriority") == "4-NOT SPECIFIED"
     return o.select(
@@ -90,55 +114,57 @@ def _runs(spark, sf) -> DataFrame:
     )
 
 
-def _breaches(spark, sf) -> DataFrame:
-    return ob.breaches(_items(spark, sf), _runs(spark, sf), _facit(spark, sf), WANTED, TODAY)
+def _breaches(spark, sf, lines: DataFrame, orders: DataFrame) -> DataFrame:
+    return ob.breaches(_items(lines), _runs(lines, orders), _facit(spark, sf, lines, orders), WANTED, TODAY)
 
 
 def case_breaches(spark, sf):
     """Breaches of the hard gates, case by case (EVL-1)."""
-    return _breaches(spark, sf).groupBy("case", "gate", "code").agg(F.count("*").alias("n"), F.min("rank").alias("first"))
+    return _breaches(spark, sf, *_stored(spark, sf, whole=False)).groupBy("case", "gate", "code").agg(F.count("*").alias("n"), F.min("rank").alias("first"))
 
 
 def case_observations(spark, sf):
     """EVL-1, SRT-11."""
-    made = ob.observations(_items(spark, sf), _facit(spark, sf))
+    lines, orders = _stored(spark, sf)
+    made = ob.observations(_items(lines), _facit(spark, sf, lines, orders))
     lists = [F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("gains", "ideal")]
     return made.select("case", "type", "outcome", "item_count", "items_within_k", "source_rank", "first_grade3_rank", "required_covered", "required_total", "distractor_items", *lists)
 
 
-def _metrics(spark, sf, by: Column | None = None) -> DataFrame:
-    return ob.metrics(ob.observations(_items(spark, sf, by), _facit(spark, sf)))
+def _metrics(spark, sf, lines: DataFrame, orders: DataFrame, rank: str = "by_price") -> DataFrame:
+    return ob.metrics(ob.observations(_items(lines, rank), _facit(spark, sf, lines, orders)))
 
 
 def run_metrics(spark, sf):
     """EVL-2, AGG-6 to AGG-11."""
-    return _metrics(spark, sf).select("metric", "numerator", "denominator", *[six(x).alias(x) for x in ("value", "low", "high")])
+    return _metrics(spark, sf, *_stored(spark, sf)).select("metric", "numerator", "denominator", *[six(x).alias(x) for x in ("value", "low", "high")])
 
 
-def _gates(spark, sf) -> DataFrame:
+def _gates(spark, sf, lines: DataFrame, orders: DataFrame) -> DataFrame:
     """The run ranked by price against the same without a reranker, in the order of lines."""
-    return ob.quality_gates(_metrics(spark, sf), _metrics(spark, sf, F.col("l_linenumber")))
+    return ob.quality_gates(_metrics(spark, sf, lines, orders), _metrics(spark, sf, lines, orders, "by_line"))
 
 
 def quality_gate_results(spark, sf):
     """Q1 to Q7, with the comparison of both runs (EVL-2, AGG-26)."""
-    return _gates(spark, sf).select("gate", "metric", six("value").alias("value"), "threshold", "status", "uncertain")
+    return _gates(spark, sf, *_stored(spark, sf)).select("gate", "metric", six("value").alias("value"), "threshold", "status", "uncertain")
 
 
 def case_minimums(spark, sf):
     """AGG-15: all six rules."""
-    return e.minimums(_facit(spark, sf).cases).select("rule", "least", "n", "met")
+    return e.minimums(_cases(_orders(spark, sf))).select("rule", "least", "n", "met")
 
 
 def run_verdict(spark, sf):
     """AGG-27, with every gate."""
-    cases = _facit(spark, sf).cases
-    return ob.decision(_breaches(spark, sf).select("gate"), _gates(spark, sf), e.minimums(cases), cases)
+    lines, orders = _stored(spark, sf)
+    cases = _cases(orders)
+    return ob.decision(_breaches(spark, sf, lines, orders).select("gate"), _gates(spark, sf, lines, orders), e.minimums(cases), cases)
 
 
 def report_mismatches(spark, sf):
     """AGG-28: a report with one wrong number, one missing and one too many."""
-    new = _metrics(spark, sf).select("metric", "value")
+    new = _metrics(spark, sf, *_stored(spark, sf)).select("metric", "value")
     old = new.filter("metric <> 'mrr_at_k'").withColumn("value", F.when(F.col("metric") == "ndcg_at_k", F.col("value") + 0.25).otherwise(F.col("value")))
     extra = old.filter("metric = 'ndcg_at_k'").select(F.lit("unknown").alias("metric"), F.lit(1.0).alias("value"))
     made = e.mismatches(old.unionByName(extra), new)

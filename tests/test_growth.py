@@ -5,8 +5,10 @@ import datetime
 from lodestone.operators import facts
 from lodestone.operators.access import subjects
 from lodestone.operators.index import postings
+from lodestone.plans import evaluating
 from lodestone.plans.retrieval import merge_islands
 from lodestone.plans.reviewing import leaders
+from lodestone.sources import tables
 from test_seeds import most_rows
 
 
@@ -78,3 +80,40 @@ def test_runs_are_told_in_one_sort(spark):
 def test_merge_islands_sorts_once_and_keeps_no_groups(spark, sf_dir):
     plan = merge_islands(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and plan.count("Sort [") == 1 and "Aggregate" not in plan
+
+
+def shuffled_rows(plan):
+    """The rows that an executed plan shuffled; an exchange that is used again counts once."""
+    name = plan.nodeName()
+    if name.startswith("AdaptiveSparkPlan"):
+        return shuffled_rows(plan.executedPlan())
+    if name.startswith("Reused"):
+        return 0
+    if "QueryStage" in name:
+        return shuffled_rows(plan.plan())
+    own = plan.metrics().get("shuffleRecordsWritten").get().value() if name == "Exchange" else 0
+    children = plan.children()
+    return own + sum(shuffled_rows(children.apply(i)) for i in range(children.size()))
+
+
+def test_breaches_shuffle_no_items(spark, sf_dir):
+    """Items meet their case in buckets, and what the facit has of documents is small: a rule shuffles no items."""
+    # Joins as with large tables: nothing goes to every task but what is known to be small.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines, orders = evaluating._stored(spark, sf_dir, whole=False)
+        made = evaluating._breaches(spark, sf_dir, lines, orders)
+        made.collect()
+        moved, items = shuffled_rows(made._jdf.queryExecution().executedPlan()), lines.count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert moved <= 3 * items  # marks told by a text once, and small tables; before about 25 rows for each item
+
+
+def test_only_small_tables_go_to_every_task(spark, monkeypatch):
+    df = spark.createDataFrame([("a" * 100, i) for i in range(50)] + [(None, None)], "a string, n int")
+    join = lambda: spark.range(5).withColumnRenamed("id", "n").join(tables.few(df), "n")._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in join()
+    monkeypatch.setattr(tables, "FEW", 6000)
+    assert "broadcast" not in join()
+    assert tables.few(df.limit(0)).count() == 0 and sorted(map(repr, tables.few(df).collect())) == sorted(map(repr, df.collect()))

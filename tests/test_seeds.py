@@ -68,3 +68,29 @@ def test_parts_of_a_text_keep_the_same(text, cls, part):
     _, size, window = cls
     for start in range(len(text) - size - window + 2):
         assert any(start <= x < start + window for x in whole[0])
+
+
+def test_patterns_of_texts_without_places(spark):
+    texts = [("a", "one two one two"), ("b", "two"), ("b", "two"), ("c", None), ("d", "x" * 300)]
+    patterns = [(1, "one"), (2, "two"), (3, "xxxxxxxxxxxxxxxxxxxxxxxxxx"), (4, "nowhere")]
+    t, p = spark.createDataFrame(texts, "doc string, text string").repartition(2), spark.createDataFrame(patterns, "item long, pattern string")
+    got = occurrences(t, p, "doc", "item", places=False)
+    assert sorted(map(tuple, got.collect())) == [("a", 1), ("a", 2), ("b", 2), ("d", 3)]
+
+
+def test_many_grams_are_shuffled_and_found_all_the_same(spark, monkeypatch):
+    from lodestone.operators import seeds
+
+    texts, patterns = [(f"t{i}", f"see document-{i % 50:04d} and abc") for i in range(80)], [(i, f"document-{i:04d}") for i in range(50)] + [(99, "abc")]
+    for most in (0, 200_000):
+        monkeypatch.setattr(seeds, "BROADCAST", most)
+        assert found(spark, texts, patterns) == plain(texts, patterns)
+
+
+def test_hits_of_many_lengths_come_in_parts(monkeypatch, spark):
+    from lodestone.operators import seeds
+
+    monkeypatch.setattr(seeds, "TOGETHER", 40)
+    texts = [("t", "ab" * 60), ("u", "ba" * 9)]
+    patterns = [(n, ("ab" * 40)[:n]) for n in range(1, 40)]
+    assert found(spark, texts, patterns) == plain(texts, patterns)
