@@ -110,6 +110,18 @@ def test_breaches_shuffle_no_items(spark, sf_dir):
     assert moved <= 3 * items  # marks told by a text once, and small tables; before about 25 rows for each item
 
 
+def test_observations_shuffle_nothing(spark, sf_dir):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines, orders = evaluating._stored(spark, sf_dir)
+        made = evaluating.ob.observations(evaluating._items(lines), evaluating._facit(spark, sf_dir, lines, orders))
+        n = made.count()
+        plan = made._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert n == orders.count() and "Exchange" not in plan
+
+
 def test_only_small_tables_go_to_every_task(spark, monkeypatch):
     df = spark.createDataFrame([("a" * 100, i) for i in range(50)] + [(None, None)], "a string, n int")
     join = lambda: spark.range(5).withColumnRenamed("id", "n").join(tables.few(df), "n")._jdf.queryExecution().optimizedPlan().toString()
