@@ -107,7 +107,7 @@ def test_breaches_shuffle_no_items(spark, sf_dir):
         moved, items = shuffled_rows(made._jdf.queryExecution().executedPlan()), lines.count()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert moved <= 3 * items  # marks told by a text once, and small tables; before about 25 rows for each item
+    assert moved <= 3 * items  # marks told by a text once, and small tables; case_breaches as a whole moved 34 rows an item before, 5.5 after, at 4 x sf0.1
 
 
 def test_observations_shuffle_nothing(spark, sf_dir):
